@@ -147,3 +147,55 @@ def components(edges: DataFrame) -> DataFrame:
             break
     rows = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return rows.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where the groups in them begin and end) from rows that come sorted by keys; each group comes whole, once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        edges = _edges(table, keys)
+        if len(edges) > 2:  # the last group may go on
+            yield table.slice(0, edges[-2]), edges[:-1]
+            held = table.slice(edges[-2]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _edges(table, keys)
+
+
+def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x = table[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.concatenate([np.flatnonzero(new), [table.num_rows]])
+
+
+def spread(linked, n: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of n nodes; linked(i, js) says which of the nodes js are linked with i."""
+    rest, edges = np.arange(n), []
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            hit = linked(i, rest)
+            found = rest[hit]
+            rest = rest[~hit]
+            edges += [(i, int(j)) for j in found]
+            todo += found.tolist()
+    return edges
+
+
+def blocks(df: DataFrame, key: str, member: str, size: int) -> DataFrame:
+    """Deal the rows of each key to pairs of blocks of about `size` rows (columns lo, hi), so that any two rows meet in one pair.
+
+    Keys of one row are left out. A key of n blocks sends each row to n pairs, a task each.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.expr(f"cast(ceil(_n / {size}) as int)").alias("_blocks"))
+    dealt = df.join(counts, key).withColumn("_own", F.expr(f"cast(pmod(xxhash64({member}), _blocks) as int)"))
+    dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    return dealt.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_own", "_other", "_blocks")

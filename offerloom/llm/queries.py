@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.line_dedup import line_dedup
+from offerloom.llm.minhash_dedup import minhash_dedup
 from offerloom.llm.substring_dedup import substring_dedup
 
 
@@ -21,6 +22,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles overlap by 85 per cent or more."""
+    return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, per_cent=85)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that start earlier in the corpus too."""
     out = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
@@ -29,6 +35,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
