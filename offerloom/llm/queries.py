@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.line_dedup import line_dedup
 from offerloom.llm.minhash_dedup import minhash_dedup
+from offerloom.llm.packing import pack, vocabulary
 from offerloom.llm.substring_dedup import substring_dedup
 
 
@@ -22,6 +23,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and the sequences of 4096 tokens that hold them."""
+    out = pack(_table(spark, sf_dir, "documents"), vocabulary(spark), size=4096, end=1)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles overlap by 85 per cent or more."""
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, per_cent=85)
@@ -35,6 +42,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
