@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.line_dedup import line_dedup
 from offerloom.llm.minhash_dedup import minhash_dedup
 from offerloom.llm.packing import pack, vocabulary
+from offerloom.llm.quality import quality_rules, train
 from offerloom.llm.substring_dedup import substring_dedup
 
 
@@ -23,6 +24,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the line field's verdict for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    out = quality_rules(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return out.drop("lines")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and the sequences of 4096 tokens that hold them."""
     out = pack(_table(spark, sf_dir, "documents"), vocabulary(spark), size=4096, end=1)
@@ -42,6 +50,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
