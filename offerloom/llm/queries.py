@@ -12,6 +12,7 @@ from offerloom.llm.line_dedup import line_dedup
 from offerloom.llm.minhash_dedup import minhash_dedup
 from offerloom.llm.packing import pack, vocabulary
 from offerloom.llm.quality import quality_rules, train
+from offerloom.llm.secrets import KINDS, find_secrets, listed
 from offerloom.llm.substring_dedup import substring_dedup
 
 
@@ -46,6 +47,13 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: pattern spans and high-entropy spans."""
+    out = find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *kinds, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and the sequences of 4096 tokens that hold them."""
     out = pack(_table(spark, sf_dir, "documents"), vocabulary(spark), size=4096, end=1)
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
