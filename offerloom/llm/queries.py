@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.chat import format_chats, log_of, loss_text, parse
+from offerloom.llm.licences import licence_scan
 from offerloom.llm.line_dedup import line_dedup
 from offerloom.llm.minhash_dedup import minhash_dedup
 from offerloom.llm.packing import pack, vocabulary
@@ -71,6 +72,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases, labels and score."""
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
