@@ -191,11 +191,11 @@ def spread(linked, n: int) -> list[tuple[int, int]]:
 
 
 def blocks(df: DataFrame, key: str, member: str, size: int) -> DataFrame:
-    """Deal the rows of each key to pairs of blocks of about `size` rows (columns lo, hi), so that any two rows meet in one pair.
+    """Deal the rows of each key to pairs of blocks of about `size` rows (columns block, lo, hi), so that any two rows meet in one pair.
 
     Keys of one row are left out. A key of n blocks sends each row to n pairs, a task each.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.expr(f"cast(ceil(_n / {size}) as int)").alias("_blocks"))
-    dealt = df.join(counts, key).withColumn("_own", F.expr(f"cast(pmod(xxhash64({member}), _blocks) as int)"))
+    dealt = df.join(counts, key).withColumn("block", F.expr(f"cast(pmod(xxhash64({member}), _blocks) as int)"))
     dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    return dealt.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).drop("_own", "_other", "_blocks")
+    return dealt.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_other", "_blocks")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.chat import format_chats, log_of, loss_text, parse
+from offerloom.llm.embedding_dedup import embedding_dedup
 from offerloom.llm.licences import licence_scan
 from offerloom.llm.line_dedup import line_dedup
 from offerloom.llm.minhash_dedup import minhash_dedup
@@ -66,6 +67,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, per_cent=85)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors of a label whose cosine is 0.93 or more, and every vector's number of links."""
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that start earlier in the corpus too."""
     out = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
 }
