@@ -219,20 +219,44 @@ def dropped_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(texts: pa.Array, lines: pa.Array) -> tuple[list[str], list[int], list[int]]:
+    """Each text without the named lines, its lines before, and how many went."""
+    kept, n, dropped = [], [], []
+    for text, gone in zip(texts.to_pylist(), lines.to_pylist()):
+        own = (text or "").split("\n")
+        n.append(len(own))
+        out = set(gone or ())
+        left = [x for i, x in enumerate(own) if i not in out] if out else own
+        dropped.append(len(own) - len(left))
+        kept.append("\n".join(left))
+    return kept, n, dropped
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
-        kept, n, dropped = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
-            lines = (text or "").split("\n")
-            n.append(len(lines))
-            out = set(gone or ())
-            left = [x for i, x in enumerate(lines) if i not in out] if out else lines
-            dropped.append(len(lines) - len(left))
-            kept.append("\n".join(left))
+        kept, n, dropped = _kept(batch.column("text"), batch.column("lines"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
 
 def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, text without the lines that an earlier document holds, n_lines, n_dropped), one row per row."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(dropped_lines(docs, least), "doc_id", "left").mapInArrow(_rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+    return texts.join(dropped_lines(docs, least), "doc_id", "left").mapInArrow(_counted, "doc_id long, text string, n_lines long, n_dropped long")
+
+
+def without_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+    """docs, all columns, with the shortened texts (and n_chars, if there is one); a document that loses every word goes."""
+    names, marked = docs.columns, "__dropped_lines"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            kept, _, dropped = _kept(batch.column("text"), batch.column(marked))
+            keep = [not d or not k.isspace() and k != "" for k, d in zip(kept, dropped)]
+            columns = {c: batch.column(c) for c in names}
+            columns["text"] = pa.array([k if d else t for k, d, t in zip(kept, dropped, batch.column("text").to_pylist())], batch.column("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(k) if d else c for k, d, c in zip(kept, dropped, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep, pa.bool_()))
+
+    lost = dropped_lines(docs, least).select(F.col("doc_id").alias("__id"), F.col("lines").alias(marked))
+    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left").drop("__id").mapInArrow(run, docs.schema)

@@ -203,3 +203,9 @@ def minhash_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFr
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that minhash_dedup() does not keep."""
+    gone = minhash_dedup(docs, width, per_cent).where("not kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")

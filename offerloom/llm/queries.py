@@ -15,6 +15,7 @@ from offerloom.llm.minhash_dedup import minhash_dedup
 from offerloom.llm.packing import pack, vocabulary
 from offerloom.llm.quality import quality_rules, train
 from offerloom.llm.secrets import KINDS, find_secrets, listed
+from offerloom.llm.segment import sample_segmentations
 from offerloom.llm.substring_dedup import substring_dedup
 
 
@@ -67,6 +68,13 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_table(spark, sf_dir, "documents"), width=3, per_cent=85)
 
 
+def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every turn of the conversations, read back for a check."""
+    rows = _table(spark, sf_dir, "conversations")
+    out = sample_segmentations(rows, ["conv_id", "turn"], vocabulary(spark, "piece_bpe_32k.model"), k=3, seed=7)
+    return out.select("conv_id", "turn", "sample", "ids", "log_probability", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of vectors of a label whose cosine is 0.93 or more, and every vector's number of links."""
     return embedding_dedup(_table(spark, sf_dir, "embeddings"), least=0.93)
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_segmentations": op7_segmentations,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,

@@ -120,6 +120,18 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     return rows.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base"), allow))))
 
 
+def without_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mark: str = "[secret]") -> DataFrame:
+    """docs, all columns, with every span of the texts replaced by the mark (and n_chars, if there is one)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__base", F.array_sort(base_spans(text)))
+    rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", entropy_spans(text, F.col("__base"), allow))))
+    rows = rows.withColumn("text", redacted(F.col("text"), F.col("__spans"), mark))
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, changed).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end by start, then kind, comma-joined."""
     names = F.array(*[F.lit(k) for k in (*KINDS, "entropy")])
