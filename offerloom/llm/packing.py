@@ -1,6 +1,6 @@
 """Best-fit packing by minimum bin slack.
 
-1. Texts become token ids (one dictionary of words in each task, so that a word is tokenized once) and
+1. Texts become token ids (each worker keeps a dictionary of words, so that a frequent word is tokenized once) and
    are cut into pieces of at most `size` ids. Spark counts the pieces of each length: at most `size` counters.
 2. Bin after bin, the longest length left is placed and a bitset of reachable sums, grown over the
    available lengths with their counts, finds the fullest feasible rest. The combination found is
@@ -16,6 +16,8 @@ the same piece numbers; a null doc_id is packed too; an empty table gives no row
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.llm.common import cut, plain, steps, words
+from offerloom.llm.common import ASCII_LOWER, cut, plain, steps, words
 
-#: Words that a task's dictionary holds before it starts afresh.
-MOST_WORDS = 600_000
+#: Words that a worker's dictionary holds before it forgets the rare ones.
+MOST_WORDS = 400_000
+#: Bytes of text that a task tokenizes at a time.
+STEP = 4 << 20
 #: A word of one token that stands between words in a call to the tokenizer.
 MARK = "\x01"
 #: Pieces of a bucket of the ranking.
@@ -40,49 +44,96 @@ class WordIds:
     """Token ids of texts, word by word: white space always ends a token of this vocabulary."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
+        self.names: list[bytes] = []
         self.known: dict[bytes, int] = {}
-        self.pool, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pool, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words that more than one step has met, if they are few enough, else none."""
+        keep = self.hits > 1
+        if keep.sum() > MOST_WORDS // 2:
+            keep[:] = False
+        self.pool = self.pool[np.repeat(keep, self.sizes)]
+        self.sizes, self.hits = self.sizes[keep], np.zeros(int(keep.sum()), np.int32)
+        self.names = [self.names[i] for i in np.flatnonzero(keep)]
+        self.known = {w: i for i, w in enumerate(self.names)}
 
     def _learn(self, new: list[bytes]) -> None:
         """Ids of new words, many in a call with a mark between them; words that hold the mark go alone."""
-        odd = [w for w in new if MARK.encode() in w]
-        even = [w for w in new if MARK.encode() not in w] if odd else new
-        texts = [f" {MARK} ".join(w.decode() for w in even[i : i + 256]) for i in range(0, len(even), 256)]
-        ids = [np.array([*e.ids, self.mark], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
-        real = ids != self.mark
-        sizes = np.diff(np.flatnonzero(~real), prepend=-1) - 1
-        alone = [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in odd]
-        self.pool = np.concatenate([self.pool, ids[real], *alone])
-        self.sizes = np.concatenate([self.sizes, sizes, [len(x) for x in alone]]).astype(np.int64)
-        at = len(self.known)
+        mark = MARK.encode()
+        odd = [w for w in new if mark in w]
+        even = [w for w in new if mark not in w] if odd else new
+        between, pool, sizes = b" " + mark + b" ", [self.pool], [self.sizes]
+        for i in range(0, len(even), 4096):
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(even[i : i + 4096]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            real = ids != self.mark
+            pool.append(ids[real])
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(~real), [len(ids)]])) - 1)
+        for w in odd:
+            pool.append(np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32))
+            sizes.append([len(pool[-1])])
+        self.pool, self.sizes = np.concatenate(pool), np.concatenate(sizes).astype(np.int32)
+        at = len(self.names)
+        self.names += [*even, *odd]
         self.known.update(zip([*even, *odd], range(at, at + len(new))))
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int32)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and end)."""
-        codes, ends, distinct = words(plain(texts))
-        if len(self.known) + len(distinct) > MOST_WORDS:
-            self.clear()
+        codes, ends, distinct = words(_parted(texts))
+        if len(self.names) + len(distinct) > MOST_WORDS:
+            self._forget()
         self._learn([w for w in distinct if w not in self.known])
-        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
-        first = np.cumsum(self.sizes) - self.sizes
-        each = self.sizes[codes]
-        stops = np.concatenate([[0], np.cumsum(each)])
-        ids = self.pool[np.repeat(first[codes] - stops[:-1], each) + np.arange(stops[-1])]
-        return ids, stops[ends]
+        own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.hits[own] += 1
+        first = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[own][codes]
+        each = self.sizes[own][codes]
+        stops = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        first -= stops[:-1]
+        at = np.repeat(first, each)
+        at += np.arange(stops[-1])
+        return self.pool[at], stops[ends]
+
+
+_LETTER = np.array([0x61 <= b <= 0x7A for b in range(256)])
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z lower-cased and a space wherever a letter meets an ASCII mark: the vocabulary lower-cases and always
+    parts there, and fewer words are distinct. Texts that may hold special tokens, which are matched as they stand, stay."""
+    whole = plain(texts)
+    lower = plain(whole, ASCII_LOWER)
+    offsets = np.frombuffer(lower.buffers()[1], np.int32)[: len(lower) + 1].astype(np.int64) if pa.types.is_string(lower.type) and len(lower) else None
+    if offsets is None or offsets[-1] == offsets[0]:
+        return whole
+    body = lower.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]]
+    if b"<|" in body:
+        return whole
+    data = np.frombuffer(body, np.uint8)
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # the accented letters of Latin-1
+    at = np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+    offsets = offsets - offsets[0]
+    moved = (offsets + np.searchsorted(at, offsets)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(lower), [None, pa.py_buffer(moved.tobytes()), pa.py_buffer(np.insert(data, at, 0x20).tobytes())])
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, whatever number of tasks it runs."""
+    return WordIds(path)
 
 
 def _pieces(path: str, size: int, end: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordIds(path)
-        for batch in steps(batches, "text"):
+        tokens = word_ids(path)
+        for batch in steps(batches, "text", STEP):
             ids, ends = tokens(batch.column("text"))
             row, number, start, length, crc, own = [], [], [], [], [], []
             for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
