@@ -1,0 +1,342 @@
+"""Line, substring and near dedup, quality rules, secrets, licences and packing against brute force, and their odd cases."""
+
+import hashlib
+import json
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import brute_components, brute_lines, lower, texts, words
+
+from offerloom.llm import common, licences, line_dedup, minhash_dedup, packing, quality, secrets, substring_dedup
+from offerloom.llm.queries import QUERIES, SQL
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    df = QUERIES[name](spark, DATA)
+    found = con.execute(SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in sorted(names)) for r in df.collect()) == sorted(tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in found.fetchall())
+
+
+def test_lines(spark, odd, docs):
+    for rows, df in ((docs, spark.createDataFrame(docs, "doc_id long, text string")), (texts(), odd)):
+        want = brute_lines(rows)
+        got = line_dedup.line_dedup(df).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]]
+    assert line_dedup.line_dedup(odd.limit(0)).count() == 0
+
+
+def test_perfect_hash_is_minimal_and_survives_equal_halves():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    a[1] = a[0]  # two lines that agree in the first half
+    shard = line_dedup.Shard(a, b, np.arange(2, 5002), np.arange(5000))
+    assert sorted(shard._place(np.unique(a)).tolist()) == list(range(4999))
+    count, owner = shard.probe(a, b)
+    assert (count == np.arange(2, 5002)).all() and (owner == np.arange(5000)).all()
+    assert not shard.probe(a, b + np.uint64(1))[0].any()
+    assert not shard.probe(rng.integers(0, 1 << 63, 1000).astype(np.uint64), b[:1000])[0].any()
+
+
+def test_lines_with_many_shards_and_copies(spark, odd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    monkeypatch.setattr(line_dedup, "PROBES", 1)
+    want = brute_lines(texts())
+    assert all((r["text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]] for r in line_dedup.line_dedup(odd).collect())
+
+
+def brute_windows(rows, window=20):
+    seen, out = set(), []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            if x in seen:
+                gone[k : k + window] = [True] * window
+            seen.add(x)
+        out.append((i, " ".join(a for a, g in zip(w, gone) if not g), len(w), sum(gone)))
+    return out
+
+
+def test_substrings(spark, odd, docs):
+    odd_rows = sorted(texts(), key=lambda x: (x[0] is None, x[0] or 0))
+    for rows, df in ((sorted(docs), spark.createDataFrame(docs, "doc_id long, text string")), (odd_rows, odd)):
+        for size in (1 << 24, 20_000):
+            got = substring_dedup.substring_dedup(df, 20, bucket_bytes=size, part_windows=500).collect()
+            assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in got) == Counter(brute_windows(rows))
+            for r in got:
+                spans = [(s["start"], s["end"]) for s in r["intervals"]]
+                assert sum(b - a for a, b in spans) == r["n_removed"] and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert substring_dedup.substring_dedup(odd.limit(0)).count() == 0
+
+
+def test_hash_blobs_round_trip():
+    for values in ([5], [0, 1, 2], [3, 1 << 40, (1 << 64) - 1]):
+        v = np.array(values, np.uint64)
+        assert (substring_dedup.decode(substring_dedup.encode(v)) == v).all()
+
+
+def test_near_copies(spark, docs):
+    for width, per_cent in ((3, 85), (5, 80)):
+        want = brute_components(docs, width, per_cent)
+        got = by_id(minhash_dedup.minhash_dedup(spark.createDataFrame(docs, "doc_id long, text string"), width, per_cent))
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+        assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_near_copies_of_odd_documents(spark, odd):
+    got = minhash_dedup.minhash_dedup(odd, 3, 85).collect()
+    assert len(got) == len(texts())
+    one = {r["doc_id"]: r for r in got}
+    assert one[2]["component_id"] == 1 and one[3]["component_id"] == 1 and one[9]["component_id"] == 8 and not one[9]["kept"]
+    assert all(one[i]["n_shingles"] == 0 and one[i]["component_id"] == i for i in (4, 5, 6))
+    assert one[None]["component_id"] is None and one[None]["kept"] and one[14]["component_id"] == 14
+    assert minhash_dedup.minhash_dedup(odd.limit(0)).count() == 0
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """A group larger than a block: every member differs, all are linked through others."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "SET_BLOCK", 16)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(k, " ".join(f"k{k}" if i == k * 2 or i == (k * 7) % 150 and k % 3 == 0 else w for i, w in enumerate(base))) for k in range(70)]
+    got = by_id(minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert {i: r["component_id"] for i, r in got.items()} == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
+
+
+def test_components(spark):
+    edges = [(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (30, 30)] + [(100, k) for k in range(101, 140)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, **{k: 100 for k in range(100, 140)}}
+
+
+def base_counts(text):
+    w, seen, dup = words(text), set(), 0
+    for x in (text or "").split("\n"):
+        if words(x):
+            dup += x in seen
+            seen.add(x)
+    times, gone = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2)), [False] * len(w)
+    for k in range(len(w) - 2):
+        if times[tuple(w[k : k + 3])] > 1:
+            gone[k : k + 3] = [True] * 3
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, sum(gone)
+
+
+def test_quality_counts(spark, odd, docs):
+    for rows, df in ((docs, spark.createDataFrame(docs, "doc_id long, text string")), (texts(), odd)):
+        got = quality.quality_rules(df, quality.everything()).collect()
+        want = Counter((i, *base_counts(t)) for i, t in rows)
+        assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+        for r in got:
+            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and r["kept"] == (not r["base_failed"])
+    assert quality.quality_rules(odd.limit(0), quality.everything()).count() == 0
+
+
+def test_viterbi_is_the_best_of_all_sequences():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 7):
+        field = quality.LineField(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)))
+        x = rng.normal(size=(n, quality.N_FEATURES))
+        emit = x @ field.weights
+
+        def score(y):
+            return sum(e for e, k in zip(emit, y) if k) + sum(field.changes[a, b] for a, b in zip(y, y[1:]))
+
+        best = max(([k >> i & 1 for i in range(n)] for k in range(1 << n)), key=score)
+        assert field.decode(x).astype(int).tolist() == best
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(3, 4, quality.N_FEATURES)), rng.integers(0, 2, (3, 4))
+    real = np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool)
+    w, t = rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2))
+
+    def likelihood(w, t):
+        total = 0.0
+        for c in range(3):
+            n = int(real[c].sum())
+            emit = x[c, :n] @ w
+            f = lambda s: sum(e for e, k in zip(emit, s) if k) + sum(t[a, b] for a, b in zip(s, s[1:]))
+            total += f(y[c, :n]) - math.log(sum(math.exp(f([k >> i & 1 for i in range(n)])) for k in range(1 << n)))
+        return total
+
+    gw, gt = quality._gradient(x, y, real, w, t)
+    for k in range(3):
+        e = np.eye(quality.N_FEATURES)[k] * 1e-5
+        assert abs((likelihood(w + e, t) - likelihood(w - e, t)) / 2e-5 - gw[k]) < 1e-5
+    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        e = np.zeros((2, 2))
+        e[a, b] = 1e-5
+        assert abs((likelihood(w, t + e) - likelihood(w, t - e)) / 2e-5 - gt[a, b]) < 1e-5
+
+
+def test_quality_on_held_out_labels(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    field = quality.train(docs, labels.where("doc_id % 2 = 0"))
+    rows = quality.quality_rules(docs, field).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
+    good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
+    assert len(good) > 50 and sum(good) / len(good) >= 0.97 and len(bad) > 5 and sum(bad) / len(bad) <= 0.1
+    assert quality.train(docs, labels.limit(0)).decode(np.ones((2, quality.N_FEATURES))).all()
+
+
+def brute_secrets(text):
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    base = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    more = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        c = m[0]
+        if not re.search("[0-9]", c) or re.search("(?i)" + "|".join(secrets.ALLOW) + "|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", c):
+            continue
+        kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "one_case" if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else None
+        n = secrets.WINDOW
+        hits = [k for k in range(len(c) - n + 1) if kind and -sum(v / n * math.log2(v / n) for v in Counter(c[k : k + n]).values()) >= secrets.BOUNDS[kind] - 1e-6]
+        if hits and not any(b[0] < m.start() + hits[-1] + n and m.start() + hits[0] < b[2] for b in base):
+            more.append((m.start() + hits[0], 3, m.start() + hits[-1] + n))
+    return sorted(base), sorted(base + more)
+
+
+SECRETS = [
+    (1, "key Zk9fQ2xWb7RtY4uLp0VsE3nMa8Hd ends"), (2, "see 3F2504E0-4F89-11D3-9A0C-0305E82C3301 and 3f2504e0-4f89-11d3-9a0c-0305e82c3301"), (3, "EXAMPLEKEY9fQ2xWb7RtY4uLp0VsE3nMa"), (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1"),
+    (5, "password=token: abcdefghijklmnop secret:\"abcdefghijkl\" TOKEN = abcdefghijkl ſecret=abcdefghijklmn"), (6, "é\U0001f600 deadbeefdeadbeef AKIA12345678901234"), (7, "AB12CD34EF56AB12CD34EF5678 9F8E7D6C5B4A39281706F5E4D3C2B1A0"), (8, None), (9, ""), (10, "q7w8e9r1t2y3u4i5o6p7a8s9d1f2g3 " * 3), (11, "1" * 15 + " " + "1" * 16),
+]
+
+
+def test_secrets(spark, odd, docs):
+    for rows, df in ((SECRETS, spark.createDataFrame(SECRETS, "doc_id long, text string")), (docs, spark.createDataFrame(docs, "doc_id long, text string")), ([x for x in texts() if x[0] not in (14,)], odd.where("doc_id is null or doc_id <> 14"))):
+        got = by_id(secrets.find_secrets(df))
+        assert len(got) == len(rows)
+        for i, t in rows:
+            base, every = brute_secrets(t or "")
+            assert [tuple(s) for s in got[i]["base"]] == base and [tuple(s) for s in got[i]["spans"]] == every, t
+    assert secrets.find_secrets(odd.limit(0)).count() == 0
+    assert any(s[1] == 3 for _, t in SECRETS for s in brute_secrets(t or "")[1])
+
+
+def test_redaction_leaves_no_span(spark, odd):
+    got = secrets.without_secrets(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    before, after = {r["doc_id"]: r for r in odd.collect()}, {r["doc_id"]: r for r in got.collect()}
+    assert "b7db7aa4" not in after[13]["text"] and after[13]["text"].count("[secret]") == 2 and after[13]["n_chars"] == len(after[13]["text"])
+    assert after[7] == before[7] and after[4]["text"] is None
+    assert all(r["spans"] == [] for r in secrets.find_secrets(got).collect())
+
+
+def test_licences(spark, odd, docs):
+    for rows, df in ((docs, spark.createDataFrame(docs, "doc_id long, text string")), (texts(), odd)):
+        got = {r["doc_id"]: r for r in licences.licence_scan(df).collect()}
+        for i, t in rows:
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+            hit = [(k, label) for p, label in licences.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+            at = [k for k, _ in hit]
+            r = got[i]
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(hit), min(at, default=None), max(at, default=None))
+            assert r["base_labels"] == ",".join(sorted({x for _, x in hit})) and 0 <= r["score"] <= 1 and set(r["base_labels"].split(",")) <= set(r["labels"].split(","))
+    assert licences.licence_scan(odd.limit(0)).count() == 0
+
+
+def test_licence_method_adds_labels(spark):
+    rows = [(1, "/* Permission is hereby granted, free of charge, to any person obtaining a copy of this nice software */"), (2, "permission is granted to enter"), (3, "Released under the ISC license."), (4, "the license of the public")]
+    got = {r["doc_id"]: r["labels"] for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "", 3: "isc", 4: ""}
+
+
+def check_packing(got, rows, path, size=4096):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    want = Counter()
+    for i, text in rows:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k, s in enumerate(range(0, len(ids), size)):
+            want[i, k, s, len(ids[s : s + size]), zlib.crc32(ids[s : s + size].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert bins.get(r["sequence_id"], 0) == r["offset"]
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(bins.values(), default=0) <= size
+    return len(bins)
+
+
+def test_packing(spark, odd, docs):
+    path = packing.vocabulary(spark)
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
+    n = check_packing(got, docs, path)
+    assert n <= -(-sum(r["length"] for r in got) // 4096) + 1
+    check_packing(packing.pack(odd, path).collect(), texts(), path)
+    check_packing(packing.pack(odd, path, size=64).collect(), texts(), path, 64)
+    assert packing.pack(odd.limit(0), path).count() == 0
+
+
+def test_sequences_hold_the_ids(spark, odd):
+    rows = packing.sequences(packing.pack(odd, packing.vocabulary(spark), keep_ids=True)).collect()
+    assert all(len(r["ids"]) <= 4096 for r in rows) and sum(r["ids"].count(1) for r in rows) >= len(texts())
+
+
+def test_fullest_bin_is_the_fullest():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        counts = Counter(rng.integers(1, 30, rng.integers(1, 9)).tolist())
+        found = packing.fullest(dict(counts), 30)
+        longest, reach = max(counts), {0}
+        left = counts - Counter([longest])
+        for x in left.elements():
+            reach |= {r + x for r in reach if r + x <= 30 - longest}
+        assert sum(a * n for a, n in found) == longest + max(reach) and all(counts[a] >= n for a, n in found)
+        assert sum(n * bins * a for f, bins in packing.patterns(dict(counts), 30) for a, n in f) == sum(counts.elements())
+
+
+def test_word_ids_equal_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary(spark)
+    t, w = Tokenizer.from_file(path), packing.WordIds(path)
+    rows = ["a\x01b hello", "\x01 \x01", "don't  STOP'S<|endoftext|>x", "<|STARTOFTEXT|>", "", None, "Ünï cöde ΣΑΣ", "ä ̈b", "日本語 123abc", "l'été,«x»…", "x\x85y İ ǅ \x1c"]
+    for batch in (rows, [r for r in rows if "<|" not in (r or "")]):
+        ids, ends = w(pa.array(batch))
+        for i, x in enumerate(batch):
+            assert ids[ends[i] : ends[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_words_are_runs_between_ascii_space():
+    rows = ["", " a  b  a ", "\x0bx\x0cy\r", "nb sp", None, "one\n"]
+    codes, ends, names = common.words(common.plain(pa.array(rows)))
+    assert [[names[c].decode() for c in codes[a:b]] for a, b in zip(ends, ends[1:])] == [words(x) for x in rows]
+
+
+def test_results_are_json_free_scalars(spark):
+    assert json.dumps(sorted(QUERIES)) and all(n.startswith("op") for n in QUERIES)
