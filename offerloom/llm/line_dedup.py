@@ -67,6 +67,10 @@ def _level_size(n: int) -> int:
     return int(n * GAMMA) + 64
 
 
+def _fingerprint(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first, 99) ^ second
+
+
 class Shard:
     """The arrays of one shard, in the order of its perfect hash."""
 
@@ -83,7 +87,7 @@ class Shard:
             left -= int(np.unpackbits(packed).sum())
         place = self._place(keys)
         self.fingerprint, self.count, self.owner = np.zeros(self.n, np.uint64), np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
-        self.fingerprint[place], self.count[place], self.owner[place] = second[index], count[index], owner[index]
+        self.fingerprint[place], self.count[place], self.owner[place] = _fingerprint(keys, second[index]), count[index], owner[index]
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         place, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
@@ -98,7 +102,7 @@ class Shard:
         """(documents that hold the line, or 0 for a line that isn't indexed; the smallest of them)."""
         place = self._place(first)
         found = (place >= 0) & (self.n > 0)
-        found[found] = self.fingerprint[place[found]] == second[found]
+        found[found] = self.fingerprint[place[found]] == _fingerprint(first[found], second[found])
         count, owner = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
         count[found], owner[found] = self.count[place[found]], self.owner[place[found]]
         if self.odd:
