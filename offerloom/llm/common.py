@@ -18,6 +18,8 @@ LOWER = bytes(range(0x61, 0x7B))
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 #: Text that one numpy step holds at a time, in bytes. Bounds a Python worker's memory.
 STEP_BYTES = 6 << 20
+#: Parts that the rows of a hub are dealt to.
+SALTS = 4
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -133,14 +135,19 @@ def components(edges: DataFrame) -> DataFrame:
         row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
 
+    def beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+        """Each row with its node's minimum; a hub's rows are dealt by the other end too."""
+        part = rows.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        return part.join(low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "_s"])
+
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = beside(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where("a > m").select("a", F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = beside(large, low).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         then, seen = seen, mark(now)
         if then == seen:

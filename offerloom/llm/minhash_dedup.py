@@ -190,7 +190,8 @@ def minhash_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = cut(docs.mapInArrow(_sign(width), "doc_id long, n long, set_a long, set_b long, signature binary, bands array<long>"))
     real = signed.where("n > 0 and doc_id is not null")
-    owners = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    # written, so that the join with the members below is dealt anew and Spark can split a large group of copies
+    owners = cut(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
     dealt = owners.select("rep", "signature", F.explode("bands").alias("band"))
     similarity = per_cent / 100
     least = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
