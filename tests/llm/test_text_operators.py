@@ -35,7 +35,7 @@ def by_id(df):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     df = QUERIES[name](spark, DATA)
     found = con.execute(SQL[name])
