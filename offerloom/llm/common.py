@@ -18,6 +18,8 @@ LOWER = bytes(range(0x61, 0x7B))
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 #: Text that one numpy step holds at a time, in bytes. Bounds a Python worker's memory.
 STEP_BYTES = 6 << 20
+#: Rows of an Arrow batch.
+ARROW_ROWS = 2000
 #: Parts that the rows of a hub are dealt to.
 SALTS = 4
 
@@ -41,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are held to ARROW_ROWS rows: whole texts are long rows, and a batch is in memory
+    several times over, in the JVM and in the worker. A smaller setting of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts come to about `size` bytes; a longer text is a slice of its own."""
     for batch in batches:

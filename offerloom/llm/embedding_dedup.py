@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.llm.common import blocks, components, cut, groups, spread
+from offerloom.llm.common import blocks, components, cut, groups, small_batches, spread
 
 TABLES, BITS, NEAR, BEST = 12, 24, 8, 4
 LIST, ROUNDS, NEW = 12, 2, 3
@@ -228,7 +228,7 @@ def audit(reps: DataFrame, links: DataFrame, least: float, sample: int = AUDIT)
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row."""
-    rows = cut(vectors.select(F.col("vec_id").cast("long"), "label", "embedding").mapInArrow(_prepare, f"vec_id long, label {dict(vectors.dtypes)['label']}, size int, digest binary, vector binary"))
+    rows = cut(small_batches(vectors).select(F.col("vec_id").cast("long"), "label", "embedding").mapInArrow(_prepare, f"vec_id long, label {dict(vectors.dtypes)['label']}, size int, digest binary, vector binary"))
     real = rows.where("vector is not null and vec_id is not null")
     key = ["label", "size", "digest"]
     reps = cut(real.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import UPPER, plain, steps
+from offerloom.llm.common import UPPER, plain, small_batches, steps
 
 # Phrases that are always looked for, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -73,7 +73,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
                     seen[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(["", *(w.decode() for w in seen)]), pa.array([n, *seen.values()], pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"].encode(): r["n"] for r in rows}
     return {w: found.get(w, 0) for w in VOCABULARY}, found.get(b"", 0)
 

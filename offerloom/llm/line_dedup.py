@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import ASCII_LOWER, cut, mix, plain, steps
+from offerloom.llm.common import ASCII_LOWER, cut, mix, plain, small_batches, steps
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Keys of a shard, and the most shards there are: their counters are all that reaches the driver.
@@ -196,7 +196,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """(a, b, n, owner): the hash halves of every key in two documents or more, how many, and the smallest id."""
-    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_held(least), "a long, b long, doc_id long")
+    held = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_held(least), "a long, b long, doc_id long")
     found = held.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     return found.where("owner <> last").drop("last")
 
@@ -257,7 +257,8 @@ def without_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
             kept, _, dropped = _kept(batch.column("text"), batch.column(marked))
             keep = [not d or not k.isspace() and k != "" for k, d in zip(kept, dropped)]
             columns = {c: batch.column(c) for c in names}
-            columns["text"] = pa.array([k if d else t for k, d, t in zip(kept, dropped, batch.column("text").to_pylist())], batch.column("text").type)
+            shorter = pa.array([k if d else None for k, d in zip(kept, dropped)], batch.column("text").type)
+            columns["text"] = pc.coalesce(shorter, batch.column("text"))
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(k) if d else c for k, d, c in zip(kept, dropped, columns["n_chars"].to_pylist())], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep, pa.bool_()))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import ASCII_LOWER, blocks, components, cut, groups, hashes, mix, plain, spread, steps, words
+from offerloom.llm.common import ASCII_LOWER, blocks, components, cut, groups, hashes, mix, plain, small_batches, spread, steps, words
 
 HASHES, BANDS, ROWS, BITS = 128, 24, 4, 4
 BLOCK, SET_BLOCK = 1024, 256
@@ -187,7 +187,7 @@ def _in_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
 
 def minhash_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row; links at similarity of `per_cent` hundredths or more."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = cut(docs.mapInArrow(_sign(width), "doc_id long, n long, set_a long, set_b long, signature binary, bands array<long>"))
     real = signed.where("n > 0 and doc_id is not null")
     # written, so that the join with the members below is dealt anew and Spark can split a large group of copies

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.llm.common import ASCII_LOWER, cut, plain, steps, words
+from offerloom.llm.common import ASCII_LOWER, cut, plain, small_batches, steps, words
 
 #: Words that a worker's dictionary holds before it forgets the rare ones.
 MOST_WORDS = 400_000
@@ -226,7 +226,7 @@ def _place(places: pd.DataFrame):
 
 def token_pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): each text's ids and the end id, cut where they exceed `size`."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.mapInArrow(_pieces(path, size, end, keep_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
 
 

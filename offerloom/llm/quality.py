@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import LOWER, UPPER, plain, steps, words
+from offerloom.llm.common import LOWER, UPPER, plain, small_batches, steps, words
 
 MOST_LABELLED, CONTENT_SHARE = 1500, 0.5
 SYMBOLS, BLANK, DIGITS = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"0123456789"
@@ -190,7 +190,7 @@ def quality_rules(docs: DataFrame, field: LineField, least: float = CONTENT_SHAR
         for batch in steps(batches, "text"):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **judge(batch, field, least)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def good_documents(docs: DataFrame, field: LineField, least: float = CONTENT_SHARE) -> DataFrame:
@@ -200,4 +200,4 @@ def good_documents(docs: DataFrame, field: LineField, least: float = CONTENT_SHA
         for batch in steps(batches, "text"):
             yield batch.filter(pa.array(judge(batch, field, least)["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import small_batches
+
 SPACE = "▁"
 #: Words whose lattices a worker keeps.
 MOST_WORDS = 50_000
@@ -193,4 +195,4 @@ def sample_segmentations(df: DataFrame, keys: list[str], path: str, k: int = 3,
     named = [F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)]
     key = F.to_json(F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keys)]))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "sample int", "ids array<int>", "log_probability double", "inclusion double", "decoded string"])
-    return df.select(*named, key.alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return small_batches(df).select(*named, key.alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)

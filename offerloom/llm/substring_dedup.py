@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import hashes, mix, plain, steps, words
+from offerloom.llm.common import hashes, mix, plain, small_batches, steps, words
 
 #: Text of a bucket, and windows of a part of the hash space. Raise both on large executors: a
 #: corpus of n buckets and m parts moves n * m chunks.
@@ -176,7 +176,7 @@ def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataF
 def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKET_BYTES, part_windows: int = PART_WINDOWS) -> DataFrame:
     """(doc_id, text of the words that stay, n_words, n_removed, intervals removed, in words)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs, size = id_buckets(docs, bucket_bytes)
+    docs, size = id_buckets(small_batches(docs), bucket_bytes)
     parts = int(max(1, size // 6 // part_windows))
     sent = docs.groupBy("bucket").applyInArrow(_send(window, parts), "part long, bucket long, hashes binary")
     lost = sent.groupBy("part").applyInArrow(_merge, "bucket long, hashes binary")
