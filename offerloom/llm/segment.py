@@ -5,11 +5,12 @@ UTF-8 byte pieces. A model file of merges has ranks, not probabilities, so a pie
 r by Zipf's law, 1 / (r + 10), and a byte's that of the last rank; a segmentation's probability is the product over
 its pieces, normalised over the lattice by a backward sum.
 
-Sampling: the backward sums give each partial path the whole probability below it, so that a path's Gumbel-perturbed
-value is the largest of the segmentations it leads to. Children draw their values so that their maximum is the parent's.
-The search always extends the best path; the first k complete ones are a sample of k distinct segmentations. Only
-the best k + 1 open paths can matter, so the queue stays that short. A segmentation's inclusion score is
-1 - exp(-exp(log p - t)), t being the value of the (k + 1)th; draws are seeded by the row's key.
+Sampling: the largest Gumbel-perturbed value of a set of segmentations is itself a Gumbel number about the set's log
+probability, so the search can value a set before it looks into it, and the segmentation that has that value is drawn
+from the set by the probabilities alone. The best set is taken, its segmentation drawn piece by piece, and what is left of the set
+is queued in parts, each valued below the whole: the other ways through a word, later the other pieces at a place. The first k
+segmentations are a sample of k distinct ones. Only the best k + 1 sets can matter, so the queue stays that short. A segmentation's
+inclusion score is 1 - exp(-exp(log p - t)), t being the (k + 1)th value; draws are seeded by the row's key.
 
 Defined results: null or empty text has one segmentation, without pieces; a text with fewer than k segmentations
 yields all, with score 1; repeated rows yield equal results; null keys are keys like others; an empty table gives no rows;
@@ -21,9 +22,11 @@ from __future__ import annotations
 import functools
 import math
 import re
-from bisect import insort
-from collections.abc import Iterator
+from bisect import bisect, insort
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from random import Random
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -33,13 +36,128 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import small_batches
 
 SPACE = "▁"
-#: Words whose lattices a worker keeps.
-MOST_WORDS = 50_000
+#: Characters of the words whose lattices a worker keeps.
+MOST_CHARS = 200_000
+#: A set whose log probability is so far below the worst value that counts would need a draw finer than random() gives.
+FAR_BELOW = 37.0
 #: Characters that are not for text; one that a text lacks stands for a literal SPACE in it.
 _SPARE = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
+class Lattice(NamedTuple):
+    """The ways to cut a word."""
+
+    edges: list[list[tuple]]  # from each place: (where to, log weight, ids, share of the probability there, share of all others)
+    sums: list[list[float]]  # running sums of the shares, without the last
+    beta: list[float]  # log of the sum over all ways from each place to the end
+
+
+class Search:
+    """Segmentations in falling order of their perturbed values.
+
+    A queued set is (minus its value, a number to part ties, words cut so far, log probability before each word, word,
+    pieces of that word so far, places excluded after them). With None for the pieces it holds every way through the word but
+    the one in `words`.
+    """
+
+    def __init__(self, words: list[Lattice], most: int, draw: Callable[[], float]):
+        self.words, self.room, self.draw = words, most, draw
+        self.queue: list[tuple] = []
+        self.number, self.floor = 0, -math.inf
+
+    def offer(self, mass: float, bound: float, *what) -> None:
+        """Queue a set of log probability `mass` at a value drawn below `bound`, if it is among the best."""
+        if mass < self.floor - FAR_BELOW:
+            return
+        fall = -math.log(1.0 - self.draw())
+        value = min(bound, mass - math.log(max(math.exp(min(mass - bound, 700.0)) + fall, 1e-300)))
+        if value <= self.floor:
+            return
+        self.number += 1
+        insort(self.queue, (-value, self.number, *what))
+        self.trim()
+
+    def trim(self) -> None:
+        del self.queue[self.room :]
+        self.floor = -self.queue[-1][0] if len(self.queue) == self.room > 0 else -math.inf
+
+    def next_value(self) -> float | None:
+        return -self.queue[0][0] if self.queue else None
+
+    def ways(self, k: int) -> Iterator[tuple[list[list[tuple]], float]]:
+        """Up to k times (edges of each word, log probability)."""
+        self.room -= 1
+        way, before = [], [0.0]
+        self.finish(way, before, -math.log(-math.log(1.0 - self.draw() or 0.5)))
+        yield way, before[-1]
+        for _ in range(k - 1):
+            if not self.queue:
+                return
+            minus, _, old, logs, m, head, skip = self.queue.pop(0)
+            self.room -= 1
+            self.trim()
+            way, before = old[:m], logs[: m + 1]
+            self.through(way, before, -minus, m, old, head, skip)
+            self.finish(way, before, -minus)
+            yield way, before[-1]
+
+    def through(self, way: list, before: list[float], value: float, m: int, old: list, head: list | None, skip: tuple) -> None:
+        """Draw word m from a set of that value, and offer the parts of the set that are left."""
+        edges, _, beta = self.words[m]
+        logs = before
+        if head is None:  # part the set by the first place that differs from the old way
+            mass, parts = 1.0, []
+            for edge in old[m]:
+                parts.append(mass * edge[4])
+                mass *= edge[3]
+            at = self.pick(parts)
+            for n, part in enumerate(parts):
+                if n != at and part > 0:
+                    self.offer(before[m] + math.log(part), value, old, logs, m, old[m][:n], (old[m][n][0],))
+            head, skip = old[m][:at], (old[m][at][0],)
+        place = head[-1][0] if head else 0
+        logp = before[m] + sum(edge[1] for edge in head) + beta[place] - beta[0]
+        open_ = [edge for edge in edges[place] if edge[0] not in skip]
+        at = self.pick([edge[3] for edge in open_])
+        left = sum(edge[3] for n, edge in enumerate(open_) if n != at)
+        if left > 0:
+            self.offer(logp + math.log(left), value, old, logs, m, head, (*skip, open_[at][0]))
+        word, edge = [*head, open_[at]], open_[at]
+        while edge[0] < len(edges):
+            logp += edge[1] + beta[edge[0]] - beta[place]
+            place = edge[0]
+            edge = edges[place][self.pick([e[3] for e in edges[place]])]
+            if edge[4] > 0:
+                self.offer(logp + math.log(edge[4]), value, old, logs, m, word[:], (edge[0],))
+            word.append(edge)
+        way.append(word)
+        before.append(logp + edge[1] - beta[place])
+
+    def finish(self, way: list, before: list[float], value: float) -> None:
+        """Draw the words that follow, and offer the other ways through each."""
+        draw = self.draw
+        for m in range(len(way), len(self.words)):
+            edges, sums, beta = self.words[m]
+            i, n, share, others, weight, word, logp = 0, len(edges), 1.0, 0.0, -beta[0], [], before[-1]
+            while i < n:
+                edge = edges[i][bisect(sums[i], draw())] if sums[i] else edges[i][0]
+                others += share * edge[4]
+                share *= edge[3]
+                weight += edge[1]
+                word.append(edge)
+                i = edge[0]
+            way.append(word)
+            before.append(logp + weight)
+            if others > 0 and logp >= self.floor - FAR_BELOW:
+                self.offer(logp + math.log(others), value, way, before, m, None, ())
+
+    def pick(self, shares: list[float]) -> int:
+        """A number drawn in proportion to the shares."""
+        sums = list(accumulate(shares))
+        return min(bisect(sums, self.draw() * sums[-1]), len(sums) - 1)
+
+
 class Pieces:
     """The pieces of a model file, their log weights, and the lattices of words."""
 
@@ -62,17 +180,18 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: Pieces never cross the start of a word, so lattices of words are enough.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, Lattice] = {}
+        self.held = 0
 
-    def lattice(self, word: str, spare: str) -> tuple[list[list[tuple]], list[float]]:
-        """(edges from each place: where to, log weight, ids; log of the sum over all ways from each place to the end)."""
+    def lattice(self, word: str, spare: str) -> Lattice:
         if word in self.known:
             return self.known[word]
         n = len(word)
         edges: list[list[tuple]] = [[] for _ in range(n)]
+        sums = [[] for _ in range(n)]
         beta = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            own = edges[i]
+            own = []
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 p = self.ids.get(word[i:j])
                 if p is not None:
@@ -83,14 +202,21 @@ class Pieces:
                 own.append((i + 1, sum(self.weight[b] for b in ids), ids))
             values = [w + beta[j] for j, w, _ in own]
             top = max(values)
-            beta[i] = top + math.log(sum(math.exp(v - top) for v in values))
-        if spare not in word:
-            if len(self.known) >= MOST_WORDS:
+            shares = [math.exp(v - top) for v in values]
+            total = sum(shares)
+            beta[i] = top + math.log(total)
+            edges[i] = [(*e, x / total, (sum(shares[:m]) + sum(shares[m + 1 :])) / total) for m, (e, x) in enumerate(zip(own, shares))]
+            sums[i] = [x / total for x in accumulate(shares)][:-1]
+        out = Lattice(edges, sums, beta)
+        if spare not in word and n <= MOST_CHARS:
+            if self.held + n > MOST_CHARS:
                 self.known.clear()
-            self.known[word] = edges, beta
-        return edges, beta
+                self.held = 0
+            self.known[word] = out
+            self.held += n
+        return out
 
-    def words(self, text: str) -> list[tuple]:
+    def words(self, text: str) -> list[Lattice]:
         if not text:
             return []
         spare = next((c for c in _SPARE if c not in text), _SPARE[0])
@@ -100,11 +226,11 @@ class Pieces:
     def best(self, text: str) -> list[int]:
         """The most probable segmentation (Viterbi)."""
         out: list[int] = []
-        for edges, _ in self.words(text):
+        for edges, _, _ in self.words(text):
             n = len(edges)
             value, step = [0.0] * (n + 1), [None] * n
             for i in range(n - 1, -1, -1):
-                value[i], step[i] = max(((w + value[j], (j, ids)) for j, w, ids in edges[i]), key=lambda x: (x[0], x[1][0]))
+                value[i], step[i] = max(((w + value[j], (j, ids)) for j, w, ids, *_ in edges[i]), key=lambda x: (x[0], x[1][0]))
             i = 0
             while i < n:
                 i, ids = step[i]
@@ -113,45 +239,13 @@ class Pieces:
 
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float]]:
         """k distinct segmentations: (ids, log probability, inclusion score), in the order they are found."""
-        words = self.words(text)
-        after = [0.0] * (len(words) + 1)  # log of the sum over all ways from word m on
-        for m in range(len(words) - 1, -1, -1):
-            after[m] = words[m][1][0] + after[m + 1]
-        draw, total = Random(seed).random, after[0]
-        # an open path: minus its value, a number to part ties, its log weight, word, place, and the pieces so far
-        open_, number, found = [(math.log(-math.log(draw() or 1e-300)), 0, 0.0, 0, 0, None)], 0, []
-        while open_ and len(found) <= k:
-            minus, _, weight, m, i, path = open_.pop(0)
-            while m < len(words) and i == len(words[m][0]):
-                m, i = m + 1, 0
-            if m == len(words):
-                found.append((path, weight - total, -minus))
-                continue
-            edges, beta = words[m]
-            value, kids = -minus, []
-            for j, w, ids in edges[i]:
-                mass = weight + w + beta[j] + after[m + 1] - total
-                kids.append((mass - math.log(-math.log(draw() or 1e-300)), weight + w, j, ids))
-            top = max(x[0] for x in kids)
-            for g, w, j, ids in kids:
-                less = -math.expm1(g - top)
-                if less > 0:  # shift all so that the largest has the parent's value
-                    v = value - g + math.log(less)
-                    g = value - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                else:
-                    g = value
-                number += 1
-                insort(open_, (-g, number, w, m, j, (path, ids)))
-            del open_[k + 1 - len(found) :]
-        bound = found[k][2] if len(found) > k else None
+        search = Search(self.words(text), k + 1, Random(seed).random)
+        found = [(way, logp) for way, logp in search.ways(k)]
+        bound = search.next_value()
         out = []
-        for path, logp, _ in found[:k]:
-            ids = []
-            while path is not None:
-                path, own = path
-                ids.append(own)
+        for way, logp in found:
             score = 1.0 if bound is None else -math.expm1(-math.exp(min(logp - bound, 700.0)))
-            out.append(([p for own in reversed(ids) for p in own], logp, score))
+            out.append(([p for word in way for edge in word for p in edge[2]], logp, score))
         return out
 
     def decode(self, ids: list[int]) -> str:
