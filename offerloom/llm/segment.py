@@ -37,7 +37,7 @@ from offerloom.llm.common import small_batches
 
 SPACE = "▁"
 #: Characters of the words whose lattices a worker keeps.
-MOST_CHARS = 200_000
+MOST_CHARS = 400_000
 #: A set whose log probability is so far below the worst value that counts would need a draw finer than random() gives.
 FAR_BELOW = 37.0
 #: Characters that are not for text; one that a text lacks stands for a literal SPACE in it.
@@ -178,6 +178,9 @@ class Pieces:
             self.text[i] = piece
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.longest = max(map(len, self.ids))
+        #: (weight, its log, ids) of each piece, and () for what only begins a piece.
+        self.entries: dict[str, tuple] = {p[:n]: () for p in self.ids for n in range(1, len(p))}
+        self.entries |= {p: (math.exp(self.weight[i]), self.weight[i], (i,)) for p, i in self.ids.items()}
         #: Pieces never cross the start of a word, so lattices of words are enough.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, Lattice] = {}
@@ -186,27 +189,35 @@ class Pieces:
     def lattice(self, word: str, spare: str) -> Lattice:
         if word in self.known:
             return self.known[word]
-        n = len(word)
+        n, entries = len(word), self.entries
         edges: list[list[tuple]] = [[] for _ in range(n)]
-        sums = [[] for _ in range(n)]
+        sums: list[list[float]] = [[] for _ in range(n)]
         beta = [0.0] * (n + 1)
+        ratio = [1.0]  # sums over all ways from the places after i, as multiples of the first of them: no underflow, however long the word
         for i in range(n - 1, -1, -1):
-            own = []
+            own, total = [], 0.0
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = self.ids.get(word[i:j])
-                if p is not None:
-                    own.append((j, self.weight[p], (p,)))
-            if word[i] not in self.ids:
+                entry = entries.get(word[i:j])
+                if entry is None:  # no piece begins so
+                    break
+                if entry:
+                    x = entry[0] * ratio[j - i - 1]
+                    total += x
+                    own.append((j, entry[1], entry[2], x))
+            if not entries.get(word[i]):
                 data = (SPACE if word[i] == spare else word[i]).encode("utf-8", "surrogatepass")
                 ids = tuple(self.byte[b] for b in data)
-                own.append((i + 1, sum(self.weight[b] for b in ids), ids))
-            values = [w + beta[j] for j, w, _ in own]
-            top = max(values)
-            shares = [math.exp(v - top) for v in values]
-            total = sum(shares)
-            beta[i] = top + math.log(total)
-            edges[i] = [(*e, x / total, (sum(shares[:m]) + sum(shares[m + 1 :])) / total) for m, (e, x) in enumerate(zip(own, shares))]
-            sums[i] = [x / total for x in accumulate(shares)][:-1]
+                weight = sum(self.weight[b] for b in ids)
+                total += math.exp(weight)
+                own.append((i + 1, weight, ids, math.exp(weight)))
+            if len(own) == 1:
+                edges[i] = [(*own[0][:3], 1.0, 0.0)]
+            else:
+                edges[i] = [(j, w, ids, x / total, (total - x) / total) for j, w, ids, x in own]
+                sums[i] = [x / total for x in accumulate(e[3] for e in own)]
+                del sums[i][-1]
+            beta[i] = beta[i + 1] + math.log(total)
+            ratio = [1.0, *(r / total for r in ratio[: self.longest - 1])]
         out = Lattice(edges, sums, beta)
         if spare not in word and n <= MOST_CHARS:
             if self.held + n > MOST_CHARS:
