@@ -6,8 +6,11 @@
 3. Rounds: each vector's neighbours and reverse neighbours meet and are compared with each other; a list keeps
    the `LIST` best. Lists that end up saturated (full, and all at the threshold or above) are enlarged fourfold
    and go through another round.
-4. Edges near the threshold or above it make clusters. Inside a cluster all pairs are compared in double precision, in blocks,
-   which counts the links of lists of any length and keeps a spanning forest of the edges at the threshold or above.
+4. Edges near the threshold or above it make clusters. A vector with `BEST` links or more may have its lists filled by its own
+   group, so such vectors are also covered by leaders: each is within the angle `REACH` of one. All leaders of a label are compared in
+   blocks; where the leaders' radii allow a link between two clusters, their members are compared too, and a link joins the clusters.
+   Inside a cluster all pairs are compared in double precision, in blocks, which counts the links of lists of any length and keeps
+   a spanning forest of the edges at the threshold or above.
 5. Audit: the links of `AUDIT` vectors, taken by hash, are counted against all vectors by brute force. If fewer than
    `RECALL` of them were found, everything is repeated with twice the tables and one round more.
 
@@ -28,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.llm.common import blocks, components, cut, groups, small_batches, spread
+from offerloom.llm.common import Forest, blocks, components, cut, groups, small_batches, spread
 
 TABLES, BITS, NEAR, BEST = 12, 24, 8, 4
 LIST, ROUNDS, NEW = 12, 2, 3
 #: How far below the threshold an edge still draws two vectors into one cluster.
 MARGIN, BLOCK = 0.06, 512
+#: Cosine to its leader that a vector has at least.
+REACH = 0.98
 AUDIT, RECALL, ATTEMPTS = 64, 0.98, 3
 
 
@@ -152,6 +157,67 @@ def _count_links(least: float):
     return run
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector with its leader and the largest angle between that leader and its vectors."""
+    for table, edges in groups(batches, ["cluster", "part"]):
+        ids, lead, radius = table["rep"].to_numpy(), np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
+        for i, j in zip(edges.tolist(), edges[1:].tolist()):
+            x, rest = _matrix(table["vector"].slice(i, j - i)), np.arange(j - i)
+            while len(rest):
+                sims = x[rest] @ x[rest[0]]
+                near = sims >= REACH
+                near[0] = True
+                lead[i + rest[near]] = ids[i + rest[0]]
+                radius[i + rest[near]] = np.arccos(np.clip(sims[near], -1, 1)).max()
+                rest = rest[~near]
+        columns = [table[c].combine_chunks() for c in ("g", "cluster", "rep", "vector")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(lead), pa.array(radius)], ["g", "cluster", "rep", "vector", "lead", "radius"])
+
+
+def _near_leaders(least: float):
+    """Of each pair of blocks of leaders: a spanning forest of their links (sure), and pairs of other clusters whose members may link."""
+    turn = np.arccos(least) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in groups(batches, ["g", "lo", "hi"]):
+            ids, cluster, radius = (table[c].to_numpy() for c in ("lead", "cluster", "radius"))
+            a, b, sure = [], [], []
+            for i, j in zip(edges.tolist(), edges[1:].tolist()):
+                x = _matrix(table["vector"].slice(i, j - i))
+                sims, own = x @ x.T, cluster[i:j]
+                forest = np.array(spread(lambda y, zs: sims[y, zs] >= least, j - i), np.int64).reshape(-1, 2)  # noqa: B023
+                joined = Forest(j - i)
+                for y, z in forest.tolist():
+                    joined.join(y, z)
+                root = np.array([joined.root(y) for y in range(j - i)])
+                forest = forest[own[forest[:, 0]] != own[forest[:, 1]]]
+                maybe = np.arccos(np.clip(sims, -1, 1)) <= turn + radius[i:j, None] + radius[None, i:j]
+                maybe &= (own[:, None] != own[None, :]) & (root[:, None] != root[None, :])
+                pairs = np.concatenate([forest, np.argwhere(np.triu(maybe, 1))]) + i
+                a.append(ids[pairs[:, 0]])
+                b.append(ids[pairs[:, 1]])
+                sure.append(np.arange(len(pairs)) < len(forest))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(sure))], ["a", "b", "sure"])
+
+    return run
+
+
+def _any_link(least: float):
+    """The pairs of leaders of which a member links with a member of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in groups(batches, ["a", "b"]):
+            first, a, b = table["first"].to_numpy(), table["a"].to_numpy(), table["b"].to_numpy()
+            found = []
+            for i, j in zip(edges.tolist(), edges[1:].tolist()):
+                x, own = _matrix(table["vector"].slice(i, j - i)), first[i:j]
+                if (x[own] @ x[~own].T >= least).any():
+                    found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
+
+    return run
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -186,11 +252,38 @@ def neighbour_lists(reps: DataFrame, least: float, tables: int, rounds: int) ->
     return lists.union(enlarged)
 
 
+def _between(lists: DataFrame, clusters: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(a, b): clusters that links between vectors with BEST links or more join, whatever their lists are filled with."""
+    n = _partitions(reps)
+    dense = lists.where(F.col("sim") >= least).groupBy("u").agg(F.countDistinct("v").alias("n")).where(F.col("n") >= BEST).select(F.col("u").alias("rep"))
+    kinds = reps.groupBy("label", "size").agg(F.min("rep").alias("g"))
+    rows = reps.join(dense, "rep", "left_semi").join(clusters, "rep").join(kinds, ["label", "size"])
+    parts = rows.groupBy("cluster").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("_parts"))
+    dealt = rows.join(parts, "cluster").select("g", "cluster", F.expr("cast(pmod(xxhash64(rep), _parts) as int)").alias("part"), "rep", "vector")
+    led = cut(dealt.repartition(n, "cluster", "part").sortWithinPartitions("cluster", "part", "rep").mapInArrow(_led, "g long, cluster long, rep long, vector binary, lead long, radius double"))
+    leaders = blocks(led.where("rep = lead"), "g", "lead", BLOCK)
+    keys = ["g", "lo", "hi"]
+    pairs = cut(leaders.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_near_leaders(least), "a long, b long, sure boolean").distinct())
+    members, maybe = led.select("lead", "vector"), pairs.where("not sure").select("a", "b")
+    sides = [maybe.join(members.withColumnRenamed("lead", side), side).select("a", "b", F.lit(side == "a").alias("first"), "vector") for side in ("a", "b")]
+    shown = sides[0].union(sides[1]).repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_any_link(least), "a long, b long")
+    of = led.where("rep = lead").select("lead", "cluster")
+    both = pairs.where("sure").select("a", "b").union(shown).join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b")
+    return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
 def _links(reps: DataFrame, least: float, tables: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(rep, links: linked copies of other vectors), (edges a, b that span the links)."""
     lists = neighbour_lists(reps, least, tables, rounds)
     clusters = components(lists.where(F.col("sim") >= least - MARGIN).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    inside = reps.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep").select("cluster", "rep", "copies", "vector")
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    merged = components(_between(lists, clusters, reps, least)).select(F.col("node").alias("cluster"), "component")
+    clusters = clusters.join(merged, "cluster", "left").select("rep", F.coalesce("component", "cluster").alias("cluster"))
+    return _compared(reps.join(clusters, "rep").select("cluster", "rep", "copies", "vector"), reps, least)
+
+
+def _compared(inside: DataFrame, reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All pairs of each cluster."""
     dealt = blocks(inside, "cluster", "rep", BLOCK)
     keys = ["cluster", "lo", "hi"]
     counted = cut(dealt.repartition(_partitions(reps), *keys).sortWithinPartitions(*keys).mapInArrow(_count_links(least), "a long, b long, n long"))

@@ -122,6 +122,27 @@ def test_blocks_count_each_link_once(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def linked_groups(sizes=(60, 60, 30, 30), d=64, seed=3):
+    """Tight groups in pairs: in-group cosine about 0.99, between the two of a pair about 0.945."""
+    rng, rows = np.random.default_rng(seed), []
+    for g, n in enumerate(sizes):
+        if g % 2 == 0:
+            c, side = (v / np.linalg.norm(v) for v in rng.normal(size=(2, d)))
+            side = side - (side @ c) * c
+            side /= np.linalg.norm(side)
+        centre = c if g % 2 == 0 else 0.9545 * c + math.sqrt(1 - 0.9545**2) * side
+        for _ in range(n):
+            rows.append((len(rows), [float(x) for x in centre + 0.1 * rng.normal(size=d) / math.sqrt(d)], 1))
+    return rows
+
+
+def test_links_between_dense_groups(spark):
+    rows = linked_groups()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute_links(rows)
+    assert len({c for _, c in want.values()}) == 2 and got == want
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return segment.Pieces(vocabulary(spark, "piece_bpe_32k.model"))
