@@ -11,8 +11,10 @@
    blocks; where the leaders' radii allow a link between two clusters, their members are compared too, and a link joins the clusters.
    Inside a cluster all pairs are compared in double precision, in blocks, which counts the links of lists of any length and keeps
    a spanning forest of the edges at the threshold or above.
-5. Audit: the links of `AUDIT` vectors, taken by hash, are counted against all vectors by brute force. If fewer than
-   `RECALL` of them were found, everything is repeated with twice the tables and one round more.
+5. Audit: the links of `AUDIT` vectors of each kind (any, with near neighbours, with `BEST` links or more; taken by hash, the labels
+   in turn) are counted against all vectors by brute force, of more vectors until `SEEN` true links are seen. If fewer than `RECALL`
+   of a kind's were found, everything is repeated with twice the tables and one round more. After `ATTEMPTS`, or if `MOST_ASKED`
+   vectors of a kind show too few links to judge, all pairs of each label are compared in blocks, which needs no audit.
 
 Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing
 and stay; vectors of unequal length don't link; rows that share a vec_id are vectors of their own, but one node of a component;
@@ -40,6 +42,7 @@ MARGIN, BLOCK = 0.06, 512
 #: Cosine to its leader that a vector has at least.
 REACH = 0.98
 AUDIT, RECALL, ATTEMPTS = 64, 0.98, 3
+SEEN, MOST_ASKED = 200, 1024
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,30 +275,58 @@ def _between(lists: DataFrame, clusters: DataFrame, reps: DataFrame, least: floa
     return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
-def _links(reps: DataFrame, least: float, tables: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, links: linked copies of other vectors), (edges a, b that span the links)."""
+def _links(reps: DataFrame, least: float, tables: int, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rep, links: linked copies of other vectors), (edges a, b that span the links), the neighbour lists."""
     lists = neighbour_lists(reps, least, tables, rounds)
     clusters = components(lists.where(F.col("sim") >= least - MARGIN).select(F.col("u").alias("a"), F.col("v").alias("b")))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     merged = components(_between(lists, clusters, reps, least)).select(F.col("node").alias("cluster"), "component")
     clusters = clusters.join(merged, "cluster", "left").select("rep", F.coalesce("component", "cluster").alias("cluster"))
-    return _compared(reps.join(clusters, "rep").select("cluster", "rep", "copies", "vector"), reps, least)
+    return *_compared(reps.join(clusters, "rep").select("cluster", "rep", "copies", "vector"), reps, least), lists
 
 
 def _compared(inside: DataFrame, reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """All pairs of each cluster."""
+    """_links' first two, by a comparison of all pairs of each cluster."""
     dealt = blocks(inside, "cluster", "rep", BLOCK)
     keys = ["cluster", "lo", "hi"]
     counted = cut(dealt.repartition(_partitions(reps), *keys).sortWithinPartitions(*keys).mapInArrow(_count_links(least), "a long, b long, n long"))
     return counted.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links")), counted.where("a <> b").select("a", "b")
 
 
-def audit(reps: DataFrame, links: DataFrame, least: float, sample: int = AUDIT) -> float:
-    """The share of the links of `sample` vectors, taken by hash, that were found; brute force against all vectors."""
-    asked = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("rep", "label", "size", "vector").collect()  # bounded by `sample`
+def exact_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """_links' first two, by a comparison of all pairs of a label and size."""
+    kinds = reps.groupBy("label", "size").agg(F.min("rep").alias("cluster"))
+    return _compared(reps.join(kinds, ["label", "size"]).select("cluster", "rep", "copies", "vector"), reps, least)
+
+
+def _asked(reps: DataFrame, n: int) -> list:
+    """n vectors by hash, the labels in turn."""
+    order = Window.partitionBy("label", "size").orderBy(F.xxhash64("rep"), "rep")
+    turns = reps.select("rep", "label", "size", "vector").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return turns.orderBy("_n", F.xxhash64("rep"), "rep").limit(n).collect()  # bounded by n
+
+
+def audited(reps: DataFrame, lists: DataFrame, links: DataFrame, least: float) -> float | None:
+    """The smallest share of true links found, of all kinds of vectors; None if too few true links were seen to judge."""
+    near = lists.where(F.col("sim") >= least - MARGIN).groupBy("u").agg(F.countDistinct(F.when(F.col("sim") >= least, F.col("v"))).alias("n"))
+    kinds = [reps, *(reps.join(k.select(F.col("u").alias("rep")), "rep", "left_semi") for k in (near, near.where(F.col("n") >= BEST)))]
+    n = AUDIT
+    while True:
+        asked = [_asked(k, n) for k in kinds]
+        found = [audit(reps, links, least, a) for a in asked]
+        if sum(true for true, _ in found) >= SEEN or len(asked[0]) < n:  # fewer than n: all were asked
+            return min((hit / true for true, hit in found if true), default=1.0)
+        if n >= MOST_ASKED:
+            return None
+        n = min(4 * n, MOST_ASKED)
+
+
+def audit(reps: DataFrame, links: DataFrame, least: float, asked: list) -> tuple[int, int]:
+    """(links of the vectors asked about by brute force against all vectors, those of them that were found)."""
     queries: dict[tuple, list] = {}
     for r in asked:
         queries.setdefault((r["label"], r["size"]), []).append((r["rep"], np.frombuffer(r["vector"], np.float64)))
+    stacked = {key: (np.array([r for r, _ in own]), np.stack([v for _, v in own])) for key, own in queries.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,18 +336,18 @@ def audit(reps: DataFrame, links: DataFrame, least: float, sample: int = AUDIT)
             for i, key in enumerate(zip(label, size.tolist())):
                 at.setdefault(key, []).append(i)
             out, n = [], []
-            for key, asked_here in queries.items():
+            for key, (asked_here, v) in stacked.items():
                 if key in at:
                     own = np.array(at[key])
                     x = _matrix(batch.column("vector").take(pa.array(own)))
-                    for rep, v in asked_here:
-                        out.append(rep)
-                        n.append(int(copies[own][(x @ v >= least) & (ids[own] != rep)].sum()))
+                    linked = (v @ x.T >= least) & (asked_here[:, None] != ids[own][None, :])
+                    out += asked_here.tolist()
+                    n += (linked @ copies[own]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(n, pa.int64())], ["rep", "n"])
 
     true = reps.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     row = true.join(links, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return float(row[1] / row[0]) if row[0] else 1.0
+    return row[0] or 0, row[1] or 0
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -327,10 +358,13 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     reps = cut(real.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     tables, rounds = TABLES, ROUNDS
     for _ in range(ATTEMPTS):
-        links, edges = _links(reps, least, tables, rounds)
-        if audit(reps, links, least) >= RECALL:
+        links, edges, lists = _links(reps, least, tables, rounds)
+        recall = audited(reps, lists, links, least)
+        if recall is None or recall >= RECALL:
             break
         tables, rounds = 2 * tables, rounds + 1
+    if recall is None or recall < RECALL:
+        links, edges = exact_links(reps, least)
     found = reps.select(*key, "rep", "copies").join(links, "rep", "left").join(components(edges).withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("vec_id", *key).join(found, key, "left")

@@ -143,6 +143,27 @@ def test_links_between_dense_groups(spark):
     assert len({c for _, c in want.values()}) == 2 and got == want
 
 
+def rare_links(n=1500, d=24, every=300):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d))
+    x[1::every] = x[0::every] + 0.05 * rng.normal(size=x[0::every].shape)
+    return [(i, [float(y) for y in v], 1) for i, v in enumerate(x)]
+
+
+def test_lost_links_are_noticed(spark, monkeypatch):
+    """Lists that find nothing: rare links, which few audits by chance would see, and frequent ones after the last attempt."""
+
+    def nothing(reps, *_):
+        return reps.select(F.col("rep").alias("u"), F.col("rep").alias("v"), F.lit(-1.0).alias("sim")).limit(0)
+
+    monkeypatch.setattr(embedding_dedup, "neighbour_lists", nothing)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 2)
+    for rows in (rare_links(), vectors(n=200)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        want = brute_links(rows)
+        assert sum(n for n, _ in want.values()) > 0 and got == want
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return segment.Pieces(vocabulary(spark, "piece_bpe_32k.model"))
