@@ -1,12 +1,12 @@
 """Secret scans with DataFrame functions only: fixed patterns, and sliding-window entropy of candidate strings.
 
 Patterns are matched leftmost and non-overlapping; what lies between the matches gives their offsets. Candidates
-are runs of `[A-Za-z0-9+/_=-]` of 20 or more characters with a digit. Each has a class, the narrowest of hex,
-one-case and mixed that holds all its characters. A window of 20 characters slides over it; the counts of its
+are runs of `[A-Za-z0-9+/_=-]` of 20 or more characters with a digit. Each has a class: hex; one_case, letters of one
+case and digits; mixed, with letters of both cases; or marked, all others (at most one case, with any of `+/_=-`). A window of 20 characters slides over it; the counts of its
 characters are kept up to date as one enters and one leaves, and so is the sum of n*log2(n) over them (in
 integers, so that results don't hang on rounding). Windows whose Shannon entropy reaches the class's bound make a
-span, from the first such window to the last. A candidate with a text of the allow-list, a UUID, or one that meets a
-pattern's span is no finding.
+span, from the first such window to the last, less what the patterns' spans cover: each piece that is left is a span.
+A candidate with a text of the allow-list, or a UUID, is no finding.
 
 Defined results: null text is empty and has no spans; offsets are in code points, ends exclusive; null or repeated
 doc_ids are rows like others; an empty table gives no rows; other columns are ignored. Each row is judged
@@ -31,7 +31,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
 #: Bits that a window's entropy must reach, by class.
-BOUNDS = {"hex": 3.0, "one_case": 3.65, "mixed": 3.9}
+BOUNDS = {"hex": 3.0, "one_case": 3.65, "mixed": 3.9, "marked": 3.75}
 ALLOW = ("example", "changeme", "placeholder", "dummy", "sample", "redacted", "0123456789", "abcdefghij", "xxxx")
 _UNIT = 1 << 20
 _N_LOG_N = [round(n * math.log2(n) * _UNIT) if n else 0 for n in range(WINDOW + 1)]
@@ -89,14 +89,29 @@ def entropy_range(candidate: Column, bound: Column) -> Column:
     return F.element_at(F.transform(F.array(codes), run), 1)
 
 
+def _less(span: Column, found: Column) -> Column:
+    """The pieces of the span that none of the sorted spans `found` covers."""
+
+    def piece(start: Column, end: Column) -> Column:
+        own = F.array(F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end")))
+        return F.when(start < end, own).otherwise(_none())
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+
+    met = F.filter(found, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    begin = F.struct(span["start"].alias("at"), _none().alias("out"))
+    return F.aggregate(met, begin, step, lambda a: F.concat(a["out"], piece(a["at"], span["end"])))
+
+
 def entropy_spans(text: Column, found: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans of the candidates' high-entropy stretches that meet none of the spans `found`."""
+    """Spans of the candidates' high-entropy stretches, less the spans `found`, which come sorted."""
     bounds = {k: round((math.log2(WINDOW) - b) * WINDOW * _UNIT) for k, b in BOUNDS.items()}
     bound = lambda c: (
         F.when(c.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"), F.lit(bounds["hex"]))
         .when(c.rlike("^(?:[0-9a-z]++|[0-9A-Z]++)$"), F.lit(bounds["one_case"]))
         .when(c.rlike("[a-z]") & c.rlike("[A-Z]"), F.lit(bounds["mixed"]))
-        .otherwise(F.lit(-1))
+        .otherwise(F.lit(bounds["marked"]))
     )
     listed = "(?i)" + "|".join(allow) + "|^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
     match, gap = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
@@ -109,7 +124,7 @@ def entropy_spans(text: Column, found: Column, allow: tuple[str, ...] = ALLOW) -
         return F.struct((start + F.length(p["m"])).alias("at"), F.concat(acc["out"], own).alias("out"))
 
     new = F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda a: a["out"])
-    apart = F.filter(new, lambda s: ~F.exists(found, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    apart = F.flatten(F.transform(new, lambda s: _less(s, found)))
     return F.when(text.rlike(CANDIDATE), apart).otherwise(_none())
 
 
