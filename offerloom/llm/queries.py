@@ -69,10 +69,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every turn of the conversations, read back for a check."""
-    rows = _table(spark, sf_dir, "conversations")
-    out = sample_segmentations(rows, ["conv_id", "turn"], vocabulary(spark, "piece_bpe_32k.model"), k=3, seed=7)
-    return out.select("conv_id", "turn", "sample", "ids", "log_probability", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Three distinct sampled segmentations of every document, read back for a check."""
+    rows = _table(spark, sf_dir, "documents")
+    out = sample_segmentations(rows, ["doc_id"], vocabulary(spark, "piece_bpe_32k.model"), k=3, seed=7)
+    return out.select("doc_id", "sample", "ids", "log_probability", "inclusion", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,10 @@ def test_segmentation_rows(spark):
     first = sorted((r["sample"], tuple(r["ids"]), r["inclusion"]) for r in out if (r["conv_id"], r["turn"]) == (1, 1))
     assert first[::2] == first[1::2] and {r["decoded"] for r in out if r["conv_id"] == 2} == {"long text " * 2000}
     assert segment.sample_segmentations(df.limit(0), ["conv_id"], vocabulary(spark, "piece_bpe_32k.model")).count() == 0
+
+
+def test_every_document_is_segmented(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = QUERIES["op7_segmentations"](spark, "/root/testdata/sf0.001").select("doc_id", "decoded_sha256").collect()
+    assert {r["doc_id"] for r in got} == set(docs)
+    assert all(r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() for r in got)
