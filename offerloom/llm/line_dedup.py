@@ -6,13 +6,15 @@
    minimal perfect hash and, by its positions, the arrays of fingerprints, document counts and owners.
 3. The lines of each document travel as bare hashes to the shard's partition, where the arrays come
    first and the lines stream past them: no line meets a table of lines, and no group is held whole.
-   A shard that many lines probe is copied to several partitions, by the counts found in step 1.
-4. The dropped line numbers go back to their documents.
+   There are enough shards for all lines of the corpus, and a shard that many repeated lines probe is
+   copied to several partitions, by the counts found in step 1.
+4. The dropped line numbers go back to their rows, named by doc_id and a hash of the text.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at its ends and with A-Z lower-cased. Defined results:
 null or empty text is one empty line; a null doc_id is neither compared nor changed; rows that share
 a doc_id are one document and keep their lines unless a smaller id holds them; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are ignored by line_dedup() and returned as they are by without_repeated_lines(), whatever
+their names. Texts are read whole; a very long one is one step, held a few times over in its task.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.columns import unused
 from offerloom.llm.common import ASCII_LOWER, cut, mix, plain, small_batches, steps
 
 BLANK = " \t\n\x0b\x0c\r"
 #: Keys of a shard, and the most shards there are: their counters are all that reaches the driver.
 SHARD_KEYS, MOST_SHARDS = 50_000, 65_536
-#: Lines that one copy of a shard answers before another copy is made.
-PROBES = 500_000
+#: Lines that one copy of a shard answers before another copy is made, and the most partitions they are dealt to for that.
+PROBES, MOST_TASKS = 500_000, 65_536
 GAMMA = 1.7
 
 
@@ -80,7 +83,7 @@ class Shard:
         for key in keys[times > 1]:
             for i in np.flatnonzero(first == key):
                 self.odd[int(key), int(second[i])] = (int(count[i]), int(owner[i]))
-        self.hash, self.n = PerfectHash(keys), len(keys)
+        self.hash, self.n, self.levels = PerfectHash(keys), len(keys), None
         self.widths, left = [], len(keys)
         for packed in self.hash.levels:
             self.widths.append(_level_size(left))
@@ -88,10 +91,13 @@ class Shard:
         place = self._place(keys)
         self.fingerprint, self.count, self.owner = np.zeros(self.n, np.uint64), np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
         self.fingerprint[place], self.count[place], self.owner[place] = _fingerprint(keys, second[index]), count[index], owner[index]
+        self.levels = None  # travels packed
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
+        if self.levels is None:
+            self.levels = self.hash.unpacked()
         place, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, ((bits, places), width) in enumerate(zip(self.hash.unpacked(), self.widths)):
+        for level, ((bits, places), width) in enumerate(zip(self.levels, self.widths)):
             at = (mix(keys[rest], level) % np.uint64(width)).astype(np.int64)
             hit = bits[at]
             place[rest[hit]] = places[at[hit]]
@@ -159,15 +165,17 @@ def _asked(least: int, firsts: np.ndarray, copies: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark"))
             row, number, a, b = _lines(batch, least)
             shard = _shards_of(a, len(firsts))
-            slot = firsts[shard] + (mix(ids[row].view(np.uint64), 5) % copies[shard].astype(np.uint64)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                copy = mix((ids ^ marks)[row].view(np.uint64) + number.astype(np.uint64), 5) % copies[shard].astype(np.uint64)
             n = len(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(np.ones(n, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[row]), pa.array(number.astype(np.int32)), pa.nulls(n, pa.binary())],
-                ["slot", "kind", "a", "b", "doc_id", "line", "arrays"],
-            )
+                [pa.array(firsts[shard] + copy.astype(np.int64)), pa.array(np.ones(n, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                 pa.array(ids[row]), pa.array(marks[row]), pa.array(number.astype(np.int32)), pa.nulls(n, pa.binary())],
+                ["slot", "kind", "a", "b", "doc_id", "mark", "line", "arrays"],
+            )
 
     return run
 
@@ -191,7 +199,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count, owner = shard.probe(part.column("a").to_numpy().view(np.uint64), part.column("b").to_numpy().view(np.uint64))
             lost = (count > 1) & (owner != ids)
             if lost.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lost]), pa.array(part.column("line").to_numpy()[lost])], ["doc_id", "line"])
+                yield part.select(["doc_id", "mark", "line"]).filter(pa.array(lost))
 
 
 def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -201,26 +209,47 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     return found.where("owner <> last").drop("last")
 
 
-def dropped_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(doc_id, lines array<int>): the line numbers that each document loses."""
-    repeated = cut(repeated_lines(docs, least))
-    shards = int(min(MOST_SHARDS, max(1, -(-repeated.count() // SHARD_KEYS))))
+def _mark(docs: DataFrame):
+    """With doc_id, the name of a row: rows of one doc_id may hold different texts."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def count_lines(docs: DataFrame) -> int:
+    text = F.col("text").cast("string")
+    return docs.agg(F.sum(F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))), F.lit(0)) + 1)).first()[0] or 0
+
+
+def slots(repeated: DataFrame, lines: int) -> tuple[DataFrame, np.ndarray]:
+    """(repeated lines with their shards, copies of each shard), for a corpus of so many lines.
+
+    A line that isn't indexed is alone with its hash, so such lines meet all shards alike.
+    """
+    shards = int(min(MOST_SHARDS, max(1, -(-repeated.count() // SHARD_KEYS), -(-lines // PROBES))))
     placed = repeated.mapInArrow(_number(shards), "shard long, a long, b long, n long, owner long")
     asked = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # at most MOST_SHARDS counters
-    copies = np.array([1 + asked.get(i, 0) // PROBES for i in range(shards)], np.int64)
-    firsts = np.cumsum(copies) - copies
+    return placed, np.array([1 + (asked.get(i, 0) + lines // shards) // PROBES for i in range(shards)], np.int64)
+
+
+def questions(docs: DataFrame, least: int, copies: np.ndarray) -> DataFrame:
+    """Every line that is long enough, and the slot (a copy of a shard) that it is dealt to."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
+    return texts.mapInArrow(_asked(least, np.cumsum(copies) - copies, copies), "slot long, kind int, a long, b long, doc_id long, mark long, line int, arrays binary")
+
+
+def dropped_lines(docs: DataFrame, least: int = 10) -> DataFrame:
+    """(doc_id, mark, lines array<int>): the line numbers that each row loses."""
+    repeated = cut(repeated_lines(docs, least))
+    placed, copies = slots(repeated, count_lines(docs))
     arrays = placed.groupBy("shard").applyInPandas(_build, "shard long, arrays binary")
-    slots = docs.sparkSession.createDataFrame(pd.DataFrame({"shard": np.arange(shards), "first": firsts, "copies": copies}))
-    index = arrays.join(slots, "shard").select(
+    named = docs.sparkSession.createDataFrame(pd.DataFrame({"shard": np.arange(len(copies)), "first": np.cumsum(copies) - copies, "copies": copies}))
+    index = arrays.join(named, "shard").select(
         F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("slot"), F.lit(0).alias("kind"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("doc_id", "long"), ("line", "int"))], "arrays",
+        *[F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("doc_id", "long"), ("mark", "long"), ("line", "int"))], "arrays",
     )
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = texts.mapInArrow(_asked(least, firsts, copies), "slot long, kind int, a long, b long, doc_id long, line int, arrays binary")
-    tasks = max(int(copies.sum()), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = index.unionByName(lines).repartition(tasks, "slot").sortWithinPartitions("slot", "kind")
-    lost = met.mapInArrow(_answer, "doc_id long, line int")
-    return lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    tasks = max(min(int(copies.sum()), MOST_TASKS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = index.unionByName(questions(docs, least, copies)).repartition(tasks, "slot").sortWithinPartitions("slot", "kind")
+    lost = met.mapInArrow(_answer, "doc_id long, mark long, line int")
+    return lost.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))
 
 
 def _kept(texts: pa.Array, lines: pa.Array) -> tuple[list[str], list[int], list[int]]:
@@ -244,17 +273,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
     """(doc_id, text without the lines that an earlier document holds, n_lines, n_dropped), one row per row."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(dropped_lines(docs, least), "doc_id", "left").mapInArrow(_counted, "doc_id long, text string, n_lines long, n_dropped long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
+    return texts.join(dropped_lines(docs, least), ["doc_id", "mark"], "left").mapInArrow(_counted, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def without_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """docs, all columns, with the shortened texts (and n_chars, if there is one); a document that loses every word goes."""
-    names, marked = docs.columns, "__dropped_lines"
+    names, own_id, own_mark, gone = docs.columns, *unused(docs.columns, "lost_id", "lost_mark", "lost_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            kept, _, dropped = _kept(batch.column("text"), batch.column(marked))
+            kept, _, dropped = _kept(batch.column("text"), batch.column(gone))
             keep = [not d or not k.isspace() and k != "" for k, d in zip(kept, dropped)]
             columns = {c: batch.column(c) for c in names}
             shorter = pa.array([k if d else None for k, d in zip(kept, dropped)], batch.column("text").type)
@@ -263,5 +292,6 @@ def without_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
                 columns["n_chars"] = pa.array([len(k) if d else c for k, d, c in zip(kept, dropped, columns["n_chars"].to_pylist())], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep, pa.bool_()))
 
-    lost = dropped_lines(docs, least).select(F.col("doc_id").alias("__id"), F.col("lines").alias(marked))
-    return docs.join(lost, docs["doc_id"] == F.col("__id"), "left").drop("__id").mapInArrow(run, docs.schema)
+    lost = dropped_lines(docs, least).toDF(own_id, own_mark, gone)
+    met = docs.join(lost, (docs["doc_id"] == F.col(own_id)) & (_mark(docs) == F.col(own_mark)), "left")
+    return met.drop(own_id, own_mark).mapInArrow(run, docs.schema)

@@ -16,7 +16,9 @@ With rows of 4 minima and 24 bands, sets at the threshold miss each other in all
 
 Defined results: a text with fewer words than a shingle has is one shingle; null, empty or blank texts
 have none and link with nothing; a null doc_id isn't compared, has no component and is kept; rows that share a
-doc_id are one document; an empty table gives no rows; other columns are ignored.
+doc_id are judged each by its own text, and those that hold the component's id are kept; an empty table gives no rows;
+other columns are ignored by minhash_dedup() and returned as they are by one_of_each(), whatever their names. Texts are
+read whole; a very long one is one step, held a few times over in its task.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.columns import unused
 from offerloom.llm.common import ASCII_LOWER, blocks, components, cut, groups, hashes, mix, plain, small_batches, spread, steps, words
 
 HASHES, BANDS, ROWS, BITS = 128, 24, 4, 4
@@ -98,10 +101,10 @@ def _sign(width: int):
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             best = [minima(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]),
+                [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole[:, 0]), pa.array(whole[:, 1]),
                  pa.array([None if m is None else packed(m) for m in best], pa.binary()),
                  pa.array([None if m is None else bands(m).view(np.int64) for m in best], pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_a", "set_b", "signature", "bands"],
+                ["doc_id", "mark", "n", "set_a", "set_b", "signature", "bands"],
             )
 
     return run
@@ -112,7 +115,7 @@ def _candidates(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in groups(batches, ["band", "lo", "hi"]):
-            ids = table["rep"].to_numpy()
+            ids = table["node"].to_numpy()
             bits = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint64).reshape(len(ids), -1)
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
@@ -130,9 +133,12 @@ def _candidates(least: float):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows are one set
         for batch in steps(batches, "text"):
+            new = [n not in seen and not seen.add(n) for n in batch.column("node").to_pylist()]
+            batch = batch.filter(pa.array(new))
             sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "shingles"])
 
     return run
 
@@ -162,7 +168,7 @@ def _links(per_cent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in groups(batches, ["cluster", "lo", "hi"]):
-            ids, a, b = table["rep"].to_numpy(), [], []
+            ids, a, b = table["node"].to_numpy(), [], []
             for i, j in zip(edges.tolist(), edges[1:].tolist()):
                 sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].slice(i, j - i).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
@@ -185,28 +191,43 @@ def _in_groups(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def minhash_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row; links at similarity of `per_cent` hundredths or more."""
-    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = cut(docs.mapInArrow(_sign(width), "doc_id long, n long, set_a long, set_b long, signature binary, bands array<long>"))
+def _mark(docs: DataFrame):
+    """With doc_id, the name of a row: rows of one doc_id may hold different texts."""
+    return F.xxhash64(docs["text"].cast("string"))
+
+
+def classes(docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id), one row per row."""
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _mark(docs).alias("mark"))
+    signed = cut(docs.mapInArrow(_sign(width), "doc_id long, mark long, n long, set_a long, set_b long, signature binary, bands array<long>"))
     real = signed.where("n > 0 and doc_id is not null")
-    # written, so that the join with the members below is dealt anew and Spark can split a large group of copies
-    owners = cut(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    dealt = owners.select("rep", "signature", F.explode("bands").alias("band"))
+    # written: the numbers of the sets must not change, and the join with the members below is dealt anew, so that Spark can split a large group of copies
+    one = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("mark"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    owners = cut(one.withColumn("node", F.monotonically_increasing_id()))
+    dealt = owners.select("node", "signature", F.explode("bands").alias("band"))
     similarity = per_cent / 100
     least = similarity - 5 * (similarity * (1 - similarity) / HASHES) ** 0.5
-    pairs = _in_groups(blocks(dealt, "band", "rep", BLOCK), ["band", "lo", "hi"], _candidates(least), "a long, b long")
-    clusters = components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    texts = docs.join(clusters, docs.doc_id == clusters.rep).mapInArrow(_sets(width), "cluster long, rep long, shingles binary")
-    links = components(_in_groups(blocks(cut(texts), "cluster", "rep", SET_BLOCK), ["cluster", "lo", "hi"], _links(per_cent), "a long, b long"))
-    members = signed.select("doc_id", "n", "set_a", "set_b").join(owners.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
-    found = members.join(links, members.rep == links.node, "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    pairs = _in_groups(blocks(dealt, "band", "node", BLOCK), ["band", "lo", "hi"], _candidates(least), "a long, b long")
+    clusters = components(pairs).select("node", F.col("component").alias("cluster"))
+    asked = owners.select("node", F.col("rep").alias("doc_id"), "mark").join(clusters, "node")
+    inside = cut(docs.join(asked, ["doc_id", "mark"]).mapInArrow(_sets(width), "cluster long, node long, shingles binary"))
+    links = components(_in_groups(blocks(inside, "cluster", "node", SET_BLOCK), ["cluster", "lo", "hi"], _links(per_cent), "a long, b long"))
+    owned = owners.select("node", "set_a", "set_b", "rep").join(links, "node", "left")
+    low = owned.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    owned = owned.join(low, "component", "left").select("set_a", "set_b", F.coalesce("low", "rep").alias("component_id"))
+    found = signed.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_a", "set_b").join(owned, ["set_a", "set_b"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "mark", "n_shingles", component.alias("component_id"))
+
+
+def minhash_dedup(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row; links at similarity of `per_cent` hundredths or more."""
+    out = classes(docs, width, per_cent).drop("mark")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those that minhash_dedup() does not keep."""
-    gone = minhash_dedup(docs, width, per_cent).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    own_id, own_mark = unused(docs.columns, "gone_id", "gone_mark")
+    gone = classes(docs, width, per_cent).where("doc_id <> component_id").select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark))
+    return docs.join(gone, (docs["doc_id"] == F.col(own_id)) & (_mark(docs) == F.col(own_mark)), "left_anti")

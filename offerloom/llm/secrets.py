@@ -9,8 +9,8 @@ span, from the first such window to the last, less what the patterns' spans cove
 A candidate with a text of the allow-list, or a UUID, is no finding.
 
 Defined results: null text is empty and has no spans; offsets are in code points, ends exclusive; null or repeated
-doc_ids are rows like others; an empty table gives no rows; other columns are ignored. Each row is judged
-by itself. The offsets of a text with m matches take m*m/2 array copies: fit for thousands in a text.
+doc_ids are rows like others; an empty table gives no rows; other columns are ignored by find_secrets() and returned as
+they are by without_secrets(), whatever their names. Each row is judged by itself, its text whole. The offsets of a text with m matches take m*m/2 array copies: fit for thousands in a text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.columns import unused
+
 # The kinds, in order, and their patterns.
 KINDS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -138,12 +140,13 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
 def without_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, mark: str = "[secret]") -> DataFrame:
     """docs, all columns, with every span of the texts replaced by the mark (and n_chars, if there is one)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__base", F.array_sort(base_spans(text)))
-    rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", entropy_spans(text, F.col("__base"), allow))))
-    rows = rows.withColumn("text", redacted(F.col("text"), F.col("__spans"), mark))
+    base, spans = unused(docs.columns, "base_spans", "all_spans")
+    rows = docs.withColumn(base, F.array_sort(base_spans(text)))
+    rows = rows.withColumn(spans, F.array_sort(F.concat(base, entropy_spans(text, F.col(base), allow))))
+    rows = rows.withColumn("text", redacted(F.col("text"), F.col(spans), mark))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, changed).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(spans) > 0, changed).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

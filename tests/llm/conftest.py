@@ -7,6 +7,8 @@ import pytest
 
 SECRET = "password = 'b7db7aa4a5fcc78305aa'"
 LICENCE = "Licensed under the Apache License, Version 2.0."
+#: More extra columns, named like those that stages add for a while.
+OWN = ("base_spans", "ALL_SPANS", "all_spans_", "lost_id", "lost_mark", "lost_lines", "gone_id", "gone_mark", "mark", "node", "cluster", "component", "rep", "__base", "__spans", "__id", "__dropped_lines")
 LONG = "the long text goes on and on with word " 
 
 
@@ -24,8 +26,9 @@ def texts():
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls, empty and long texts, ties, a repeated row, and extra columns whose names the operators use inside."""
-    rows = [(i, t, "en", None, None if t is None else len(t), "x", 1, True, [1], "s", "k") for i, t in texts()]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, line string, n long, kept boolean, lines array<int>, signature string, bucket string")
+    rows = [(i, t, "en", None, None if t is None else len(t), "x", 1, True, [1], "s", "k", *range(len(OWN))) for i, t in texts()]
+    named = ", ".join(f"`{c}` long" for c in OWN)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, line string, n long, kept boolean, lines array<int>, signature string, bucket string, {named}")
 
 
 def words(text):

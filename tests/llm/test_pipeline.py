@@ -1,7 +1,7 @@
 """Each stage of the pipeline, on its own input, against brute force."""
 
 import corpus_pipeline as cp
-from conftest import brute_components, brute_lines, words
+from conftest import OWN, brute_components, brute_lines, words
 from pyspark.sql import functions as F
 from test_text_operators import base_counts, brute_secrets, check_packing
 
@@ -62,5 +62,6 @@ def test_odd_documents_pass_through(spark, odd, tmp_path):
             assert out.columns == odd.columns
             out.write.parquet(str(tmp_path / f"{name}-{empty}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}-{empty}"))
+            assert all(tuple(r[c] for c in OWN) == tuple(range(len(OWN))) and (r["line"], r["n"], r["lines"], r["bucket"]) == ("x", 1, [1], "k") for r in docs.collect())
         n = cp.STAGES[-1][1](spark, docs, DATA).count()
         assert (n == 0) == empty

@@ -73,6 +73,27 @@ def test_lines_with_many_shards_and_copies(spark, odd, monkeypatch):
     assert all((r["text"], r["n_lines"], r["n_dropped"]) == want[r["doc_id"]] for r in line_dedup.line_dedup(odd).collect())
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark, odd):
+    rows = [(1, "a common line of text"), (2, "a common line of text\nfoo"), (2, "a wholly unique first line\nbar"), (2, "bar\n A COMMON line of text\t"), (2, "bar\n A COMMON line of text\t"), (None, "a common line of text"), (3, None), (3, "\n\n")]
+    want = Counter((i, "\n".join(x for x in (t or "").split("\n") if i != 2 or x.strip().lower() != "a common line of text"), len((t or "").split("\n"))) for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["text"], r["n_lines"]) for r in line_dedup.line_dedup(df).collect()) == want
+    left = line_dedup.without_repeated_lines(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter((i, t if i != 2 else t.replace("a common line of text\n", "").replace("\n A COMMON line of text\t", "")) for i, t in rows)
+
+
+def test_lines_that_are_not_indexed_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PROBES", 2000)
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('one line that all of them share\n', array_join(transform(sequence(1, 50), i -> concat('line number ', i, ' of ', id)), '\n')) as text")
+    repeated = common.cut(line_dedup.repeated_lines(rows, 10))
+    assert line_dedup.count_lines(rows) == 400 * 51
+    copies = line_dedup.slots(repeated, 400 * 51)[1]
+    asked = [r["count"] for r in line_dedup.questions(rows, 10, copies).groupBy("slot").count().collect()]
+    assert repeated.count() == 1 and sum(asked) == 400 * 51 and max(asked) <= 2 * 2000 and len(asked) >= 10
+    got = line_dedup.line_dedup(rows).collect()
+    assert sum(r["n_dropped"] for r in got) == 399
+
+
 def brute_windows(rows, window=20):
     seen, out = set(), []
     for i, t in rows:
@@ -123,6 +144,17 @@ def test_near_copies_of_odd_documents(spark, odd):
     assert minhash_dedup.minhash_dedup(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    """A unique text stays under an id that a copy, or a near copy, has too; equal rows share a fate."""
+    a, u = " ".join(f"a{i}" for i in range(80)), " ".join(f"u{i}" for i in range(80))
+    near = a.replace("a40 ", "b40 ")
+    rows = [(3, a), (5, a), (5, u), (5, near), (5, near), (7, u + " x"), (None, a), (9, a + " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash_dedup.minhash_dedup(df, 3, 85).collect())
+    assert got == Counter([(3, 3), (5, 3), (5, 5), (5, 3), (5, 3), (7, 5), (None, None), (9, 3)])
+    assert Counter((r["doc_id"], r["text"]) for r in minhash_dedup.one_of_each(df, 3, 85).collect()) == Counter([(3, a), (5, u), (None, a)])
+
+
 def test_near_copies_in_blocks(spark, monkeypatch):
     """A group larger than a block: every member differs, all are linked through others."""
     monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
