@@ -7,7 +7,11 @@
 4. secret scans: every span found is replaced by `[secret]`;
 5. best-fit packing into sequences of 4096 tokens.
 
-Stages 1 to 4 return the columns of documents. An empty table passes through all stages.
+Stages 1 to 4 return the columns of documents, any others too, unchanged but for text and n_chars (if there is one).
+Null, empty and blank texts fail the quality rules; a null doc_id is judged by them like others, and is neither
+compared nor dropped by stages 2 and 3. Rows that share a doc_id are one document to line dedup, are judged each by its
+own text in stage 3, and are packed each. Texts are read whole, and a very long one is one step of its task. An empty
+table passes through all stages. What the stages write stays in the shared folder, for the returned rows are read from it.
 """
 
 from __future__ import annotations
