@@ -23,14 +23,33 @@ def discount_pct(price: Column, regular: Column) -> Column:
     return F.when((regular > 0) & (price < regular), tenths / F.lit(10.0))
 
 
+#: How the feeds write units, quantities and numbers.
+NUMBER = r"\d+(?:[.,]\d+)?"
+_PER_ONE = rf"^1\s*(?:kg|l)\b.*?=\s*(-?{NUMBER})"
+_PER_SLASH = rf"(-?{NUMBER})\s*€?\s*/\s*(?:kg|l)\b"
+_LABEL = r"(?i)^(kg|100\s*-?\s*g)\s*-?\s*preis\s*(?:=\s*(.+))?$"
+_BARE = r"(?i)^(?:1\s*)?(kg|liter|l)\s*=\s*(.+)$"
+_INLINE = rf"(?i)\b1\s*(kg|l)\s*=\s*({NUMBER})"
+_QUANTITY = rf"(?iuU)({NUMBER})\s*-?\s*(kg|g|ml|cl|liter|l|stück|stk|st)\b"
+_UNSAFE = rf"(?iuU)\d\s*[x×]\s*\d|\bca\.?\b|\bcirca\b|{NUMBER}\s*[-–/]\s*\d"
+#: Millionths of a kilogram or litre in one of each unit.
+_MILLIONTHS = {"kg": 1_000_000, "g": 1_000, "l": 1_000_000, "liter": 1_000_000, "cl": 10_000, "ml": 1_000}
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _number(text: Column, kind: str) -> Column:
+    return F.replace(text, F.lit(","), F.lit(".")).try_cast(kind)
+
+
 def unit_price_cents(text: Column | str) -> Column:
-    """Cents for a kilogram or litre from `1 kg = 1.33` or `1.33 €/kg`; null if neither, or not above zero."""
-    text = _c(text)
-    stated = F.regexp_extract(text, r"^1\s*(?:kg|l)\s*=\s*(\d+(?:[.,]\d+)?)", 1)
-    per = F.regexp_extract(text, r"(\d+(?:[.,]\d+)?)\s*€\s*/\s*(?:kg|l)\b", 1)
-    value = F.replace(F.coalesce(F.nullif(stated, F.lit("")), per), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
-    cents = F.round(value * 100).cast("long")
-    return F.when(cents > 0, cents)
+    """Cents for a kilogram or litre from `1 kg = 1.33` (of a range the first value) or `1.33 €/kg`, in any case; null if neither, or not above zero."""
+    low = F.lower(_stripped(_c(text)))
+    stated = F.nullif(F.regexp_extract(low, _PER_ONE, 1), F.lit(""))
+    value = _number(F.coalesce(stated, F.regexp_extract(low, _PER_SLASH, 1)), "double")
+    return F.when(value > 0, F.bround(value * 100).cast("long"))
 
 
 def euros(cents: Column) -> Column:
@@ -38,35 +57,42 @@ def euros(cents: Column) -> Column:
     return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
-def normal_per_unit(text: Column | str, price: Column | str, layers: int = 3) -> Column:
-    """The stated price per unit in one form; labels without a number are rebuilt from the price.
+def _unwrapped(text: Column) -> Column:
+    """Without the parentheses around the whole text, however many: as many as stand both at its start and at its end."""
+    run = lambda pattern, other: F.length(F.regexp_replace(F.regexp_extract(text, pattern, 0), other, ""))
+    layers = F.when(F.contains(text, F.lit("\n")), 0).otherwise(F.least(run(r"^[(\s]*", r"[^(]"), run(r"[)\s]*$", r"[^)]")))
+    inner = F.aggregate(F.sequence(F.lit(1), layers), text, lambda x, _: _stripped(F.substring(x, F.lit(2), F.length(x) - 2)))
+    return F.when(layers > 0, inner).otherwise(text)
+
+
+def normal_per_unit(text: Column | str, price: Column | str) -> Column:
+    """The stated price per unit in one form, `1 kg = 1.33`; a second pass changes nothing.
 
-    Parentheses around the whole text go, at most `layers` of them; a second pass changes nothing.
+    Labels without a value are rebuilt from the price (null without one), bare units get their 1, `-.90` is 0.90, `1:75` is 1.75, and
+    what follows the number goes. Other texts pass as they are.
     """
-    x, price = F.trim(_c(text)), _c(price)
-    for _ in range(layers):
-        x = F.trim(F.regexp_replace(x, r"^\((.*)\)$", "$1"))
-    x = F.regexp_replace(x, r"= ?-(\.\d)", "= 0$1")
-    kilo, hecto = F.lower(x).isin("kg-preis", "kg-preis*"), F.lower(x).isin("100-g-preis", "100-g-preis*")
-    spaced = F.regexp_replace(x, r"^1(kg|l)\b", "1 $1")
-    return (
-        F.when(kilo, F.concat(F.lit("1 kg = "), euros(price))).when(hecto, F.concat(F.lit("1 kg = "), euros(price * 10)))
-        .when(x != "", F.regexp_replace(spaced, r",\s*100\s?g.*$", ""))
-    )
+    x, price = _unwrapped(_stripped(_c(text))), _c(price)
+    label, value = F.lower(F.regexp_extract(x, _LABEL, 1)), _stripped(F.regexp_extract(x, _LABEL, 2))
+    kilo = label.startswith("kg")
+    rebuilt = F.when(value != "", F.concat(F.when(kilo, "1 kg = ").otherwise("100 g = "), value)).when(price > 0, F.concat(F.lit("1 kg = "), euros(F.when(kilo, price).otherwise(price * 10))))
+    x = F.regexp_replace(F.when(label != "", rebuilt).otherwise(x), r"(?<![\d)])-(?=[.,]\d)", "0")
+    unit, rest = F.regexp_extract(x, _BARE, 1), _stripped(F.regexp_extract(x, _BARE, 2))
+    number = F.regexp_extract(F.regexp_replace(rest, r"(?<=\d):(?=\d)", "."), rf"^-?{NUMBER}(?:[.,]-)?", 0)
+    one = F.concat(F.lit("1 "), F.when(F.lower(unit) == "liter", "l").otherwise(unit), F.lit(" = "), number)
+    return F.nullif(F.when(number != "", one).otherwise(x), F.lit(""))
 
 
 def derived_per_unit(unit: Column | str, price: Column | str) -> Column:
-    """A price per kilogram or litre from exactly one quantity in the unit text; null for packs, ranges and estimates."""
-    unit, price = F.lower(_c(unit)), _c(price)
-    trap = unit.rlike(r"\d\s*[x×]\s*\d|\bca\.?|\d\s*[-–]\s*\d|st(?:ü|u)ck|\bst\b")
-    found = F.regexp_extract_all(unit, F.lit(r"(\d+(?:[.,]\d+)?)[\s-]*(kg|g|ml|cl|l)\b"), F.lit(0))
-    number = F.replace(F.regexp_extract(unit, r"(\d+(?:[.,]\d+)?)[\s-]*(?:kg|g|ml|cl|l)\b", 1), F.lit(","), F.lit(".")).try_cast("decimal(18,3)")
-    kind = F.regexp_extract(unit, r"\d[\s-]*(kg|g|ml|cl|l)\b", 1)
-    thousandths = (number * F.when(kind.isin("kg", "l"), 1000).when(kind == "cl", 10).otherwise(1)).cast("decimal(18,3)")
-    base = F.when(kind.isin("kg", "g"), "kg").otherwise("l")
-    milli = (thousandths * 1000).cast("long")  # millionths of the base unit
-    cents = half_even(price * 1000000, milli)
-    return F.when(~trap & (F.size(found) == 1) & (milli > 0), F.concat(F.lit("1 "), base, F.lit(" = "), euros(cents)))
+    """A price per kilogram or litre: the one that the unit text holds, else by exactly one quantity in it; null for packs, ranges, estimates and pieces."""
+    text, price = _stripped(_c(unit)), _c(price)
+    inline = F.concat(F.lit("1 "), F.lower(F.regexp_extract(text, _INLINE, 1)), F.lit(" = "), F.regexp_extract(text, _INLINE, 2))
+    kind = F.lower(F.regexp_extract(text, _QUANTITY, 2))
+    millionths = F.try_element_at(F.create_map(*[F.lit(x) for pair in _MILLIONTHS.items() for x in pair]), kind)
+    amount = F.round(_number(F.regexp_extract(text, _QUANTITY, 1), "decimal(18,6)") * millionths).try_cast("long")
+    cents = F.when(amount > 0, half_even(price * 1_000_000, amount))
+    single = ~text.rlike(_UNSAFE) & (F.size(F.regexp_extract_all(text, F.lit(_QUANTITY), F.lit(0))) == 1)
+    axis = F.when(kind.isin("kg", "g"), "kg").otherwise("l")
+    return F.when(price > 0, F.when(text.rlike(_INLINE), inline).when(single & (cents > 0), F.concat(F.lit("1 "), axis, F.lit(" = "), euros(cents))))
 
 
 def served_per_unit(text: Column | str, unit: Column | str, price: Column | str) -> Column:
@@ -82,6 +108,15 @@ def money_cents(text: Column | str) -> Column:
     return F.concat(F.replace(digits, F.lit("."), F.lit("")), cents).try_cast("long")
 
 
+def base_unit_price(text: Column | str) -> Column:
+    """`0,5 l (1,98 € je 1 l)` as `1 l = 1.98`; prices of a gram or millilitre become those of a kilogram or litre, other units stay as written."""
+    inside = r"(?iuU)\(\s*(\d{1,3}(?:\.\d{3})*|\d+),(\d{2})\s*€\s*je\s+1\s+(\w+)\s*\)"
+    part = lambda n: F.regexp_extract(_c(text), inside, n)
+    cents, unit = F.concat(F.replace(part(1), F.lit("."), F.lit("")), part(2)).try_cast("long"), F.lower(part(3))
+    times, axis = F.when(unit.isin("g", "ml"), 1000).otherwise(1), F.when(unit == "g", "kg").when(unit == "ml", "l").otherwise(part(3))
+    return F.concat(F.lit("1 "), axis, F.lit(" = "), euros(cents * times))
+
+
 def app_deal(price: Column, regular: Column, app: Column) -> Column:
     """struct<has_deal, headline_cents, strike_cents, headline_pct>: the app price heads if it is lower than the price."""
     has = app.isNotNull() & (app < price)

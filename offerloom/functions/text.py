@@ -58,15 +58,17 @@ def json_strings(text: Column | str) -> Column:
     return F.transform(strings, lambda v: F.try_variant_get(v, "$", "string"))
 
 
+#: Fractions that lead a quantity.
+FRACTIONS = {"¼": 1 / 4, "½": 1 / 2, "¾": 3 / 4, "⅓": 1 / 3, "⅔": 2 / 3}
+
+
 def scale_quantity(text: Column | str, times: Column) -> Column:
-    """A quantity text with its leading number multiplied: `1/2 cup` times 3 is `1.5 cup`."""
+    """A quantity text with its leading number multiplied: `1/2 cup` times 3 is `1.5 cup`; a text without a number, and times 1, change nothing."""
     text = _c(text)
-    top = F.regexp_extract(text, r"^\s*(\d+)\s*/\s*(\d+)", 1).try_cast("double")
-    bottom = F.regexp_extract(text, r"^\s*(\d+)\s*/\s*(\d+)", 2).try_cast("double")
-    plain = F.replace(F.regexp_extract(text, r"^\s*(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
-    half = F.when(text.startswith("½"), 0.5).when(text.startswith("¼"), 0.25).when(text.startswith("¾"), 0.75)
-    number = F.coalesce(F.when(bottom > 0, top / bottom), half, plain)
-    rest = F.regexp_replace(text, r"^\s*(?:\d+\s*/\s*\d+|\d+(?:[.,]\d+)?|[½¼¾])", "")
-    value = F.round(number * times * 100) / 100
-    shown = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    return F.when(number.isNull(), text).otherwise(F.concat(shown, rest))
+    form = r"^\s*(?:(\d+)\s*/\s*(\d+)|(\d+(?:[.,]\d+)?)|([¼½¾⅓⅔]))\s*(.*)$"
+    part = lambda n: F.regexp_extract(text, form, n)
+    top, bottom = part(1).try_cast("double"), part(2).try_cast("double")
+    sign = F.try_element_at(F.create_map(*[F.lit(x) for pair in FRACTIONS.items() for x in pair]), part(4))
+    number = F.coalesce(F.when(bottom > 0, top / bottom), F.replace(part(3), F.lit(","), F.lit(".")).try_cast("double"), sign)
+    shown = F.regexp_replace(F.format_string("%.2f", F.round(number * times * 100) / 100), r"\.?0+$", "")
+    return F.when(number.isNull() | (times == 1), text).otherwise(F.concat_ws(" ", shown, F.nullif(part(5), F.lit(""))))

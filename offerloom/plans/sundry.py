@@ -74,27 +74,24 @@ def money(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", pr.money_cents(text).alias("cents"))
 
 
-_LINE = "split_part(text, chr(10), 1)"
-
-
-@query("x18_normname", f"SELECT doc_id, trim(regexp_replace(lower({_LINE}), '[^a-z0-9äöüß]+', ' ', 'g')) AS key FROM documents", views=False)
+@query("x18_normname", f"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9äöüß]+', ' ', 'g')) AS key FROM documents", views=False)
 def norm_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.norm_name(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.norm_name("text").alias("key"))
 
 
-@query("x17_namekey", f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower({_LINE}), '’‘`´''', ''), '[^\\pL\\pN_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM documents", views=False)
+@query("x17_namekey", f"SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), '’‘`´''', ''), '[^\\pL\\pN_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM documents", views=False)
 def name_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.name_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.name_key("text").alias("key"))
 
 
-@query("x20_fold", f"SELECT doc_id, replace(translate(lower({_LINE}), 'äöüéèê', 'aoueee'), 'ß', 'ss') AS folded FROM documents", views=False)
+@query("x20_fold", f"SELECT doc_id, replace(translate(lower(text), 'äöüéèê', 'aoueee'), 'ß', 'ss') AS folded FROM documents", views=False)
 def folded(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.fold("text").alias("folded"))
 
 
-@query("x21_slug", f"SELECT doc_id, regexp_replace(regexp_replace(replace(translate(lower({_LINE}), 'äöü', 'aou'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents", views=False)
+@query("x21_slug", f"SELECT doc_id, regexp_replace(regexp_replace(replace(translate(lower(text), 'äöü', 'aou'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents", views=False)
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.slug("text").alias("slug"))
 
 
 @query("x24_app_price", """, a AS (SELECT ext, price_cents AS p, regular_cents AS r, CASE WHEN store_id % 3 = 0 THEN price_cents - 50 WHEN store_id % 3 = 1 THEN price_cents + 50 END AS app FROM offers),
@@ -105,12 +102,6 @@ def app_prices(spark, sf_dir):
     return offers(spark, sf_dir).select("ext", pr.app_deal(F.col("price_cents"), F.col("regular_cents"), app).alias("a")).select("ext", "a.*")
 
 
-@query("x28_scale_qty", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN regexp_replace(format('{:.2f}', p_size * 3 / 4.0), '\\.?0+$', '') || ' cup' WHEN p_size % 3 = 1 THEN (p_size * 3) || ' g' ELSE 'some' END AS quantity FROM part""", views=False)
-def scaled(spark, sf_dir):
-    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit("/4 cup"))).when(F.col("p_size") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(" g"))).otherwise("some")
-    return table(spark, sf_dir, "part").select("p_partkey", tx.scale_quantity(text, F.lit(3)).alias("quantity"))
-
-
 @query("x31_json_paths", "SELECT event_id, [event_type] AS strings, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", views=False)
 def json_paths(spark, sf_dir):
     text = F.concat(F.lit('[1, "'), F.col("event_type"), F.lit('", null, {"a": 2}]'))
