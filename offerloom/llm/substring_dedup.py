@@ -1,19 +1,18 @@
-"""Substring dedup: Rabin-Karp hashes of every window of `window` words, counted over the corpus.
+"""Substring dedup: Rabin-Karp hashes of every window of `window` words, counted over the corpus by Spark.
 
-Documents are dealt to buckets of consecutive ids, so that of two buckets the smaller number holds
+Documents are dealt to buckets of consecutive ids and about equal bytes, so that of two buckets the smaller number holds
 the smaller ids. Then
-1. each bucket hashes all its windows and sends the distinct hashes, sorted and delta-coded, to the
-   parts of the hash space;
-2. each part merges what came and tells every bucket but the smallest one which of its hashes also
-   occur in a smaller bucket;
+1. each bucket hashes all its windows and sends each distinct hash once, as a row with the bucket's number;
+2. Spark deals the rows by hash and counts the buckets of each: all but the first are told of it;
 3. each bucket removes the words of windows so named and of windows that repeat inside the bucket
    after their first start; overlapping windows merge into maximal intervals.
-A window sequence costs one entry a bucket however often it occurs, so a hot passage doesn't gather
-in one task. Windows are judged by 64-bit hashes: at 10^13 windows about one in 10^6 would meet
-another's hash; at 10^9 windows none is expected to.
+A window sequence costs one row a bucket however often it occurs, so a hot passage doesn't gather in one task.
+Windows are judged by 96 bits, two polynomials of unlike bases: at 10^13 windows a chance match has a probability of 10^-3.
 
-Defined results: null text has no words; rows that share a doc_id count as documents in the order of
-their texts; a null doc_id ranks after all others; an empty table gives no rows; other columns are ignored.
+Defined results: null text has no words; rows that share a doc_id count as documents in a fixed order of their
+texts; a null doc_id ranks after all others; an empty table gives no rows; other columns are ignored. A doc_id, or
+null, with more text than a bucket is split by a hash of the texts; only equal rows are held together. Texts are
+read whole; a very long one is one step, held a few times over in its task.
 """
 
 from __future__ import annotations
@@ -21,16 +20,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.llm.common import hashes, mix, plain, small_batches, steps, words
 
-#: Text of a bucket, and windows of a part of the hash space. Raise both on large executors: a
-#: corpus of n buckets and m parts moves n * m chunks.
-BUCKET_BYTES, PART_WINDOWS = 16 << 20, 2_000_000
-BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
+#: Text of a bucket. The driver holds two numbers for each of CELLS parts of a bucket: raise it on large executors.
+BUCKET_BYTES, CELLS = 16 << 20, 8
+#: The bases of the two polynomials, odd so that they have inverses modulo 2^64.
+BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -39,40 +39,56 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def rolling(h: np.ndarray, window: int) -> np.ndarray:
+def rolling(h: np.ndarray, window: int, base: int = BASES[0]) -> np.ndarray:
     """Polynomial hash of every `window` consecutive values, from prefix sums (modulo 2^64)."""
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_INVERSE, len(h)), dtype=np.uint64)])
-        return mix((sums[window:] - sums[:-window]) * _powers(BASE, n))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(pow(base, -1, 1 << 64), len(h)), dtype=np.uint64)])
+        return mix((sums[window:] - sums[:-window]) * _powers(base, n))
 
 
 def _windows(texts: pa.Array, window: int) -> tuple:
-    """(codes, ends, distinct words, first word of each window, its hash)."""
+    """(codes, ends, distinct words, first word of each window, its hash, 32 bits more)."""
     codes, ends, distinct = words(plain(texts))
     sizes = np.diff(ends)
     stop = np.repeat(ends[1:], sizes)  # of the document of each word
-    every = rolling(hashes(distinct)[codes], window) if len(codes) else np.zeros(0, np.uint64)
+    own = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    every = rolling(own, window)
     start = np.flatnonzero(np.arange(len(every)) + window <= stop[: len(every)])
-    return codes, ends, distinct, start, every[start]
-
-
-def encode(values: np.ndarray) -> bytes:
-    """Sorted distinct hashes as the first one and the gaps, in as many bytes as the widest gap takes."""
-    gaps = np.diff(values)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return values[:1].tobytes() + bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def decode(data: bytes) -> np.ndarray:
-    width = data[8]
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(data, np.uint8, 8)
-    gaps[1:, :width] = body
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    more = (rolling(mix(own, 7), window, BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return codes, ends, distinct, start, every[start].view(np.int64), more
+
+
+class Firsts:
+    """Windows grouped by equal hashes."""
+
+    def __init__(self, h: np.ndarray, more: np.ndarray):
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        if (same & (more[order[1:]] != more[order[:-1]])).any():  # a chance match of 64 bits
+            order = np.lexsort((more, h))
+            same = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), ~same]))
+        self.order, self.sizes = order, np.diff(np.concatenate([starts, [len(h)]]))
+        #: The first window of each group, and the hashes of the groups, rising.
+        self.first = np.minimum.reduceat(order, starts) if len(h) else order
+        self.h, self.more = h[self.first], more[self.first]
+
+    def gone(self, h: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Of each window: its group is named in the hashes given, or it isn't the first of its group."""
+        named = np.zeros(len(self.h), bool)
+        at, stop = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        while (at < stop).any():  # groups that share the 64 bits are few
+            at, stop, more = (x[at < stop] for x in (at, stop, more))
+            named[at[self.more[at] == more]] = True
+            at = at + 1
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = True
+        out[self.first] = named
+        out[self.order[np.repeat(named, self.sizes)]] = True
+        return out
 
 
 def _ordered(table: pa.Table) -> pa.RecordBatch:
@@ -80,60 +96,38 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
-def _send(window: int, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        found = [np.unique(_windows(b.column("text"), window)[4]) for b in steps(iter(table.to_batches()), "text")]
-        h = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=np.uint64(parts))), [len(h)]]) if len(h) else np.zeros(1, int)
-        n = len(cuts) - 1
-        return pa.table({"part": part[cuts[:-1]].astype(np.int64), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int64()), "hashes": pa.array([encode(h[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+def _all_windows(table: pa.Table, window: int) -> tuple[list, Firsts]:
+    found = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(table)]), "text")]
+    return found, Firsts(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
 
-    return run
 
+def _send(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        own = _all_windows(table, window)[1]
+        return pa.table({"h": own.h, "more": own.more, "bucket": np.full(len(own.h), table["bucket"][0].as_py(), np.int32)})
 
-def _merge(table: pa.Table) -> pa.Table:
-    """For each bucket, its hashes that a smaller bucket has too."""
-    table = table.sort_by("bucket")
-    sent = [decode(x) for x in table["hashes"].to_pylist()]
-    h = np.concatenate(sent)
-    bucket = np.repeat(table["bucket"].to_numpy(), [len(x) for x in sent])
-    order = np.argsort(h, kind="stable")
-    h, bucket = h[order], bucket[order]
-    later = np.concatenate([[False], h[1:] == h[:-1]])
-    h, bucket = h[later], bucket[later]
-    order = np.argsort(bucket, kind="stable")
-    h, bucket = h[order], bucket[order]
-    cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(h)]]) if len(h) else np.zeros(1, int)
-    return pa.table({"bucket": pa.array(bucket[cuts[:-1]], pa.int64()), "hashes": pa.array([encode(h[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
+    return run
 
 
 def _remove(window: int):
-    def run(docs: pa.Table, lost: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.Table.from_pylist([], RESULT)
-        batches = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(docs)]), "text")]
-        h = np.concatenate([x[5] for x in batches])
-        _, first = np.unique(h, return_index=True)
-        gone = np.ones(len(h), bool)
-        gone[first] = False
-        for data in lost["hashes"].to_pylist():
-            named = decode(data)
-            at = np.minimum(np.searchsorted(named, h), len(named) - 1)
-            gone |= named[at] == h
+        batches, own = _all_windows(docs, window)
+        gone = own.gone(told["h"].to_numpy(), told["more"].to_numpy())
         out, done = [], 0
-        for b, codes, ends, distinct, start, own in batches:
-            hit = start[gone[done : done + len(own)]]
-            done += len(own)
+        for b, codes, ends, distinct, start, hashed, _ in batches:
+            hit = start[gone[done : done + len(hashed)]]
+            done += len(hashed)
             change = np.zeros(len(codes) + 1, np.int64)
             np.add.at(change, hit, 1)
             np.add.at(change, hit + window, -1)
             covered = np.cumsum(change)[:-1] > 0
-            removed = np.concatenate([[0], np.cumsum(covered)])[ends]
+            stays = np.concatenate([[0], np.cumsum(~covered)])[ends]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
             begins, stops = edges[::2], edges[1::2]
             doc = np.searchsorted(ends, begins, side="right") - 1
-            texts, spans = [], [[] for _ in range(b.num_rows)]
+            spans = [[] for _ in range(b.num_rows)]
             for d, i, j in zip(doc.tolist(), begins.tolist(), stops.tolist()):
                 while j > ends[d + 1]:  # runs that meet at the border of two documents are two intervals
                     spans[d].append({"start": i - int(ends[d]), "end": int(ends[d + 1] - ends[d])})
@@ -141,11 +135,10 @@ def _remove(window: int):
                     while ends[d + 1] == i:
                         d += 1
                 spans[d].append({"start": i - int(ends[d]), "end": j - int(ends[d])})
-            names = np.array(distinct, object)
-            for a, e in zip(ends, ends[1:]):
-                keep = codes[a:e][~covered[a:e]]
-                texts.append(b" ".join(names[keep].tolist()) if len(keep) else b"")
-            out.append(pa.table({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": np.diff(ends), "n_removed": np.diff(removed), "intervals": pa.array(spans, RESULT.field("intervals").type)}).cast(RESULT))
+            kept = pa.array(distinct, pa.binary()).take(pa.array(codes[~covered]))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(stays, pa.int32()), kept), b" ").cast(pa.string())
+            n = np.diff(ends)
+            out.append(pa.table({"doc_id": b.column("doc_id"), "text": texts, "n_words": n, "n_removed": n - np.diff(stays), "intervals": pa.array(spans, RESULT.field("intervals").type)}).cast(RESULT))
         return pa.concat_tables(out)
 
     return run
@@ -154,32 +147,60 @@ def _remove(window: int):
 RESULT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, bucket by ranges of doc_id), and the bytes of all texts.
+def deal(cells: list[tuple[int, bool]], bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, number of buckets) of each cell; cells: (bytes, whether all its rows share one doc_id), in the order of ids."""
+    first, number, at, room = [], [], 0, bucket_bytes
+    for size, single in cells:
+        if size > room and room < bucket_bytes:
+            at, room = at + 1, bucket_bytes
+        n = -(-size // bucket_bytes) if single and size > bucket_bytes else 1
+        first.append(at)
+        number.append(n)
+        at, room = (at + n - 1, 0) if n > 1 else (at, room - size)
+    return np.array(first, np.int32), np.array(number, np.int64)
 
-    The bounds are approximate quantiles, eight bytes for each bucket of text.
+
+def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, text, bucket): ranges of doc_id of about `bucket_bytes` of text each, null ids last.
+
+    Approximate quantiles make cells, a few for a bucket; Spark sums their bytes, and cells side by side are joined. A doc_id that
+    two quantiles name is a cell of its own, which may be split.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // bucket_bytes))
+    n = CELLS * max(1, -(-size // bucket_bytes))
     asked = [i / n for i in range(1, n)]
-    bounds = np.array(docs.agg(F.percentile_approx("doc_id", asked, 20 * n)).first()[0] or [] if asked else [], np.int64)
+    found = np.array(docs.agg(F.percentile_approx("doc_id", asked, 20 * n)).first()[0] or [], np.int64)
+    often = np.unique(found[1:][found[1:] == found[:-1]])
+    bounds = np.unique(np.concatenate([found, often[often > np.iinfo(np.int64).min] - 1]))
 
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
+    def cell_of(ids: pd.Series) -> np.ndarray:
         known = ids.notna()
         at = np.searchsorted(bounds, ids.where(known, 0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(known, at, n))
+        return np.where(known, at, len(bounds) + 1)
+
+    @F.pandas_udf("long")
+    def cell(ids: pd.Series) -> pd.Series:
+        return pd.Series(cell_of(ids))
+
+    sums = {r["cell"]: r["size"] for r in docs.groupBy(cell("doc_id").alias("cell")).agg(F.sum(F.octet_length("text")).alias("size")).collect()}  # at most CELLS + 1 for a bucket
+    alone = {*np.searchsorted(bounds, often).tolist(), len(bounds) + 1}
+    first, number = deal([(sums.get(i) or 0, i in alone) for i in range(len(bounds) + 2)], bucket_bytes)
+
+    @F.pandas_udf("int")
+    def bucket(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        at = cell_of(ids)
+        return pd.Series((first[at] + marks.to_numpy(np.int64) % number[at]).astype(np.int32))
 
-    return docs.select("doc_id", "text", bucket("doc_id").alias("bucket")), size
+    return docs.select("doc_id", "text", bucket("doc_id", F.xxhash64("text")).alias("bucket"))
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKET_BYTES, part_windows: int = PART_WINDOWS) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, text of the words that stay, n_words, n_removed, intervals removed, in words)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs, size = id_buckets(small_batches(docs), bucket_bytes)
-    parts = int(max(1, size // 6 // part_windows))
-    sent = docs.groupBy("bucket").applyInArrow(_send(window, parts), "part long, bucket long, hashes binary")
-    lost = sent.groupBy("part").applyInArrow(_merge, "bucket long, hashes binary")
-    return docs.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = id_buckets(docs, bucket_bytes)
+    sent = docs.groupBy("bucket").applyInArrow(_send(window), "h long, more int, bucket int")
+    nth = F.row_number().over(Window.partitionBy("h", "more").orderBy("bucket"))
+    told = sent.withColumn("nth", nth).where("nth > 1").select("bucket", "h", "more")
+    return docs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         _remove(window), "doc_id long, text string, n_words long, n_removed long, intervals array<struct<start:int,end:int>>"
     )
