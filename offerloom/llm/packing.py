@@ -11,7 +11,9 @@
    place. Buckets hold about as many pieces as a task handles.
 
 Defined results: null or empty text is one end-of-text id; rows that share a doc_id are packed each, with
-the same piece numbers; a null doc_id is packed too; an empty table gives no rows; other columns are ignored.
+the same piece numbers; a null doc_id is packed too; an empty table gives no rows; other columns are ignored. Texts are
+tokenized whole; a very long one is one step, held a few times over in its task. Of a vocabulary that doesn't lower-case
+or part letters from marks only the words are kept; one whose tokens cross white space is an error.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ MARK = "\x01"
 BUCKET_PIECES = 50_000
 
 
+_LETTER = np.array([0x61 <= b <= 0x7A for b in range(256)])
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
+
+
 class WordIds:
     """Token ids of texts, word by word: white space always ends a token of this vocabulary."""
 
@@ -49,6 +55,11 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        if ids("ab cd\tab\ncd") != [*ids("ab"), *ids("cd"), *ids("ab"), *ids("cd")]:
+            raise ValueError(f"{path}: tokens cross white space, which word-wise ids can't tell")
+        #: Whether the vocabulary lower-cases, and parts letters from every ASCII mark.
+        self.parts = all(ids(f"Ab{chr(m)}cdÉ{chr(m)}") == ids(f"ab {chr(m)}cdé {chr(m)}") for m in range(256) if _MARK[m])
         self.names: list[bytes] = []
         self.known: dict[bytes, int] = {}
         self.pool, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -85,7 +96,7 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids begin and end)."""
-        codes, ends, distinct = words(_parted(texts))
+        codes, ends, distinct = words(_parted(texts) if self.parts else plain(texts))
         if len(self.names) + len(distinct) > MOST_WORDS:
             self._forget()
         self._learn([w for w in distinct if w not in self.known])
@@ -100,10 +111,6 @@ class WordIds:
         return self.pool[at], stops[ends]
 
 
-_LETTER = np.array([0x61 <= b <= 0x7A for b in range(256)])
-_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
-
-
 def _parted(texts: pa.Array) -> pa.Array:
     """Texts with A-Z lower-cased and a space wherever a letter meets an ASCII mark: the vocabulary lower-cases and always
     parts there, and fewer words are distinct. Texts that may hold special tokens, which are matched as they stand, stay."""
@@ -258,7 +265,10 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, name: str = "word_bpe_49k.json") -> str:
-    """Where the public vocabulary lies, unless the session names another place."""
+    """Where that public vocabulary lies: in the folder that the session names by spark.offerloom.tokenizers, if any."""
+    folder = spark.conf.get("spark.offerloom.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
     import public_tokenizers
 
-    return spark.conf.get("spark.offerloom.tokenizers", None) or public_tokenizers.path(name)
+    return public_tokenizers.path(name)
