@@ -57,8 +57,9 @@ class Search:
     """Segmentations in falling order of their perturbed values.
 
     A queued set is (minus its value, a number to part ties, words cut so far, log probability before each word, word,
-    pieces of that word so far, places excluded after them). With None for the pieces it holds every way through the word but
-    the one in `words`.
+    (a way through that word, how many pieces of it are fixed), places excluded after them). With None for the pieces it holds
+    every way through the word but the one in `words`. Lists that are queued grow at their ends only, so sets share them, and a
+    prefix is copied when its set is looked into: at most k times.
     """
 
     def __init__(self, words: list[Lattice], most: int, draw: Callable[[], float]):
@@ -102,7 +103,7 @@ class Search:
             self.finish(way, before, -minus)
             yield way, before[-1]
 
-    def through(self, way: list, before: list[float], value: float, m: int, old: list, head: list | None, skip: tuple) -> None:
+    def through(self, way: list, before: list[float], value: float, m: int, old: list, head: tuple | None, skip: tuple) -> None:
         """Draw word m from a set of that value, and offer the parts of the set that are left."""
         edges, _, beta = self.words[m]
         logs = before
@@ -114,22 +115,24 @@ class Search:
             at = self.pick(parts)
             for n, part in enumerate(parts):
                 if n != at and part > 0:
-                    self.offer(before[m] + math.log(part), value, old, logs, m, old[m][:n], (old[m][n][0],))
-            head, skip = old[m][:at], (old[m][at][0],)
-        place = head[-1][0] if head else 0
-        logp = before[m] + sum(edge[1] for edge in head) + beta[place] - beta[0]
+                    self.offer(before[m] + math.log(part), value, old, logs, m, (old[m], n), (old[m][n][0],))
+            head, skip = (old[m], at), (old[m][at][0],)
+        word = head[0][: head[1]]
+        place = word[-1][0] if word else 0
+        logp = before[m] + sum(edge[1] for edge in word) + beta[place] - beta[0]
         open_ = [edge for edge in edges[place] if edge[0] not in skip]
         at = self.pick([edge[3] for edge in open_])
         left = sum(edge[3] for n, edge in enumerate(open_) if n != at)
         if left > 0:
             self.offer(logp + math.log(left), value, old, logs, m, head, (*skip, open_[at][0]))
-        word, edge = [*head, open_[at]], open_[at]
+        edge = open_[at]
+        word.append(edge)
         while edge[0] < len(edges):
             logp += edge[1] + beta[edge[0]] - beta[place]
             place = edge[0]
             edge = edges[place][self.pick([e[3] for e in edges[place]])]
             if edge[4] > 0:
-                self.offer(logp + math.log(edge[4]), value, old, logs, m, word[:], (edge[0],))
+                self.offer(logp + math.log(edge[4]), value, old, logs, m, (word, len(word)), (edge[0],))
             word.append(edge)
         way.append(word)
         before.append(logp + edge[1] - beta[place])
