@@ -112,7 +112,7 @@ def test_substrings(spark, odd, docs):
     odd_rows = sorted(texts(), key=lambda x: (x[0] is None, x[0] or 0))
     for rows, df in ((sorted(docs), spark.createDataFrame(docs, "doc_id long, text string")), (odd_rows, odd)):
         for size in (1 << 24, 20_000):
-            got = substring_dedup.substring_dedup(df, 20, bucket_bytes=size, part_windows=500).collect()
+            got = substring_dedup.substring_dedup(df, 20, bucket_bytes=size).collect()
             assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in got) == Counter(brute_windows(rows))
             for r in got:
                 spans = [(s["start"], s["end"]) for s in r["intervals"]]
@@ -120,10 +120,31 @@ def test_substrings(spark, odd, docs):
     assert substring_dedup.substring_dedup(odd.limit(0)).count() == 0
 
 
-def test_hash_blobs_round_trip():
-    for values in ([5], [0, 1, 2], [3, 1 << 40, (1 << 64) - 1]):
-        v = np.array(values, np.uint64)
-        assert (substring_dedup.decode(substring_dedup.encode(v)) == v).all()
+def test_substrings_of_shared_and_null_ids(spark):
+    """Ids that hold more than a bucket are split, and what is removed doesn't hang on the buckets: the texts of one id differ in one word each."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"null{k} {passage} endn{k}") for k in range(60)] + [(5, f"five{k} {passage} endf{k}") for k in range(60)] + [(k, f"own{k} {passage} endo{k}") for k in range(60) if k != 5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = [tuple(r) for r in substring_dedup.id_buckets(df, 1000).groupBy("doc_id").agg({"bucket": "min", "*": "count"}).collect()]
+    buckets = substring_dedup.id_buckets(df, 1000).select("doc_id", "bucket").distinct().collect()
+    assert all(sum(r["doc_id"] == i for r in buckets) > 3 for i in (None, 5)) and len(dealt) == 61
+    assert max(r["bucket"] for r in buckets if r["doc_id"] is not None) < min(r["bucket"] for r in buckets if r["doc_id"] is None)
+    got = substring_dedup.substring_dedup(df, 20, bucket_bytes=1000).collect()
+    assert Counter(r["n_removed"] for r in got) == {30: 178, 0: 1} and next(r["doc_id"] for r in got if not r["n_removed"]) == 0
+
+
+def test_buckets_hold_like_bytes():
+    first, number = substring_dedup.deal([(40, False), (50, False), (30, False), (0, False), (250, True), (10, False), (250, False), (5, True)], 100)
+    assert first.tolist() == [0, 0, 1, 1, 2, 5, 6, 7] and number.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+
+
+def test_windows_that_share_half_a_hash():
+    h, more = np.array([7, 3, 7, 7, 3, 9], np.int64), np.array([1, 5, 2, 1, 5, 8], np.int32)
+    own = substring_dedup.Firsts(h, more)
+    assert sorted(own.first.tolist()) == [0, 1, 2, 5]
+    assert own.gone(np.array([7, 9, 4]), np.array([2, 7, 4], np.int32)).tolist() == [False, False, True, True, True, False]
+    none = substring_dedup.Firsts(h[:0], more[:0])
+    assert len(none.h) == 0 and none.gone(h, more).tolist() == []
 
 
 def test_near_copies(spark, docs):
@@ -321,6 +342,60 @@ def test_licence_method_adds_labels(spark):
     assert got == {1: "mit", 2: "", 3: "isc", 4: ""}
 
 
+def brute_licences(text, index):
+    """Labels and score straight from the rule: every position at which a heavy word of a template stands in its place."""
+    own = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))]
+    labels, best = set(), 0.0
+    for t, (label, notice, keys) in enumerate(licences.TEMPLATES):
+        form = [w.encode() for w in notice.split()]
+        drift = max(licences.DRIFT, len(form) // licences.LOOSE)
+        heavy = {p for posts in index.heavy.values() for u, p in posts if u == t}
+        for start in range(-len(form), len(own)):
+            if not any(0 <= start + p < len(own) and own[start + p] == form[p] for p in heavy):
+                continue
+            near = lambda p: own[max(0, start + p - drift) : max(0, start + p + drift + 1)]  # noqa: E731, B023
+            share = sum(index.weight[w] for p, w in enumerate(form) if w in near(p)) / sum(index.weight[w] for w in form)
+            stretch = b" ".join([b"", *own[max(0, start - drift) : max(0, start + len(form) + drift)], b""])
+            at, whole = 0, True
+            for key in keys:
+                at = stretch.find(b" " + key.encode() + b" ", at)
+                whole &= at >= 0
+                at += len(key) + 1
+            if share >= licences.LEAST - 1e-12 and whole:
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def test_licence_labels_against_brute_force(spark, docs):
+    rng = np.random.default_rng(8)
+    made = []
+    for k in range(120):
+        form = licences.TEMPLATES[k % len(licences.TEMPLATES)][1].split()
+        for _ in range(int(rng.integers(0, 1 + len(form) // 5))):
+            at = int(rng.integers(0, len(form)))
+            form[at : at + int(rng.integers(0, 3))] = ["some"] * int(rng.integers(0, 3))
+        made.append((10_000_000 + k, " ".join(["filler"] * int(rng.integers(0, 9)) + form + ["tail", "the"]).capitalize()))
+    rows = [x for x in docs if x[1] and re.search("(?i)licen", x[1])] + made
+    df = spark.createDataFrame(docs + made, "doc_id long, text string")
+    index = licences.LicenceIndex(*licences.document_frequencies(df))
+    got, added = {r["doc_id"]: r for r in licences.scan(df, index).collect()}, 0
+    for i, t in rows:
+        labels, best = brute_licences(t, index)
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(labels | base)), t
+        assert abs(got[i]["score"] - (1.0 if base else best)) < 1e-9
+        added += bool(labels - base)
+    assert added > 40 and any(not brute_licences(t, index)[0] for _, t in made)
+
+
+def test_whole_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    rows = [(1, "/*\n * " + gpl.replace(" the ", "\n * the ") + " */"), (2, gpl.replace("version 3", "version 2")), (3, gpl.replace("either version 3 of the License, or (at your option) any later version", "in some version")), (4, "the terms of the program")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("gpl,gpl-3", 1.0) and got[2] == ("gpl,gpl-2", 1.0) and got[3] == ("gpl", 1.0) and got[4] == ("", 0.0)
+
+
 def check_packing(got, rows, path, size=4096):
     from tokenizers import Tokenizer
 
