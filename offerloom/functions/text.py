@@ -16,13 +16,14 @@ def _c(x: Column | str) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    real = texts.dropna()
+    return real.map(lambda x: unicodedata.normalize("NFKC", x)).reindex(texts.index) if len(real) else texts
 
 
 def nfkc(text: Column | str) -> Column:
-    """Unicode compatibility form; only texts beyond ASCII leave the JVM."""
+    """Unicode compatibility form. Only texts beyond ASCII are sent to Python; of all others a null goes there and back."""
     text = _c(text)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def name_key(name: Column | str, unicode_form: bool = True) -> Column:

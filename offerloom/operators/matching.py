@@ -58,19 +58,42 @@ def compare_chains(df: DataFrame, group: Column) -> DataFrame:
     return out.where("_n >= 2").select("group", "chain", "price_cents", "spread", (F.col("_first") == 1).alias("cheapest"))
 
 
+def name_tokens(text: Column | str) -> Column:
+    """The words of a name's key; none for null or for a name without letters."""
+    return F.filter(F.split(F.coalesce(norm_name(text), F.lit("")), " "), lambda t: t != "")
+
+
+def brand_matches(items: DataFrame, now: DataFrame) -> DataFrame:
+    """items (key, brand) with the offers (ext, name, brand) of their brand, as (key, ext).
+
+    The offer's brand is the same, or holds all words of the item's; only an offer without a brand is searched by name. The item's words meet
+    the offers' words in an equi-join: distinct (brand, name) pairs are split into words, and an item looks for its longest word.
+    """
+    want = name_tokens("brand")
+    wanted = items.select("key", want.alias("_want")).where(F.size("_want") > 0)
+    wanted = wanted.withColumn("_word", F.array_max(F.transform("_want", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
+    own = name_tokens("brand")
+    pairs = now.select("brand", "name").distinct().withColumn("_have", F.when(F.size(own) > 0, own).otherwise(name_tokens("name")))
+    words = pairs.withColumn("_word", F.explode(F.array_distinct("_have")))
+    found = words.join(wanted, "_word").where(F.size(F.array_except("_want", "_have")) == 0).select("key", F.col("brand").alias("_b"), F.col("name").alias("_n"))
+    return now.join(found, now.brand.eqNullSafe(found._b) & now.name.eqNullSafe(found._n)).select("key", "ext")
+
+
 def history_tiers(history: DataFrame, df: DataFrame, related: int = 8) -> DataFrame:
-    """(key, tier, ext, rank): 1 for the same name, else 2 for the same brand, else 3 for the same group; 3 keeps `related`.
+    """(key, tier, ext, rank): 1 for the same name, all of them, cheapest first; without any, the `related` best of tier 2 or 3.
 
-    history: key, brand, group, tokens. Within a tier: more shared name tokens first, then cheaper.
+    history: key, brand, group, tokens. Tier 2, the same brand, is for items that have a brand, tier 3, the same group, only for those without one.
+    More shared name words come first, then the cheaper.
     """
-    now = df.select("ext", "price_cents", norm_name("name").alias("_name"), F.col("brand").alias("_brand"), F.col("category").alias("_group"), F.split(norm_name("name"), " ").alias("_tokens"))
-    exact = history.join(now, history.key == now._name).withColumn("tier", F.lit(1))
+    now = df.select("ext", "name", "brand", "price_cents", norm_name("name").alias("_name"), F.col("category").alias("_group"))
+    exact = history.join(now, history.key == now._name).select("key", "ext", F.lit(1).alias("tier"))
     rest = history.join(exact.select("key").distinct(), "key", "left_anti")
-    brand = rest.join(now, rest.brand == now._brand).withColumn("tier", F.lit(2))
-    rest = rest.join(brand.select("key").distinct(), "key", "left_anti")
-    group = rest.join(now, rest.group == now._group).withColumn("tier", F.lit(3))
-    found = exact.unionByName(brand).unionByName(group)
-    shared = F.size(F.array_intersect("tokens", "_tokens"))
+    branded = F.coalesce(F.col("brand"), F.lit("")) != ""
+    brand = brand_matches(rest.where(branded).select("key", "brand"), now).withColumn("tier", F.lit(2))
+    alone = rest.where(~branded).select("key", "group")
+    group = alone.join(now, alone.group == now._group).select("key", "ext", F.lit(3).alias("tier"))
+    found = exact.unionByName(brand).unionByName(group).join(now.select("ext", "price_cents", "name"), "ext").join(history.select("key", "tokens"), "key")
+    shared = F.when(F.col("tier") == 1, 0).otherwise(F.size(F.filter(name_tokens("name"), lambda t: F.array_contains("tokens", t))))
     order = [shared.desc(), F.col("price_cents").asc(), F.col("ext").asc()]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
-    return ranked.where(F.col("rank") <= related).select("key", "tier", "ext", "rank")
+    return ranked.where((F.col("tier") == 1) | (F.col("rank") <= related)).select("key", "tier", "ext", "rank")

@@ -1,43 +1,55 @@
 """An ordered, explainable rule set: the first layer that decides wins, and within it the first rule and token.
 
 Rules are data: (layer, kind, rule, tok, token, slug). A match is a join of distinct products with the rules, a decision is the
-minimum of (layer, rule, node depth, tok). The rule table is authored and small, so it is broadcast; products are made distinct first.
+minimum of (layer, rule, node depth, tok). The rules are authored: at most a few thousand
+tokens, written into the program as a Book, so their table is broadcast; products are made distinct first.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOOD_ROOT = "food"
-VEGAN = r"(?<![0-9a-zäöüß])new r"
-#: kind -> layer, and its ordered rules: (slug, tokens).
-LAYERS: dict[str, tuple[int, list[tuple[str, list[str]]]]] = {
-    "vegan": (0, [("vegan", [""])]),
-    "rescue": (1, [("fruits", ["widget", "gizmo"]), ("pantry", ["rod"])]),
-    "aisle_node": (2, [("tools", ["tools"]), ("paper", ["paper"])]),
-    "aisle": (3, [("care", ["plate"]), ("cleaning", ["anvil"])]),
-    "nonfood": (4, [("household", [""])]),
-    "form": (5, [("frozen", [" cold "]), ("dried", ["anvil"])]),
-    "caption": (6, [("preserves", ["dose"])]),
-    "node": (7, [("hardware", ["metal"]), ("deals", ["promo"]), ("bulk", ["large"])]),
-    "brand": (8, [("premium", ["brand#12"]), ("budget", ["brand#7"])]),
-    "flavour": (9, [("spicy", ["hot"])]),
-    "keyword": (10, [("vegetables", ["ring"]), ("fruits", ["gizmo", "gear"]), ("bakery", ["bolt"]), ("fruits", ["blue ring"])]),
-    "fallback": (11, [("other", [""])]),
-}
-VETO = ("old",)
-PRESERVED = ("glas",)
-GROUPS = {"fruits": [("gears", ["gear"]), ("gizmos", ["gizmo", "widget"])], "bakery": [("bolts", ["bolt"])]}
-ORGANIC = r"(?<![0-9a-zäöüß])(?:bio|organic|red g)"
-
-
-def rule_rows() -> list[tuple]:
-    return [(layer, kind, r, t, token, slug) for kind, (layer, rules) in LAYERS.items() for r, (slug, tokens) in enumerate(rules) for t, token in enumerate(tokens)]
-
-
-def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), "layer int, kind string, rule int, tok int, token string, slug string")
+#: The layers' kinds, in their order of precedence.
+KINDS = ("vegan", "rescue", "aisle_node", "aisle", "nonfood", "form", "caption", "node", "brand", "flavour", "keyword", "fallback")
+#: Beginnings of words that mark organic and plant-based products.
+ORGANIC = ("bio", "öko", "oeko", "organic", "bioland", "demeter", "naturland", "alnatura", "dennree")
+VEGAN = (
+    "vegan", "pflanzlich", "vemondo", "vemodo", "like meat", "likemeat", "like döner", "next level", "garden gourmet", "beyond meat", "vivera", "endori", "veganz", "alpro", "taifun", "planted", "heura", "simply v", "oatly", "vly",
+    "violife", "myvay", "berief",
+)
+
+
+class Book(NamedTuple):
+    """A set of rules as data."""
+
+    rules: dict[str, list[tuple[str, list[str]]]]  # kind -> ordered rules: (slug, tokens)
+    vegan: tuple[str, ...] = VEGAN  # beginnings of words in name and brand
+    veto: tuple[str, ...] = ()  # words that keep a product out of the rescue and aisle layers
+    preserved: tuple[str, ...] = ()  # caption words that make fruits and vegetables pantry goods
+    fresh: tuple[str, ...] = ("fruits", "vegetables")
+    pantry: str = "pantry"
+
+    def rows(self) -> list[tuple]:
+        """(layer, kind, rule, tok, token, slug) of every token."""
+        return [(KINDS.index(kind), kind, r, t, token, slug) for kind, rules in self.rules.items() for r, (slug, tokens) in enumerate(rules) for t, token in enumerate(tokens)]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "layer int, kind string, rule int, tok int, token string, slug string")
+
+
+def begins_word(text: Column, marks: tuple[str, ...]) -> Column:
+    """One of the marks stands at the start of a word of the lower-case text."""
+    return text.rlike("(?:^|[^0-9a-zäöüß])(?:" + "|".join(re.escape(m) for m in marks) + ")") if marks else F.lit(False)
+
+
+def holds_any(text: Column, tokens: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in tokens), F.lit(False))
 
 
 def _prepared(products: DataFrame) -> DataFrame:
@@ -48,15 +60,17 @@ def _prepared(products: DataFrame) -> DataFrame:
     })
 
 
-def hits(products: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule that applies to a distinct product, with its order."""
+def hits(products: DataFrame, book: Book, kinds: list[str] | None = None) -> DataFrame:
+    """Every rule (of the kinds, if given) that applies to a distinct product, with its order."""
+    rules = book.table(products.sparkSession)
+    rules = rules if kinds is None else rules.where(F.col("kind").isin(*kinds))
     kind, token, hay = F.col("kind"), F.col("token"), F.col("_hay")
     nonfood = (F.size("_path") > 0) & (F.get("_path", F.lit(0)) != FOOD_ROOT)
-    veto = F.exists(F.array(*map(F.lit, VETO)), lambda v: F.contains(F.col("_hay"), v))
+    veto = holds_any(hay, book.veto)
     in_hay, at_node = F.contains(hay, token), F.array_contains("_path", token)
     applies = (
         F.when(kind.isin("form", "flavour", "keyword"), in_hay).when(kind == "caption", F.contains(F.col("_caption"), token) & (F.col("_caption") != ""))
-        .when(kind == "node", at_node).when(kind == "brand", F.contains(F.col("_brand"), token) | in_hay).when(kind == "vegan", hay.rlike(VEGAN))
+        .when(kind == "node", at_node).when(kind == "brand", F.contains(F.col("_brand"), token) | in_hay).when(kind == "vegan", begins_word(hay, book.vegan))
         .when(kind == "rescue", nonfood & in_hay & ~veto).when(kind == "aisle_node", nonfood & ~veto & at_node).when(kind == "aisle", nonfood & ~veto & in_hay)
         .when(kind == "nonfood", nonfood).otherwise(True)
     )
@@ -65,50 +79,50 @@ def hits(products: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("_order", F.struct("layer", depth.cast("int").alias("depth"), "rule", "tok"))
 
 
-def _redirect(slug: Column, caption: Column) -> Column:
-    preserved = F.exists(F.array(*map(F.lit, PRESERVED)), lambda t: F.contains(caption, t))
-    return F.when(slug.isin("fruits", "vegetables") & preserved, "pantry").otherwise(slug)
+def _redirect(slug: Column, caption: Column, book: Book) -> Column:
+    return F.when(slug.isin(*book.fresh) & holds_any(caption, book.preserved), book.pantry).otherwise(slug)
 
 
 _KEY = ["name", "brand", "path", "caption"]
 
 
-def classify(products: DataFrame, rules: DataFrame) -> DataFrame:
+def classify(products: DataFrame, book: Book, kinds: list[str] | None = None) -> DataFrame:
     """(name, brand, path, caption, slug, layer, token) of each distinct product."""
-    best = hits(products, rules).groupBy(*_KEY, "_caption").agg(F.min_by(F.struct("slug", "kind", "token"), "_order").alias("_b"))
-    return best.select(*_KEY, _redirect(F.col("_b.slug"), F.col("_caption")).alias("slug"), F.col("_b.kind").alias("layer"), F.col("_b.token").alias("token"))
+    best = hits(products, book, kinds).groupBy(*_KEY, "_caption").agg(F.min_by(F.struct("slug", "kind", "token"), "_order").alias("_b"))
+    return best.select(*_KEY, _redirect(F.col("_b.slug"), F.col("_caption"), book).alias("slug"), F.col("_b.kind").alias("layer"), F.col("_b.token").alias("token"))
 
 
-def explain(products: DataFrame, rules: DataFrame) -> DataFrame:
+def explain(products: DataFrame, book: Book) -> DataFrame:
     """The same with `layers`: what each layer would have decided, in order; the first one is the winner before the redirect."""
-    each = hits(products, rules).groupBy(*_KEY, "_caption", "layer", "kind").agg(F.min_by(F.struct("slug", "rule", "token"), "_order").alias("_d"))
+    each = hits(products, book).groupBy(*_KEY, "_caption", "layer", "kind").agg(F.min_by(F.struct("slug", "rule", "token"), "_order").alias("_d"))
     one = F.struct("layer", "kind", "_d.slug", "_d.rule", "_d.token")
     out = each.groupBy(*_KEY, "_caption").agg(F.array_sort(F.collect_list(one)).alias("layers"))  # at most one a layer
-    return out.select(*_KEY, _redirect(F.col("layers")[0]["slug"], F.col("_caption")).alias("slug"), "layers")
+    return out.select(*_KEY, _redirect(F.col("layers")[0]["slug"], F.col("_caption"), book).alias("slug"), "layers")
 
 
-def stale(products: DataFrame, rules: DataFrame, stored: str) -> DataFrame:
+def stale(products: DataFrame, book: Book, stored: str) -> DataFrame:
     """(was, now, n): how many rows' stored category differs from what the rules say."""
-    now = classify(products, rules).select(*[F.col(c).alias(f"_{c}") for c in _KEY], "slug")
+    now = classify(products, book).select(*[F.col(c).alias(f"_{c}") for c in _KEY], "slug")
     same = [products[c].eqNullSafe(now[f"_{c}"]) for c in _KEY]
     rows = products.join(now, same)
     return rows.where(F.col(stored) != F.col("slug")).groupBy(F.col(stored).alias("was"), F.col("slug").alias("now")).agg(F.count("*").alias("n"))
 
 
-def sub_group(name: Column, category: Column) -> Column:
-    """The first sub-group of the category whose keyword stands in the name."""
-    out = F.lit(None).cast("string")
-    for c, groups in reversed(GROUPS.items()):
-        inner = F.lit(None).cast("string")
-        for slug, tokens in reversed(groups):
-            hit = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(name), t))
-            inner = F.when(hit, slug).otherwise(inner)
+def sub_group(name: Column, category: Column, groups: dict[str, list[tuple[str, str, list[str]]]]) -> Column:
+    """struct<slug, label>: the first sub-group of the category, in its order, of which a keyword stands in the lower-case name; null if none."""
+    kind = "struct<slug:string,label:string>"
+    out = F.lit(None).cast(kind)
+    for c, own in reversed(groups.items()):
+        inner = F.lit(None).cast(kind)
+        for slug, label, tokens in reversed(own):
+            inner = F.when(holds_any(F.lower(name), tuple(tokens)), F.struct(F.lit(slug).alias("slug"), F.lit(label).alias("label"))).otherwise(inner)
         out = F.when(category == c, inner).otherwise(out)
     return out
 
 
-def organic(name: Column, brand: Column) -> Column:
-    return F.concat_ws(" ", F.lower(name), F.lower(brand)).rlike(ORGANIC)
+def organic(name: Column, brand: Column, marks: tuple[str, ...] = ORGANIC) -> Column:
+    """Whether a word of name or brand begins like an organic mark."""
+    return F.coalesce(begins_word(F.lower(F.concat_ws(" ", name, brand)), marks), F.lit(False))
 
 
 def shadowed(rules: DataFrame) -> DataFrame:

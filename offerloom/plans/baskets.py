@@ -74,15 +74,20 @@ def basket(spark, sf_dir):
     return op.basket_plan(offers(spark, sf_dir), _items(spark))
 
 
-_HISTORY = [("red bolt", "Brand#2", "dairy", ["red", "bolt"]), ("gone thing", "Brand#7", "fruits", ["gone", "gear"]), ("lost ring", "NoBrand", "bakery", ["lost", "ring"]), ("void", "NoBrand", "nothing", ["void"])]
-_HROWS = ", ".join(f"('{k}', '{b}', '{g}', {t})" for k, b, g, t in _HISTORY)
-
-
-@query("q13_history_tiers", f""", h AS (SELECT * FROM (VALUES {_HROWS}) v(key, brand, "group", tokens)), n AS (SELECT ext, price_cents, {_KEY} AS k, brand, category, string_split({_KEY}, ' ') AS t FROM offers),
-m AS (SELECT h.key, CASE WHEN n.k = h.key THEN 1 WHEN n.brand = h.brand THEN 2 ELSE 3 END AS tier, ext, price_cents, len(list_intersect(h.tokens, n.t)) AS shared
-  FROM h JOIN n ON n.k = h.key OR n.brand = h.brand OR n.category = h."group"),
+_HISTORY = [
+    ("red bolt", "Brand#2", "dairy", ["red", "bolt"]), ("gone thing", "BRAND 7", "fruits", ["gone", "gear"]), ("lost ring", None, "bakery", ["lost", "ring"]), ("void", "NoBrand", "dairy", ["void"]),
+    ("old part", "7 brand", None, ["old", "plate"]), ("no letters", "!!", "fruits", ["no"]), ("empty", "", "fruits", ["hot"]),
+]
+_HROWS = ", ".join(f"('{k}', {'NULL' if b is None else repr(b)}, {'NULL' if g is None else repr(g)}, {t})" for k, b, g, t in _HISTORY)
+_BKEY = "trim(regexp_replace(lower({c}), '[^a-z0-9äöüß]+', ' ', 'g'))"
+
+
+@query("q13_history_tiers", f""", h AS (SELECT *, list_filter(string_split({_BKEY.format(c='brand')}, ' '), lambda x: x <> '') AS want FROM (VALUES {_HROWS}) v(key, brand, "group", tokens)),
+n AS (SELECT ext, price_cents, {_KEY} AS k, {_BKEY.format(c='brand')} AS b, category, string_split({_KEY}, ' ') AS t FROM offers),
+m AS (SELECT h.key, CASE WHEN n.k = h.key THEN 1 WHEN coalesce(h.brand, '') <> '' THEN 2 ELSE 3 END AS tier, ext, price_cents, len(list_filter(n.t, lambda x: list_contains(h.tokens, x))) AS shared
+  FROM h JOIN n ON n.k = h.key OR (coalesce(h.brand, '') <> '' AND len(want) > 0 AND list_has_all(CASE WHEN n.b <> '' THEN string_split(n.b, ' ') ELSE n.t END, want)) OR (coalesce(h.brand, '') = '' AND n.category = h."group")),
 b AS (SELECT * FROM m QUALIFY tier = min(tier) OVER (PARTITION BY key))
-SELECT key, tier, ext, row_number() OVER (PARTITION BY key ORDER BY shared DESC, price_cents, ext) AS rank FROM b QUALIFY rank <= 8""")
+SELECT key, tier, ext, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN tier = 1 THEN 0 ELSE shared END DESC, price_cents, ext) AS rank FROM b QUALIFY tier = 1 OR rank <= 8""")
 def tiers(spark, sf_dir):
     history = values(spark, _HISTORY, "key string, brand string, group string, tokens array<string>")
     return mt.history_tiers(history, offers(spark, sf_dir))

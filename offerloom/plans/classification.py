@@ -9,6 +9,19 @@ from offerloom.plans.registry import query
 from offerloom.sources.tables import table
 
 
+#: A small set of rules that meets every layer.
+BOOK = ru.Book(
+    {
+        "vegan": [("vegan", [""])], "rescue": [("fruits", ["widget", "gizmo"]), ("pantry", ["rod"])], "aisle_node": [("tools", ["tools"]), ("paper", ["paper"])], "aisle": [("care", ["plate"]), ("cleaning", ["anvil"])],
+        "nonfood": [("household", [""])], "form": [("frozen", [" cold "]), ("dried", ["anvil"])], "caption": [("preserves", ["dose"])], "node": [("hardware", ["metal"]), ("deals", ["promo"]), ("bulk", ["large"])],
+        "brand": [("premium", ["brand#12"]), ("budget", ["brand#7"])], "flavour": [("spicy", ["hot"])], "keyword": [("vegetables", ["ring"]), ("fruits", ["gizmo", "gear"]), ("bakery", ["bolt"]), ("fruits", ["blue ring"])],
+        "fallback": [("other", [""])],
+    },
+    vegan=("new r",), veto=("old",), preserved=("glas",),
+)
+GROUPS = {"fruits": [("gears", "Gears", ["gear"]), ("gizmos", "Gizmos and widgets", ["gizmo", "widget"])], "bakery": [("bolts", "Bolts", ["bolt"])]}
+
+
 def products(spark, sf_dir):
     """Parts with a category path and a caption made from their size, so that every layer is met."""
     size = F.col("p_size")
@@ -17,7 +30,7 @@ def products(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), path.alias("path"), caption.alias("caption"), F.lower("p_type").alias("stored"))
 
 
-_ROWS = ", ".join(f"({layer}, '{kind}', {rule}, {tok}, '{token}', '{slug}')" for layer, kind, rule, tok, token, slug in ru.rule_rows())
+_ROWS = ", ".join(f"({layer}, '{kind}', {rule}, {tok}, '{token}', '{slug}')" for layer, kind, rule, tok, token, slug in BOOK.rows())
 _HITS = f"""p AS (SELECT p_partkey, lower(p_type) AS stored, p_name AS name, ' ' || lower(p_name) || ' ' || lower(p_brand) || ' ' AS hay, lower(p_brand) AS brand,
   CASE p_size % 4 WHEN 1 THEN ['food', lower(p_type)] WHEN 2 THEN ['garden', 'tools'] WHEN 3 THEN ['house', 'metal'] ELSE [] END AS path,
   CASE p_size % 5 WHEN 0 THEN 'in dose' WHEN 1 THEN 'im glas' ELSE '' END AS caption FROM part),
@@ -42,27 +55,27 @@ def _joined(rows, found, columns):
 @query("c09_classify", f"WITH {_HITS} SELECT p_partkey, final AS slug, kind AS layer, token FROM w", views=False)
 def classified(spark, sf_dir):
     rows = products(spark, sf_dir)
-    return _joined(rows, ru.classify(rows, ru.rule_table(spark)), ["slug", "layer", "token"]).select("p_partkey", "slug", "layer", "token")
+    return _joined(rows, ru.classify(rows, BOOK), ["slug", "layer", "token"]).select("p_partkey", "slug", "layer", "token")
 
 
 @query("c10_explain", f"""WITH {_HITS}, l AS (SELECT p_partkey, string_agg(kind || '=' || slug, ' ' ORDER BY layer) AS trace, count(*) AS n FROM f WHERE own = 1 GROUP BY p_partkey)
 SELECT p_partkey, final AS slug, trace, n AS n_layers FROM l JOIN w USING (p_partkey)""", views=False)
 def explained(spark, sf_dir):
     rows = products(spark, sf_dir)
-    out = _joined(rows, ru.explain(rows, ru.rule_table(spark)), ["slug", "layers"])
+    out = _joined(rows, ru.explain(rows, BOOK), ["slug", "layers"])
     trace = F.array_join(F.transform("layers", lambda x: F.concat_ws("=", x["kind"], x["slug"])), " ")
     return out.select("p_partkey", "slug", trace.alias("trace"), F.size("layers").cast("long").alias("n_layers"))
 
 
 @query("c11_stale", f"WITH {_HITS} SELECT stored AS was, final AS now, count(*) AS n FROM w WHERE stored <> final GROUP BY ALL", views=False)
 def stale_rows(spark, sf_dir):
-    return ru.stale(products(spark, sf_dir), ru.rule_table(spark), "stored")
+    return ru.stale(products(spark, sf_dir), BOOK, "stored")
 
 
 @query("k04_recategorise", f"WITH {_HITS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE stored <> final) AS n_changed FROM w", views=False)
 def recategorised(spark, sf_dir):
     rows = products(spark, sf_dir)
-    return _joined(rows, ru.classify(rows, ru.rule_table(spark)), ["slug"]).agg(F.count("*").alias("n_rows"), F.count_if(F.col("stored") != F.col("slug")).alias("n_changed"))
+    return _joined(rows, ru.classify(rows, BOOK), ["slug"]).agg(F.count("*").alias("n_rows"), F.count_if(F.col("stored") != F.col("slug")).alias("n_changed"))
 
 
 @query("g07_transition_diff", f"""WITH {_HITS}, o AS (SELECT p_partkey AS id, stored AS slug FROM w WHERE p_partkey % 10 <> 3), n AS (SELECT p_partkey AS id, final AS slug FROM w WHERE p_partkey % 10 <> 4)
@@ -71,24 +84,39 @@ def transitions(spark, sf_dir):
     from offerloom.operators.gates import transition_diff
 
     rows = products(spark, sf_dir)
-    now = _joined(rows, ru.classify(rows, ru.rule_table(spark)), ["slug"])
+    now = _joined(rows, ru.classify(rows, BOOK), ["slug"])
     old = rows.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("id"), F.col("stored").alias("slug"))
     return transition_diff(old, now.where("p_partkey % 10 <> 4").select(F.col("p_partkey").alias("id"), "slug"))
 
 
 @query("c13_subgroup", """SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN CASE WHEN contains(p_name, 'gear') THEN 'gears' WHEN contains(p_name, 'gizmo') OR contains(p_name, 'widget') THEN 'gizmos' END
-  WHEN 'SMALL' THEN CASE WHEN contains(p_name, 'bolt') THEN 'bolts' END END AS sub_group FROM part""", views=False)
+  WHEN 'SMALL' THEN CASE WHEN contains(p_name, 'bolt') THEN 'bolts' END END AS sub_group, CASE sub_group WHEN 'gears' THEN 'Gears' WHEN 'gizmos' THEN 'Gizmos and widgets' WHEN 'bolts' THEN 'Bolts' END AS label FROM part""", views=False)
 def sub_groups(spark, sf_dir):
     category = F.when(F.col("p_type") == "STANDARD", "fruits").when(F.col("p_type") == "SMALL", "bakery")
-    return table(spark, sf_dir, "part").select("p_partkey", ru.sub_group(F.col("p_name"), category).alias("sub_group"))
+    return table(spark, sf_dir, "part").select("p_partkey", ru.sub_group(F.col("p_name"), category, GROUPS).alias("_g")).select("p_partkey", F.col("_g.slug").alias("sub_group"), "_g.label")
+
+
+#: Names around the organic and plant-based marks; a part's key picks one.
+MARKED = ("{p}", "Bio {p}", "{p} Demeter", "Symbiose {p}", "Ökomilch", "OEKO-{p}", "Antibiotikafrei", "Red Grapes", "Alnatura {p}", "Vegane {p}", "Oatly {p}", "unvegan", "Pflanzliche {p}", "Like Meat {p}")
+_MARKED = f"m AS (SELECT p_partkey, replace(({list(MARKED)!r})[p_partkey % {len(MARKED)} + 1], '{{p}}', p_name) AS name, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS brand FROM part)"
 
 
-@query("c14_organic", "SELECT p_partkey, regexp_matches(lower(p_name) || ' ' || lower(p_brand), '(^|[^0-9a-zäöüß])(bio|organic|red g)') AS organic FROM part", views=False)
+def _marked(spark, sf_dir):
+    name = F.replace(F.element_at(F.array(*map(F.lit, MARKED)), (F.col("p_partkey") % len(MARKED) + 1).cast("int")), F.lit("{p}"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).alias("brand"))
+
+
+@query("c14_organic", f"WITH {_MARKED} SELECT p_partkey, regexp_matches(lower(name || ' ' || coalesce(brand, '')), '(^|[^0-9a-zäöüß])({'|'.join(ru.ORGANIC)})') AS organic FROM m", views=False)
 def organic_parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", ru.organic(F.col("p_name"), F.col("p_brand")).alias("organic"))
+    return _marked(spark, sf_dir).select("p_partkey", ru.organic(F.col("name"), F.col("brand")).alias("organic"))
+
+
+@query("c00_vegan", f"WITH {_MARKED} SELECT p_partkey, regexp_matches(lower(name || ' ' || coalesce(brand, '')), '(^|[^0-9a-zäöüß])({'|'.join(ru.VEGAN)})') AS vegan FROM m", views=False)
+def vegan_parts(spark, sf_dir):
+    return _marked(spark, sf_dir).select("p_partkey", ru.organic(F.col("name"), F.col("brand"), ru.VEGAN).alias("vegan"))
 
 
 @query("g06_shadowing", f"""WITH r AS (SELECT * FROM (VALUES {_ROWS}) v(layer, kind, rule, tok, token, slug))
 SELECT b.kind, b.token, b.slug, a.token AS earlier_token, a.slug AS earlier_slug FROM r b JOIN r a ON a.kind = b.kind AND a.rule < b.rule AND a.slug <> b.slug AND a.token <> '' AND contains(b.token, a.token)""", views=False)
 def shadowing(spark, sf_dir):
-    return ru.shadowed(ru.rule_table(spark))
+    return ru.shadowed(BOOK.table(spark))

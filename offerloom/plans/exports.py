@@ -24,12 +24,18 @@ def candidates_json(df: DataFrame, categories: list[str], size: int = 12) -> Dat
     return rows.groupBy("chain").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "offers"))))).alias("json"))
 
 
-def manifest(df: DataFrame, per_sheet: int = 20) -> DataFrame:
-    """(sheet, cell, product, ext): distinct products by trimmed lower-case name, the first ext of each, in sheets."""
+def manifest(df: DataFrame, per_sheet: int = 20, prefix: int = 4) -> DataFrame:
+    """(sheet, cell, product, ext): distinct products by trimmed lower-case name, the first ext of each, in sheets.
+
+    Products are numbered inside their first `prefix` characters, a task each, and after the products of smaller prefixes, which are counted.
+    """
     product = F.lower(F.trim("name"))
-    one = df.groupBy(product.alias("product")).agg(F.min("ext").alias("ext"))
-    n = F.row_number().over(Window.orderBy("product")) - 1  # distinct product names are few
-    return one.withColumn("_n", n).select((F.floor(F.col("_n") / per_sheet) + 1).cast("int").alias("sheet"), (F.col("_n") % per_sheet + 1).cast("int").alias("cell"), "product", "ext")
+    one = df.groupBy(product.alias("product")).agg(F.min("ext").alias("ext")).withColumn("_p", F.substring("product", 1, prefix))
+    counts = one.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = one.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("product")) - 1).join(before, one["_p"].eqNullSafe(before["_p"]))
+    n = F.col("_before") + F.col("_k")
+    return ranked.select((F.floor(n / per_sheet) + 1).cast("int").alias("sheet"), (n % per_sheet + 1).cast("int").alias("cell"), "product", "ext")
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

@@ -192,10 +192,10 @@ def shelf(spark, sf_dir):
     return rk.shelves(offers(spark, sf_dir), rk.by_discount()).select("category", "ext", "rank", "total")
 
 
-@query("w06_cards", """, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY discount_pct IS NOT NULL DESC, discount_pct DESC NULLS LAST, price_cents, ext) AS rank FROM offers WHERE store_id % 7 = 1)
+@query("w06_cards", """, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY discount_pct IS NOT NULL DESC, discount_pct DESC NULLS LAST, price_cents, ext) AS rank FROM offers)
 SELECT category, ext, rank FROM r WHERE rank <= 3""")
 def card(spark, sf_dir):
-    return rk.cards(offers(spark, sf_dir).where(F.col("store_id") % 7 == 1)).select("category", "ext", "rank")
+    return rk.cards(offers(spark, sf_dir)).select("category", "ext", "rank")
 
 
 @query("w07_sections", """, g AS (SELECT CASE WHEN name LIKE 'old%' THEN NULL ELSE split_part(name, ' ', 2) END AS "group", price_cents FROM offers)
@@ -204,14 +204,16 @@ def group_sections(spark, sf_dir):
     return rk.sections(offers(spark, sf_dir), F.when(~F.col("name").startswith("old"), F.split_part("name", F.lit(" "), F.lit(2))))
 
 
-@query("o04_sort_modes", """, u AS (SELECT ext, discount_pct FROM offers WHERE store_id = 3)
-SELECT ext, row_number() OVER (ORDER BY discount_pct DESC NULLS LAST, ext) AS position FROM u""")
+@query("o04_sort_modes", """, u AS (SELECT store_id, ext, price_cents, discount_pct, CAST(nullif(regexp_extract(per_unit, '^1 ?kg = ([0-9]+[.,][0-9]+)', 1), '') AS VARCHAR) AS a, nullif(regexp_extract(per_unit, '^([0-9.]+) €/kg', 1), '') AS b FROM offers),
+v AS (SELECT *, CAST(replace(coalesce(a, b), ',', '.') AS DECIMAL(18,2)) AS unit FROM u)
+SELECT store_id, ext, row_number() OVER (PARTITION BY store_id ORDER BY price_cents NULLS LAST, ext) AS by_price, row_number() OVER (PARTITION BY store_id ORDER BY discount_pct DESC NULLS LAST, ext) AS by_discount,
+  row_number() OVER (PARTITION BY store_id ORDER BY unit NULLS LAST, ext) AS by_unit FROM v""")
 def sort_modes(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    one = offers(spark, sf_dir).where(F.col("store_id") == 3)
-    order = rk.sort_key("discount", F.lit(None))
-    return one.select("ext", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    rows = offers(spark, sf_dir).withColumn("unit_cents", unit_price_cents("per_unit"))
+    place = lambda mode: F.row_number().over(Window.partitionBy("store_id").orderBy(*rk.sort_key(mode, F.col("unit_cents"))))
+    return rows.select("store_id", "ext", *[place(m).alias(f"by_{m}") for m in ("price", "discount", "unit")])
 
 
 @query("k05_seed", """, r AS (SELECT chain, category, name, price_cents, ext, row_number() OVER (PARTITION BY chain, category ORDER BY price_cents, ext) AS rank FROM offers),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from offerloom.operators.matching import best_matches, keyword_matches
-from offerloom.operators.ranking import first_of
+from offerloom.operators.matching import keyword_matches
 
 
 def cheapest_cells(df: DataFrame, categories: list[str]) -> DataFrame:
@@ -16,21 +16,29 @@ def cheapest_cells(df: DataFrame, categories: list[str]) -> DataFrame:
     return best.select("store_id", "category", "_b.ext", "_b.price_cents")
 
 
+def _single(cells: DataFrame, key: str, found: str, total: str) -> DataFrame:
+    """One row (key, found, total): the key with the most cells, then the least total, then the smallest key."""
+    sums = cells.groupBy(key).agg(F.count("*").alias(found), F.sum("price_cents").alias(total))
+    best = sums.agg(F.min_by(F.struct(key, found, total), F.struct(-F.col(found), F.col(total), F.col(key))).alias("_b"))
+    return best.where("_b is not null").select("_b.*")
+
+
 def single_store(df: DataFrame, categories: list[str]) -> DataFrame:
     """The store that covers the most categories, then the cheapest, then the smallest id: its picks and its total."""
     cells = cheapest_cells(df, categories)
-    totals = cells.groupBy("store_id").agg(F.count("*").alias("covered"), F.sum("price_cents").alias("total"))
-    best = totals.orderBy(F.desc("covered"), "total", "store_id").limit(1)
-    return cells.join(F.broadcast(best), "store_id").select("store_id", "category", "ext", "price_cents", "covered", "total")
+    return cells.join(F.broadcast(_single(cells, "store_id", "covered", "total")), "store_id").select("store_id", "category", "ext", "price_cents", "covered", "total")
 
 
 def many_stores(df: DataFrame, categories: list[str]) -> DataFrame:
-    """The cheapest offer of each category over all stores, with totals and what it saves against single_store()."""
+    """The cheapest offer of each category over all stores, with totals and what it saves against single_store().
+
+    All comes from the cells of store and category, which Spark computes once and reads again from their exchange.
+    """
     cells = cheapest_cells(df, categories)
-    picks = first_of(cells, ["category"], [F.col("price_cents").asc(), F.col("store_id").asc()])
-    single = single_store(df, categories).agg(F.max("total").alias("_single"))
-    total = picks.agg(F.sum("price_cents").alias("total"), F.countDistinct("store_id").alias("n_stores"), F.count("*").alias("_found"))
-    out = picks.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(single))  # one row each
+    best = cells.groupBy("category").agg(F.min_by(F.struct("store_id", "ext", "price_cents"), F.struct("price_cents", "store_id")).alias("_b"))
+    every = Window.partitionBy()  # at most a row for each category asked for
+    picks = best.select("category", "_b.*").withColumns({"total": F.sum("price_cents").over(every), "n_stores": F.size(F.collect_set("store_id").over(every)).cast("long"), "_found": F.count("*").over(every)})
+    out = picks.crossJoin(F.broadcast(_single(cells, "store_id", "_covered", "_single").drop("store_id")))  # one row
     saved = F.greatest(F.col("_single") - F.col("total"), F.lit(0))
     return out.select("category", "store_id", "ext", "price_cents", "total", "n_stores", saved.alias("savings"), (F.lit(len(categories)) - F.col("_found")).alias("n_missing"))
 
@@ -38,13 +46,13 @@ def many_stores(df: DataFrame, categories: list[str]) -> DataFrame:
 def basket_plan(df: DataFrame, items: DataFrame) -> DataFrame:
     """Each item's cheapest match; the plan's total; the chain that alone matches the most items at the least cost.
 
-    savings is null unless that chain covers as many items as the plan.
+    savings is null unless that chain covers as many items as the plan. All comes from the cells of chain and item.
     """
-    matches = keyword_matches(df, items)
-    picks = best_matches(matches, ["item"]).select("item", "ext", "chain", "price_cents")
-    plan = picks.agg(F.count("*").alias("matched"), F.sum("price_cents").alias("total"))
-    alone = best_matches(matches, ["chain", "item"]).groupBy("chain").agg(F.count("*").alias("single_items"), F.sum("price_cents").alias("single_total"))
-    alone = alone.orderBy(F.desc("single_items"), "single_total", "chain").limit(1).withColumnRenamed("chain", "single_chain")
-    out = picks.crossJoin(F.broadcast(plan)).crossJoin(F.broadcast(alone))
+    best = keyword_matches(df, items).groupBy("chain", "item").agg(F.min_by(F.struct("ext", "price_cents"), F.struct("price_cents", "ext")).alias("_b"))
+    cells = best.select("chain", "item", "_b.*")
+    first = cells.groupBy("item").agg(F.min_by(F.struct("ext", "chain", "price_cents"), F.struct("price_cents", "ext")).alias("_b"))
+    every = Window.partitionBy()  # at most a row for each item of the list
+    picks = first.select("item", "_b.*").withColumns({"matched": F.count("*").over(every), "total": F.sum("price_cents").over(every)})
+    out = picks.crossJoin(F.broadcast(_single(cells, "chain", "single_items", "single_total").withColumnRenamed("chain", "single_chain")))  # one row
     saved = F.when(F.col("single_items") == F.col("matched"), F.col("single_total") - F.col("total"))
     return out.select("item", "ext", "chain", "price_cents", "matched", "total", "single_chain", "single_items", "single_total", saved.alias("savings"))

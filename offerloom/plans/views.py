@@ -93,12 +93,12 @@ def chain_order(spark, sf_dir):
     return out.withColumn("position", F.row_number().over(Window.orderBy(place.asc_nulls_last(), "chain")))
 
 
-@query("o09_history_order", f""", h AS (SELECT name AS key, max(valid_from) AS last, max(CASE WHEN valid_to IS NULL OR valid_to >= DATE '{TODAY}' THEN 1 ELSE 0 END) AS live FROM offers WHERE store_id = 1 GROUP BY name)
-SELECT key, live = 1 AS on_sale, row_number() OVER (ORDER BY live DESC, last DESC, key) AS position FROM h""")
+@query("o09_history_order", f""", h AS (SELECT store_id, name AS key, max(valid_from) AS last, max(CASE WHEN valid_to IS NULL OR valid_to >= DATE '{TODAY}' THEN 1 ELSE 0 END) AS live FROM offers GROUP BY ALL)
+SELECT store_id, key, live = 1 AS on_sale, row_number() OVER (PARTITION BY store_id ORDER BY live DESC, last DESC, key) AS position FROM h""")
 def history_order(spark, sf_dir):
     live = F.coalesce(F.col("valid_to") >= F.lit(TODAY).cast("date"), F.lit(True))
-    out = equal_to(offers(spark, sf_dir), store_id=1).groupBy(F.col("name").alias("key")).agg(F.max("valid_from").alias("_last"), F.bool_or(live).alias("on_sale"))
-    return out.select("key", "on_sale", F.row_number().over(Window.orderBy(F.desc("on_sale"), F.desc("_last"), "key")).alias("position"))
+    out = offers(spark, sf_dir).groupBy("store_id", F.col("name").alias("key")).agg(F.max("valid_from").alias("_last"), F.bool_or(live).alias("on_sale"))
+    return out.select("store_id", "key", "on_sale", F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("on_sale"), F.desc("_last"), "key")).alias("position"))
 
 
 @query("k06_manifest", """, p AS (SELECT lower(trim(name)) AS product, min(ext) AS ext FROM offers GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY product) - 1 AS k FROM p)
@@ -142,10 +142,11 @@ def hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", dp.first_containing(F.col("url"), [("shop", "shop"), ("blog", "blog")], "other").alias("source"))
 
 
-@query("s15_payload_map", " SELECT plz, count(*) AS n, count(DISTINCT ext) AS keys FROM offers GROUP BY plz")
+@query("s15_payload_map", """ SELECT ext AS key, '{"name":"' || name || '","brand":"' || brand || '","price_cents":' || price_cents || '}' AS payload FROM offers WHERE plz = '10130'""")
 def payloads(spark, sf_dir):
-    rows = offers(spark, sf_dir).select("plz", "ext", F.to_json(F.struct("name", "brand", "price_cents")).alias("payload"))
-    return rows.groupBy("plz").agg(F.count("payload").alias("n"), F.count_distinct("ext").alias("keys"))
+    """The map from key to payload that a place is served, as rows."""
+    rows = equal_to(offers(spark, sf_dir), plz="10130")
+    return rows.select(F.col("ext").alias("key"), F.to_json(F.struct("name", "brand", "price_cents")).alias("payload"))
 
 
 @query("s14_point_lookup", " SELECT store_id, chain, store_name, plz FROM stores WHERE store_id = 3")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import filters, matching, places, ranking, rules, upsert
 from offerloom.operators.history import stats, trail
 from offerloom.plans import optimise
+from offerloom.plans.classification import BOOK
 from offerloom.plans.recipes import suits
 from offerloom.sources import feeds
 from offerloom.streaming import throttle
@@ -59,9 +60,9 @@ def test_optimiser_prefers_coverage(spark):
 
 
 def test_two_chains(spark):
-    df = offers(spark, {"name": "Coca Cola", "price_cents": 149}, {"chain": "south", "name": "Coca-Cola", "price_cents": 399}, {"chain": "south", "name": "only"}, {"chain": "south", "name": "***"})
+    df = offers(spark, {"name": "Apfel Schorle", "price_cents": 155}, {"chain": "south", "name": "Apfel-Schorle", "price_cents": 395}, {"chain": "south", "name": "only"}, {"chain": "south", "name": "***"})
     got = {r["key"]: r for r in matching.two_chains(df, "north", "south").collect()}
-    assert got["coca cola"]["gap"] == 250 and got["coca cola"]["cheaper"] == "north" and got["only"]["kind"] == "only_b" and len(got) == 2
+    assert got["apfel schorle"]["gap"] == 240 and got["apfel schorle"]["cheaper"] == "north" and got["only"]["kind"] == "only_b" and len(got) == 2
 
 
 def test_basket_keeps_null_brands(spark):
@@ -72,19 +73,31 @@ def test_basket_keeps_null_brands(spark):
 
 
 def test_classifier_agrees_with_its_trace_and_ablation(spark):
-    table = rules.rule_table(spark)
     rows = [("cold ring", "Brand#7", ["food", "large"], ""), ("old rod", "b", ["garden", "x"], ""), ("blue widget", None, ["garden"], None), ("new ring", "b", None, "im Glas"), ("hot ring", "b", None, "im Glas"), ("nothing", None, None, "")]
     df = spark.createDataFrame(rows, "name string, brand string, path array<string>, caption string")
-    won = {r["name"]: r for r in rules.classify(df, table).collect()}
-    for r in rules.explain(df, table).collect():
+    won = {r["name"]: r for r in rules.classify(df, BOOK).collect()}
+    for r in rules.explain(df, BOOK).collect():
         assert r["slug"] == won[r["name"]]["slug"] and r["layers"][0]["kind"] == won[r["name"]]["layer"]
     assert won["cold ring"]["slug"] == "frozen" and won["old rod"]["slug"] == "household" and won["blue widget"]["slug"] == "fruits"
     assert won["new ring"]["layer"] == "vegan" and won["hot ring"]["slug"] == "spicy" and won["nothing"]["slug"] == "other"
-    again = {r["name"]: r["slug"] for r in rules.classify(df, table.where("kind <> 'form'")).collect()}
-    trace = {r["name"]: r["layers"] for r in rules.explain(df, table).collect()}
+    again = {r["name"]: r["slug"] for r in rules.classify(df, BOOK, [k for k in rules.KINDS if k != "form"]).collect()}
+    trace = {r["name"]: r["layers"] for r in rules.explain(df, BOOK).collect()}
     assert again["cold ring"] == trace["cold ring"][1]["slug"]
 
 
+def test_history_keeps_all_exact_matches_and_takes_the_group_only_without_a_brand(spark):
+    rows = [{"name": "Feta Käse", "price_cents": 300 - k, "store_id": k} for k in range(12)]
+    rows += [{"name": "Pommes", "brand": "Frost & Gold", "price_cents": 120}, {"name": "Frost Erbsen", "price_cents": 90}, {"name": "Frost Bier", "brand": "Hopfen", "price_cents": 80}, {"name": "FROST Pommes fein", "brand": "FROST", "price_cents": 200}]
+    df = offers(spark, *rows)
+    items = [("feta käse", "Hopfen", "dairy", ["feta", "käse"]), ("pommes fein", "frost", "dairy", ["pommes", "fein"]), ("nichts", "Unbekannt", "dairy", ["nichts"]), ("lose ware", None, "dairy", ["feta"])]
+    got = matching.history_tiers(spark.createDataFrame(items, "key string, brand string, group string, tokens array<string>"), df, related=3).orderBy("key", "rank").collect()
+    by = lambda k: [(r["tier"], r["ext"]) for r in got if r["key"] == k]
+    ext = {(r["name"], r["price_cents"]): r["ext"] for r in df.collect()}
+    assert by("feta käse") == [(1, ext["Feta Käse", 300 - k]) for k in range(11, -1, -1)]
+    assert by("pommes fein") == [(2, ext["FROST Pommes fein", 200]), (2, ext["Pommes", 120]), (2, ext["Frost Erbsen", 90])]
+    assert by("nichts") == [] and by("lose ware") == [(3, ext["Feta Käse", 300 - k]) for k in (11, 10, 9)]
+
+
 def test_upsert_and_toggle(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
     assert sorted(map(tuple, upsert.upsert(old, new, ["k"], [F.desc("v")]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
