@@ -50,3 +50,26 @@ def branches(df: DataFrame, lat: float, lng: float, chain: str | None = None, li
     rows = first_of(rows, ["chain", "_place"], [F.col("metres").asc(), F.col("store_id").asc()]).drop("_place")
     rows = rows if chain is None else rows.where(F.col("chain") == chain)
     return rows.orderBy("metres", "store_id").limit(limit)
+
+
+def nearest_tagged(df: DataFrame, lat: float, lng: float, tag: Column) -> DataFrame:
+    """(tag, store_id, metres): the tag of the nearest place that has one; places without a tag or coordinates are skipped."""
+    rows = with_distance(df, lat, lng).withColumn("tag", tag).where("tag is not null and metres is not null")
+    return rows.orderBy("metres", "store_id").limit(1).select("tag", "store_id", "metres")
+
+
+def source_store(df: DataFrame, lat: float, lng: float) -> DataFrame:
+    """The nearest place; places without coordinates come after all others."""
+    return with_distance(df, lat, lng).orderBy(F.col("metres").asc_nulls_last(), F.col("store_id").asc()).limit(1)
+
+
+def centroids(stores: DataFrame) -> DataFrame:
+    """(plz, lat, lng): the middle of the places of each postal code."""
+    return stores.groupBy("plz").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+
+
+def located(df: DataFrame, centres: DataFrame) -> DataFrame:
+    """df (plz, lat, lng) with coordinates from the postal code's middle where a row lacks either; null without one."""
+    both = df.join(centres.toDF("plz", "_lat", "_lng"), "plz", "left")
+    own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    return both.withColumns({"lat": F.when(own, F.col("lat")).otherwise(F.col("_lat")), "lng": F.when(own, F.col("lng")).otherwise(F.col("_lng"))}).drop("_lat", "_lng")

@@ -131,3 +131,10 @@ def shadowed(rules: DataFrame) -> DataFrame:
     earlier = (F.col("a.rule") < F.col("b.rule")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.slug") != F.col("b.slug"))
     found = b.join(a, earlier & F.contains(F.col("b.token"), F.col("a.token")) & (F.col("a.token") != ""))
     return found.select("b.kind", "b.token", "b.slug", F.col("a.token").alias("earlier_token"), F.col("a.slug").alias("earlier_slug"))
+
+
+def compact(explained: DataFrame) -> DataFrame:
+    """explain() with `trace`, a JSON text of what decided: nulls, empty tokens and an empty path are left out, and so is what follows from the layer's name."""
+    layers = F.transform("layers", lambda x: F.struct(x["kind"].alias("layer"), x["slug"].alias("slug"), F.nullif(x["token"], F.lit("")).alias("token")))
+    inputs = F.struct(F.when(F.size("path") > 0, F.col("path")).alias("category_path"))
+    return explained.withColumn("trace", F.to_json(F.struct(F.col("slug").alias("category"), inputs.alias("inputs"), layers.alias("layers"))))

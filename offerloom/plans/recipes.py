@@ -41,3 +41,13 @@ def ranked(recipes: DataFrame, df: DataFrame, chains: list[str], pantry: list[st
     out = rows.groupBy("recipe").agg(F.count_if(F.col("role") == "on_sale").alias("on_sale"), F.count_if(F.col("role") == "buy").alias("to_buy"), F.sum(F.when(F.col("role") == "on_sale", F.col("cents"))).alias("cost"))
     order = [F.desc("on_sale"), F.asc_nulls_last("cost"), F.asc("recipe")]
     return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a cookbook's length
+
+
+def chains_of(recipes: DataFrame, df: DataFrame) -> DataFrame:
+    """(recipe, chains): the chains that have its ingredients on sale at the least price, in the order of the ingredients; staples send nobody to a store."""
+    parts = recipes.select("recipe", F.posexplode("ingredients").alias("pos", "_i")).where(~F.col("_i.staple")).select("recipe", "pos", F.col("_i.word").alias("word"))
+    names = df.groupBy("name").agg(F.min(F.struct("price_cents", "ext", "chain")).alias("_b"))
+    found = names.join(F.broadcast(parts.select("word").distinct()), F.contains(fold("name"), fold("word"))).groupBy("word").agg(F.min("_b").alias("_b"))  # the words of a cookbook
+    rows = parts.join(found, "word").select("recipe", F.struct("pos", F.col("_b.chain").alias("chain")).alias("_c"))
+    lists = rows.groupBy("recipe").agg(F.array_distinct(F.array_sort(F.collect_list("_c"))["chain"]).alias("chains"))
+    return recipes.select("recipe").join(lists, "recipe", "left").select("recipe", F.coalesce("chains", F.expr("cast(array() as array<string>)")).alias("chains"))

@@ -123,16 +123,21 @@ def branch_list(spark, sf_dir):
     return pl.branches(stores(spark, sf_dir), 52.3, 13.4, "north").select("store_id", "chain", F.round("metres").cast("long").alias("metres"))
 
 
-def _deal(kind: str, euros) -> F.Column:
-    return F.concat(F.lit('{"type":"%s","max":' % kind), euros.cast("string"), F.lit(',"conditions":[{"other":"kg-Preis*"}]}'))
+def _deal(kind: str, euros, more: str = "") -> F.Column:
+    return F.concat(F.lit('{"type":"%s","max":' % kind), euros.cast("string"), F.lit(more + "}"))
+
+
+_KILO = ',"conditions":[{"other":"Festpreis"},{"other":" kg-Preis* "}]'
 
 
 def flyer_pages(spark, sf_dir):
     """Parts as flyer pages, one part a page; their size says which prices are given and which parts are malformed."""
     size, price = F.col("p_size"), F.col("p_retailprice")
+    sale, bonus = _deal("SALES_PRICE", price, _KILO), '{"type":"OTHER","description":"mit Karte\\njetzt 1,00 € Bonus sichern","conditions":[7]}'
     deals = (
-        F.when(size % 6 == 0, _deal("OTHER", price)).when(size % 6 == 1, F.concat_ws(",", _deal("SALES_PRICE", price), _deal("REGULAR_PRICE", price + 1)))
-        .when(size % 6 == 2, F.concat_ws(",", _deal("SALES_PRICE", price), _deal("RECOMMENDED_RETAIL_PRICE", price - 1))).otherwise(_deal("SALES_PRICE", price))
+        F.when(size % 6 == 0, _deal("OTHER", price, _KILO)).when(size % 6 == 1, F.concat_ws(",", _deal("SALES_PRICE", price, ',"conditions":[{"other":"Reise zum kg-Preis"}]'), _deal("REGULAR_PRICE", price + 1, _KILO)))
+        .when(size % 6 == 2, F.concat_ws(",", sale, _deal("RECOMMENDED_RETAIL_PRICE", price - 1), F.lit(bonus))).when(size % 6 == 3, F.concat_ws(",", sale, F.lit('{"type":"OTHER","conditions":[{"other":"x 0.50 €  bonus!"}]}')))
+        .otherwise(_deal("SALES_PRICE", price, ',"priceByBaseUnit":" 1 l = 3.33 "' + _KILO))
     )
     badge = F.when(size % 6 == 3, '{"type":"DISCOUNT_AMOUNT","value":"0,50"}').when(size % 6 == 4, '{"type":"DISCOUNT_PERCENTAGE","value":"20"}').otherwise("null")
     content = F.concat(F.lit('{"id":"'), F.col("p_partkey").cast("string"), F.lit('","discountLabel":'), badge, F.lit(',"products":[{"name":"'), F.col("p_name"), F.lit('","brandName":"'), F.col("p_brand"), F.lit('","description":[{"paragraph":"500 g"}],"categoryPaths":[{"id":"1","name":"food"}]}],"deals":['), deals, F.lit("]}"))
@@ -143,31 +148,40 @@ def flyer_pages(spark, sf_dir):
 @query("s02_flyer_offers", """WITH p AS (SELECT *, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part WHERE p_size % 6 NOT IN (0, 5))
 SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_name AS name, c AS price_cents, '500 g' AS unit,
   CASE p_size % 6 WHEN 1 THEN c + 100 WHEN 3 THEN c + 50 WHEN 4 THEN CAST(round(c / 0.8) AS BIGINT) END AS regular_cents,
-  '1 kg = ' || c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS base_unit FROM p""", views=False)
+  CASE p_size % 6 WHEN 4 THEN '1 l = 3.33' WHEN 1 THEN NULL ELSE '1 kg = ' || c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS base_unit,
+  CASE p_size % 6 WHEN 2 THEN '1,00 € Bonus' WHEN 3 THEN '0.50 €  bonus' END AS note FROM p""", views=False)
 def flyer(spark, sf_dir):
-    return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit")
+    return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit", "note")
 
 
 @query("s05_coupon_offers", """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 4 = 0 THEN 'Coupon' ELSE p_name END AS name, p_size * 100 + 9 AS price_cents, 'a bag' AS unit, '1998-06-01' AS valid_from
 FROM part WHERE p_size % 3 <> 0""", views=False)
 def coupons(spark, sf_dir):
+    out = fd.coupon_offers(coupon_pages(spark, sf_dir))
+    return out.select("id", "name", F.col("price_cents").cast("int").alias("price_cents"), "unit", F.col("valid_from").cast("string").alias("valid_from"))
+
+
+def coupon_pages(spark, sf_dir):
     size = F.col("p_size")
     box = F.when(size % 3 == 0, "null").otherwise(F.concat(F.lit('{"largePartNumeric":'), size.cast("string"), F.lit(',"smallPartNumeric":9}')))
     title = F.when(size % 4 == 0, "").otherwise(F.col("p_name"))
     page = F.concat(F.lit('{"offers":[{"id":"'), F.col("p_partkey").cast("string"), F.lit('","title":"'), title, F.lit('","packaging":"a bag\\nof it","startValidityDate":"1998-06-01T00:00:00Z","endValidityDate":"soon","priceBox":'), box, F.lit("},3]}"))
-    out = fd.coupon_offers(table(spark, sf_dir, "part").select(page.alias("json")))
-    return out.select("id", "name", F.col("price_cents").cast("int").alias("price_cents"), "unit", F.col("valid_from").cast("string").alias("valid_from"))
+    return table(spark, sf_dir, "part").select(page.alias("json"))
 
 
 @query("s06_clearance_offers", """WITH s AS (SELECT *, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c FROM supplier WHERE s_suppkey % 5 <> 0)
-SELECT s_suppkey AS gtin, 'B ' || s_name AS name, c AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN c + 100 END AS regular_cents FROM s WHERE c > 0""", views=False)
+SELECT s_suppkey AS gtin, 'B ' || s_name AS name, c AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN c + 100 END AS regular_cents, CASE WHEN s_suppkey % 3 = 0 THEN '1 l = 20.00' END AS base_unit FROM s WHERE c > 0""", views=False)
 def clearance(spark, sf_dir):
+    return fd.clearance_offers(clearance_pages(spark, sf_dir))
+
+
+def clearance_pages(spark, sf_dir):
     money = lambda x: F.concat(F.translate(F.format_number(x, 2), ",.", ".,"), F.lit(" €"))
     now, key = F.abs("s_acctbal"), F.col("s_suppkey")
-    price = F.concat(F.lit('{"price":{"current":{"value":"'), money(now), F.lit('"},"previous":{"value":"'), F.when(key % 2 == 0, money(now + 1)).otherwise(money(now)), F.lit('"}}}'))
+    price = F.concat(F.lit('{"price":{"current":{"value":"'), money(now), F.lit('"},"previous":{"value":"'), F.when(key % 2 == 0, money(now + 1)).otherwise(money(now)), F.lit('"}},"tileInfos":['), F.when(key % 3 == 0, '"75 ml (0,02 € je 1 ml)"').otherwise("null"), F.lit("]}"))
     mark = F.when(key % 5 == 0, '[{"alt":"Nur Online"}]').otherwise("[]")
     page = F.concat(F.lit('{"products":[{"gtin":'), key.cast("string"), F.lit(',"brandName":"B","title":"'), F.col("s_name"), F.lit('","tileData":{"eyecatchers":'), mark, F.lit(',"netPrice":{"price":{"current":{"value":"1,00 €"}}},"price":'), price, F.lit("}}]}"))
-    return fd.clearance_offers(table(spark, sf_dir, "supplier").select(page.alias("json")))
+    return table(spark, sf_dir, "supplier").select(page.alias("json"))
 
 
 @query("s03_discover", "SELECT p_partkey AS page_id, 'b' || p_partkey AS id, p_size AS pages, '1998-07-01' AS valid_until FROM part WHERE p_size % 2 = 1", views=False)

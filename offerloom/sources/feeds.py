@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from offerloom.functions.pricing import money_cents
+from offerloom.functions.pricing import base_unit_price, euros, money_cents
+
+
+#: Fixed value: how a bonus is written.
+BONUS = r"(?i)\d+[.,]\d{2}\s*€\s*Bonus"
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -42,7 +46,8 @@ def regular_from_badge(price: Column, kind: Column, value: Column) -> Column:
 def flyer_offers(pages: DataFrame) -> DataFrame:
     """(id, name, brand, price_cents, regular_cents, unit, base_unit, note, app_cents, category_path) of flyer pages (column json).
 
-    contents[].offers[].content is unnested twice; an offer without a positive sales price is dropped.
+    contents[].offers[].content is unnested twice; an offer without a positive sales price is dropped. base_unit is what the sales price states, else the
+    price itself if a condition of the sales price says that it is that of a kilogram; note is the bonus amount that another deal names.
     """
     page = pages.select(F.try_parse_json("json").alias("_p"))
     content = page.select(F.explode(_list(F.col("_p"), "$.contents")).alias("_c"))
@@ -52,15 +57,18 @@ def flyer_offers(pages: DataFrame) -> DataFrame:
     stated = _deal(F.col("_d"), "REGULAR_PRICE")
     advised = _deal(F.col("_d"), "RECOMMENDED_RETAIL_PRICE")
     badge = regular_from_badge(F.col("price_cents"), _get(F.col("c"), "$.discountLabel.type", "string"), _get(F.col("c"), "$.discountLabel.value", "string"))
-    lines = F.flatten(F.transform("_d", lambda d: F.transform(_list(d, "$.conditions"), lambda x: F.coalesce(_get(x, "$.other", "string"), F.lit("")))))
-    kilo = F.exists(lines, lambda x: F.lower(F.rtrim(F.regexp_replace(x, r"\*+$", ""))) == "kg-preis")
-    note = F.get(F.filter(lines, lambda x: x.rlike("(?i)karte|loyalty|bonus")), F.lit(0))
+    of = lambda kind: F.filter("_d", lambda d: _get(d, "$.type", "string") == kind)
+    said = lambda d: F.filter(F.transform(_list(d, "$.conditions"), lambda x: _get(x, "$.other", "string")), lambda x: x.isNotNull())
+    stated_unit = F.get(F.filter(F.transform(of("SALES_PRICE"), lambda d: F.trim(_get(d, "$.priceByBaseUnit", "string"))), lambda x: F.coalesce(x != "", F.lit(False))), F.lit(0))
+    kilo = F.exists(F.flatten(F.transform(of("SALES_PRICE"), said)), lambda x: F.lower(F.regexp_replace(F.trim(x), r"\*+$", "")) == "kg-preis")
+    lines = F.flatten(F.transform(of("OTHER"), lambda d: F.concat(F.split(F.coalesce(_get(d, "$.description", "string"), F.lit("")), r"\r?\n"), said(d))))
+    note = F.get(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, BONUS, 0)), lambda x: x != ""), F.lit(0))
     special = F.filter("_d", lambda d: (_get(d, "$.type", "string") == "SPECIAL_PRICE") & F.exists(_list(d, "$.conditions"), lambda x: F.lower(F.coalesce(_get(x, "$.other", "string"), F.lit(""))).contains("app")))
     return c.select(
         _get(F.col("c"), "$.id", "string").alias("id"), F.coalesce(F.nullif(F.trim(F.concat_ws(" ", "brand", "_n")), F.lit("")), F.lit("Angebot")).alias("name"), "brand", "price_cents",
         F.coalesce(F.when(stated > F.col("price_cents"), stated), F.when(advised > F.col("price_cents"), advised), badge).alias("regular_cents"),
         _get(F.col("c"), "$.products[0].description[0].paragraph", "string").alias("unit"),
-        F.when(kilo, F.concat(F.lit("1 kg = "), F.format_string("%d.%02d", F.floor(F.col("price_cents") / 100), F.col("price_cents") % 100))).alias("base_unit"), note.alias("note"),
+        F.coalesce(stated_unit, F.when(kilo, F.concat(F.lit("1 kg = "), euros(F.col("price_cents"))))).alias("base_unit"), note.alias("note"),
         F.get(F.transform(special, lambda d: cents(_get(d, "$.max", "double"))), F.lit(0)).alias("app_cents"),
         F.filter(F.transform(_list(F.col("c"), "$.products[0].categoryPaths"), lambda x: _get(x, "$.name", "string")), lambda x: x.isNotNull()).alias("category_path"),
     )
@@ -78,13 +86,34 @@ def coupon_offers(pages: DataFrame, default_name: str = "Coupon") -> DataFrame:
 
 
 def clearance_offers(pages: DataFrame) -> DataFrame:
-    """(gtin, name, price_cents, regular_cents) of clearance lists (column json): gross prices only, no online-only rows."""
+    """(gtin, name, price_cents, regular_cents, base_unit) of clearance lists (column json): gross prices only, no online-only rows."""
     p = pages.select(F.explode(_list(F.try_parse_json("json"), "$.products")).alias("p"))
     online = F.exists(_list(F.col("p"), "$.tileData.eyecatchers"), lambda e: F.lower(F.coalesce(_get(e, "$.alt", "string"), F.lit(""))).contains("online"))
     now = money_cents(_get(F.col("p"), "$.tileData.price.price.current.value", "string"))
     before = money_cents(_get(F.col("p"), "$.tileData.price.price.previous.value", "string"))
     name = F.concat_ws(" ", _get(F.col("p"), "$.brandName", "string"), _get(F.col("p"), "$.title", "string"))
-    return p.where(~online).select(_get(F.col("p"), "$.gtin", "long").alias("gtin"), name.alias("name"), now.alias("price_cents"), F.when(before > now, before).alias("regular_cents")).where("price_cents > 0")
+    return p.where(~online).select(_get(F.col("p"), "$.gtin", "long").alias("gtin"), name.alias("name"), now.alias("price_cents"), F.when(before > now, before).alias("regular_cents"), base_unit_price(_get(F.col("p"), "$.tileData.price.tileInfos[0]", "string")).alias("base_unit")).where("price_cents > 0")
+
+
+def batch(flyers: DataFrame, coupons: DataFrame, clearance: DataFrame) -> DataFrame:
+    """(source, id, name, price_cents, regular_cents, unit, per_unit): the offers of all three feeds in one table."""
+    text, none = (lambda c: F.col(c).cast("string")), (lambda kind: F.lit(None).cast(kind))
+    one = flyers.select(F.lit("flyer").alias("source"), "id", "name", F.col("price_cents").cast("long"), F.col("regular_cents").cast("long"), "unit", F.col("base_unit").alias("per_unit"))
+    two = coupons.select(F.lit("coupon").alias("source"), "id", "name", F.col("price_cents").cast("long"), none("long").alias("regular_cents"), "unit", none("string").alias("per_unit"))
+    three = clearance.select(F.lit("clearance").alias("source"), text("gtin").alias("id"), "name", F.col("price_cents").cast("long"), F.col("regular_cents").cast("long"), none("string").alias("unit"), F.col("base_unit").alias("per_unit"))
+    return one.unionByName(two).unionByName(three)
+
+
+def history_records(rows: DataFrame) -> DataFrame:
+    """(id, key, name, brand, cents, added) of saved records, a JSON array a row (column json): elements without key or name as text are dropped.
+
+    A record's time is `addedAt`, in older ones `likedAt`; what is missing or of another type is null.
+    """
+    e = rows.select("id", F.explode(_list(F.try_parse_json("json"), "$")).alias("e"))
+    typed = lambda path, kind: F.when(F.schema_of_variant(_get(F.col("e"), path, "variant")).isin(*kind), _get(F.col("e"), path, "string" if kind == ("STRING",) else "double"))
+    number = ("BIGINT", "DOUBLE", "DECIMAL(1,0)", "DECIMAL(2,1)", "DECIMAL(3,1)")
+    out = e.select("id", typed("$.key", ("STRING",)).alias("key"), typed("$.name", ("STRING",)).alias("name"), typed("$.brand", ("STRING",)).alias("brand"), typed("$.addedPriceCents", number).cast("long").alias("cents"), F.coalesce(typed("$.addedAt", number), typed("$.likedAt", number)).cast("long").alias("added"))
+    return out.where("key is not null and name is not null")
 
 
 def _walk(text: str | None, publisher: str | None) -> list[tuple]:
