@@ -38,10 +38,6 @@ def delta_message(before: Column, after: Column) -> Column:
     return F.when(after > before, F.concat((after - before).cast("string"), F.lit(" new"))).when(after < before, F.concat((before - after).cast("string"), F.lit(" removed")))
 
 
-def short_week(week: Column) -> Column:
-    return F.regexp_replace(week, r"^\d{4}-", "")
-
-
 def first_containing(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The label of the first rule whose text stands in the column."""
     out = F.lit(default)

@@ -41,16 +41,35 @@ def stats(df: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def trail(stats_: DataFrame, today: DataFrame) -> DataFrame:
-    """(key, tier, flat, noisy, verdict, pct_of_usual): what may be said of today's price (key, cents) beside its history.
+def facts(df: DataFrame, key: Column, points: int = MAX_POINTS) -> DataFrame:
+    """stats() with `series`, the newest weeks: what an index of prices holds of a product."""
+    return stats(df, key).join(weekly_series(df, key).withColumn("series", newest(F.col("series"), points)), "key")
 
-    tier: 0 without history, then 1, 2 or 3 by weeks seen. A noisy series has neither verdict nor per cent.
+
+def short_week(week: Column) -> Column:
+    """`W07` of `1998-W07`."""
+    return F.regexp_replace(week, r"^\d{4}-", "")
+
+
+def trail(known: DataFrame, today: DataFrame) -> DataFrame:
+    """What may be said of today's price (key, cents; null cents: not on sale) beside its history, as tier and the fields of that tier.
+
+    known: facts(). Tier 0: no history. 1, one week: its price and week. 2, two weeks: first, last and the change in per cent. 3: least, median, most; the
+    week of the least if the series still shows it; flat; noisy, if the most is NOISE_RATIO times the least; unless noisy, the verdict and today's price in per cent of the median.
     """
-    both = today.join(stats_, "key", "left")
-    weeks, noisy = F.coalesce("weeks_seen", F.lit(0)), F.coalesce(F.col("most") >= NOISE_RATIO * F.col("least"), F.lit(False))
-    verdict = F.when(weeks < 3, "new").when(F.col("last") == F.col("least"), "true_low").when(F.col("last") > F.col("median"), "worse").otherwise("typical")
-    return both.select(
-        "key", F.least(weeks, F.lit(3)).cast("int").alias("tier"), F.coalesce(F.col("most") == F.col("least"), F.lit(False)).alias("flat"), noisy.alias("noisy"),
-        F.when(~noisy & (weeks > 0), verdict).alias("verdict"),
-        F.when(~noisy & (weeks >= 3), F.floor(F.col("cents") * 100 / F.col("median") + 0.5).cast("long")).alias("pct_of_usual"),
+    both = today.join(known, "key", "left")
+    weeks = F.coalesce("weeks_seen", F.lit(0))
+    tier = F.when(weeks == 0, 0).when((weeks <= 1) | (F.size("series") < 2), 1).when(weeks == 2, 2).otherwise(3)
+    first, last = F.get("series", F.lit(0)), F.try_element_at("series", F.lit(-1))
+    lowest = F.array_min(F.transform("series", lambda p: F.struct(p["cents"].alias("cents"), p["week"].alias("week"))))
+    noisy = (F.col("least") > 0) & (F.col("most") >= NOISE_RATIO * F.col("least"))
+    verdict = F.when(F.col("last") == F.col("least"), "true_low").when(F.col("last") > F.col("median"), "worse").otherwise("typical")
+    half_up = lambda top, bottom: F.when(bottom > 0, F.floor(top * 100 / bottom + 0.5).cast("long"))
+    rows = both.withColumn("tier", tier)
+    at = lambda n, value: F.when(F.col("tier") == n, value)
+    return rows.select(
+        "key", F.col("tier").cast("int").alias("tier"), at(1, last["cents"]).alias("seen_cents"), at(1, short_week(last["week"])).alias("seen_week"),
+        at(2, first["cents"]).alias("first_cents"), at(2, last["cents"]).alias("last_cents"), at(2, half_up(last["cents"] - first["cents"], first["cents"])).alias("delta_pct"),
+        *[at(3, F.col(c)).alias(c) for c in ("least", "median", "most")], at(3, F.when(lowest["cents"] == F.col("least"), short_week(lowest["week"]))).alias("min_week"),
+        at(3, F.col("most") == F.col("least")).alias("flat"), at(3, noisy).alias("noisy"), at(3, F.when(~noisy, verdict)).alias("verdict"), at(3, F.when(~noisy, half_up(F.col("cents"), F.col("median")))).alias("pct_of_usual"),
     )

@@ -21,16 +21,28 @@ def misses(items: DataFrame, index: DataFrame) -> DataFrame:
     return items.select("key").distinct().join(index.select("key").distinct(), "key", "left_anti")
 
 
-def resolve_items(names: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(name, item, score): 3 if the catalogue's label equals the name's last word, 2 if a keyword does, else the length share of the longest
-    keyword inside the name; of equal scores the first item. Names without a match become items of their own (score null)."""
-    distinct = names.select("name").distinct().withColumns({"_hay": fold("name"), "_last": F.element_at(F.split(fold("name"), " "), -1)})
-    held = F.filter("keywords", lambda k: F.contains(F.col("_hay"), k))
-    longest = F.array_max(F.transform(held, lambda k: F.length(k)))
-    score = F.when(F.col("label") == F.col("_last"), 3.0).when(F.array_contains("keywords", F.col("_last")), 2.0).when(F.size(held) > 0, longest / F.length("_hay"))
-    hits = distinct.join(F.broadcast(catalogue), F.exists("keywords", lambda k: F.contains(F.col("_hay"), k)) | (F.col("label") == F.col("_last")), "left").withColumn("score", score)
-    best = first_of(hits, ["name"], [F.col("score").desc_nulls_last(), F.col("pos").asc_nulls_last()])
-    return best.select("name", F.coalesce("item", "_hay").alias("item"), "score")
+def resolve_items(offers: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(name, brand, category, group, label, item, step): what a list calls each distinct offer.
+
+    An offer with a group is the first catalogue item whose label is the group's label, else the first with such a keyword, else an item of the group's own.
+    Without a group it is the item of the longest keyword in name and brand, half a letter more for the offer's own category, of equal ones the first;
+    items with an excluded word don't count. Without any it is an item of its own name. catalogue: pos, item, label, category, keywords, exclude, which
+    is authored, and so broadcast; offers are made distinct first.
+    """
+    key = ["name", "brand", "category", "group", "label"]
+    rows = offers.select(*key).distinct().withColumns({"_id": F.struct(*key), "_want": fold(F.coalesce("label", "group")), "_hay": fold(F.concat_ws(" ", "name", "brand"))})
+    items = catalogue.select("pos", "item", fold("label").alias("_label"), F.col("category").alias("_category"), F.transform("keywords", fold).alias("_keys"), F.transform(F.coalesce("exclude", F.expr("cast(array() as array<string>)")), fold).alias("_not"))
+    held = F.filter("_keys", lambda k: F.contains(F.col("_hay"), k))
+    named, listed = F.col("_label") == F.col("_want"), F.array_contains("_keys", F.col("_want"))
+    grouped = F.col("group").isNotNull()
+    hit = F.when(grouped, named | listed).otherwise((F.size(held) > 0) & ~F.exists("_not", lambda x: F.contains(F.col("_hay"), x)))
+    found = rows.join(F.broadcast(items), hit, "left")
+    length = F.array_max(F.transform(held, F.length)) + F.when(F.col("_category") == F.col("category"), 0.5).otherwise(0.0)
+    order = F.struct(F.when(grouped, F.when(named, 0.0).otherwise(1.0)).otherwise(-length).alias("score"), "pos")
+    best = found.groupBy("_id").agg(F.min_by("item", F.when(F.col("item").isNotNull(), order)).alias("_item"), F.first("_want").alias("_want"))
+    own = F.when(F.col("_id.group").isNotNull(), F.concat(F.lit("grp:"), F.col("_id.group"))).otherwise(F.concat(F.lit("ofr:"), fold("_id.name")))
+    step = F.when(F.col("_item").isNull(), "own").when(F.col("_id.group").isNotNull(), "group").otherwise("name")
+    return best.select("_id.*", F.coalesce("_item", own).alias("item"), step.alias("step"))
 
 
 def suggestions(groups: DataFrame, basket: DataFrame, typed: str, limit: int = 12) -> DataFrame:

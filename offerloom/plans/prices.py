@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerloom.operators import history as hs
-from offerloom.plans.registry import query
+from offerloom.plans.registry import query, values
 from offerloom.sources.tables import TODAY, offers
 
 _WEEKLY = "w AS (SELECT chain || ':' || name AS key, strftime(valid_from, '%G-W%V') AS week, min(price_cents) AS cents, count(*) AS n FROM offers GROUP BY ALL)"
@@ -42,14 +42,22 @@ def change(spark, sf_dir):
 
 
 @query("q14_trail", f""", {_STATS}, t AS (SELECT chain || ':' || name AS key, min(price_cents) AS cents FROM offers WHERE valid_from <= DATE '{TODAY}' AND valid_to >= DATE '{TODAY}' GROUP BY ALL
-  UNION ALL SELECT 'nowhere:nothing', 100),
-j AS (SELECT t.key, cents, s.least, s.median, s.most, s.last, coalesce(weeks_seen, 0) AS weeks, coalesce(most >= 4 * least, false) AS noisy FROM t LEFT JOIN s USING (key))
-SELECT key, CAST(least(weeks, 3) AS INTEGER) AS tier, coalesce(most = least, false) AS flat, noisy,
-  CASE WHEN NOT noisy AND weeks > 0 THEN CASE WHEN weeks < 3 THEN 'new' WHEN last = least THEN 'true_low' WHEN last > median THEN 'worse' ELSE 'typical' END END AS verdict,
-  CASE WHEN NOT noisy AND weeks >= 3 THEN CAST(floor(cents * 100 / median + 0.5) AS BIGINT) END AS pct_of_usual FROM j""".replace("s.least", "s.least AS least").replace("least(weeks, 3)", "CASE WHEN weeks < 3 THEN weeks ELSE 3 END"))
+  UNION ALL SELECT 'nowhere:nothing', 100 UNION ALL SELECT 'north:once', NULL UNION ALL SELECT 'north:twice', 90),
+x AS (SELECT * FROM w UNION ALL SELECT 'north:once', '1998-W09', 120, 1 UNION ALL SELECT 'north:twice', '1998-W09', 120, 1 UNION ALL SELECT 'north:twice', '1998-W11', 99, 2),
+z AS (SELECT key, min(cents) AS least, median(cents) AS median, max(cents) AS most, count(*) AS weeks, arg_max(cents, week) AS last FROM x GROUP BY key),
+w8 AS (SELECT key, arg_min(week, (cents, week)) AS low_week, min(cents) AS low, arg_min(cents, week) AS first, arg_max(week, week) AS last_week FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY week DESC) AS rn FROM x) WHERE rn <= 8 GROUP BY key),
+j AS (SELECT t.key, cents, least AS lo, median AS mid, most AS hi, last, first, last_week, low, low_week, coalesce(weeks, 0) AS weeks, most >= 4 * least AS loud FROM t LEFT JOIN z USING (key) LEFT JOIN w8 USING (key))
+SELECT key, CAST(CASE WHEN weeks > 3 THEN 3 ELSE weeks END AS INTEGER) AS tier, CASE WHEN weeks = 1 THEN last END AS seen_cents, CASE WHEN weeks = 1 THEN substr(last_week, 6) END AS seen_week,
+  CASE WHEN weeks = 2 THEN first END AS first_cents, CASE WHEN weeks = 2 THEN last END AS last_cents, CASE WHEN weeks = 2 THEN CAST(floor((last - first) * 100 / first + 0.5) AS BIGINT) END AS delta_pct,
+  CASE WHEN weeks > 2 THEN lo END AS least, CASE WHEN weeks > 2 THEN mid END AS median, CASE WHEN weeks > 2 THEN hi END AS most, CASE WHEN weeks > 2 AND low = lo THEN substr(low_week, 6) END AS min_week,
+  CASE WHEN weeks > 2 THEN hi = lo END AS flat, CASE WHEN weeks > 2 THEN loud END AS noisy,
+  CASE WHEN weeks > 2 AND NOT loud THEN CASE WHEN last = lo THEN 'true_low' WHEN last > mid THEN 'worse' ELSE 'typical' END END AS verdict,
+  CASE WHEN weeks > 2 AND NOT loud THEN CAST(floor(cents * 100 / mid + 0.5) AS BIGINT) END AS pct_of_usual FROM j""")
 def price_trail(spark, sf_dir):
     rows = offers(spark, sf_dir)
     day = F.lit(TODAY).cast("date")
     now = rows.where((F.col("valid_from") <= day) & (F.col("valid_to") >= day)).groupBy(_key().alias("key")).agg(F.min("price_cents").alias("cents"))
-    now = now.unionByName(spark.range(1).select(F.lit("nowhere:nothing").alias("key"), F.lit(100).cast("long").alias("cents")))
-    return hs.trail(hs.stats(rows, _key()), now)
+    now = now.unionByName(values(spark, [("nowhere:nothing", 100), ("north:once", None), ("north:twice", 90)], "key string, cents long"))
+    made = values(spark, [("north:once", [("1998-W09", 120)], 1), ("north:twice", [("1998-W09", 120), ("1998-W11", 99)], 2)], "key string, series array<struct<week:string,cents:long>>, weeks_seen long")
+    known = hs.facts(rows, _key())
+    return hs.trail(known.unionByName(made, allowMissingColumns=True), now)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from offerloom.sources.tables import VIEWS
 
@@ -28,7 +27,3 @@ def query(name: str, sql: str | None = None, views: bool = True):
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A parameter table of literal rows."""
     return spark.createDataFrame(rows, schema)
-
-
-def rounded(c: str, digits: int = 4):
-    return F.round(c, digits)

@@ -215,7 +215,14 @@ def created(spark, sf_dir):
     return up.get_or_create(rows.where("s_suppkey % 3 <> 0"), new, ["s_suppkey"], ["balance"])
 
 
-@query("t01_token_bucket")
+_REFILL = "(1.0::DOUBLE / 21600.0::DOUBLE)"
+
+
+@query("t01_token_bucket", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, t, 2.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, t, x - CASE WHEN x >= 1 THEN 1 ELSE 0 END, x >= 1 FROM (
+    SELECT e.user_id, e.event_id, e.n, e.t, least(3.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, e.t - r.t) * {_REFILL}) AS x FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, allowed FROM r""", views=False)
 def bucket(spark, sf_dir):
     return th.token_bucket(table(spark, sf_dir, "events"), "user_id", 3, 1 / 21600)
 

@@ -35,13 +35,37 @@ def missed(spark, sf_dir):
     return lk.misses(*_index(spark, sf_dir))
 
 
-_CATALOGUE = [(1, "bolts", "bolt", ["bolt", "screw"]), (2, "rings", "circle", ["ring"]), (3, "red things", "red", ["red g", "red ring"])]
+_CATALOGUE = [
+    (1, "bolts", "Bolt", "fruits", ["bolt", "screw"], ["old"]), (2, "rings", "Circle", "bakery", ["ring"], []), (3, "reds", "Rot", "dairy", ["red g", "red ring"], ["red gizmo"]), (4, "hots", "Hot", "fruits", ["hot", "gear"], None), (5, "gears", "Zahnräder", "bakery", ["gear"], []),
+]
+_RESOLVE = """o AS (SELECT DISTINCT p_name AS name, p_brand AS brand, CASE p_type WHEN 'STANDARD' THEN 'fruits' WHEN 'SMALL' THEN 'bakery' END AS category, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 2) END AS grp,
+  CASE WHEN p_size % 3 = 0 AND p_name LIKE '%gear' THEN 'ZAHNRÄDER' END AS label FROM part),
+c AS (SELECT * FROM (VALUES (1, 'bolts', 'bolt', 'fruits', ['bolt', 'screw'], ['old']), (2, 'rings', 'circle', 'bakery', ['ring'], []), (3, 'reds', 'rot', 'dairy', ['red g', 'red ring'], ['red gizmo']), (4, 'hots', 'hot', 'fruits', ['hot', 'gear'], []), (5, 'gears', 'zahnrader', 'bakery', ['gear'], [])) v(pos, item, lab, cat, keys, nots)),
+p AS (SELECT o.*, replace(lower(coalesce(o.label, grp)), 'ä', 'a') AS want, lower(name || ' ' || brand) AS hay FROM o),
+m AS (SELECT p.*, c.item, CASE WHEN grp IS NOT NULL THEN CASE WHEN lab = want THEN 0 ELSE 1 END ELSE -list_max([CASE WHEN contains(hay, k) THEN length(k) ELSE 0 END FOR k IN keys]) - CASE WHEN cat = category THEN 0.5 ELSE 0 END END AS score, pos
+  FROM p JOIN c ON CASE WHEN grp IS NOT NULL THEN lab = want OR list_contains(keys, want) ELSE len([k FOR k IN keys IF contains(hay, k)]) > 0 AND len([k FOR k IN nots IF contains(hay, k)]) = 0 END),
+b AS (SELECT name, brand, category, grp, label, arg_min(item, (score, pos)) AS item FROM m GROUP BY ALL),
+r AS (SELECT p.name, p.brand, p.category, p.grp, p.label, coalesce(b.item, CASE WHEN p.grp IS NOT NULL THEN 'grp:' || p.grp ELSE 'ofr:' || lower(p.name) END) AS item, CASE WHEN b.item IS NULL THEN 'own' WHEN p.grp IS NOT NULL THEN 'group' ELSE 'name' END AS step
+  FROM p LEFT JOIN b ON b.name = p.name AND b.brand = p.brand AND b.category IS NOT DISTINCT FROM p.category AND b.grp IS NOT DISTINCT FROM p.grp AND b.label IS NOT DISTINCT FROM p.label)"""
+
+
+def _resolved(spark, sf_dir):
+    group = F.when(F.col("p_size") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(2)))
+    category = F.when(F.col("p_type") == "STANDARD", "fruits").when(F.col("p_type") == "SMALL", "bakery")
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), category.alias("category"), group.alias("group"), F.when((F.col("p_size") % 3 == 0) & F.col("p_name").endswith("gear"), "ZAHNRÄDER").alias("label"))
+    return lk.resolve_items(rows, values(spark, _CATALOGUE, "pos int, item string, label string, category string, keywords array<string>, exclude array<string>"))
+
+
+@query("j15_resolve_items", f"WITH {_RESOLVE} SELECT name, brand, category, grp AS \"group\", label, item, step FROM r", views=False)
+def resolved(spark, sf_dir):
+    return _resolved(spark, sf_dir)
 
 
-@query("j15_resolve_items", """SELECT DISTINCT p_name AS name, CASE WHEN p_name LIKE '%bolt' THEN 'bolts' WHEN p_name LIKE '%ring' THEN 'rings' WHEN contains(p_name, 'red g') THEN 'red things' ELSE p_name END AS item,
-  CASE WHEN p_name LIKE '%bolt' THEN 3.0::DOUBLE WHEN p_name LIKE '%ring' THEN 2.0::DOUBLE WHEN contains(p_name, 'red g') THEN 5.0::DOUBLE / length(p_name) END AS score FROM part""", views=False)
-def resolved(spark, sf_dir):
-    return lk.resolve_items(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), values(spark, _CATALOGUE, "pos int, item string, label string, keywords array<string>"))
+@query("j18_in_basket_items", f"WITH {_RESOLVE} SELECT name, brand, item, item IN ('bolts', 'grp:rod') AS in_basket FROM r", views=False)
+def in_basket_items(spark, sf_dir):
+    """The marker by resolved items: an offer is in the basket if its item is."""
+    basket = values(spark, [("bolts",), ("grp:rod",)], "item string").withColumn("_in", F.lit(True))
+    return _resolved(spark, sf_dir).join(F.broadcast(basket), "item", "left").select("name", "brand", "item", F.coalesce("_in", F.lit(False)).alias("in_basket"))
 
 
 @query("j17_suggestions", """, g AS (SELECT DISTINCT lower(name) AS key, arg_min(name, ext) OVER (PARTITION BY lower(name)) AS label FROM offers)

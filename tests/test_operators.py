@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators import filters, matching, places, ranking, rules, upsert
-from offerloom.operators.history import stats, trail
+from offerloom.operators.history import trail
 from offerloom.plans import optimise
 from offerloom.plans.classification import BOOK
 from offerloom.plans.recipes import suits
@@ -124,11 +124,29 @@ def test_diets(spark):
 
 
 def test_trail_tiers(spark):
-    s = spark.createDataFrame([("n", 149.0, 175.0, 249.0, 249.0, 3, 3), ("c", 69.0, 399.0, 1169.0, 799.0, 5, 6), ("f", 69.0, 69.0, 69.0, 69.0, 5, 5)], "key string, least double, median double, most double, last double, weeks_seen int, appearances int")
-    now = spark.createDataFrame([("n", 199), ("c", 100), ("f", 69), ("x", 1)], "key string, cents int")
-    got = {r["key"]: r for r in trail(s, now).collect()}
-    assert (got["n"]["verdict"], got["n"]["pct_of_usual"], got["n"]["tier"]) == ("worse", 114, 3)
-    assert got["c"]["noisy"] and got["c"]["verdict"] is None and got["f"]["flat"] and got["f"]["verdict"] == "true_low" and got["x"]["tier"] == 0
+    series = lambda *p: [(f"2026-W{30 + k}", c) for k, c in enumerate(p)]
+    rows = [("n", series(150, 180, 250)), ("c", series(400, 70, 150, 1170, 800)), ("f", series(70, 70, 70)), ("one", series(90)), ("two", series(200, 150)), ("old", series(*range(300, 290, -1))[-8:] + [("2026-W50", 295)])]
+    known = spark.createDataFrame(rows, "key string, series array<struct<week:string,cents:long>>").selectExpr("key", "series", "array_min(series.cents) as least", "cast(array_sort(series.cents)[cast(size(series) / 2 as int)] as double) as median", "array_max(series.cents) as most", "element_at(series, -1).cents as last", "cast(size(series) as long) as weeks_seen")
+    now = spark.createDataFrame([("n", 200), ("c", 100), ("f", 70), ("one", 1), ("two", None), ("x", 1), ("old", 5)], "key string, cents long")
+    got = {r["key"]: r for r in trail(known, now).collect()}
+    assert (got["n"]["verdict"], got["n"]["pct_of_usual"], got["n"]["tier"], got["n"]["min_week"]) == ("worse", 111, 3, "W30")
+    assert got["c"]["noisy"] and got["c"]["verdict"] is None and got["c"]["pct_of_usual"] is None and got["f"]["flat"] and got["f"]["verdict"] == "true_low" and got["x"]["tier"] == 0
+    assert (got["one"]["tier"], got["one"]["seen_cents"], got["one"]["seen_week"], got["one"]["verdict"]) == (1, 90, "W30", None)
+    assert (got["two"]["tier"], got["two"]["first_cents"], got["two"]["last_cents"], got["two"]["delta_pct"], got["two"]["least"]) == (2, 200, 150, -25, None)
+    assert got["old"]["min_week"] == "W39"
+
+
+def test_manifests_and_tables_are_written(spark, tmp_path):
+    from offerloom.plans.exports import manifest, write_manifest
+
+    df = offers(spark, *[{"name": n} for n in ("b", " A ", "ba", "a", "c")])
+    sheets = manifest(df, per_sheet=2, prefix=1)
+    assert [(r["sheet"], r["cell"], r["product"]) for r in sheets.orderBy("sheet", "cell").collect()] == [(1, 1, "a"), (1, 2, "b"), (2, 1, "ba"), (2, 2, "c")]
+    write_manifest(sheets, str(tmp_path / "m"))
+    assert spark.read.csv(str(tmp_path / "m"), sep="\t", header=True).count() == 4
+    for n in (1, 2):
+        upsert.replace_table(df.limit(n), str(tmp_path / "t"), "chain")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
 def test_token_bucket_and_cooldown(spark):
