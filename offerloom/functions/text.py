@@ -26,11 +26,17 @@ def nfkc(text: Column | str) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+#: Apostrophes, grade words, and what search and addresses take letters for.
+APOSTROPHES = "’‘`´'"
+GRADE = r"(?U)\b(?:klasse|kl)\.?\s*(?:iii|ii|i|[1-3])\b"
+FOLDED, BASE = "äöüéèê", "aoueee"
+
+
 def name_key(name: Column | str, unicode_form: bool = True) -> Column:
     """Key for duplicates: apostrophes vanish, a grade such as `Kl. I` goes, other marks are spaces."""
     x = F.lower(nfkc(name) if unicode_form else _c(name))
-    x = F.translate(x, "’‘`´'", "")
-    x = F.regexp_replace(x, r"(?U)\b(?:klasse|kl)\.?\s*(?:iii|ii|i|[1-3])\b", " ")
+    x = F.translate(x, APOSTROPHES, "")
+    x = F.regexp_replace(x, GRADE, " ")
     x = F.regexp_replace(x, r"(?U)[^\w]+", " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -43,11 +49,11 @@ def norm_name(name: Column | str) -> Column:
 def fold(text: Column | str) -> Column:
     """For search: lower case, umlauts and e-accents to base letters, ß to ss; null is empty."""
     x = F.lower(F.coalesce(_c(text), F.lit("")))
-    return F.replace(F.translate(x, "äöüéèê", "aoueee"), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.translate(x, FOLDED, BASE), F.lit("ß"), F.lit("ss"))
 
 
 def slug(text: Column | str) -> Column:
-    x = F.replace(F.translate(F.lower(_c(text)), "äöü", "aou"), F.lit("ß"), F.lit("ss"))
+    x = F.replace(F.translate(F.lower(_c(text)), FOLDED[:3], BASE[:3]), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

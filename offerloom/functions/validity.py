@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The names of the days, and the days of a full offer week.
 _DAYS = ("Mo", "Di", "Mi", "Do", "Fr", "Sa", "So")
+_FULL_WEEK = 6
 
 
 def day(value: str | Column) -> Column:
@@ -18,8 +20,8 @@ def valid_on(valid_to: Column, today: str | Column) -> Column:
 
 
 def day_limited(start: Column, end: Column) -> Column:
-    """Shorter than six days; false for a missing or reversed window."""
-    return F.coalesce((end >= start) & (F.datediff(end, start) + 1 < 6), F.lit(False))
+    """Shorter than a full week; false for a missing or reversed window."""
+    return F.coalesce((end >= start) & (F.datediff(end, start) + 1 < _FULL_WEEK), F.lit(False))
 
 
 def valid_days(start: Column, end: Column) -> Column:
