@@ -6,6 +6,9 @@ taken), from document labels: lines of good documents are content; lines of bad
 a first fit takes them for content. Viterbi decoding then finds the best label sequence of each
 document, and the share of words in content lines decides whether it stays. Base rules go first.
 
+Fitting reads the texts of at most 2 * `most` rows, for rows may share a labelled doc_id, one partition of them at a time on the driver; what it
+keeps is 12 numbers a line.
+
 Defined results: a null or empty text has no words and fails the base rules; a document's lines are taken
 whole, however many; if labels are missing, or only of one kind, every line is content; a null doc_id
 is judged like others; an empty table gives no rows; other columns are ignored.
