@@ -113,3 +113,12 @@ SELECT recipe, on_sale, to_buy, cost, row_number() OVER (ORDER BY on_sale DESC,
 def recipe_list(spark, sf_dir):
     rows = values(spark, _RECIPES, "recipe string, ingredients array<struct<word:string,staple:boolean>>, tags array<string>")
     return rc.ranked(rc.without_tag(rows, "pork"), offers(spark, sf_dir), ["north", "south"])
+
+@query("j13_pantry", """, r AS (SELECT * FROM (VALUES ('bolt soup', 'bolt'), ('ring pie', 'ring'), ('ring pie', 'zzz'), ('plate stew', 'plate'), ('plate stew', 'anvil')) v(recipe, word)),
+i AS (SELECT recipe, word, min(price_cents) AS cents FROM r LEFT JOIN offers ON contains(lower(name), word) AND chain IN ('north', 'south') GROUP BY ALL),
+s AS (SELECT recipe, count(cents) AS on_sale, count(*) - count(cents) AS to_buy, CAST(sum(cents) AS BIGINT) AS cost FROM i GROUP BY recipe)
+SELECT recipe, on_sale, to_buy, cost, row_number() OVER (ORDER BY on_sale DESC, cost NULLS LAST, recipe) AS rank FROM s""")
+def with_pantry(spark, sf_dir):
+    """What is at home, under a longer or a shorter name, is neither on sale nor to buy."""
+    rows = values(spark, _RECIPES, "recipe string, ingredients array<struct<word:string,staple:boolean>>, tags array<string>")
+    return rc.ranked(rows, offers(spark, sf_dir), ["north", "south"], ["small gizmo", "rod"])

@@ -149,6 +149,27 @@ def whole_stack(spark, sf_dir):
     return out.select("ext", "chain", "name", "price_cents")
 
 
+@query("f13_category_filter", f""", a AS (SELECT * FROM offers WHERE category <> 'household' AND {_HIDE_KEY} NOT IN
+  (SELECT k FROM (VALUES {_HIDE_ROWS}) h(k, d) WHERE DATE '{TODAY}' <= CAST(date_trunc('week', d) AS DATE) + 6)),
+b AS {_suppress('a')} SELECT ext, chain, name, price_cents FROM b WHERE category = 'dairy'""")
+def category_filter(spark, sf_dir):
+    """The stack without a search text: the category decides, and lenses that nothing meets change nothing."""
+    out = fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), [], ["nowhere"], False, None, "dairy", ("north", "south"))
+    return out.select("ext", "chain", "name", "price_cents")
+
+
+@query("f11_organic_lens", """, o AS (SELECT chain, regexp_matches(lower(name), '(^|[^0-9a-zäöüß])red') AS own FROM offers)
+SELECT 'red' AS lens, chain, count(*) AS n FROM o WHERE own GROUP BY chain UNION ALL SELECT 'zzz', chain, count(*) FROM o GROUP BY chain""")
+def organic_lens(spark, sf_dir):
+    """The lens of a mark that some offers bear, and of one that none does, which changes nothing."""
+    from offerloom.operators.rules import organic
+
+    rows = offers(spark, sf_dir)
+    of = lambda mark: organic(F.col("name"), F.lit(None).cast("string"), (mark,))
+    lens = [fl.flag_lens(rows, of(m), rows, of(m)).groupBy("chain").agg(F.count("*").alias("n")).select(F.lit(m).alias("lens"), "chain", "n") for m in ("red", "zzz")]
+    return lens[0].unionByName(lens[1])
+
+
 @query("j02_suppress_duplicates", f", d AS {_suppress('offers')} SELECT chain, category, count(*) AS n, CAST(sum(price_cents) AS BIGINT) AS cents FROM d GROUP BY ALL")
 def suppressed(spark, sf_dir):
     return fl.suppress_duplicates(offers(spark, sf_dir), "north", "south").groupBy("chain", "category").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))
