@@ -2,12 +2,13 @@
 
 Documents are dealt to buckets of consecutive ids and about equal bytes, so that of two buckets the smaller number holds
 the smaller ids. Then
-1. each bucket hashes all its windows and sends each distinct hash once, as a row with the bucket's number;
-2. Spark deals the rows by hash and counts the buckets of each: all but the first are told of it;
+1. each bucket hashes all its windows and sends each distinct hash once, in arrays for the parts of the hash space;
+2. Spark explodes the arrays where they arrive and counts the buckets of each hash: all but the first are told of it;
 3. each bucket removes the words of windows so named and of windows that repeat inside the bucket
    after their first start; overlapping windows merge into maximal intervals.
-A window sequence costs one row a bucket however often it occurs, so a hot passage doesn't gather in one task.
-Windows are judged by 96 bits, two polynomials of unlike bases: at 10^13 windows a chance match has a probability of 10^-3.
+A window sequence costs one entry a bucket however often it occurs, so a hot passage doesn't gather in one task. Arrays
+never outnumber windows. Windows are judged by 80 bits, of two polynomials of unlike bases: at 10^11 windows a chance match has
+a probability of 0.004, at 10^12 of 0.4 for all of them together.
 
 Defined results: null text has no words; rows that share a doc_id count as documents in a fixed order of their
 texts; a null doc_id ranks after all others; an empty table gives no rows; other columns are ignored. A doc_id, or
@@ -29,6 +30,8 @@ from offerloom.llm.common import hashes, mix, plain, small_batches, steps, words
 
 #: Text of a bucket. The driver holds two numbers for each of CELLS parts of a bucket: raise it on large executors.
 BUCKET_BYTES, CELLS = 16 << 20, 8
+#: Parts of the hash space for each shuffle partition.
+PARTS = 8
 #: The bases of the two polynomials, odd so that they have inverses modulo 2^64.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03)
 
@@ -50,14 +53,14 @@ def rolling(h: np.ndarray, window: int, base: int = BASES[0]) -> np.ndarray:
 
 
 def _windows(texts: pa.Array, window: int) -> tuple:
-    """(codes, ends, distinct words, first word of each window, its hash, 32 bits more)."""
+    """(codes, ends, distinct words, first word of each window, its hash, 16 bits more)."""
     codes, ends, distinct = words(plain(texts))
     sizes = np.diff(ends)
     stop = np.repeat(ends[1:], sizes)  # of the document of each word
     own = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
     every = rolling(own, window)
     start = np.flatnonzero(np.arange(len(every)) + window <= stop[: len(every)])
-    more = (rolling(mix(own, 7), window, BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    more = (rolling(mix(own, 7), window, BASES[1])[start] >> np.uint64(48)).astype(np.uint16).view(np.int16)
     return codes, ends, distinct, start, every[start].view(np.int64), more
 
 
@@ -101,10 +104,16 @@ def _all_windows(table: pa.Table, window: int) -> tuple[list, Firsts]:
     return found, Firsts(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
 
 
-def _send(window: int):
+def _send(window: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         own = _all_windows(table, window)[1]
-        return pa.table({"h": own.h, "more": own.more, "bucket": np.full(len(own.h), table["bucket"][0].as_py(), np.int32)})
+        part = (((own.h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, h, more = part[order], own.h[order], own.more[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
+        cuts = pa.array(np.concatenate([starts, [len(part)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h, more)]
+        return pa.table({"part": part[starts], "bucket": np.full(len(starts), table["bucket"][0].as_py(), np.int32), "h": lists[0], "more": lists[1]})
 
     return run
 
@@ -114,7 +123,7 @@ def _remove(window: int):
         if not docs.num_rows:
             return pa.Table.from_pylist([], RESULT)
         batches, own = _all_windows(docs, window)
-        gone = own.gone(told["h"].to_numpy(), told["more"].to_numpy())
+        gone = own.gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
         out, done = [], 0
         for b, codes, ends, distinct, start, hashed, _ in batches:
             hit = start[gone[done : done + len(hashed)]]
@@ -198,9 +207,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKE
     """(doc_id, text of the words that stay, n_words, n_removed, intervals removed, in words)."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = id_buckets(docs, bucket_bytes)
-    sent = docs.groupBy("bucket").applyInArrow(_send(window), "h long, more int, bucket int")
-    nth = F.row_number().over(Window.partitionBy("h", "more").orderBy("bucket"))
-    told = sent.withColumn("nth", nth).where("nth > 1").select("bucket", "h", "more")
-    return docs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.groupBy("bucket").applyInArrow(_send(window, PARTS * tasks), "part int, bucket int, h array<long>, more array<short>")
+    # dealt by part, which all that follows groups by: the hashes are exploded after the exchange, and counted without another
+    each = sent.repartition(tasks, "part").select("part", "bucket", F.explode(F.arrays_zip("h", "more")).alias("w")).select("part", "bucket", "w.h", "w.more")
+    nth = F.row_number().over(Window.partitionBy("part", "h", "more").orderBy("bucket"))
+    told = each.withColumn("nth", nth).where("nth > 1").groupBy("part", "bucket").agg(F.collect_list("h").alias("h"), F.collect_list("more").alias("more"))
+    return docs.groupBy("bucket").cogroup(told.select("bucket", "h", "more").groupBy("bucket")).applyInArrow(
         _remove(window), "doc_id long, text string, n_words long, n_removed long, intervals array<struct<start:int,end:int>>"
     )
