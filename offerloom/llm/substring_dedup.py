@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from offerloom.llm.common import hashes, mix, plain, small_batches, steps, words
 
 #: Text of a bucket. The driver holds two numbers for each of CELLS parts of a bucket: raise it on large executors.
-BUCKET_BYTES, CELLS = 16 << 20, 8
+BUCKET_BYTES, CELLS = 12 << 20, 8
 #: Parts of the hash space for each shuffle partition.
 PARTS = 8
 #: The bases of the two polynomials, odd so that they have inverses modulo 2^64.
@@ -61,7 +61,7 @@ def _windows(texts: pa.Array, window: int) -> tuple:
     every = rolling(own, window)
     start = np.flatnonzero(np.arange(len(every)) + window <= stop[: len(every)])
     more = (rolling(mix(own, 7), window, BASES[1])[start] >> np.uint64(48)).astype(np.uint16).view(np.int16)
-    return codes, ends, distinct, start, every[start].view(np.int64), more
+    return codes.astype(np.int32), ends, distinct, start.astype(np.int32), every[start].view(np.int64), more
 
 
 class Firsts:
@@ -99,14 +99,13 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
-def _all_windows(table: pa.Table, window: int) -> tuple[list, Firsts]:
-    found = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(table)]), "text")]
-    return found, Firsts(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
+def _grouped(found: list[tuple[np.ndarray, np.ndarray]]) -> Firsts:
+    return Firsts(*(np.concatenate(x) for x in zip(*found)))
 
 
 def _send(window: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
-        own = _all_windows(table, window)[1]
+        own = _grouped([_windows(b.column("text"), window)[4:] for b in steps(iter([_ordered(table)]), "text")])
         part = (((own.h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part, h, more = part[order], own.h[order], own.more[order]
@@ -122,8 +121,8 @@ def _remove(window: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.Table.from_pylist([], RESULT)
-        batches, own = _all_windows(docs, window)
-        gone = own.gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
+        batches = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(docs)]), "text")]
+        gone = _grouped([x[5:] for x in batches]).gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
         out, done = [], 0
         for b, codes, ends, distinct, start, hashed, _ in batches:
             hit = start[gone[done : done + len(hashed)]]
