@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerloom.llm.centroids import cluster_centroids
 from offerloom.llm.chat import format_chats, log_of, loss_text, parse
+from offerloom.llm.divergence import source_divergence
 from offerloom.llm.embedding_dedup import embedding_dedup
 from offerloom.llm.licences import licence_scan
 from offerloom.llm.line_dedup import line_dedup
@@ -17,6 +19,7 @@ from offerloom.llm.quality import quality_rules, train
 from offerloom.llm.secrets import KINDS, find_secrets, listed
 from offerloom.llm.segment import sample_segmentations
 from offerloom.llm.substring_dedup import substring_dedup
+from offerloom.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the integer vectors after three rounds."""
+    return cluster_centroids(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary(spark, "piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that mark each source."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -102,12 +120,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_token_counts": op12_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _clustered(k: int, rounds: int) -> str:
+    """The clustering, round by round."""
+    out = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c, e AS m FROM v ORDER BY 1 LIMIT {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+p{i} AS (SELECT r, vec_id, e, c, list_sum(list_transform(range(1, 65), lambda i: (e[i] - m[i]) * (e[i] - m[i]))) AS d FROM v, c{i}),
+a{i} AS MATERIALIZED (SELECT r, vec_id, e, c, CAST(d AS BIGINT) AS d FROM p{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT c, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, e, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (c))"""
+    return out + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
 SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustered(16, 3),
+    "op13_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+cell AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cell USING (lang, source) GROUP BY ALL),
+size AS (SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+share AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // (total + 5 * v) AS BIGINT) AS p
+  FROM grp g JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN cell USING (lang, source, term)),
+whole AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 5) // (any_value(total) + 5 * any_value(v)) AS BIGINT) AS q
+  FROM cell JOIN (SELECT lang, sum(total) AS total FROM grp GROUP BY lang) USING (lang) JOIN size USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+joint AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM share JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM joint
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50""",
     "op1_line_dedup": f"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM parts),
