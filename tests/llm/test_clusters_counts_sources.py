@@ -16,9 +16,8 @@ from offerloom.llm.centroids import VantageTree, cluster_centroids
 from offerloom.llm.divergence import source_divergence
 from offerloom.llm.token_counts import Pieces
 
-from .conftest import lower
-
 MODEL = path("piece_bpe_32k.model")
+lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
 VECTORS = "vec_id long, embedding array<double>, label int, cluster string, distance int, at long"
 
 
