@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from offerloom.functions.text import fold, norm_name
+from offerloom.operators.multimatch import matching_pairs
 from offerloom.operators.ranking import first_of
 
 
@@ -31,15 +32,19 @@ def two_chains(df: DataFrame, a: str, b: str) -> DataFrame:
 def keyword_matches(df: DataFrame, items: DataFrame) -> DataFrame:
     """Offers that hold any keyword of an item and none of its excluded words, in name and brand.
 
-    items: item, keywords array<string>, exclude array<string>. Distinct (name, brand) pairs are matched, not offers: the
-    item list is a shopping list, and the pairs are far fewer than the offers.
+    items: item, keywords array<string>, exclude array<string>. Distinct (name, brand) pairs are matched, not offers, by one automaton of all words.
     """
     hay = fold(F.concat_ws(" ", "name", "brand"))
     pairs = df.select("name", "brand").distinct().withColumn("_hay", hay)
     wanted = items.select("item", F.transform("keywords", fold).alias("_want"), F.transform("exclude", fold).alias("_not"))
-    hit = F.exists("_want", lambda k: F.contains(F.col("_hay"), k)) & ~F.exists("_not", lambda k: F.contains(F.col("_hay"), k))
-    found = pairs.join(F.broadcast(wanted), hit).select("item", "name", "brand")
-    return df.join(found, [df.name.eqNullSafe(found.name), df.brand.eqNullSafe(found.brand)]).drop(found.name).drop(found.brand)
+    found = matching_pairs(pairs, "_hay", wanted, ["item"]).select("item", F.col("name").alias("_n"), F.col("brand").alias("_b"))
+    return df.join(found, df.name.eqNullSafe(found._n) & df.brand.eqNullSafe(found._b)).drop("_n", "_b")
+
+
+def ranked_matches(df: DataFrame, items: DataFrame) -> DataFrame:
+    """keyword_matches() with `rank`, the place among all matches of the item: the cheapest first, then by ext."""
+    order = Window.partitionBy("item").orderBy(F.col("price_cents").asc(), F.col("ext").asc())
+    return keyword_matches(df, items).withColumn("rank", F.row_number().over(order))
 
 
 def best_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,15 +52,24 @@ def best_matches(matches: DataFrame, keys: list[str]) -> DataFrame:
     return first_of(matches, keys, [F.col("price_cents").asc(), F.col("ext").asc()])
 
 
-def compare_chains(df: DataFrame, group: Column) -> DataFrame:
-    """(group, chain, price_cents, spread, cheapest): the cheapest of each group and chain, for groups of two chains or more."""
-    cell = df.where(group.isNotNull()).groupBy(group.alias("group"), "chain").agg(F.min("price_cents").alias("price_cents"))
-    by = Window.partitionBy("group")
+def compare_chains(df: DataFrame, group: Column, chains: list[str], category: str | None = None) -> DataFrame:
+    """(group, label, chain, ext, price_cents, spread, cheapest, position): each chain's cheapest offer of a group, for groups that two of the chains or more sell.
+
+    chains: the ones compared, in their order; of equally cheap offers the first chain's is flagged. category: only its offers. Groups stand by spread, the largest
+    first, then by label in German order; the label is that of the group's offer with the smallest ext.
+    """
+    own = df.where(group.isNotNull() & (group != "") & F.col("chain").isin(*chains))
+    own = own if category is None else own.where(F.col("category") == category)
+    label = F.coalesce(F.col("group_label"), group) if "group_label" in df.columns else group
+    cell = own.groupBy(group.alias("group"), "chain").agg(F.min(F.struct("price_cents", "ext")).alias("_b"), F.min(F.struct(F.col("ext"), label.alias("label"))).alias("_l"))
+    by, place = Window.partitionBy("group"), F.array_position(F.array(*map(F.lit, chains)), F.col("chain"))
     out = cell.withColumns({
-        "_n": F.count("*").over(by), "spread": F.max("price_cents").over(by) - F.min("price_cents").over(by),
-        "_first": F.row_number().over(by.orderBy("price_cents", "chain")),
-    })
-    return out.where("_n >= 2").select("group", "chain", "price_cents", "spread", (F.col("_first") == 1).alias("cheapest"))
+        "_n": F.count("*").over(by), "price_cents": F.col("_b.price_cents"), "spread": F.max("_b.price_cents").over(by) - F.min("_b.price_cents").over(by), "label": F.min("_l").over(by)["label"],
+        "_first": F.row_number().over(by.orderBy("_b.price_cents", place)),
+    }).where("_n >= 2")
+    rows = out.groupBy("group", "label", "spread").agg(F.collect_list(F.struct("chain", "_b.ext", "price_cents", (F.col("_first") == 1).alias("cheapest"))).alias("_c"))  # a row for each group, a cell for each chain
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("spread"), F.collate("label", "de"), "group")))
+    return rows.select("group", "label", "spread", "position", F.inline("_c"))
 
 
 def name_tokens(text: Column | str) -> Column:

@@ -19,15 +19,14 @@ def serve_order() -> list[Column]:
     return [F.col("per_unit").isNotNull().desc(), F.coalesce("discount_pct", F.lit(-1.0)).desc(), (F.col("source") == "flyer").desc(), F.col("image_url").isNotNull().desc(), F.col("ext").asc()]
 
 
-def serve_dedup(df: DataFrame, key: Column, by_price: bool = True) -> DataFrame:
+def serve_dedup(df: DataFrame, key: Column) -> DataFrame:
     """One row for each store, name key and price."""
-    keys = ["store_id", "_key", *(["price_cents"] if by_price else [])]
-    return first_of(df.withColumn("_key", key), keys, serve_order()).drop("_key")
+    return first_of(df.withColumn("_key", key), ["store_id", "_key", "price_cents"], serve_order()).drop("_key")
 
 
 def scrape_dedup(df: DataFrame, key: Column) -> DataFrame:
-    """One row for each name key and price over all stores; of equals the largest ext."""
-    order = [F.col("per_unit").isNotNull().desc(), F.col("regular_cents").isNotNull().desc(), F.col("image_url").isNotNull().desc(), F.col("ext").desc()]
+    """One row for each name key and price over all stores: with a price per unit, a strike price above the price, an image; of equals the largest ext."""
+    order = [F.col("per_unit").isNotNull().desc(), F.coalesce(F.col("regular_cents") > F.col("price_cents"), F.lit(False)).desc(), F.col("image_url").isNotNull().desc(), F.col("ext").desc()]
     return first_of(df.withColumn("_key", key), ["_key", "price_cents"], order).drop("_key")
 
 

@@ -183,12 +183,12 @@ def facets(spark, sf_dir):
     return fl.facet_counts(offers(spark, sf_dir), store=F.col("chain").isin("north", "south"), category=F.col("category") == "dairy", discount=F.col("discount_pct") >= 5, valid=valid_on(F.col("valid_to"), TODAY))
 
 
-@query("w01_dedup_serve", f", d AS {_dedup('offers', 'store_id, k')} SELECT ext, store_id, name, price_cents FROM d")
+@query("w01_dedup_serve", f", d AS {_dedup('offers')} SELECT ext, store_id, name, price_cents FROM d")
 def dedup_serve(spark, sf_dir):
-    return rk.serve_dedup(offers(spark, sf_dir), name_key("name"), by_price=False).select("ext", "store_id", "name", "price_cents")
+    return rk.serve_dedup(offers(spark, sf_dir), name_key("name")).select("ext", "store_id", "name", "price_cents")
 
 
-@query("w02_dedup_scrape", f""", d AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, price_cents ORDER BY per_unit IS NOT NULL DESC, regular_cents IS NOT NULL DESC,
+@query("w02_dedup_scrape", f""", d AS (SELECT *, row_number() OVER (PARTITION BY {_KEY}, price_cents ORDER BY per_unit IS NOT NULL DESC, coalesce(regular_cents > price_cents, false) DESC,
   image_url IS NOT NULL DESC, ext DESC) AS rn FROM offers) SELECT ext, name, price_cents FROM d WHERE rn = 1""")
 def dedup_scrape(spark, sf_dir):
     return rk.scrape_dedup(offers(spark, sf_dir), name_key("name")).select("ext", "name", "price_cents")

@@ -11,10 +11,10 @@ from offerloom.operators import rules as ru
 from offerloom.operators import scopes as sc
 from offerloom.operators import upsert as up
 from offerloom.plans import recipes as rc
-from offerloom.plans.baskets import _RECIPES
-from offerloom.plans.classification import _HITS, BOOK, _joined, products
+from offerloom.plans.baskets import _book, _priced, _roles
+from offerloom.plans.classification import _HITS, _VERDICTS, BOOK, _joined, products
 from offerloom.plans.registry import query, values
-from offerloom.plans.sundry import _DIST, clearance_pages, coupon_pages, flyer_pages
+from offerloom.plans.sundry import _CLEARANCE, _COUPONS, _DIST, clearance_pages, coupon_pages, flyer_pages
 from offerloom.sources import feeds as fd
 from offerloom.sources.tables import offers, stores, table
 
@@ -84,9 +84,15 @@ def customers_located(spark, sf_dir):
     return pl.located(rows, pl.centroids(stores(spark, sf_dir))).select("c_custkey", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
-@query("p03_compact_trace", f"""WITH {_HITS}, l AS (SELECT p_partkey, string_agg('{{"layer":"' || kind || '","slug":"' || slug || '"' || CASE WHEN token <> '' THEN ',"token":"' || token || '"' ELSE '' END || '}}', ',' ORDER BY layer) AS layers FROM f WHERE own = 1 GROUP BY p_partkey),
-i AS (SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN '"category_path":["food","' || lower(p_type) || '"]' WHEN 2 THEN '"category_path":["garden","Tools "]' WHEN 3 THEN '"category_path":["house","metal"]' ELSE '' END AS path FROM part)
-SELECT p_partkey, '{{"category":"' || final || '","inputs":{{' || i.path || '}},"layers":[' || layers || ']}}' AS trace FROM w JOIN l USING (p_partkey) JOIN i USING (p_partkey)""", views=False)
+def _json_sql(n: str) -> str:
+    fields = {"slug": "slug", "table": "tab", "rule": "rule", "matched": "matched", "place": "place", "reason": "reason", "blocked_slug": "blocked"}
+    value = lambda name, f: f"coalesce(',\"{name}\":' || {f if name == 'rule' else f"'\"' || {f} || '\"'"}, '')"
+    own = {f: f"l{n}_{f}" for f in fields.values()} | {"place": f"CASE WHEN l{n}_status = 'decided' THEN l{n}_place END"}
+    return f"""'{{{{"layer":"{n}","status":"' || l{n}_status || '"' || """ + " || ".join(value(name, own[f]) for name, f in fields.items()) + " || '}}'"
+
+
+@query("p03_compact_trace", (f"""WITH {_HITS.replace("{", "{{").replace("}", "}}")} SELECT p_partkey, '{{{{"category":"' || final || '","inputs":{{{{' || CASE len(path) WHEN 0 THEN '' ELSE '"category_path":["' || array_to_string(path, '","') || '"]' END || '}}}},"layers":['
+  || {" || ',' || ".join(map(_json_sql, _VERDICTS))} || ']' || CASE WHEN redirected THEN ',"redirect":{{{{"layer":"R","status":"decided","slug":"pantry","table":"preserved","matched":"' || preserved_token || '","place":"caption","blocked_slug":"' || won || '"}}}}' ELSE '' END || '}}}}' AS trace FROM w""").replace("{{", "{").replace("}}", "}"), views=False)
 def compact_trace(spark, sf_dir):
     rows = products(spark, sf_dir)
     return _joined(rows, ru.compact(ru.explain(rows, BOOK)), ["trace"]).select("p_partkey", "trace")
@@ -110,12 +116,10 @@ def saved_stores(spark, sf_dir):
     return up.upsert(old, rows.where("chain in ('west', 'north')").select("chain", "store_id"), ["chain"], [F.desc("store_id")])
 
 
-@query("a10_recipe_chains", """, r AS (SELECT * FROM (VALUES ('bolt soup', 0, 'bolt'), ('bolt soup', 1, 'gizmo'), ('ring pie', 0, 'ring'), ('ring pie', 1, 'zzz'), ('plate stew', 0, 'plate'), ('plate stew', 1, 'hot rod'), ('plate stew', 2, 'anvil')) v(recipe, pos, word)),
-c AS (SELECT recipe, pos, arg_min(chain, (price_cents, ext)) AS chain FROM r JOIN offers ON contains(lower(name), word) GROUP BY ALL), f AS (SELECT recipe, chain, min(pos) AS pos FROM c GROUP BY ALL)
-SELECT recipe, string_agg(chain, ',' ORDER BY pos) AS chains FROM f GROUP BY recipe""")
+@query("a10_recipe_chains", f""", {_roles("true")}, c AS (SELECT recipe, chain, min(n) AS n FROM e WHERE role = 'on_sale' AND NOT staple GROUP BY ALL)
+SELECT b.recipe, coalesce(string_agg(chain, ',' ORDER BY n), '') AS chains FROM (SELECT unnest(['bolt soup', 'ring pie', 'plate stew', 'empty pot']) AS recipe) b LEFT JOIN c USING (recipe) GROUP BY b.recipe""")
 def recipe_chains(spark, sf_dir):
-    rows = values(spark, _RECIPES, "recipe string, ingredients array<struct<word:string,staple:boolean>>, tags array<string>")
-    return rc.chains_of(rows, offers(spark, sf_dir)).select("recipe", F.array_join("chains", ",").alias("chains"))
+    return rc.chains_of(_book(spark), _priced(spark, sf_dir)).select("recipe", F.array_join("chains", ",").alias("chains"))
 
 
 @query("o07_locale_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY translate(lower(p_name), 'äöü', 'aou'), p_partkey) AS position FROM part", views=False)
@@ -126,27 +130,27 @@ def locale_order(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(order).alias("position"))
 
 
-_BATCH = """fl AS (SELECT 'flyer' AS source, CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_name AS name, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, CASE WHEN p_size % 6 IN (1, 3, 4) THEN 1 END AS reg, CASE WHEN p_size % 6 <> 1 THEN 1 END AS per FROM part WHERE p_size % 6 NOT IN (0, 5)),
-co AS (SELECT 'coupon' AS source, CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 4 = 0 THEN 'Coupon' ELSE p_name END AS name, CAST(p_size * 100 + 9 AS BIGINT) AS price_cents, NULL AS reg, NULL AS per FROM part WHERE p_size % 3 <> 0),
-cl AS (SELECT 'clearance' AS source, CAST(s_suppkey AS VARCHAR) AS id, 'B ' || s_name AS name, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN 1 END AS reg, CASE WHEN s_suppkey % 3 = 0 THEN 1 END AS per FROM supplier WHERE s_suppkey % 5 <> 0 AND round(abs(s_acctbal) * 100) > 0),
-b AS (SELECT * FROM fl UNION ALL SELECT * FROM co UNION ALL SELECT * FROM cl)"""
+_BATCH = f"""fl AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_name AS name, p_brand AS brand, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, CASE WHEN p_size % 6 IN (1, 3, 4) THEN 1 END AS reg, CASE WHEN p_size % 6 <> 1 THEN 1 END AS per FROM part WHERE p_size % 6 NOT IN (0, 5)),
+{_COUPONS}, {_CLEARANCE},
+b AS (SELECT 'flyer' AS source, id, name, brand, price_cents, reg IS NOT NULL AS reduced, per IS NOT NULL AS has_unit, false AS pictured FROM fl UNION ALL SELECT 'coupon', id, name, brand, price_cents, regular_cents IS NOT NULL, per_unit IS NOT NULL, image_url IS NOT NULL FROM co
+  UNION ALL SELECT 'clearance', id, name, brand, price_cents, regular_cents IS NOT NULL, base_unit IS NOT NULL, image_url IS NOT NULL FROM cl)"""
 
 
 def batch(spark, sf_dir):
     return fd.batch(fd.flyer_offers(flyer_pages(spark, sf_dir)), fd.coupon_offers(coupon_pages(spark, sf_dir)), fd.clearance_offers(clearance_pages(spark, sf_dir)))
 
 
-@query("u02_source_batches", f"WITH {_BATCH} SELECT source, id, name, price_cents, reg IS NOT NULL AS reduced, per IS NOT NULL AS has_unit FROM b", views=False)
+@query("u02_source_batches", f"WITH {_BATCH} SELECT * FROM b", views=False)
 def batches(spark, sf_dir):
-    return batch(spark, sf_dir).select("source", "id", "name", "price_cents", F.col("regular_cents").isNotNull().alias("reduced"), F.col("per_unit").isNotNull().alias("has_unit"))
+    return batch(spark, sf_dir).select("source", "id", "name", "brand", "price_cents", F.col("regular_cents").isNotNull().alias("reduced"), F.col("per_unit").isNotNull().alias("has_unit"), F.col("image_url").isNotNull().alias("pictured"))
 
 
-@query("q17_ingest", rf"""WITH {_BATCH}, d AS (SELECT *, source || ':' || id AS ext, row_number() OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), price_cents ORDER BY per IS NOT NULL DESC, reg IS NOT NULL DESC, source || ':' || id DESC) AS rn FROM b),
+@query("q17_ingest", rf"""WITH {_BATCH}, d AS (SELECT *, source || ':' || id AS ext, row_number() OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), price_cents ORDER BY has_unit DESC, reduced DESC, pictured DESC, source || ':' || id DESC) AS rn FROM b),
 n AS (SELECT ext, name, price_cents FROM d WHERE rn = 1), o AS (SELECT 'flyer:' || p_partkey AS ext, 'old ' || p_name AS name, CAST(1 AS BIGINT) AS price_cents FROM part WHERE p_partkey % 4 = 0)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE ext NOT IN (SELECT ext FROM n)""", views=False)
 def ingested(spark, sf_dir):
     """The feeds in one table, of duplicates the fullest, put over what is stored."""
-    rows = batch(spark, sf_dir).withColumns({"ext": F.concat_ws(":", "source", "id"), "image_url": F.lit(None).cast("string")})
+    rows = batch(spark, sf_dir).withColumn("ext", F.concat_ws(":", "source", "id"))
     new = rk.scrape_dedup(rows, name_key("name")).select("ext", "name", "price_cents")
     old = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("flyer:"), F.col("p_partkey").cast("string")).alias("ext"), F.concat(F.lit("old "), F.col("p_name")).alias("name"), F.lit(1).cast("long").alias("price_cents"))
     return up.upsert(old, new, ["ext"], [F.col("price_cents").asc(), F.col("name").asc()])

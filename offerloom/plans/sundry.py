@@ -154,33 +154,50 @@ def flyer(spark, sf_dir):
     return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit", "note")
 
 
-@query("s05_coupon_offers", """SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 4 = 0 THEN 'Coupon' ELSE p_name END AS name, p_size * 100 + 9 AS price_cents, 'a bag' AS unit, '1998-06-01' AS valid_from
-FROM part WHERE p_size % 3 <> 0""", views=False)
+_COUPONS = """c AS (SELECT p_partkey, p_size % 12 AS m, p_name, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part),
+co AS (SELECT CASE WHEN m = 5 AND m % 4 <> 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS id, CASE WHEN m % 4 = 0 THEN 'Coupon' ELSE p_name END AS name, CASE WHEN m % 2 = 0 THEN p_brand END AS brand, cents AS price_cents,
+  CASE WHEN m % 3 = 1 THEN cents + 150 END AS regular_cents, CASE WHEN m < 6 THEN 'a bag' WHEN m < 9 THEN '1 kg = 1.93' END AS unit, CASE WHEN m < 9 THEN '1 kg = 1.93' END AS per_unit, CASE WHEN m > 3 THEN 'http://i/' || p_partkey END AS image_url FROM c WHERE m % 3 <> 0)"""
+
+
+@query("s05_coupon_offers", f"WITH {_COUPONS} SELECT *, '1998-06-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to FROM co", views=False)
 def coupons(spark, sf_dir):
-    out = fd.coupon_offers(coupon_pages(spark, sf_dir))
-    return out.select("id", "name", F.col("price_cents").cast("int").alias("price_cents"), "unit", F.col("valid_from").cast("string").alias("valid_from"))
+    return fd.coupon_offers(coupon_pages(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
 
 
 def coupon_pages(spark, sf_dir):
-    size = F.col("p_size")
-    box = F.when(size % 3 == 0, "null").otherwise(F.concat(F.lit('{"largePartNumeric":'), size.cast("string"), F.lit(',"smallPartNumeric":9}')))
-    title = F.when(size % 4 == 0, "").otherwise(F.col("p_name"))
-    page = F.concat(F.lit('{"offers":[{"id":"'), F.col("p_partkey").cast("string"), F.lit('","title":"'), title, F.lit('","packaging":"a bag\\nof it","startValidityDate":"1998-06-01T00:00:00Z","endValidityDate":"soon","priceBox":'), box, F.lit("},3]}"))
-    return table(spark, sf_dir, "part").select(page.alias("json"))
+    """Parts as coupons: without a price but with the one before, without a title, an id, a brand, packaging or an image."""
+    m, price = F.col("p_size") % 12, F.col("p_retailprice")
+    small = F.concat(F.lit('"smallPartNumeric":'), (F.round(price + 1.5, 2)).cast("string"))
+    box = F.when(m % 3 == 0, F.concat(F.lit("{"), small, F.lit("}"))).when(m % 3 == 1, F.concat(F.lit('{"largePartNumeric":'), price.cast("string"), F.lit(","), small, F.lit("}"))).otherwise(F.concat(F.lit('{"largePartNumeric":'), price.cast("string"), F.lit(',"smallPartNumeric":null}')))
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), F.coalesce(F.concat(F.lit('"'), value, F.lit('"')), F.lit("null")))
+    parts = [
+        field("id", F.when(m != 5, F.col("p_partkey").cast("string"))), field("title", F.when(m % 4 == 0, " ").otherwise(F.col("p_name"))), field("brand", F.when(m % 2 == 0, F.col("p_brand"))), field("packaging", F.when(m < 6, " a bag\\r\\nof it").when(m < 8, "  \\nlater")),
+        field("pricePerUnit", F.when(m < 9, " 1 kg = 1.93 ")), field("imageUrl", F.when(m > 3, F.concat(F.lit("http://i/"), F.col("p_partkey").cast("string")))), F.lit('"startValidityDate":"1998-06-01T00:00:00Z","endValidityDate":"soon"'), F.concat(F.lit('"priceBox":'), box),
+    ]
+    return table(spark, sf_dir, "part").select(F.concat(F.lit('{"offers":[{'), F.concat_ws(",", *parts), F.lit('},3,{"title":"no box"}]}')).alias("json"))
+
+
+_CLEARANCE = """s AS (SELECT *, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0),
+cl AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 't' ELSE '' END || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'Ausverkauf' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 <> 1 THEN 'B' END AS brand, c AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN c + 100 END AS regular_cents,
+  CASE WHEN s_suppkey % 3 = 0 THEN '1 l = 20.00' END AS base_unit, CASE WHEN s_suppkey % 4 > 0 THEN 'i' || s_suppkey END AS image_url, CASE WHEN s_suppkey % 4 = 1 THEN ['Pflege', 'Haar'] ELSE [] END AS category_path FROM s)"""
 
 
-@query("s06_clearance_offers", """WITH s AS (SELECT *, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c FROM supplier WHERE s_suppkey % 5 <> 0)
-SELECT s_suppkey AS gtin, 'B ' || s_name AS name, c AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN c + 100 END AS regular_cents, CASE WHEN s_suppkey % 3 = 0 THEN '1 l = 20.00' END AS base_unit FROM s WHERE c > 0""", views=False)
+@query("s06_clearance_offers", f"WITH {_CLEARANCE} SELECT * FROM cl", views=False)
 def clearance(spark, sf_dir):
     return fd.clearance_offers(clearance_pages(spark, sf_dir))
 
 
 def clearance_pages(spark, sf_dir):
+    """Suppliers as articles: some sold online only, without an article number, a title or a brand; one of two has its number in the tile."""
     money = lambda x: F.concat(F.translate(F.format_number(x, 2), ",.", ".,"), F.lit(" €"))
     now, key = F.abs("s_acctbal"), F.col("s_suppkey")
+    name = key.cast("string")
     price = F.concat(F.lit('{"price":{"current":{"value":"'), money(now), F.lit('"},"previous":{"value":"'), F.when(key % 2 == 0, money(now + 1)).otherwise(money(now)), F.lit('"}},"tileInfos":['), F.when(key % 3 == 0, '"75 ml (0,02 € je 1 ml)"').otherwise("null"), F.lit("]}"))
-    mark = F.when(key % 5 == 0, '[{"alt":"Nur Online"}]').otherwise("[]")
-    page = F.concat(F.lit('{"products":[{"gtin":'), key.cast("string"), F.lit(',"brandName":"B","title":"'), F.col("s_name"), F.lit('","tileData":{"eyecatchers":'), mark, F.lit(',"netPrice":{"price":{"current":{"value":"1,00 €"}}},"price":'), price, F.lit("}}]}"))
+    mark = F.when(key % 5 == 0, '[null,{"alt":"Nur Online Grafik"}]').otherwise('[{"alt":"Nur Online"}]')
+    number = F.when(key % 11 == 0, F.lit("")).when(key % 2 == 1, F.concat(F.lit('"dan":'), name, F.lit(",")))
+    tile = F.concat(F.lit('"tileData":{'), F.when((key % 11 != 0) & (key % 2 == 0), F.concat(F.lit('"dan":"t'), name, F.lit('",'))).otherwise(""), F.lit('"eyecatchers":'), mark, F.when(key % 4 > 0, F.concat(F.lit(',"images":[{"tileSrc":"i'), name, F.lit('"}]'))).otherwise(""),
+        F.when(key % 4 == 1, ',"trackingData":{"categories":["Pflege",3," ","Haar"]}').otherwise(""), F.lit(',"netPrice":{"price":{"current":{"value":"1,00 €"}}},"price":'), price, F.lit("}"))
+    page = F.concat(F.lit('{"products":[{'), F.coalesce(number, F.lit("")), F.lit('"gtin":99,"brandName":'), F.when(key % 3 == 1, F.lit('" "')).otherwise(F.lit('"B"')), F.lit(',"title":'), F.when(key % 7 == 0, F.lit('" "')).otherwise(F.concat(F.lit('"'), F.col("s_name"), F.lit('"'))), F.lit(","), tile, F.lit('},{"dan":1},{"dan":2,"tileData":7}]}'))
     return table(spark, sf_dir, "supplier").select(page.alias("json"))
 
 

@@ -9,7 +9,6 @@ from offerloom.functions import display as dp
 from offerloom.operators import lookups as lk
 from offerloom.operators.filters import equal_to
 from offerloom.plans.exports import candidates_json, manifest
-from offerloom.plans.recipes import suits
 from offerloom.plans.registry import query, values
 from offerloom.sources.tables import TODAY, offers, stores, table
 
@@ -68,11 +67,38 @@ def in_basket_items(spark, sf_dir):
     return _resolved(spark, sf_dir).join(F.broadcast(basket), "item", "left").select("name", "brand", "item", F.coalesce("_in", F.lit(False)).alias("in_basket"))
 
 
-@query("j17_suggestions", """, g AS (SELECT DISTINCT lower(name) AS key, arg_min(name, ext) OVER (PARTITION BY lower(name)) AS label FROM offers)
-SELECT key, label FROM g WHERE key NOT IN ('red ring', 'old ring') AND contains(lower(label), 'ring') ORDER BY label, key LIMIT 12""")
+_GROUPS = """g AS (SELECT lower(name) AS key, arg_min(name, ext) AS label, arg_min(upper(category), ext) AS category_label FROM offers WHERE name NOT LIKE 'old%' GROUP BY 1)"""
+
+
+def _groups(spark, sf_dir):
+    rows = offers(spark, sf_dir).where("name not like 'old%'")
+    return lk.groups_on_offer(rows, F.lower("name"), F.col("name"), F.upper("category"))
+
+
+@query("j17_suggestions", f""", {_GROUPS}, c AS (SELECT *, 'item ' || split_part(key, ' ', 1) AS item_label, [key, 'Zahnrad'] AS keywords FROM g)
+SELECT key, label, category_label FROM c WHERE key NOT IN ('red ring', 'new ring') AND key NOT IN ('blue ring') AND (contains(lower(label), 'ring') OR contains(item_label, 'ring')) ORDER BY category_label, label, key LIMIT 12""")
 def suggested(spark, sf_dir):
-    groups = lk.groups_on_offer(offers(spark, sf_dir), F.lower("name"))
-    return lk.suggestions(groups, values(spark, [("red ring",), ("old ring",)], "key string"), "RING")
+    """Neither in the basket nor among the catalogue keys shown."""
+    groups = _groups(spark, sf_dir).withColumns({"item_label": F.concat(F.lit("item "), F.split_part("key", F.lit(" "), F.lit(1))), "keywords": F.array(F.col("key"), F.lit("Zahnrad"))})
+    basket, shown = values(spark, [("red ring",), ("new ring",)], "key string"), values(spark, [("blue ring",)], "key string")
+    return lk.suggestions(groups, basket, shown, " RING").select("key", "label", "category_label")
+
+
+_CATALOG = """c AS (SELECT p_partkey AS pos, p_name || ' ' || p_partkey AS key, upper(p_name) AS en, p_brand || ' Größe' AS de, [p_type, 'Käse ' || p_size] AS keywords FROM part),
+f AS (SELECT *, [lower(en), replace(replace(lower(de), 'ö', 'o'), 'ß', 'ss'), key, lower(keywords[1]), replace(lower(keywords[2]), 'ä', 'a')] AS terms FROM c WHERE pos <> 7)"""
+
+
+@query("o10_catalogue", f""", {_CATALOG}, a AS (SELECT 'de' AS asked, key, pos FROM f WHERE len([t FOR t IN terms IF contains(t, '3 grosse')]) > 0 UNION ALL SELECT 'keyword', key, pos FROM f WHERE len([t FOR t IN terms IF contains(t, 'kase 1')]) > 0
+  UNION ALL SELECT 'letter', key, pos FROM f WHERE len([t FOR t IN terms IF contains(t, 'z')]) > 0 UNION ALL SELECT 'nothing', key, CASE pos WHEN 12 THEN 1 WHEN 3 THEN 2 END FROM f WHERE pos IN (3, 12))
+SELECT asked, key, row_number() OVER (PARTITION BY asked ORDER BY pos, key) AS position FROM a QUALIFY position <= 12""")
+def catalogue(spark, sf_dir):
+    """What the catalogue suggests for a typed text in German, for a keyword, for one letter, and for none."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("key"), F.upper("p_name").alias("en"), F.concat(F.col("p_brand"), F.lit(" Größe")).alias("de"), F.array(F.col("p_type"), F.concat(F.lit("Käse "), F.col("p_size").cast("string"))).alias("keywords"))
+    basket, popular = rows.where("pos = 7").select("key"), [r["key"] for r in rows.where("pos in (3, 7, 12)").orderBy(F.desc("pos")).select("key").collect()]
+    asked = {"de": " 3 grösse", "keyword": "KASE 1", "letter": "z", "nothing": "  "}
+    found = [lk.catalogue_suggestions(rows, basket, text, popular).withColumn("asked", F.lit(name)) for name, text in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("j18_in_basket", " SELECT ext, lower(name) IN ('red ring', 'old ring') AS in_basket FROM offers")
@@ -82,9 +108,9 @@ def in_basket(spark, sf_dir):
     return rows.join(basket, F.lower(rows.name) == basket.key, "left").select("ext", F.coalesce("_in", F.lit(False)).alias("in_basket"))
 
 
-@query("a16_groups_on_offer", " SELECT lower(name) AS key, arg_min(name, ext) AS label FROM offers GROUP BY 1")
+@query("a16_groups_on_offer", f", {_GROUPS} SELECT *, row_number() OVER (ORDER BY category_label, label, key) AS position FROM g")
 def groups(spark, sf_dir):
-    return lk.groups_on_offer(offers(spark, sf_dir), F.lower("name"))
+    return _groups(spark, sf_dir)
 
 
 @query("a12_store_subtotals", """, p AS (SELECT name, arg_min(struct_pack(chain := chain, c := price_cents), (price_cents, ext)) AS b FROM offers GROUP BY name), s AS (SELECT b.chain AS chain, count(*) AS n, CAST(sum(b.c) AS BIGINT) AS subtotal FROM p GROUP BY 1)
@@ -138,13 +164,6 @@ def seed_json(spark, sf_dir):
     return out.select("chain", F.size(F.split("json", '"ext":')).cast("long").alias("n")).withColumn("n", F.col("n") - 1)
 
 
-@query("f16_diets", "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', false)) v(recipe, vegetarian)", views=False)
-def diets(spark, sf_dir):
-    rows = values(spark, [("a", ["vegan"]), ("b", ["vegetarian", "quick"]), ("c", ["pork"])], "recipe string, tags array<string>")
-    fit = suits(rows, "vegetarian").select("recipe", F.lit(True).alias("vegetarian"))
-    return rows.select("recipe").join(fit, "recipe", "left").select("recipe", F.coalesce("vegetarian", F.lit(False)).alias("vegetarian"))
-
-
 @query("x25_formats", """ SELECT ext, price_cents // 100 || ',' || lpad(CAST(price_cents % 100 AS VARCHAR), 2, '0') || ' €' AS price, CASE WHEN discount_pct > 0 THEN '-' || CAST(floor(discount_pct + 0.5) AS BIGINT) || ' %' END AS off,
   CASE WHEN unit LIKE 'Je %' THEN substr(unit, 4) ELSE unit END AS unit, brand FROM offers""")
 def formats(spark, sf_dir):

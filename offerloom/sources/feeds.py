@@ -74,34 +74,62 @@ def flyer_offers(pages: DataFrame) -> DataFrame:
     )
 
 
+def _text(v: Column, path: str) -> Column:
+    """The trimmed text there; null if it is empty."""
+    return F.nullif(F.trim(_get(v, path, "string")), F.lit(""))
+
+
 def coupon_offers(pages: DataFrame, default_name: str = "Coupon") -> DataFrame:
-    """(id, name, price_cents, unit, valid_from, valid_to) of coupon lists (column json); coupons without a price are dropped."""
+    """(id, name, brand, price_cents, regular_cents, unit, per_unit, image_url, valid_from, valid_to) of coupon lists (column json).
+
+    largePartNumeric is the price in euros, smallPartNumeric the one before; a coupon without the first is dropped. The unit is the first line of the packaging,
+    else the price per unit. Without an id the title names the coupon, or its price.
+    """
     o = pages.select(F.explode(_list(F.try_parse_json("json"), "$.offers")).alias("o"))
+    at = lambda path: _text(F.col("o"), path)
     large, small = _get(F.col("o"), "$.priceBox.largePartNumeric", "double"), _get(F.col("o"), "$.priceBox.smallPartNumeric", "double")
-    price = (F.coalesce(large, F.lit(0.0)) * 100 + F.coalesce(small, F.lit(0.0))).try_cast("long")
     date = lambda k: F.try_to_date(F.substring(_get(F.col("o"), k, "string"), 1, 10))
-    unit = F.coalesce(F.nullif(F.get(F.split(_get(F.col("o"), "$.packaging", "string"), "\n"), F.lit(0)), F.lit("")), _get(F.col("o"), "$.pricePerUnit", "string"))
-    title = F.coalesce(F.nullif(F.trim(_get(F.col("o"), "$.title", "string")), F.lit("")), F.lit(default_name))
-    return o.select(_get(F.col("o"), "$.id", "string").alias("id"), title.alias("name"), price.alias("price_cents"), unit.alias("unit"), date("$.startValidityDate").alias("valid_from"), date("$.endValidityDate").alias("valid_to")).where("price_cents > 0")
+    line = F.nullif(F.trim(F.get(F.split(_get(F.col("o"), "$.packaging", "string"), r"\r\n|\n|\r"), F.lit(0))), F.lit(""))
+    rows = o.select(
+        F.coalesce(at("$.id"), at("$.title"), large.cast("string")).alias("id"), F.coalesce(at("$.title"), F.lit(default_name)).alias("name"), at("$.brand").alias("brand"), cents(large).alias("price_cents"), cents(small).alias("regular_cents"),
+        F.coalesce(line, at("$.pricePerUnit")).alias("unit"), at("$.pricePerUnit").alias("per_unit"), at("$.imageUrl").alias("image_url"), date("$.startValidityDate").alias("valid_from"), date("$.endValidityDate").alias("valid_to"),
+    )
+    return rows.where("price_cents is not null")
+
 
+#: Fixed value: how a feed marks what no branch sells.
+ONLINE_ONLY = "Nur Online Grafik"
 
-def clearance_offers(pages: DataFrame) -> DataFrame:
-    """(gtin, name, price_cents, regular_cents, base_unit) of clearance lists (column json): gross prices only, no online-only rows."""
-    p = pages.select(F.explode(_list(F.try_parse_json("json"), "$.products")).alias("p"))
-    online = F.exists(_list(F.col("p"), "$.tileData.eyecatchers"), lambda e: F.lower(F.coalesce(_get(e, "$.alt", "string"), F.lit(""))).contains("online"))
-    now = money_cents(_get(F.col("p"), "$.tileData.price.price.current.value", "string"))
-    before = money_cents(_get(F.col("p"), "$.tileData.price.price.previous.value", "string"))
-    name = F.concat_ws(" ", _get(F.col("p"), "$.brandName", "string"), _get(F.col("p"), "$.title", "string"))
-    return p.where(~online).select(_get(F.col("p"), "$.gtin", "long").alias("gtin"), name.alias("name"), now.alias("price_cents"), F.when(before > now, before).alias("regular_cents"), base_unit_price(_get(F.col("p"), "$.tileData.price.tileInfos[0]", "string")).alias("base_unit")).where("price_cents > 0")
+
+def clearance_offers(pages: DataFrame, default_name: str = "Ausverkauf") -> DataFrame:
+    """(id, name, brand, price_cents, regular_cents, base_unit, image_url, category_path) of clearance lists (column json).
+
+    Only gross prices count. Dropped are rows marked as sold online only, without a readable price, or without an article number; a price before that isn't above the price is null.
+    """
+    p = pages.select(F.explode(_list(F.try_parse_json("json"), "$.products")).alias("p")).where(F.schema_of_variant(_get(F.col("p"), "$.tileData", "variant")).startswith("OBJECT"))
+    at = lambda path: _get(F.col("p"), path, "string")
+    online = F.exists(_list(F.col("p"), "$.tileData.eyecatchers"), lambda e: F.coalesce(_get(e, "$.alt", "string") == ONLINE_ONLY, F.lit(False)))
+    now, before = money_cents(at("$.tileData.price.price.current.value")), money_cents(at("$.tileData.price.price.previous.value"))
+    nodes = F.filter(_list(F.col("p"), "$.tileData.trackingData.categories"), lambda v: F.schema_of_variant(v) == "STRING")
+    rows = p.where(~online).select(
+        F.coalesce(at("$.dan"), at("$.tileData.dan")).alias("id"), F.coalesce(_text(F.col("p"), "$.title"), F.lit(default_name)).alias("name"), _text(F.col("p"), "$.brandName").alias("brand"), now.alias("price_cents"),
+        F.when(before > now, before).alias("regular_cents"), base_unit_price(at("$.tileData.price.tileInfos[0]")).alias("base_unit"), at("$.tileData.images[0].tileSrc").alias("image_url"),
+        F.filter(F.transform(nodes, lambda v: _get(v, "$", "string")), lambda x: F.trim(x) != "").alias("category_path"),
+    )
+    return rows.where("price_cents is not null and id is not null")
 
 
 def batch(flyers: DataFrame, coupons: DataFrame, clearance: DataFrame) -> DataFrame:
-    """(source, id, name, price_cents, regular_cents, unit, per_unit): the offers of all three feeds in one table."""
-    text, none = (lambda c: F.col(c).cast("string")), (lambda kind: F.lit(None).cast(kind))
-    one = flyers.select(F.lit("flyer").alias("source"), "id", "name", F.col("price_cents").cast("long"), F.col("regular_cents").cast("long"), "unit", F.col("base_unit").alias("per_unit"))
-    two = coupons.select(F.lit("coupon").alias("source"), "id", "name", F.col("price_cents").cast("long"), none("long").alias("regular_cents"), "unit", none("string").alias("per_unit"))
-    three = clearance.select(F.lit("clearance").alias("source"), text("gtin").alias("id"), "name", F.col("price_cents").cast("long"), F.col("regular_cents").cast("long"), none("string").alias("unit"), F.col("base_unit").alias("per_unit"))
-    return one.unionByName(two).unionByName(three)
+    """The offers of all three feeds in one table: source, id, name, brand, price_cents, regular_cents, app_cents, unit, per_unit, note, image_url, category_path, valid_from, valid_to.
+
+    What a feed doesn't have is null. Further columns that all three hold, such as the place they were asked for, are kept.
+    """
+    kinds = {"id": "string", "name": "string", "brand": "string", "price_cents": "long", "regular_cents": "long", "app_cents": "long", "unit": "string", "per_unit": "string", "note": "string", "image_url": "string", "category_path": "array<string>", "valid_from": "date", "valid_to": "date"}
+    feeds = {"flyer": flyers.withColumnRenamed("base_unit", "per_unit"), "coupon": coupons, "clearance": clearance.withColumnRenamed("base_unit", "per_unit")}
+    more = [c for c in flyers.columns if c not in (*kinds, "base_unit") and all(c in f.columns for f in feeds.values())]
+    one = lambda name, df: df.select(F.lit(name).alias("source"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], *more)
+    rows = [one(*item) for item in feeds.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def history_records(rows: DataFrame) -> DataFrame:

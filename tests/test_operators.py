@@ -1,15 +1,16 @@
 """Operators on small tables: ties, nulls, empty inputs, malformed feeds."""
 
 import json
+import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.operators import filters, matching, places, ranking, rules, upsert
+from offerloom.operators import filters, matching, multimatch, places, ranking, rules, upsert
 from offerloom.operators.history import trail
 from offerloom.plans import optimise
 from offerloom.plans.classification import BOOK
-from offerloom.plans.recipes import suits
 from offerloom.sources import feeds
 from offerloom.streaming import throttle
 
@@ -50,13 +51,19 @@ def test_unknown_vertical_is_an_error():
         filters.in_vertical("shoes")
 
 
-def test_optimiser_prefers_coverage(spark):
-    df = offers(spark, {"store_id": 1, "category": "dairy", "price_cents": 100}, {"store_id": 2, "category": "dairy", "price_cents": 200}, {"store_id": 2, "category": "fruits", "price_cents": 300})
-    got = optimise.single_store(df, ["dairy", "fruits"]).collect()
-    assert {(r["store_id"], r["total"], r["covered"]) for r in got} == {(2, 500, 2)}
-    many = optimise.many_stores(df, ["dairy", "fruits"]).collect()
-    assert sorted((r["category"], r["store_id"], r["total"], r["savings"]) for r in many) == [("dairy", 1, 400, 100), ("fruits", 2, 400, 100)]
-    assert optimise.many_stores(df.limit(0), ["dairy"]).count() == 0
+def test_optimiser_prefers_coverage_and_looks_at_dates_and_places(spark):
+    rows = [{"store_id": 1, "price_cents": 100}, {"store_id": 2, "price_cents": 200}, {"store_id": 2, "category": "fruits", "price_cents": 300}, {"store_id": 1, "category": "fruits", "price_cents": 5, "valid_to": date(2026, 1, 4)}]
+    df = offers(spark, *rows).withColumn("plz", F.when(F.col("store_id") == 1, "10115").otherwise("10116"))
+    got = optimise.single_store(df, ["dairy", "fruits"], "2026-01-05").collect()
+    assert {(r["store_id"], r["total"], r["covered"], *r["missing"]) for r in got} == {(2, 500, 2)}  # the expired offer of store 1 is no fruit
+    assert {(r["total"], *r["missing"]) for r in optimise.single_store(df, ["dairy", "fruits"], "2026-01-05", "10115").collect()} == {(100, "fruits")}
+    assert optimise.single_store(df, ["dairy", "fruits"], "2026-01-04").first()["store_id"] == 1
+    many = optimise.many_stores(df, ["fruits", "dairy", "eggs"], "2026-01-05").collect()
+    assert sorted((r["category"], r["store_id"], r["subtotal"], r["total"], r["savings"], *r["missing"]) for r in many) == [("dairy", 1, 100, 400, 100, "eggs"), ("fruits", 2, 300, 400, 100, "eggs")]
+    every = optimise.response(df, [], 2, "2026-01-05").first()
+    assert every["store_count"] == 2 and every["total"] == 400 and every["missing"] == [] and [b["subtotal"] for b in every["baskets"]] == [100, 300]
+    none = optimise.response(df.limit(0), ["dairy"], 2, "2026-01-05").first()
+    assert none["store_count"] == 0 and none["total"] == 0 and none["missing"] == ["dairy"]
 
 
 def test_two_chains(spark):
@@ -65,24 +72,113 @@ def test_two_chains(spark):
     assert got["apfel schorle"]["gap"] == 240 and got["apfel schorle"]["cheaper"] == "north" and got["only"]["kind"] == "only_b" and len(got) == 2
 
 
-def test_basket_keeps_null_brands(spark):
-    items = spark.createDataFrame([("milk", ["milk"], ["butter"])], "item string, keywords array<string>, exclude array<string>")
-    df = offers(spark, {"name": "Milk", "price_cents": 99}, {"name": "buttermilk", "price_cents": 1}, {"chain": "south", "name": "MILK 2", "brand": "x", "price_cents": 89})
-    got = optimise.basket_plan(df, items).collect()
-    assert [(r["ext"], r["total"], r["single_chain"], r["savings"]) for r in got] == [("e2", 89, "south", 0)]
+def test_basket_keeps_null_brands_and_picks_by_hand(spark):
+    items = spark.createDataFrame([("milk", ["milk"], ["butter"], None), ("tea", ["tea"], None, "e3"), ("salt", ["salt"], [], None)], "item string, keywords array<string>, exclude array<string>, pick string")
+    df = offers(spark, {"name": "Milk", "price_cents": 99}, {"name": "buttermilk", "price_cents": 1}, {"chain": "south", "name": "MILK 2", "brand": "x", "price_cents": 89}, {"name": "Tea", "price_cents": 300}, {"chain": "south", "name": "Tea", "price_cents": 200})
+    got = {r["item"]: r for r in optimise.basket_plan(df, items).collect()}
+    assert [(r["ext"], r["total"], r["single_chain"], r["savings"], r["leg"], r["matches"]) for r in (got["milk"], got["tea"])] == [("e2", 389, "south", -100, 2, 2), ("e3", 389, "south", -100, 1, 2)]
+    assert got["salt"]["ext"] is None and got["salt"]["matches"] == 0 and got["milk"]["matched"] == 2
+    assert {r["ext"] for r in optimise.basket_plan(df.limit(0), items).collect()} == {None}
+
+
+PRODUCT = "name string, brand string, path array<string>, caption string"
 
 
 def test_classifier_agrees_with_its_trace_and_ablation(spark):
-    rows = [("cold ring", "Brand#7", ["food", "large"], ""), ("old rod", "b", ["garden", "x"], ""), ("blue widget", None, ["garden"], None), ("new ring", "b", None, "im Glas"), ("hot ring", "b", None, "im Glas"), ("nothing", None, None, "")]
-    df = spark.createDataFrame(rows, "name string, brand string, path array<string>, caption string")
+    rows = [("cold ring", "Brand#7", ["food", "large"], ""), ("old rod", "b", ["garden", "x"], ""), ("blue widget", None, ["garden"], None), ("new ring", "b", None, "im Glas"), ("hot ring", "b", None, "im Glas"), ("nothing", None, None, ""), (None, None, [None], None)]
+    df = spark.createDataFrame(rows, PRODUCT)
     won = {r["name"]: r for r in rules.classify(df, BOOK).collect()}
-    for r in rules.explain(df, BOOK).collect():
-        assert r["slug"] == won[r["name"]]["slug"] and r["layers"][0]["kind"] == won[r["name"]]["layer"]
-    assert won["cold ring"]["slug"] == "frozen" and won["old rod"]["slug"] == "household" and won["blue widget"]["slug"] == "fruits"
-    assert won["new ring"]["layer"] == "vegan" and won["hot ring"]["slug"] == "spicy" and won["nothing"]["slug"] == "other"
-    again = {r["name"]: r["slug"] for r in rules.classify(df, BOOK, [k for k in rules.KINDS if k != "form"]).collect()}
-    trace = {r["name"]: r["layers"] for r in rules.explain(df, BOOK).collect()}
-    assert again["cold ring"] == trace["cold ring"][1]["slug"]
+    trace = {r["name"]: r for r in rules.explain(df, BOOK).collect()}
+    for name, r in trace.items():
+        first = next(x for x in r["layers"] if x["status"] == "decided")
+        assert (r["redirect"] or first)["slug"] == won[name]["slug"] and first["name"] == won[name]["layer"] and [x["layer"] for x in r["layers"]] == list(rules.LAYERS)
+    assert won["cold ring"]["slug"] == "frozen" and won["blue widget"]["slug"] == "fruits" and won["new ring"]["layer"] == "vegan" and won["hot ring"]["slug"] == "spicy" and won["nothing"]["slug"] == "other" and won[None]["slug"] == "household"
+    again = {r["name"]: r["slug"] for r in rules.classify(df, BOOK, [k for k in rules.LAYERS.values() if k != "form"]).collect()}
+    assert again["cold ring"] == trace["cold ring"]["layers"][4]["slug"] == "bulk" and again["cold ring"] == rules_later(spark, df)["cold ring"][0]
+
+
+def rules_later(spark, df):
+    return {r["name"]: [x["slug"] for x in r["later"]] for r in rules.explain(df, BOOK).select("name", rules.later(F.col("layers")).alias("later")).collect()}
+
+
+def test_vetoes_stop_what_they_are_meant_to_stop(spark):
+    """A word against the rescue leaves the aisles alone, one against the aisles the rescue; without either the answer is household, and the trace names what was blocked."""
+    book = rules.Book({"rescue": [("fruits", ["plum"])], "aisle_node": [("hair", ["hair care"])], "aisle": [("cleaning", ["tabs"])], "caption": [("canned", [" tin "])], "keyword": [("vegetables", ["leek"])]}, rescue_veto=("machine",), aisle_veto=("toy",), preserved=("jar",))
+    rows = [
+        ("plum", None, ["home"], None), ("plum machine", None, ["home"], None), ("plum machine tabs", None, ["home"], None), ("machine", None, ["home", " Hair CARE "], None), ("toy tabs", None, ["home", "hair care"], None), ("toy plum", None, ["home"], None),
+        ("thing", None, None, "in TIN"), ("3vegan", None, None, None), ("xvegan", None, None, None), ("leek", None, None, "a jar"), ("leek soup", None, [" Food "], None),
+    ]
+    got = {r["name"]: r for r in rules.explain(spark.createDataFrame(rows, PRODUCT), book).collect()}
+    assert {k: r["slug"] for k, r in got.items()} == {
+        "plum": "fruits", "plum machine": "household", "plum machine tabs": "cleaning", "machine": "hair", "toy tabs": "household", "toy plum": "fruits", "thing": "canned", "3vegan": "vegan", "xvegan": "other", "leek": "pantry", "leek soup": "vegetables",
+    }
+    blocked = got["plum machine"]["layers"][1]
+    assert (blocked["reason"], blocked["blocked_slug"], blocked["matched"]) == ("rescue_veto", "fruits", "machine") and got["toy tabs"]["layers"][1]["reason"] == "no_rescue_token"
+    assert got["machine"]["layers"][1]["matched"] == " Hair CARE " and got["leek"]["redirect"]["blocked_slug"] == "vegetables" and got["leek soup"]["layers"][1]["reason"] == "path_is_food_root"
+    trace = {r["name"]: json.loads(r["trace"]) for r in rules.compact(rules.explain(spark.createDataFrame(rows, PRODUCT), book)).collect()}
+    assert trace["leek"]["redirect"]["slug"] == trace["leek"]["category"] == "pantry" and "redirect" not in trace["plum"] and "place" not in trace["plum"]["layers"][0] and trace["thing"]["inputs"] == {}
+
+
+def test_automaton_equals_a_search_for_each_pattern(spark, monkeypatch):
+    dice = random.Random(4)
+    some = lambda n: "".join(dice.choices("abä ", k=n))
+    patterns = [some(dice.randrange(1, 5)) for _ in range(2000)] + ["", "zz", "a"]
+    texts = [some(dice.randrange(0, 60)) for _ in range(200)] + [None, "", "A", "zz\U0001f600"]
+    true = [[i for i, p in enumerate(patterns) if t is not None and p in t] for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for most in (multimatch.MOST_BYTES, 900):  # the second: several automata
+        monkeypatch.setattr(multimatch, "MOST_BYTES", most)
+        assert [r["h"] for r in df.withColumn("h", multimatch.found_in(spark, F.col("t"), patterns)).orderBy("i").collect()] == true
+    assert df.withColumn("h", multimatch.found_in(spark, F.col("t"), [])).where("size(h) > 0").count() == 0
+
+
+def test_pairs_by_automaton_equal_a_row_by_row_join(spark, monkeypatch):
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choices("abcd", k=dice.randrange(1, 4)))
+    texts = spark.createDataFrame([("".join(dice.choices("abcd ", k=12)),) for _ in range(60)], "hay string").distinct()
+    wanted = spark.createDataFrame([(k, [word() for _ in range(3)], [word()] if k % 2 else None) for k in range(700)] + [(701, [], ["a"]), (702, [None, "b"], [])], "k int, _want array<string>, _not array<string>")
+    pairs = lambda: {(r["hay"], r["k"]) for r in multimatch.matching_pairs(texts, "hay", wanted, ["k"]).collect()}
+    plan = multimatch.matching_pairs(texts, "hay", wanted, ["k"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
+    one = pairs()
+    monkeypatch.setattr(multimatch, "MOST_PATTERNS", 10)
+    assert one == pairs() and len(one) > 100
+    assert not multimatch.matching_pairs(texts, "hay", wanted.limit(0), ["k"]).collect()
+
+
+def test_recipes_by_role(spark):
+    from offerloom.plans import recipes as rc
+
+    part = lambda label, keys, exclude=None, staple=False: (label, keys, exclude, staple)
+    book = spark.createDataFrame([(0, "pie", ["vegetarian"], [part("Apple", ["apfel"], ["saft"]), part("Butter", ["butter"], [], True), part("Sugar", ["zucker"])]), (1, "fish", [], [part("Fish", ["lachs"]), part("Salt", ["salz"], None, True)]), (2, "air", ["vegan"], [])], rc.RECIPES)
+    df = offers(spark, {"name": "Apfelsaft", "price_cents": 1}, {"name": "Äpfel APFEL", "price_cents": 150}, {"name": "Butter", "price_cents": 10, "chain": "south"}, {"name": "Lachs", "price_cents": 500}).withColumn("unit_cents", F.when(F.col("price_cents") == 150, 300))
+    role = {(r["recipe"], r["label"]): (r["role"], r["price_cents"]) for r in rc.resolved(book, df, ["Rohrzucker"]).collect()}
+    assert role == {("pie", "Apple"): ("on_sale", 150), ("pie", "Butter"): ("on_sale", 10), ("pie", "Sugar"): ("have", None), ("fish", "Fish"): ("on_sale", 500), ("fish", "Salt"): ("have", None)}
+    names = lambda *a, **b: [r["recipe"] for r in rc.ranked(book, df, rc.Wishes(**b), *a).orderBy("rank").collect()]
+    assert names() == ["pie", "fish", "air"] and names(diet="vegetarian") == ["pie", "air"] and names(only_on_sale=True) == ["fish", "air"] and names(cheapest_kg=True, count=2) == ["pie", "fish"]
+    south = {r["recipe"]: tuple(r)[1:5] for r in rc.ranked(book, df, rc.Wishes(stores=("south", "gone"))).collect()}
+    assert south == {"pie": (1, 2, 10, None), "fish": (0, 1, None, None), "air": (0, 0, None, None)}
+    assert {r["recipe"]: r["chains"] for r in rc.chains_of(book, df).collect()} == {"pie": ["north"], "fish": ["north"], "air": []}
+
+
+def test_coupons_and_clearance_of_odd_shapes(spark):
+    one = lambda **box: {"id": "1", "title": "T", "priceBox": box}
+    pages = [{"offers": [one(largePartNumeric=1.99, smallPartNumeric=2.49), one(smallPartNumeric=0.5), {"id": "2"}, None, {"title": " ", "brand": "", "packaging": "\n x", "pricePerUnit": " 1 l = 2 ", "priceBox": {"largePartNumeric": 3}}]}, {"offers": 5}, []]
+    got = feeds.coupon_offers(spark.createDataFrame([(json.dumps(p),) for p in pages] + [("{",), (None,)], "json string")).collect()
+    assert sorted((r["id"], r["name"], r["brand"], r["price_cents"], r["regular_cents"], r["unit"], r["per_unit"]) for r in got) == [("1", "T", None, 199, 249, None, None), ("3.0", "Coupon", None, 300, None, "1 l = 2", "1 l = 2")]
+    price = lambda now, before=None: {"price": {"price": {"current": {"value": now}, "previous": {"value": before}}}}
+    products = [
+        {"dan": 7, "title": " A ", "brandName": " B ", "tileData": price("1.234,50 €", "1.234,50 €")}, {"tileData": {"dan": "8", **price("2,00 €", "2,01 €"), "trackingData": {"categories": ["x", " ", 4]}}}, {"title": "no number", "tileData": price("1,00 €")},
+        {"dan": 9, "tileData": {**price("1,00 €"), "eyecatchers": [None, {"alt": feeds.ONLINE_ONLY}]}}, {"dan": 10, "tileData": price("free")}, 3, {"dan": 11},
+    ]
+    got = feeds.clearance_offers(spark.createDataFrame([(json.dumps({"products": products}),)], "json string")).collect()
+    assert sorted((r["id"], r["name"], r["brand"], r["price_cents"], r["regular_cents"], r["category_path"]) for r in got) == [("7", "A", "B", 123450, None, []), ("8", "Ausverkauf", None, 200, 201, ["x"])]
+
+
+def test_scrape_dedup_counts_a_strike_price_only_above_the_price(spark):
+    df = offers(spark, {"regular_cents": 100, "ext": "a"}, {"regular_cents": None, "ext": "b"}, {"regular_cents": 99, "ext": "c"})
+    assert [r["ext"] for r in ranking.scrape_dedup(df, F.col("name")).collect()] == ["c"]
+    assert [r["ext"] for r in ranking.scrape_dedup(df.unionByName(offers(spark, {"regular_cents": 101, "ext": "0"})), F.col("name")).collect()] == ["0"]
 
 
 def test_history_keeps_all_exact_matches_and_takes_the_group_only_without_a_brand(spark):
@@ -118,11 +214,6 @@ def test_places(spark):
     assert [(r["id"], r["chain"], r["address"]) for r in places.elements(raw).collect()] == [(1, "north_plus", "B")]
 
 
-def test_diets(spark):
-    df = spark.createDataFrame([("a", ["vegan"]), ("b", ["vegetarian"]), ("c", ["pork"])], "recipe string, tags array<string>")
-    assert sorted(r["recipe"] for r in suits(df, "vegetarian").collect()) == ["a", "b"]
-
-
 def test_trail_tiers(spark):
     series = lambda *p: [(f"2026-W{30 + k}", c) for k, c in enumerate(p)]
     rows = [("n", series(150, 180, 250)), ("c", series(400, 70, 150, 1170, 800)), ("f", series(70, 70, 70)), ("one", series(90)), ("two", series(200, 150)), ("old", series(*range(300, 290, -1))[-8:] + [("2026-W50", 295)])]
