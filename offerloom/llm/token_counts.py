@@ -91,7 +91,7 @@ def _gathered(path: str):
             for text in batch.column("text").to_pylist():
                 if text:
                     own = set(pieces.split(text))
-                    size += sum(map(len, own - held.keys()))
+                    size += sum(len(p) for p in own if p not in held)
                     held.update(own)
                     if size > GATHERED:
                         yield flush()
