@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,28 +86,93 @@ def suppress_duplicates(df: DataFrame, first: str, second: str) -> DataFrame:
     return out.where((F.col("chain") != second) | F.col("_least").isNull() | (F.col("price_cents") < F.col("_least"))).drop("_key", "_least")
 
 
-def filter_stack(df: DataFrame, today: str, hidden: DataFrame, hidden_chains: list[str], lens: list[str], limited: bool, text: str | None, category: str | None, pair: tuple[str, str]) -> DataFrame:
-    """All client filters in their fixed order; a search text overrides the category."""
+class Choice(NamedTuple):
+    """What a shopper has set on the list."""
+
+    show_non_food: bool = False
+    show_hidden: bool = False  # only hidden offers
+    hidden_stores: tuple[str, ...] = ()
+    lens: tuple[str, ...] = ()  # only these chains, as far as they have anything left to show
+    limited: bool = False  # only offers of some days of the week, if there are any
+    organic: bool = False  # only organic ones, if there are any
+    text: str | None = None  # a search text overrides the category
+    category: str | None = None
+    pair: tuple[str, str] = ("north", "south")  # the second chain's offers that repeat the first one's are left out
+
+
+#: Steps that a row can fail, in their order.
+STEPS = ("non_food", "hidden", "store", "repeated", "lens", "limited", "organic", "search")
+
+
+def judged(df: DataFrame, today: str, hidden: DataFrame, choice: Choice, organic: Column) -> DataFrame:
+    """df with what each step says of each row by itself: _non_food, _base and _base_shown (what is left before the lens, as chosen and with non-food shown), _limited, _organic, _found.
+
+    What repeats an offer of the first chain depends on which of its offers are left, so the least price of a name is taken for both cases: one grouping of the first chain's rows.
+    """
+    first, second = choice.pair
+    marked = live_hides(hidden, today).select(F.col("key").alias("_key")).distinct().withColumn("_hid", F.lit(True))
+    rows = df.withColumns({"_key": hide_key(), "_name": norm_name("name"), "_non_food": F.col("category") == "household"}).join(marked, "_key", "left")
+    out_of_sight = F.coalesce("_hid", F.lit(False)) == F.lit(not choice.show_hidden)
+    shown = ~out_of_sight & (~F.col("chain").isin(*choice.hidden_stores) if choice.hidden_stores else F.lit(True))
+    rows = rows.withColumn("_shown", shown)
+    food = F.lit(choice.show_non_food) | ~F.col("_non_food")
+    least = rows.where((F.col("chain") == first) & (F.col("_name") != "") & F.col("_shown")).groupBy("_name").agg(F.min(F.when(food, F.col("price_cents"))).alias("_least"), F.min("price_cents").alias("_least_shown"))
+    rows = rows.join(least, "_name", "left")
+    repeats = lambda price: F.coalesce((F.col("chain") == second) & (F.col("price_cents") >= F.col(price)), F.lit(False))
+    found = search(choice.text) if choice.text and choice.text.strip() else F.col("category") == choice.category if choice.category else F.lit(True)
     from offerloom.functions.validity import day_limited
 
-    everything = df
-    df = df.where(F.col("category") != "household")
-    df = without_hidden(df, live_hides(hidden, today))
-    df = df.where(~F.col("chain").isin(*hidden_chains)) if hidden_chains else df
-    df = suppress_duplicates(df, *pair)
-    df = chain_lens(df, lens)
-    flag = day_limited(F.col("valid_from"), F.col("valid_to"))
-    df = flag_lens(df, flag, everything, flag) if limited else df
-    if text:
-        return df.where(search(text))
-    return df.where(F.col("category") == category) if category else df
-
-
-def facet_counts(df: DataFrame, **facets: Column) -> DataFrame:
-    """(facet, rows): of each predicate, the rows that all the other ones keep. One pass."""
-    parts = []
-    for name in facets:
-        others = [c for k, c in facets.items() if k != name]
-        parts.append(F.count_if(reduce(lambda a, b: a & b, others, F.lit(True))).alias(name))
-    wide = df.agg(*parts)
-    return wide.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, facets)), F.array(*facets))).alias("facet", "rows"))
+    return rows.withColumns({
+        "_base": F.col("_shown") & food & ~repeats("_least"), "_base_shown": F.col("_shown") & ~repeats("_least_shown"),
+        "_limited": day_limited(F.col("valid_from"), F.col("valid_to")), "_organic": F.coalesce(organic, F.lit(False)), "_found": F.coalesce(found, F.lit(False)),
+    }).drop("_key", "_name", "_hid", "_shown", "_least", "_least_shown")
+
+
+_JUDGED = ("_non_food", "_base", "_base_shown", "_limited", "_organic", "_found")
+
+
+def _guards(rows: DataFrame, choice: Choice) -> DataFrame:
+    """One row: the lens as far as it has something to show (as chosen, and with non-food shown), and whether any row of all is limited or organic."""
+    lens = F.col("chain").isin(*choice.lens) if choice.lens else F.lit(False)
+    seen = lambda base: F.collect_set(F.when(F.col(base) & lens, F.col("chain")))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.agg(seen("_base").alias("_lens"), seen("_base_shown").alias("_lens_shown"), some("_limited").alias("_any_limited"), some("_organic").alias("_any_organic"))
+
+
+def _in_lens(lens: str) -> Column:
+    return (F.size(lens) == 0) | F.array_contains(lens, F.col("chain"))
+
+
+def filter_stack(df: DataFrame, today: str, hidden: DataFrame, choice: Choice, organic: Column) -> DataFrame:
+    """All client filters in their fixed order: non-food, hidden offers, hidden stores, repeated offers, lens, limited, organic, search or category.
+
+    Lens, limited and organic only hold if something bears them; one aggregate of one row tells.
+    """
+    rows = judged(df, today, hidden, choice, organic)
+    guarded = rows.crossJoin(F.broadcast(_guards(rows, choice)))  # one row
+    keep = F.col("_base") & _in_lens("_lens") & F.col("_found")
+    keep = keep & (~F.col("_any_limited") | F.col("_limited")) if choice.limited else keep
+    keep = keep & (~F.col("_any_organic") | F.col("_organic")) if choice.organic else keep
+    return guarded.where(keep).select(*df.columns)
+
+
+def facet_counts(df: DataFrame, today: str, hidden: DataFrame, choice: Choice, organic: Column) -> DataFrame:
+    """(facet, value, rows): how many rows each option would show, its own filter set aside and all others in force.
+
+    chain (value: the chain; chains with nothing to show have no row), limited, organic and non_food. Rows are counted once, by chain and what the steps say of them: a cube of
+    at most 64 cells for each chain, from which guards and counts follow.
+    """
+    cube = judged(df, today, hidden, choice, organic).groupBy("chain", *_JUDGED).agg(F.count("*").alias("_n"))
+    cells = cube.crossJoin(F.broadcast(_guards(cube, choice)))  # one row
+    days = ~F.col("_any_limited") | F.col("_limited") if choice.limited else F.lit(True)
+    green = ~F.col("_any_organic") | F.col("_organic") if choice.organic else F.lit(True)
+    base, lens, found = F.col("_base"), _in_lens("_lens"), F.col("_found")
+    tests = {
+        "chain": base & days & green & found, "limited": base & lens & green & found & F.col("_limited"), "organic": base & lens & days & found & F.col("_organic"),
+        "non_food": F.col("_base_shown") & _in_lens("_lens_shown") & days & green & found & F.col("_non_food"),
+    }
+    counted = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("facet"), (F.col("chain") if name == "chain" else F.lit(None).cast("string")).alias("value"))) for name, test in tests.items()]), lambda x: x.isNotNull())
+    sums = cells.select(F.explode(counted).alias("_f"), "_n").groupBy("_f.facet", "_f.value").agg(F.sum("_n").alias("rows"))
+    rest = df.sparkSession.createDataFrame([(n,) for n in tests if n != "chain"], "facet string")
+    alone = rest.join(sums.where("facet <> 'chain'").select("facet", "rows"), "facet", "left").select("facet", F.lit(None).cast("string").alias("value"), F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+    return sums.where("facet = 'chain'").select("facet", "value", "rows").unionByName(alone)

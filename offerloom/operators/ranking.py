@@ -42,32 +42,89 @@ def by_price() -> list[Column]:
     return [F.col("price_cents").asc(), F.col("ext").asc()]
 
 
-def sort_key(mode: str, unit_cents: Column) -> list[Column]:
-    """Order of a listing: price, discount or unit price; rows without the value come last."""
-    head = {"price": F.col("price_cents").asc_nulls_last(), "discount": F.col("discount_pct").desc_nulls_last(), "unit": unit_cents.asc_nulls_last()}[mode]
-    return [head, F.col("ext").asc()]
+MODES = ("price", "discount", "unit")
 
 
-def listing(df: DataFrame, order: list[Column], limit: int = 2000) -> DataFrame:
-    """The first rows of an order, numbered. The limit comes after the order, which Spark runs as a top-k."""
-    top = df.orderBy(*order).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def headline_discount() -> Column:
+    """Per cent off as shown: of an app price below the price, against the regular price or else the price, rounded half up; else discount_pct. An app price is column app_cents."""
+    app, before = F.col("app_cents"), F.coalesce("regular_cents", "price_cents")
+    off = F.when(before > app, F.floor((before - app) * 100 / before + 0.5).cast("double"))
+    return F.when(F.coalesce(app < F.col("price_cents"), F.lit(False)), off).otherwise(F.col("discount_pct"))
+
+
+def sort_value(mode: Column, unit_cents: Column, discount: Column) -> Column:
+    """What a row is ordered by, smallest first and null last, in its mode: price, unit price, or the discount, largest first. One order serves rows of different modes."""
+    return F.when(mode == "unit", unit_cents.cast("double")).when(mode == "price", F.col("price_cents").cast("double")).otherwise(-discount)
+
 
+def sort_key(mode: str | Column, unit_cents: Column) -> list[Column]:
+    """Order of a listing: price, discount or unit price; rows without the value come last, equal ones by ext."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return [sort_value(mode, unit_cents, F.col("discount_pct")).asc_nulls_last(), F.col("ext").asc()]
 
-def shelves(df: DataFrame, order: list[Column], size: int = 5) -> DataFrame:
-    """The first rows of each category, with the category's total."""
-    totals = df.groupBy("category").agg(F.count("*").alias("total"))
-    return first_of(df, ["category"], order, size, "rank").join(totals, "category")
 
+#: Categories that start sorted by discount; all others start by unit price.
+BY_DISCOUNT = ("household",)
 
-def cards(df: DataFrame, size: int = 3) -> DataFrame:
-    """The most discounted rows of each category, filled up with its cheapest others: one order says both."""
-    has = F.col("discount_pct").isNotNull()
-    return first_of(df, ["category"], [has.desc(), F.col("discount_pct").desc_nulls_last(), F.col("price_cents").asc(), F.col("ext").asc()], size, "rank")
+
+def mode_of(category: Column, chosen: dict[str, str] | None = None, overall: str = "discount") -> Column:
+    """The mode in force: the one chosen for the category, else the category's default; the overall one where no category is shown (null)."""
+    own = F.try_element_at(F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]), category) if chosen else F.lit(None).cast("string")
+    return F.when(category.isNull(), overall).otherwise(F.coalesce(own, F.when(category.isin(*BY_DISCOUNT), "discount").otherwise("unit")))
+
+
+def listing(df: DataFrame, order: list[Column], limit: int = 2000) -> DataFrame:
+    """The first rows of an order, numbered. The limit comes after the order, which Spark runs as a top-k."""
+    top = df.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def sections(df: DataFrame, group: Column) -> DataFrame:
-    """(group, n, least_cents, position): groups by size, then name; rows without a group come last."""
-    out = df.groupBy(group.alias("group")).agg(F.count("*").alias("n"), F.min("price_cents").alias("least_cents"))
-    order = [F.col("group").isNull().asc(), F.col("n").desc(), F.col("group").asc()]
-    return out.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # groups are few
+def _labelled(df: DataFrame, wanted: list[str], labels: dict[str, str]) -> DataFrame:
+    """Rows of the wanted categories with position, the place asked for, and label: the given one, else the row's own (column category_label), else the slug."""
+    if not wanted:
+        return df.limit(0).withColumns({"position": F.lit(1), "label": F.col("category")})
+    given = F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col("category")) if labels else F.lit(None).cast("string")
+    own = F.col("category_label") if "category_label" in df.columns else F.lit(None).cast("string")
+    rows = df.where(F.col("category").isin(*wanted))
+    return rows.withColumns({"position": F.array_position(F.array(*map(F.lit, wanted)), F.col("category")).cast("int"), "_own": F.coalesce(given, own, F.col("category"))})
+
+
+def _shown(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The first rows of each category, with its total, and the label of the first of them."""
+    totals = rows.groupBy("category").agg(F.count("*").alias("total"))
+    top = first_of(rows, ["category"], order, size, "rank").join(totals, "category")
+    return top.withColumn("label", F.first("_own").over(Window.partitionBy("category").orderBy("rank"))).drop("_own")  # `size` rows of each
+
+
+def shelves(df: DataFrame, wanted: list[str], labels: dict[str, str], chosen: dict[str, str] | None = None, size: int = 5) -> DataFrame:
+    """(position, category, label, total, rank, ...): the first rows of each wanted category by its own mode, in the order asked for; categories without rows are left out. df: with unit_cents, app_cents."""
+    rows = _labelled(df, wanted, labels)
+    order = [sort_value(mode_of(F.col("category"), chosen), F.col("unit_cents"), headline_discount()).asc_nulls_last(), F.col("ext").asc()]
+    return _shown(rows, order, size)
+
+
+def cards(df: DataFrame, wanted: list[str], labels: dict[str, str], chosen: dict[str, str] | None = None, size: int = 3) -> DataFrame:
+    """The same with the most discounted rows first, filled up with the category's best others by its own mode: one order says both, as a filler only comes once every discounted row is in."""
+    rows = _labelled(df, wanted, labels).withColumn("_off", headline_discount())
+    own = sort_value(mode_of(F.col("category"), chosen), F.col("unit_cents"), F.col("_off"))
+    order = [F.col("_off").isNotNull().desc(), F.col("_off").desc_nulls_last(), F.when(F.col("_off").isNull(), own).asc_nulls_last(), F.col("ext").asc()]
+    return _shown(rows, order, size).drop("_off")
+
+
+def sections(df: DataFrame, mode: str) -> DataFrame:
+    """(position, group, label, n, from_cents, muted, rank, ...): a category's rows under the heads of their groups.
+
+    Groups stand by size, the largest first, then by label in German order; the label is that of the group's first row in the list's order (group_label, else the group). Rows without
+    a group come last under `More`, or without a head if there are no groups. Rows stand by `mode`. df: with group, group_label, unit_cents, app_cents.
+    """
+    order = [sort_value(F.lit(mode), F.col("unit_cents"), headline_discount()).asc_nulls_last(), F.col("ext").asc()]
+    rows = df.withColumn("group", F.nullif("group", F.lit("")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("group").orderBy(*order)))
+    first = F.struct("rank", F.coalesce("group_label", "group").alias("label"))
+    heads = ranked.groupBy("group").agg(F.count("*").alias("n"), F.min("price_cents").alias("_least"), F.min(first)["label"].alias("_label"))
+    rest = F.col("group").isNull()
+    heads = heads.withColumns({"muted": rest, "_heads": F.count("*").over(Window.partitionBy())})  # a row for each group
+    heads = heads.withColumns({"label": F.when(~rest, F.col("_label")).when(F.col("_heads") > 1, "More"), "from_cents": F.when(~rest, F.col("_least"))})
+    place = F.row_number().over(Window.orderBy(rest.asc(), F.desc("n"), F.collate(F.coalesce("_label", F.lit("")), "de"), "group"))
+    heads = heads.withColumn("position", place).select(F.col("group").alias("_g"), "position", "label", "n", "from_cents", "muted")
+    return ranked.join(heads, ranked.group.eqNullSafe(heads._g)).drop("_g", "group_label")

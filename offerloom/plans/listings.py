@@ -133,29 +133,57 @@ def text_search(spark, sf_dir):
     return offers(spark, sf_dir).where(fl.search("Gízmo".replace("í", "i"))).select("ext", "name", "brand")
 
 
-_SUPPRESS = "(SELECT s.* FROM {src} s LEFT JOIN (SELECT {key} AS k, min(price_cents) AS least FROM {src} WHERE chain = 'north' GROUP BY ALL) n ON {skey} = n.k WHERE s.chain <> 'south' OR n.k IS NULL OR s.price_cents < n.least)"
+_SUPPRESS = "(SELECT s.* FROM {src} s LEFT JOIN (SELECT {key} AS k, min(price_cents) AS least FROM {src} WHERE chain = 'north' AND {key} <> '' GROUP BY ALL) n ON {skey} = n.k WHERE s.chain <> 'south' OR n.k IS NULL OR s.price_cents < n.least)"
+_NORM = "trim(regexp_replace(lower(name), '[^a-z0-9äöüß]+', ' ', 'g'))"
 
 
 def _suppress(src: str) -> str:
-    return _SUPPRESS.format(src=src, key=_KEY, skey=_KEY.replace("name", "s.name"))
+    return _SUPPRESS.format(src=src, key=_NORM, skey=_NORM.replace("name", "s.name"))
 
 
-@query("f14_filter_stack", f""", a AS (SELECT * FROM offers WHERE category <> 'household' AND {_HIDE_KEY} NOT IN
-  (SELECT k FROM (VALUES {_HIDE_ROWS}) h(k, d) WHERE DATE '{TODAY}' <= CAST(date_trunc('week', d) AS DATE) + 6) AND chain <> 'west'),
-b AS {_suppress('a')}, c AS (SELECT * FROM b WHERE chain IN ('north', 'south', 'harbor') AND valid_to >= valid_from AND valid_to - valid_from + 1 < 6)
-SELECT ext, chain, name, price_cents FROM c WHERE contains(lower(name), 'ring') OR contains(lower(brand), 'ring')""")
+def _stack(name: str, choice: fl.Choice) -> str:
+    """The whole stack of filters as tables whose names begin with `name`, the last one `name`; raw: the offers with their flags."""
+    hides = f"(SELECT k FROM (VALUES {_HIDE_ROWS}) h(k, d) WHERE DATE '{TODAY}' <= CAST(date_trunc('week', d) AS DATE) + 6)"
+    stores = ", ".join(f"'{c}'" for c in choice.hidden_stores) or "''"
+    lens = ", ".join(f"'{c}'" for c in choice.lens) or "''"
+    text = (choice.text or "").strip().lower()
+    found = f"contains(lower(name), '{text}') OR contains(lower(brand), '{text}')" if text else f"category = '{choice.category}'" if choice.category else "true"
+    return f"""{name}_a AS (SELECT * FROM raw WHERE ({choice.show_non_food} OR category <> 'household') AND {_HIDE_KEY} {"" if choice.show_hidden else "NOT"} IN {hides} AND chain NOT IN ({stores})),
+{name}_b AS {_suppress(f"{name}_a")}, {name}_c AS (SELECT * FROM {name}_b WHERE chain IN ({lens}) OR (SELECT count(*) FROM {name}_b WHERE chain IN ({lens})) = 0),
+{name} AS (SELECT * FROM {name}_c WHERE (NOT {choice.limited} OR lim OR NOT (SELECT bool_or(lim) FROM raw)) AND (NOT {choice.organic} OR red OR NOT (SELECT bool_or(red) FROM raw)) AND ({found}))"""
+
+
+_RAW = "raw AS (SELECT *, coalesce(valid_to >= valid_from AND valid_to - valid_from + 1 < 6, false) AS lim, name LIKE '{mark}%' AS red FROM offers)"
+
+
+def _marked(name: str = "red"):
+    return F.col("name").startswith(name)
+
+
+_WHOLE = fl.Choice(hidden_stores=("west",), lens=("north", "south", "harbor"), limited=True, text="Ring", category="dairy")
+
+
+@query("f14_filter_stack", f", {_RAW.format(mark='red')}, {_stack('f', _WHOLE)} SELECT ext, chain, name, price_cents FROM f")
 def whole_stack(spark, sf_dir):
-    out = fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), ["west"], ["north", "south", "harbor"], True, "Ring", "dairy", ("north", "south"))
-    return out.select("ext", "chain", "name", "price_cents")
+    return fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), _WHOLE, _marked()).select("ext", "chain", "name", "price_cents")
+
+
+_HIDDEN_ONLY = fl.Choice(show_hidden=True, show_non_food=True)
 
 
-@query("f13_category_filter", f""", a AS (SELECT * FROM offers WHERE category <> 'household' AND {_HIDE_KEY} NOT IN
-  (SELECT k FROM (VALUES {_HIDE_ROWS}) h(k, d) WHERE DATE '{TODAY}' <= CAST(date_trunc('week', d) AS DATE) + 6)),
-b AS {_suppress('a')} SELECT ext, chain, name, price_cents FROM b WHERE category = 'dairy'""")
+@query("f14_hidden_only", f", {_RAW.format(mark='red')}, {_stack('f', _HIDDEN_ONLY)} SELECT ext, chain, name, price_cents FROM f")
+def hidden_stack(spark, sf_dir):
+    """Only what is hidden, food or not."""
+    return fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), _HIDDEN_ONLY, _marked()).select("ext", "chain", "name", "price_cents")
+
+
+_BY_CATEGORY = fl.Choice(lens=("nowhere",), organic=True, category="dairy")
+
+
+@query("f13_category_filter", f", {_RAW.format(mark='zzz')}, {_stack('f', _BY_CATEGORY)} SELECT ext, chain, name, price_cents FROM f")
 def category_filter(spark, sf_dir):
     """The stack without a search text: the category decides, and lenses that nothing meets change nothing."""
-    out = fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), [], ["nowhere"], False, None, "dairy", ("north", "south"))
-    return out.select("ext", "chain", "name", "price_cents")
+    return fl.filter_stack(offers(spark, sf_dir), TODAY, _hidden(spark), _BY_CATEGORY, _marked("zzz")).select("ext", "chain", "name", "price_cents")
 
 
 @query("f11_organic_lens", """, o AS (SELECT chain, regexp_matches(lower(name), '(^|[^0-9a-zäöüß])red') AS own FROM offers)
@@ -175,12 +203,27 @@ def suppressed(spark, sf_dir):
     return fl.suppress_duplicates(offers(spark, sf_dir), "north", "south").groupBy("chain", "category").agg(F.count("*").alias("n"), F.sum("price_cents").alias("cents"))
 
 
-@query("a05_facets", f""", f AS (SELECT chain IN ('north','south') AS store, category = 'dairy' AS category, discount_pct >= 5 AS discount, {_VALID} AS valid FROM offers),
-g AS (SELECT coalesce(store, false) AS s, coalesce(category, false) AS c, coalesce(discount, false) AS d, coalesce(valid, false) AS v FROM f)
-SELECT 'store' AS facet, count(*) FILTER (WHERE c AND d AND v) AS rows FROM g UNION ALL SELECT 'category', count(*) FILTER (WHERE s AND d AND v) FROM g
-UNION ALL SELECT 'discount', count(*) FILTER (WHERE s AND c AND v) FROM g UNION ALL SELECT 'valid', count(*) FILTER (WHERE s AND c AND d) FROM g""")
+def _facets(choice: fl.Choice) -> str:
+    """Four runs of the whole stack, each without one filter."""
+    return f"""{_stack('c', choice._replace(lens=()))}, {_stack('l', choice._replace(limited=False))}, {_stack('o', choice._replace(organic=False))}, {_stack('n', choice._replace(show_non_food=True))}
+SELECT 'chain' AS facet, chain AS value, count(*) AS rows FROM c GROUP BY chain UNION ALL SELECT 'limited', NULL, count(*) FROM l WHERE lim UNION ALL SELECT 'organic', NULL, count(*) FROM o WHERE red UNION ALL SELECT 'non_food', NULL, count(*) FROM n WHERE category = 'household'"""
+
+
+_FACETS = fl.Choice(hidden_stores=("west",), lens=("south", "harbor"), limited=True, organic=True, text="new", category="dairy")
+
+
+@query("a05_facets", f", {_RAW.format(mark='new')}, {_facets(_FACETS)}")
 def facets(spark, sf_dir):
-    return fl.facet_counts(offers(spark, sf_dir), store=F.col("chain").isin("north", "south"), category=F.col("category") == "dairy", discount=F.col("discount_pct") >= 5, valid=valid_on(F.col("valid_to"), TODAY))
+    return fl.facet_counts(offers(spark, sf_dir), TODAY, _hidden(spark), _FACETS, _marked("new"))
+
+
+_NO_FACETS = fl.Choice(show_non_food=True, lens=("nowhere", "east"), organic=True)
+
+
+@query("q08_facet_sheet", f", {_RAW.format(mark='zzz')}, {_facets(_NO_FACETS)}")
+def facet_sheet(spark, sf_dir):
+    """Non-food shown, a lens with one chain that isn't there, and an organic filter that nothing bears."""
+    return fl.facet_counts(offers(spark, sf_dir), TODAY, _hidden(spark), _NO_FACETS, _marked("zzz"))
 
 
 @query("w01_dedup_serve", f", d AS {_dedup('offers')} SELECT ext, store_id, name, price_cents FROM d")
@@ -207,22 +250,69 @@ def topk(spark, sf_dir):
     return rk.first_of(offers(spark, sf_dir), ["chain", "category"], rk.by_price(), 12, "rank").select("chain", "category", "ext", "price_cents", "rank")
 
 
-@query("w05_shelves", """, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY coalesce(discount_pct, -1) DESC, ext) AS rank, count(*) OVER (PARTITION BY category) AS total FROM offers)
-SELECT category, ext, rank, total FROM r WHERE rank <= 5""")
+#: Offers with unit and app prices, and what they are ordered by in each mode.
+_SORTED = """u AS (SELECT *, CAST(round(CAST(replace(coalesce(nullif(regexp_extract(per_unit, '^1 ?kg = ([0-9]+[.,][0-9]+)', 1), ''), nullif(regexp_extract(per_unit, '^([0-9.]+) €/kg', 1), '')), ',', '.') AS DECIMAL(18,4)) * 100) AS BIGINT) AS ucents,
+  CASE WHEN store_id % 5 = 0 THEN price_cents - 77 WHEN store_id % 5 = 1 THEN price_cents END AS app FROM offers),
+h AS (SELECT *, CASE WHEN app < price_cents THEN floor((coalesce(regular_cents, price_cents) - app) * 100 / coalesce(regular_cents, price_cents) + 0.5) ELSE discount_pct END AS pct,
+  CASE WHEN category = 'household' THEN 'discount' WHEN category = 'bakery' THEN 'price' ELSE 'unit' END AS mode FROM u),
+v AS (SELECT *, CASE mode WHEN 'unit' THEN ucents WHEN 'price' THEN price_cents ELSE -pct END AS value FROM h)"""
+
+
+def _sortable(spark, sf_dir):
+    app = F.when(F.col("store_id") % 5 == 0, F.col("price_cents") - 77).when(F.col("store_id") % 5 == 1, F.col("price_cents"))
+    return offers(spark, sf_dir).withColumns({"unit_cents": unit_price_cents("per_unit"), "app_cents": app, "category_label": F.initcap("category")})
+
+
+_WANTED, _LABELS, _CHOSEN = ["household", "nothing", "bakery", "dairy"], {"dairy": "Milch"}, {"bakery": "price"}
+_PLACED = "CASE category WHEN 'household' THEN 1 WHEN 'bakery' THEN 3 WHEN 'dairy' THEN 4 END AS position, category, CASE category WHEN 'dairy' THEN 'Milch' WHEN 'bakery' THEN 'Bakery' ELSE 'Household' END AS label"
+
+
+@query("w05_shelves", f""", {_SORTED} SELECT {_PLACED}, count(*) OVER (PARTITION BY category) AS total, ext, row_number() OVER (PARTITION BY category ORDER BY value NULLS LAST, ext) AS rank FROM v
+WHERE category IN ('household', 'bakery', 'dairy') QUALIFY rank <= 5""")
 def shelf(spark, sf_dir):
-    return rk.shelves(offers(spark, sf_dir), rk.by_discount()).select("category", "ext", "rank", "total")
+    """Shelves by discount, by price and by unit price at once, in the shopper's order."""
+    return rk.shelves(_sortable(spark, sf_dir), _WANTED, _LABELS, _CHOSEN).select("position", "category", "label", "total", "ext", "rank")
 
 
-@query("w06_cards", """, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY discount_pct IS NOT NULL DESC, discount_pct DESC NULLS LAST, price_cents, ext) AS rank FROM offers)
-SELECT category, ext, rank FROM r WHERE rank <= 3""")
+@query("w06_cards", f""", {_SORTED} SELECT {_PLACED}, count(*) OVER (PARTITION BY category) AS total, ext, row_number() OVER (PARTITION BY category ORDER BY pct IS NOT NULL DESC, pct DESC NULLS LAST, CASE WHEN pct IS NULL THEN value END NULLS LAST, ext) AS rank
+FROM v WHERE category IN ('household', 'bakery', 'dairy') AND (ext LIKE '1%' OR pct IS NULL) AND name LIKE 'red a%' QUALIFY rank <= 100""")
 def card(spark, sf_dir):
-    return rk.cards(offers(spark, sf_dir)).select("category", "ext", "rank")
+    """Cards so long that every category runs out of discounts and is filled by its own mode."""
+    rows = _sortable(spark, sf_dir).where((F.col("ext").like("1%") | rk.headline_discount().isNull()) & F.col("name").like("red a%"))
+    return rk.cards(rows, _WANTED, _LABELS, _CHOSEN, 100).select("position", "category", "label", "total", "ext", "rank")
+
 
+_SECTIONS = """g AS (SELECT *, CASE WHEN name LIKE 'old%' THEN NULL WHEN name LIKE 'new%' THEN '' ELSE split_part(name, ' ', 2) END AS grp FROM v WHERE category = 'dairy'),
+r AS (SELECT *, nullif(grp, '') AS k, upper(split_part(name, ' ', 1)) AS own, row_number() OVER (PARTITION BY nullif(grp, '') ORDER BY ucents NULLS LAST, ext) AS rank FROM g),
+s AS (SELECT k, count(*) AS n, min(price_cents) AS least, arg_min(own, rank) AS label FROM r GROUP BY k), p AS (SELECT *, CAST(row_number() OVER (ORDER BY k IS NULL, n DESC, label, k) AS INTEGER) AS position FROM s)
+SELECT position, p.k AS "group", CASE WHEN p.k IS NULL THEN 'More' ELSE label END AS label, n, CASE WHEN p.k IS NOT NULL THEN least END AS from_cents, p.k IS NULL AS muted, ext, rank FROM r JOIN p ON r.k IS NOT DISTINCT FROM p.k"""
 
-@query("w07_sections", """, g AS (SELECT CASE WHEN name LIKE 'old%' THEN NULL ELSE split_part(name, ' ', 2) END AS "group", price_cents FROM offers)
-SELECT "group", count(*) AS n, min(price_cents) AS least_cents, row_number() OVER (ORDER BY "group" IS NULL, count(*) DESC, "group") AS position FROM g GROUP BY "group" """)
+
+@query("w07_sections", f", {_SORTED}, {_SECTIONS}")
 def group_sections(spark, sf_dir):
-    return rk.sections(offers(spark, sf_dir), F.when(~F.col("name").startswith("old"), F.split_part("name", F.lit(" "), F.lit(2))))
+    second = F.when(F.col("name").startswith("new"), "").when(~F.col("name").startswith("old"), F.split_part("name", F.lit(" "), F.lit(2)))
+    rows = _sortable(spark, sf_dir).where("category = 'dairy'").withColumns({"group": second, "group_label": F.upper(F.split_part("name", F.lit(" "), F.lit(1)))})
+    return rk.sections(rows, "unit").select("position", "group", "label", "n", "from_cents", "muted", "ext", "rank")
+
+
+@query("o05_category_sorts", f", {_SORTED} SELECT category, mode, ext, row_number() OVER (PARTITION BY category ORDER BY value NULLS LAST, ext) AS rank FROM v")
+def category_sorts(spark, sf_dir):
+    """Every offer's place in its category: one category's order is chosen, one starts by discount, all others by unit price."""
+    from pyspark.sql.window import Window
+
+    mode = rk.mode_of(F.col("category"), _CHOSEN)
+    order = [rk.sort_value(mode, F.col("unit_cents"), rk.headline_discount()).asc_nulls_last(), F.col("ext").asc()]
+    return _sortable(spark, sf_dir).select("category", mode.alias("mode"), "ext", F.row_number().over(Window.partitionBy("category").orderBy(*order)).alias("rank"))
+
+
+@query("q07_deals_list", f", {_RAW.format(mark='red')}, {_stack('f', fl.Choice(hidden_stores=('west',), category='bakery'))}, {_SORTED.replace('FROM offers', 'FROM f').replace('h AS', 'hh AS').replace('FROM h)', 'FROM hh)')} SELECT ext, row_number() OVER (ORDER BY value NULLS LAST, ext) AS rank FROM v")
+def deals_list(spark, sf_dir):
+    """The filtered list of a category in the order chosen for it."""
+    from pyspark.sql.window import Window
+
+    rows = fl.filter_stack(_sortable(spark, sf_dir), TODAY, _hidden(spark), fl.Choice(hidden_stores=("west",), category="bakery"), _marked())
+    order = [rk.sort_value(rk.mode_of(F.col("category"), _CHOSEN), F.col("unit_cents"), rk.headline_discount()).asc_nulls_last(), F.col("ext").asc()]
+    return rows.select("ext", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # one category's list
 
 
 @query("o04_sort_modes", """, u AS (SELECT store_id, ext, price_cents, discount_pct, CAST(nullif(regexp_extract(per_unit, '^1 ?kg = ([0-9]+[.,][0-9]+)', 1), '') AS VARCHAR) AS a, nullif(regexp_extract(per_unit, '^([0-9.]+) €/kg', 1), '') AS b FROM offers),

@@ -127,15 +127,6 @@ def candidate_counts(spark, sf_dir):
     return out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "category")))
 
 
-@query("o05_category_sorts", """, r AS (SELECT category, ext, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN category = 'dairy' THEN price_cents END NULLS LAST, CASE WHEN category <> 'dairy' THEN discount_pct END DESC NULLS LAST, ext) AS rank FROM offers)
-SELECT * FROM r WHERE rank <= 20""")
-def category_sorts(spark, sf_dir):
-    prefs = {"dairy": "price"}
-    mode = dp.label_of(F.col("category"), prefs, "discount")
-    order = [F.when(mode == "price", F.col("price_cents")).asc_nulls_last(), F.when(mode == "discount", F.col("discount_pct")).desc_nulls_last(), F.col("ext").asc()]
-    return offers(spark, sf_dir).select("category", "ext", F.row_number().over(Window.partitionBy("category").orderBy(*order)).alias("rank")).where("rank <= 20")
-
-
 @query("o06_chain_order", " SELECT chain, count(*) AS n, row_number() OVER (ORDER BY coalesce(nullif(list_position(['west', 'north'], chain), 0), 99), chain) AS position FROM offers GROUP BY chain")
 def chain_order(spark, sf_dir):
     place = F.nullif(F.array_position(F.array(F.lit("west"), F.lit("north")), F.col("chain")), F.lit(0))
