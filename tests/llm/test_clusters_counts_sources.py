@@ -112,12 +112,16 @@ def test_counts_of_pre_tokens_add_up():
 
 def test_token_counts_of_odd_tables(spark, odd, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()] + [(1000 + i, t) for i, t in enumerate(odd_texts())]
-    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("piece", "name", "texts", "n", "known", "rows")})
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("piece", "name", "texts", "n", "known", "rows", "to", "packet", "head", "seen", "body")})
     encode = Pieces(MODEL).model.encode
     true = Counter((i, len((t or "").encode()), len(encode(t or "")), len(encode(t or "")) > 100) for i, t in rows)
-    for hot in (token_counts.HOT, 5):  # the second: nearly all counts come by the join
-        monkeypatch.setattr(token_counts, "HOT", hot)
-        assert Counter(tuple(r) for r in token_counts.token_counts(more, MODEL, limit=100).collect()) == true
+    counted = lambda: Counter(tuple(r) for r in token_counts.token_counts(more, MODEL, limit=100).collect())
+    assert counted() == true
+    for name, small in (("HOT", 5), ("PACKET_TEXTS", 3), ("KNOWN", 1), ("GATHERED", 50)):  # nearly all counts come by the join; many packets, some of them equal; little memory
+        monkeypatch.setattr(token_counts, name, small)
+    twice = more.unionAll(more)
+    assert counted() == true
+    assert Counter(tuple(r) for r in token_counts.token_counts(twice, MODEL, limit=100).collect()) == Counter({k: 2 * n for k, n in true.items()})
     assert token_counts.token_counts(more.limit(0), MODEL).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert not token_counts.token_counts(more.limit(0), MODEL).collect()
 
