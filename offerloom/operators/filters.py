@@ -119,7 +119,7 @@ def judged(df: DataFrame, today: str, hidden: DataFrame, choice: Choice, organic
     least = rows.where((F.col("chain") == first) & (F.col("_name") != "") & F.col("_shown")).groupBy("_name").agg(F.min(F.when(food, F.col("price_cents"))).alias("_least"), F.min("price_cents").alias("_least_shown"))
     rows = rows.join(least, "_name", "left")
     repeats = lambda price: F.coalesce((F.col("chain") == second) & (F.col("price_cents") >= F.col(price)), F.lit(False))
-    found = search(choice.text) if choice.text and choice.text.strip() else F.col("category") == choice.category if choice.category else F.lit(True)
+    found = search(choice.text.strip()) if choice.text and choice.text.strip() else F.col("category") == choice.category if choice.category else F.lit(True)
     from offerloom.functions.validity import day_limited
 
     return rows.withColumns({

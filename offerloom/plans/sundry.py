@@ -252,6 +252,53 @@ def cooled(spark, sf_dir):
     return th.cooldown(table(spark, sf_dir, "events"), "user_id", 12 * 3600)
 
 
+_GATED = f"""WITH RECURSIVE c AS (SELECT event_id, CASE event_type WHEN 'signup' THEN '' WHEN 'view' THEN NULL ELSE event_type END AS key, epoch_us(ts) AS t, event_id % 7 > 0 AND event_type NOT IN ('signup', 'view') AS has, epoch_us(ts) // {{width}} AS slot FROM events),
+s AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS run FROM (SELECT DISTINCT slot FROM c)), e AS (SELECT c.*, run, row_number() OVER (PARTITION BY run ORDER BY t, event_id) AS n FROM c JOIN s USING (slot)),
+r AS (SELECT run, n, event_id, key, true AS allowed, t AS last, MAP {{{{coalesce(key, '?'): t}}}} AS own FROM e WHERE n = 1
+  UNION ALL SELECT run, n, event_id, key, ok, CASE WHEN ok THEN t ELSE last END, CASE WHEN ok THEN map_concat(own, MAP {{{{coalesce(key, '?'): t}}}}) ELSE own END FROM (
+    SELECT e.run, e.n, e.event_id, e.key, e.t, r.last, r.own, NOT e.has OR NOT (coalesce(e.t - r.own[e.key] < {{cooldown}}, false) OR e.t - r.last < {{gap}}) AS ok FROM r JOIN e ON e.run = r.run AND e.n = r.n + 1))
+SELECT event_id, key, allowed FROM r"""
+
+
+def _gated_calls(spark, sf_dir):
+    """Events as calls: of some the key is empty or null, of some it has no rows yet."""
+    key = F.when(F.col("event_type") == "signup", "").when(F.col("event_type") != "view", F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", "ts", key.alias("key"), (F.col("event_id") % 7 > 0).alias("has_rows"))
+
+
+@query("t02_scrape_throttle", _GATED.format(width=600_000_000, cooldown=600_000_000, gap=60_000_000), views=False)
+def scrapes(spark, sf_dir):
+    """A cooldown of ten minutes for each key, and a minute between any two calls."""
+    return th.scrape_throttle(_gated_calls(spark, sf_dir), "key", 600, 60)
+
+
+_HOSTS = ("api.lists.example", "flyer.example", "maps.example", "FLYER.example.net")
+_CALLS = f"""c AS (SELECT ({list(_HOSTS)!r})[user_id % {len(_HOSTS)} + 1] AS host, CASE event_type WHEN 'error' THEN 429 WHEN 'click' THEN 403 WHEN 'view' THEN 404 ELSE 200 END AS status, CASE WHEN event_id % 3 > 0 THEN 'chain ' || event_id % 5 END AS chain, event_type = 'error' AND event_id % 2 = 0 AS failed FROM events),
+d AS (SELECT CASE WHEN chain = 'chain 4' THEN NULL ELSE host END AS host, status, chain, failed FROM c)"""
+
+
+def calls(df):
+    """Events as outbound calls; some are failures without a call."""
+    chain = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("chain "), (F.col("event_id") % 5).cast("string")))
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("user_id") % len(_HOSTS) + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "click", 403).when(F.col("event_type") == "view", 404).otherwise(200)
+    rows = df.select("event_id", "ts", host.alias("host"), status.alias("status"), chain.alias("chain"), ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)).alias("failed"))
+    return rows.withColumn("host", F.when(F.coalesce(F.col("chain") == "chain 4", F.lit(False)), None).otherwise(F.col("host")))
+
+
+def call_source():
+    """The source that a host belongs to, by a part of its name; else the host."""
+    low = F.lower("host")
+    return F.when(F.contains(low, F.lit("flyer")), "flyers").when(F.contains(low, F.lit("maps")), "places").otherwise(F.col("host"))
+
+
+@query("a11_call_counters", f"""WITH {_CALLS}, x AS (SELECT *, status IN (403, 429) AND host IS NOT NULL AS thr, CASE WHEN contains(lower(host), 'flyer') THEN 'flyers' WHEN contains(lower(host), 'maps') THEN 'places' ELSE host END AS src FROM d)
+SELECT 'calls' AS kind, NULL AS name, count(*) AS n FROM x WHERE host IS NOT NULL UNION ALL SELECT 'host', host, count(*) FROM x WHERE host IS NOT NULL GROUP BY host UNION ALL SELECT 'source', src, count(*) FROM x WHERE host IS NOT NULL GROUP BY src
+UNION ALL SELECT 'throttles', NULL, count(*) FROM x WHERE thr UNION ALL SELECT 'throttled_host', host, count(*) FROM x WHERE thr GROUP BY host UNION ALL SELECT 'failures', NULL, count(*) FROM x WHERE failed UNION ALL SELECT 'failed_chain', chain, count(*) FROM x WHERE failed GROUP BY chain""", views=False)
+def call_counts(spark, sf_dir):
+    return th.call_counters(calls(table(spark, sf_dir, "events")), call_source())
+
+
 @query("t04_counters", "SELECT event_type, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY event_type", views=False)
 def counted(spark, sf_dir):
     return th.counters(table(spark, sf_dir, "events"), "event_type").drop("last_ts")

@@ -1,4 +1,6 @@
-"""Stateful operators over calls: token bucket, cooldown, counters; batch and stream."""
+"""Stateful operators over calls: token bucket, cooldowns with a gap between all calls, counters and the latest calls; batch and stream.
+
+The streams that keep maps and lists of state (`scrape_throttle_stream`, `recent_stream`) need a state store that has them: `with_state_store()` sets Spark's RocksDB provider."""
 
 from __future__ import annotations
 
@@ -6,9 +8,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -78,17 +82,176 @@ def cooldown(calls: DataFrame, key: str, seconds: float, order: str = "event_id"
     return _fold(calls, key, order, lambda: None, step)
 
 
+MICROS = 1_000_000
+
+
+class Gate:
+    """The decision on calls in order of time: a call of a key that has rows waits for `cooldown` after the key's last accepted call and for `gap` after any accepted one; a key without rows passes.
+
+    Times are whole microseconds.
+    """
+
+    def __init__(self, cooldown: float, gap: float, last_any: int | None = None):
+        self.cooldown, self.gap, self.last_any = round(cooldown * MICROS), round(gap * MICROS), last_any
+
+    def passes(self, at: int, last_own: int | None, has_rows: bool) -> bool:
+        waits = (last_own is not None and at - last_own < self.cooldown) or (self.last_any is not None and at - self.last_any < self.gap)
+        if has_rows and waits:
+            return False
+        self.last_any = at
+        return True
+
+
+def _with_rows(key: str) -> Column:
+    """Whether a call's key has rows: not if the key is null or empty."""
+    return F.coalesce(F.col("has_rows"), F.lit(False)) & (F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+
+
+def scrape_throttle(calls: DataFrame, key: str, cooldown: float = 600, gap: float = 15, order: str = "event_id") -> DataFrame:
+    """(key, order, allowed) of calls (key, ts, order, has_rows): Gate over all calls in order of time, then of `order`.
+
+    The gap joins all keys, so the decision is one recursion over the calls. It is cut where nothing is remembered: time is dealt to slots as long as the longer of both waits, and calls on either side of
+    an empty slot don't see each other. Each run of slots is a task of its own; its calls stream past a map of the keys accepted of late.
+    """
+    width = max(1, round(max(cooldown, gap) * MICROS))
+    kinds = dict(calls.dtypes)
+    rows = calls.select(key, order, _with_rows(key).alias("_has"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at")).withColumn("_slot", F.floor(F.col("_at") / width))
+    slots = rows.select("_slot").distinct()
+    runs = slots.withColumn("_run", F.col("_slot") - F.row_number().over(Window.orderBy("_slot")))  # a row for each slot of time
+    dealt = rows.join(runs, "_slot").repartition("_run").sortWithinPartitions("_run", "_at", order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, gate, last = object(), Gate(cooldown, gap), {}
+        for pdf in batches:
+            out = []
+            for r, k, t, has in zip(pdf["_run"].tolist(), pdf[key].tolist(), pdf["_at"].tolist(), pdf["_has"].tolist()):
+                if r != at:
+                    at, gate, last = r, Gate(cooldown, gap), {}
+                ok = gate.passes(t, last.get(k), has)
+                if ok:
+                    last[k] = t
+                    if len(last) > 10_000:
+                        last = {x: s for x, s in last.items() if t - s < gate.cooldown}
+                out.append(ok)
+            yield pdf[[key, order]].assign(allowed=out)
+
+    return dealt.select("_run", key, order, "_has", "_at").mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+
+
+def with_state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Throttle(StatefulProcessor):
+    """Gate with its state in the store: the last accepted call of each key, and of all. A timer forgets keys whose cooldown is over."""
+
+    def __init__(self, key: str, order: str, cooldown: float, gap: float):
+        self.key, self.order, self.cooldown, self.gap = key, order, cooldown, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        one = StructType([StructField("at", LongType())])
+        self.handle, self.any, self.own = handle, handle.getValueState("any", one), handle.getMapState("own", StructType([StructField("key", StringType())]), one)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        gate = Gate(self.cooldown, self.gap, self.any.get()[0] if self.any.exists() else None)
+        for r in sorted(rows, key=lambda r: (r["_at"], r[self.order])):  # the calls of one trigger
+            k = ("" if r[self.key] is None else str(r[self.key]),)
+            last = self.own.getValue(k)[0] if self.own.containsKey(k) else None
+            ok = gate.passes(r["_at"], last, r["_has"])
+            if ok:
+                self.own.updateValue(k, (r["_at"],))
+            yield Row(**{self.key: r[self.key], self.order: r[self.order], "allowed": ok})
+        if gate.last_any is not None:
+            self.any.update((gate.last_any,))
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + round(self.cooldown * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        for k in [k for k, v in self.own.iterator() if now - v[0] >= round(self.cooldown * MICROS)]:
+            self.own.removeKey(k)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def scrape_throttle_stream(calls: DataFrame, key: str, cooldown: float = 600, gap: float = 15, order: str = "event_id", late: str = "0 seconds") -> DataFrame:
+    """scrape_throttle() over a stream, whose calls must come in order of time from trigger to trigger. With a gap all calls share one state; without one each key has its own, on as many tasks as there are."""
+    scope = F.lit(0) if gap > 0 else F.col(key)
+    rows = calls.withWatermark("ts", late).select(scope.alias("_scope"), key, order, _with_rows(key).alias("_has"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), "ts")
+    fields = {f.name: f for f in calls.schema.fields}
+    out = StructType([fields[key], fields[order], StructField("allowed", calls.sparkSession.range(1).select(F.lit(True).alias("b")).schema["b"].dataType)])
+    return rows.groupBy("_scope").transformWithState(_Throttle(key, order, cooldown, gap), out, "append", "EventTime")
+
+
 def counters(calls: DataFrame, *by: str) -> DataFrame:
     """Calls, failures and the last call of each group; over a stream, use it in complete or update mode."""
     return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("ts").alias("last_ts"))
 
 
+#: Statuses that mean that a host throttles or blocks.
+THROTTLED = (403, 429, 500, 502, 503, 504)
+
+
+def call_counters(calls: DataFrame, source: Column) -> DataFrame:
+    """(kind, name, n) of calls (host, status, chain, failed): calls by host and by source, throttled or blocked ones by host, failed runs by chain, and the totals of calls, throttles and failures (name null).
+
+    One row feeds all the counts it belongs to, so a single grouped count serves a batch, and a stream in complete or update mode.
+    """
+    one = lambda kind, name, when: F.when(when, F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name")))
+    host, call, none = F.col("host"), F.col("host").isNotNull(), F.lit(None)
+    throttled, failed = F.coalesce(F.col("status").isin(*THROTTLED), F.lit(False)) & call, F.coalesce(F.col("failed"), F.lit(False))
+    parts = F.array(one("calls", none, call), one("host", host, call), one("source", source, call), one("throttles", none, throttled), one("throttled_host", host, throttled), one("failures", none, failed), one("failed_chain", F.col("chain"), failed))
+    return calls.select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("_p")).groupBy("_p.kind", "_p.name").agg(F.count("*").alias("n"))
+
+
 def recent(calls: DataFrame, n: int = 20) -> DataFrame:
     """The last n calls, newest first."""
     order = [F.desc("ts"), F.desc("event_id")]
     return calls.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+class _Ring(StatefulProcessor):
+    """The n latest calls of a shard, newest first."""
+
+    def __init__(self, n: int, kind: StructType):
+        self.n, self.kind = n, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", self.kind)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = lambda r: (r["ts"], r["event_id"])
+        held = [Row(**dict(zip(self.kind.names, v))) for v in self.kept.get()] if self.kept.exists() else []
+        for r in rows:
+            held.append(Row(**{c: r[c] for c in self.kind.names}))
+            if len(held) > 4 * self.n:
+                held = sorted(held, key=newest, reverse=True)[: self.n]
+        held = sorted(held, key=newest, reverse=True)[: self.n]
+        self.kept.put([tuple(r) for r in held])
+        for i, r in enumerate(held):
+            yield Row(shard=key[0], place=i + 1, **r.asDict())
+
+    def close(self) -> None:
+        pass
+
+
+def recent_stream(calls: DataFrame, n: int = 20, shards: int = 8) -> DataFrame:
+    """(shard, place, ...): the n latest calls (event_id, ts, ...) of each shard, told anew whenever one changes; merged_recent() of the last rows told is recent()."""
+    was = dict(calls.dtypes)["ts"]
+    calls = calls.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))  # whole numbers come back from the store as they went in
+    kind = calls.schema
+    out = StructType([StructField("shard", LongType()), StructField("place", LongType()), *kind.fields])
+    told = calls.withColumn("_shard", F.pmod(F.xxhash64("event_id"), F.lit(shards))).groupBy("_shard").transformWithState(_Ring(n, kind), out, "update", "None")
+    return told.withColumn("ts", F.timestamp_micros("ts").cast(was))
+
+
+def merged_recent(told: DataFrame, n: int = 20) -> DataFrame:
+    """recent() from the rows of recent_stream(), at most n of each shard: what was told of a place before has been replaced, as the newest calls of a shard only get newer."""
+    rows = told.drop("shard", "place").distinct()
+    return recent(rows, n)
+
+
 def windowed_counts(calls: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Calls of each type and event-time window; rows later than the watermark are left out of a stream."""
     return calls.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("calls"), F.sum("value").alias("value"))

@@ -264,3 +264,79 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert spark.table("bucket").agg(F.sum("allowed"), F.sum("denied")).first()[:] == (2, 3)
     assert {r["event_type"]: r["calls"] for r in spark.table("counts").collect()} == {"view": 3, "error": 2}
     assert spark.table("windows").agg(F.sum("calls")).first()[0] >= 5
+
+
+CALLS = "event_id long, s double, key string, has_rows boolean"
+
+
+def brute_throttle(calls, cooldown, gap):
+    last, last_any, out = {}, None, {}
+    for i, s, key, has in sorted(calls, key=lambda c: (c[1], c[0])):
+        waits = (key in last and s - last[key] < cooldown) or (last_any is not None and s - last_any < gap)
+        out[i] = not (has and key and waits)
+        if out[i]:
+            last[key] = last_any = s
+    return out
+
+
+def test_scrape_throttle_in_batch_and_stream(spark, tmp_path):
+    dice = random.Random(8)
+    rows, at = [], 0.0
+    for i in range(400):
+        at += dice.choice([0.0, 0.5, 3.0, 9.0, 10.0, 70.0])
+        rows.append((i, at, dice.choice(["a", "b", "c", "", None]), dice.choice([True, True, True, False, None])))
+    calls = spark.createDataFrame(rows, CALLS).withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    throttle.with_state_store(spark)
+    for n, (cooldown, gap) in enumerate([(30, 5), (30, 0), (5, 30)]):
+        true = brute_throttle(rows, cooldown, gap)
+        assert {r["event_id"]: r["allowed"] for r in throttle.scrape_throttle(calls, "key", cooldown, gap).collect()} == true
+        for part in range(4):  # one file a trigger, in order of time
+            calls.where((F.col("event_id") / 100).cast("int") == part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in{n}"))
+        job = throttle.scrape_throttle_stream(stream, "key", cooldown, gap).writeStream.format("memory").queryName(f"gate{n}").outputMode("append").option("checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start()
+        job.awaitTermination(120)
+        assert {r["event_id"]: r["allowed"] for r in spark.table(f"gate{n}").collect()} == true
+    assert not throttle.scrape_throttle(calls.limit(0), "key").collect()
+
+
+def test_counters_and_latest_calls_agree_after_every_trigger(spark, tmp_path):
+    from offerloom.plans.sundry import call_source, calls
+
+    events = spark.createDataFrame([(i, i % 6, (i * 7) % 50, ["error", "click", "view", "buy"][i % 4]) for i in range(120)], "event_id long, user_id long, s long, event_type string").withColumn("ts", F.timestamp_seconds("s"))
+    events = calls(events)
+    throttle.with_state_store(spark)
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        jobs = [
+            throttle.call_counters(stream, call_source()).writeStream.format("memory").queryName(f"counted{part}").outputMode("complete").option("checkpointLocation", str(tmp_path / "a")),
+            throttle.recent_stream(stream, 20, 3).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "told"))).outputMode("update").option("checkpointLocation", str(tmp_path / "b")),
+        ]
+        for job in [j.trigger(availableNow=True).start() for j in jobs]:
+            job.awaitTermination(120)
+        seen = events.where(F.col("event_id") % 3 <= part)
+        counted = spark.table(f"counted{part}")
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, throttle.call_counters(seen, call_source()).collect()))
+        told = spark.read.parquet(str(tmp_path / "told"))
+        assert throttle.merged_recent(told).orderBy("rank").collect() == throttle.recent(seen).orderBy("rank").collect()
+
+
+def test_facets_cards_and_sections_on_small_lists(spark):
+    hidden = spark.createDataFrame([], "key string, since date")
+    df = offers(spark, {"name": "A"}, {"name": "A", "chain": "south"}, {"name": "A", "chain": "south", "price_cents": 99}, {"name": "B", "chain": "east", "category": "household"}, {"name": "*", "chain": "south"})
+    none = F.lit(None).cast("boolean")
+    count = lambda choice, rows=df: {(r["facet"], r["value"]): r["rows"] for r in filters.facet_counts(rows, "2026-01-05", hidden, choice, none).collect()}
+    rest = {("limited", None): 0, ("organic", None): 0}
+    assert count(filters.Choice()) == {("chain", "north"): 1, ("chain", "south"): 2, ("non_food", None): 1, **rest}
+    assert count(filters.Choice(lens=("east",), organic=True)) == {("chain", "north"): 1, ("chain", "south"): 2, ("non_food", None): 1, **rest}  # with non-food shown the lens holds, without it there is nothing in it
+    assert count(filters.Choice(hidden_stores=("north",), text=" a ")) == {("chain", "south"): 2, ("non_food", None): 0, **rest}
+    assert count(filters.Choice(), df.limit(0)) == {("non_food", None): 0, **rest}
+    stack = lambda choice: sorted(r["ext"] for r in filters.filter_stack(df, "2026-01-05", hidden, choice, none).collect())
+    assert stack(filters.Choice()) == ["e0", "e2", "e4"] and stack(filters.Choice(lens=("east",))) == ["e0", "e2", "e4"] and stack(filters.Choice(lens=("east",), show_non_food=True)) == ["e3"] and stack(filters.Choice(show_hidden=True)) == []
+
+    priced = offers(spark, {"discount_pct": 5.0}, {"discount_pct": None, "price_cents": 7}, {"discount_pct": None, "price_cents": 3}, {"category": "household", "discount_pct": None}).withColumns({"unit_cents": F.when(F.col("price_cents") == 7, 1), "app_cents": F.when(F.col("price_cents") == 3, 1), "group": F.when(F.col("ext") == "e0", "g"), "group_label": F.lit(None).cast("string")})
+    got = [(r["position"], r["ext"], r["total"]) for r in ranking.cards(priced, ["household", "gone", "dairy"], {}).orderBy("position", "rank").collect()]
+    assert got == [(1, "e3", 1), (3, "e2", 3), (3, "e0", 3), (3, "e1", 3)]  # the app price is 67 % off
+    got = [(r["label"], r["n"], r["from_cents"], r["muted"], r["ext"]) for r in ranking.sections(priced.where("category = 'dairy'"), "price").orderBy("position", "rank").collect()]
+    assert got == [("g", 1, 100, False, "e0"), ("More", 2, None, True, "e2"), ("More", 2, None, True, "e1")]
+    assert {r["label"] for r in ranking.sections(priced.where("ext = 'e3'"), "unit").collect()} == {None}
