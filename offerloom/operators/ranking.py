@@ -24,10 +24,14 @@ def serve_dedup(df: DataFrame, key: Column) -> DataFrame:
     return first_of(df.withColumn("_key", key), ["store_id", "_key", "price_cents"], serve_order()).drop("_key")
 
 
+def scrape_order() -> list[Column]:
+    """Of duplicates in a feed, which one is kept: with a price per unit, a strike price above the price, an image; of equals the largest ext."""
+    return [F.col("per_unit").isNotNull().desc(), F.coalesce(F.col("regular_cents") > F.col("price_cents"), F.lit(False)).desc(), F.col("image_url").isNotNull().desc(), F.col("ext").desc()]
+
+
 def scrape_dedup(df: DataFrame, key: Column) -> DataFrame:
-    """One row for each name key and price over all stores: with a price per unit, a strike price above the price, an image; of equals the largest ext."""
-    order = [F.col("per_unit").isNotNull().desc(), F.coalesce(F.col("regular_cents") > F.col("price_cents"), F.lit(False)).desc(), F.col("image_url").isNotNull().desc(), F.col("ext").desc()]
-    return first_of(df.withColumn("_key", key), ["_key", "price_cents"], order).drop("_key")
+    """One row for each name key and price over all stores."""
+    return first_of(df.withColumn("_key", key), ["_key", "price_cents"], scrape_order()).drop("_key")
 
 
 def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import name_key
 from offerloom.operators import places as pl
-from offerloom.operators import ranking as rk
 from offerloom.operators import rules as ru
 from offerloom.operators import scopes as sc
 from offerloom.operators import upsert as up
@@ -145,12 +143,3 @@ def batches(spark, sf_dir):
     return batch(spark, sf_dir).select("source", "id", "name", "brand", "price_cents", F.col("regular_cents").isNotNull().alias("reduced"), F.col("per_unit").isNotNull().alias("has_unit"), F.col("image_url").isNotNull().alias("pictured"))
 
 
-@query("q17_ingest", rf"""WITH {_BATCH}, d AS (SELECT *, source || ':' || id AS ext, row_number() OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), price_cents ORDER BY has_unit DESC, reduced DESC, pictured DESC, source || ':' || id DESC) AS rn FROM b),
-n AS (SELECT ext, name, price_cents FROM d WHERE rn = 1), o AS (SELECT 'flyer:' || p_partkey AS ext, 'old ' || p_name AS name, CAST(1 AS BIGINT) AS price_cents FROM part WHERE p_partkey % 4 = 0)
-SELECT * FROM n UNION ALL SELECT * FROM o WHERE ext NOT IN (SELECT ext FROM n)""", views=False)
-def ingested(spark, sf_dir):
-    """The feeds in one table, of duplicates the fullest, put over what is stored."""
-    rows = batch(spark, sf_dir).withColumn("ext", F.concat_ws(":", "source", "id"))
-    new = rk.scrape_dedup(rows, name_key("name")).select("ext", "name", "price_cents")
-    old = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("flyer:"), F.col("p_partkey").cast("string")).alias("ext"), F.concat(F.lit("old "), F.col("p_name")).alias("name"), F.lit(1).cast("long").alias("price_cents"))
-    return up.upsert(old, new, ["ext"], [F.col("price_cents").asc(), F.col("name").asc()])

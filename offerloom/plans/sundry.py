@@ -142,7 +142,7 @@ def flyer_pages(spark, sf_dir):
     badge = F.when(size % 6 == 3, '{"type":"DISCOUNT_AMOUNT","value":"0,50"}').when(size % 6 == 4, '{"type":"DISCOUNT_PERCENTAGE","value":"20"}').otherwise("null")
     content = F.concat(F.lit('{"id":"'), F.col("p_partkey").cast("string"), F.lit('","discountLabel":'), badge, F.lit(',"products":[{"name":"'), F.col("p_name"), F.lit('","brandName":"'), F.col("p_brand"), F.lit('","description":[{"paragraph":"500 g"}],"categoryPaths":[{"id":"1","name":"food"}]}],"deals":['), deals, F.lit("]}"))
     page = F.concat(F.lit('{"contents":[7,{"number":1,"offers":["x",{"content":'), content, F.lit("}]}]}"))
-    return table(spark, sf_dir, "part").select(F.when(size % 6 == 5, F.lit('{"contents":"none"}')).otherwise(page).alias("json"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(size % 6 == 5, F.lit('{"contents":"none"}')).otherwise(page).alias("json"))
 
 
 @query("s02_flyer_offers", """WITH p AS (SELECT *, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part WHERE p_size % 6 NOT IN (0, 5))
@@ -154,12 +154,12 @@ def flyer(spark, sf_dir):
     return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit", "note")
 
 
-_COUPONS = """c AS (SELECT p_partkey, p_size % 12 AS m, p_name, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part),
+_COUPONS = """c AS (SELECT p_partkey, p_partkey AS key, p_size % 12 AS m, p_name, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part),
 co AS (SELECT CASE WHEN m = 5 AND m % 4 <> 0 THEN p_name ELSE CAST(p_partkey AS VARCHAR) END AS id, CASE WHEN m % 4 = 0 THEN 'Coupon' ELSE p_name END AS name, CASE WHEN m % 2 = 0 THEN p_brand END AS brand, cents AS price_cents,
-  CASE WHEN m % 3 = 1 THEN cents + 150 END AS regular_cents, CASE WHEN m < 6 THEN 'a bag' WHEN m < 9 THEN '1 kg = 1.93' END AS unit, CASE WHEN m < 9 THEN '1 kg = 1.93' END AS per_unit, CASE WHEN m > 3 THEN 'http://i/' || p_partkey END AS image_url FROM c WHERE m % 3 <> 0)"""
+  CASE WHEN m % 3 = 1 THEN cents + 150 END AS regular_cents, CASE WHEN m < 6 THEN 'a bag' WHEN m < 9 THEN '1 kg = 1.93' END AS unit, CASE WHEN m < 9 THEN '1 kg = 1.93' END AS per_unit, CASE WHEN m > 3 THEN 'http://i/' || p_partkey END AS image_url, key FROM c WHERE m % 3 <> 0)"""
 
 
-@query("s05_coupon_offers", f"WITH {_COUPONS} SELECT *, '1998-06-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to FROM co", views=False)
+@query("s05_coupon_offers", f"WITH {_COUPONS} SELECT * EXCLUDE (key), '1998-06-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to FROM co", views=False)
 def coupons(spark, sf_dir):
     return fd.coupon_offers(coupon_pages(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
 
@@ -174,15 +174,15 @@ def coupon_pages(spark, sf_dir):
         field("id", F.when(m != 5, F.col("p_partkey").cast("string"))), field("title", F.when(m % 4 == 0, " ").otherwise(F.col("p_name"))), field("brand", F.when(m % 2 == 0, F.col("p_brand"))), field("packaging", F.when(m < 6, " a bag\\r\\nof it").when(m < 8, "  \\nlater")),
         field("pricePerUnit", F.when(m < 9, " 1 kg = 1.93 ")), field("imageUrl", F.when(m > 3, F.concat(F.lit("http://i/"), F.col("p_partkey").cast("string")))), F.lit('"startValidityDate":"1998-06-01T00:00:00Z","endValidityDate":"soon"'), F.concat(F.lit('"priceBox":'), box),
     ]
-    return table(spark, sf_dir, "part").select(F.concat(F.lit('{"offers":[{'), F.concat_ws(",", *parts), F.lit('},3,{"title":"no box"}]}')).alias("json"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat(F.lit('{"offers":[{'), F.concat_ws(",", *parts), F.lit('},3,{"title":"no box"}]}')).alias("json"))
 
 
 _CLEARANCE = """s AS (SELECT *, CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS c FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0),
 cl AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 't' ELSE '' END || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 'Ausverkauf' ELSE s_name END AS name, CASE WHEN s_suppkey % 3 <> 1 THEN 'B' END AS brand, c AS price_cents, CASE WHEN s_suppkey % 2 = 0 THEN c + 100 END AS regular_cents,
-  CASE WHEN s_suppkey % 3 = 0 THEN '1 l = 20.00' END AS base_unit, CASE WHEN s_suppkey % 4 > 0 THEN 'i' || s_suppkey END AS image_url, CASE WHEN s_suppkey % 4 = 1 THEN ['Pflege', 'Haar'] ELSE [] END AS category_path FROM s)"""
+  CASE WHEN s_suppkey % 3 = 0 THEN '1 l = 20.00' END AS base_unit, CASE WHEN s_suppkey % 4 > 0 THEN 'i' || s_suppkey END AS image_url, CASE WHEN s_suppkey % 4 = 1 THEN ['Pflege', 'Haar'] ELSE [] END AS category_path, s_suppkey AS key FROM s)"""
 
 
-@query("s06_clearance_offers", f"WITH {_CLEARANCE} SELECT * FROM cl", views=False)
+@query("s06_clearance_offers", f"WITH {_CLEARANCE} SELECT * EXCLUDE (key) FROM cl", views=False)
 def clearance(spark, sf_dir):
     return fd.clearance_offers(clearance_pages(spark, sf_dir))
 
@@ -198,7 +198,7 @@ def clearance_pages(spark, sf_dir):
     tile = F.concat(F.lit('"tileData":{'), F.when((key % 11 != 0) & (key % 2 == 0), F.concat(F.lit('"dan":"t'), name, F.lit('",'))).otherwise(""), F.lit('"eyecatchers":'), mark, F.when(key % 4 > 0, F.concat(F.lit(',"images":[{"tileSrc":"i'), name, F.lit('"}]'))).otherwise(""),
         F.when(key % 4 == 1, ',"trackingData":{"categories":["Pflege",3," ","Haar"]}').otherwise(""), F.lit(',"netPrice":{"price":{"current":{"value":"1,00 €"}}},"price":'), price, F.lit("}"))
     page = F.concat(F.lit('{"products":[{'), F.coalesce(number, F.lit("")), F.lit('"gtin":99,"brandName":'), F.when(key % 3 == 1, F.lit('" "')).otherwise(F.lit('"B"')), F.lit(',"title":'), F.when(key % 7 == 0, F.lit('" "')).otherwise(F.concat(F.lit('"'), F.col("s_name"), F.lit('"'))), F.lit(","), tile, F.lit('},{"dan":1},{"dan":2,"tileData":7}]}'))
-    return table(spark, sf_dir, "supplier").select(page.alias("json"))
+    return table(spark, sf_dir, "supplier").select(key.alias("key"), page.alias("json"))
 
 
 @query("s03_discover", "SELECT p_partkey AS page_id, 'b' || p_partkey AS id, p_size AS pages, '1998-07-01' AS valid_until FROM part WHERE p_size % 2 = 1", views=False)

@@ -43,15 +43,15 @@ def regular_from_badge(price: Column, kind: Column, value: Column) -> Column:
     return F.when(out > price, out)
 
 
-def flyer_offers(pages: DataFrame) -> DataFrame:
+def flyer_offers(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, name, brand, price_cents, regular_cents, unit, base_unit, note, app_cents, category_path) of flyer pages (column json).
 
     contents[].offers[].content is unnested twice; an offer without a positive sales price is dropped. base_unit is what the sales price states, else the
-    price itself if a condition of the sales price says that it is that of a kilogram; note is the bonus amount that another deal names.
+    price itself if a condition of the sales price says that it is that of a kilogram; note is the bonus amount that another deal names. keep: columns of the page that its offers keep.
     """
-    page = pages.select(F.try_parse_json("json").alias("_p"))
-    content = page.select(F.explode(_list(F.col("_p"), "$.contents")).alias("_c"))
-    c = content.select(F.explode(_list(F.col("_c"), "$.offers")).alias("_o")).select(_get(F.col("_o"), "$.content", "variant").alias("c"))
+    page = pages.select(*keep, F.try_parse_json("json").alias("_p"))
+    content = page.select(*keep, F.explode(_list(F.col("_p"), "$.contents")).alias("_c"))
+    c = content.select(*keep, F.explode(_list(F.col("_c"), "$.offers")).alias("_o")).select(*keep, _get(F.col("_o"), "$.content", "variant").alias("c"))
     c = c.withColumns({"_d": _list(F.col("c"), "$.deals"), "_n": _get(F.col("c"), "$.products[0].name", "string"), "brand": _get(F.col("c"), "$.products[0].brandName", "string")})
     c = c.withColumn("price_cents", _deal(F.col("_d"), "SALES_PRICE")).where("price_cents > 0")
     stated = _deal(F.col("_d"), "REGULAR_PRICE")
@@ -65,7 +65,7 @@ def flyer_offers(pages: DataFrame) -> DataFrame:
     note = F.get(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, BONUS, 0)), lambda x: x != ""), F.lit(0))
     special = F.filter("_d", lambda d: (_get(d, "$.type", "string") == "SPECIAL_PRICE") & F.exists(_list(d, "$.conditions"), lambda x: F.lower(F.coalesce(_get(x, "$.other", "string"), F.lit(""))).contains("app")))
     return c.select(
-        _get(F.col("c"), "$.id", "string").alias("id"), F.coalesce(F.nullif(F.trim(F.concat_ws(" ", "brand", "_n")), F.lit("")), F.lit("Angebot")).alias("name"), "brand", "price_cents",
+        *keep, _get(F.col("c"), "$.id", "string").alias("id"), F.coalesce(F.nullif(F.trim(F.concat_ws(" ", "brand", "_n")), F.lit("")), F.lit("Angebot")).alias("name"), "brand", "price_cents",
         F.coalesce(F.when(stated > F.col("price_cents"), stated), F.when(advised > F.col("price_cents"), advised), badge).alias("regular_cents"),
         _get(F.col("c"), "$.products[0].description[0].paragraph", "string").alias("unit"),
         F.coalesce(stated_unit, F.when(kilo, F.concat(F.lit("1 kg = "), euros(F.col("price_cents"))))).alias("base_unit"), note.alias("note"),
@@ -79,19 +79,19 @@ def _text(v: Column, path: str) -> Column:
     return F.nullif(F.trim(_get(v, path, "string")), F.lit(""))
 
 
-def coupon_offers(pages: DataFrame, default_name: str = "Coupon") -> DataFrame:
+def coupon_offers(pages: DataFrame, default_name: str = "Coupon", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, name, brand, price_cents, regular_cents, unit, per_unit, image_url, valid_from, valid_to) of coupon lists (column json).
 
     largePartNumeric is the price in euros, smallPartNumeric the one before; a coupon without the first is dropped. The unit is the first line of the packaging,
     else the price per unit. Without an id the title names the coupon, or its price.
     """
-    o = pages.select(F.explode(_list(F.try_parse_json("json"), "$.offers")).alias("o"))
+    o = pages.select(*keep, F.explode(_list(F.try_parse_json("json"), "$.offers")).alias("o"))
     at = lambda path: _text(F.col("o"), path)
     large, small = _get(F.col("o"), "$.priceBox.largePartNumeric", "double"), _get(F.col("o"), "$.priceBox.smallPartNumeric", "double")
     date = lambda k: F.try_to_date(F.substring(_get(F.col("o"), k, "string"), 1, 10))
     line = F.nullif(F.trim(F.get(F.split(_get(F.col("o"), "$.packaging", "string"), r"\r\n|\n|\r"), F.lit(0))), F.lit(""))
     rows = o.select(
-        F.coalesce(at("$.id"), at("$.title"), large.cast("string")).alias("id"), F.coalesce(at("$.title"), F.lit(default_name)).alias("name"), at("$.brand").alias("brand"), cents(large).alias("price_cents"), cents(small).alias("regular_cents"),
+        *keep, F.coalesce(at("$.id"), at("$.title"), large.cast("string")).alias("id"), F.coalesce(at("$.title"), F.lit(default_name)).alias("name"), at("$.brand").alias("brand"), cents(large).alias("price_cents"), cents(small).alias("regular_cents"),
         F.coalesce(line, at("$.pricePerUnit")).alias("unit"), at("$.pricePerUnit").alias("per_unit"), at("$.imageUrl").alias("image_url"), date("$.startValidityDate").alias("valid_from"), date("$.endValidityDate").alias("valid_to"),
     )
     return rows.where("price_cents is not null")
@@ -101,18 +101,18 @@ def coupon_offers(pages: DataFrame, default_name: str = "Coupon") -> DataFrame:
 ONLINE_ONLY = "Nur Online Grafik"
 
 
-def clearance_offers(pages: DataFrame, default_name: str = "Ausverkauf") -> DataFrame:
+def clearance_offers(pages: DataFrame, default_name: str = "Ausverkauf", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, name, brand, price_cents, regular_cents, base_unit, image_url, category_path) of clearance lists (column json).
 
     Only gross prices count. Dropped are rows marked as sold online only, without a readable price, or without an article number; a price before that isn't above the price is null.
     """
-    p = pages.select(F.explode(_list(F.try_parse_json("json"), "$.products")).alias("p")).where(F.schema_of_variant(_get(F.col("p"), "$.tileData", "variant")).startswith("OBJECT"))
+    p = pages.select(*keep, F.explode(_list(F.try_parse_json("json"), "$.products")).alias("p")).where(F.schema_of_variant(_get(F.col("p"), "$.tileData", "variant")).startswith("OBJECT"))
     at = lambda path: _get(F.col("p"), path, "string")
     online = F.exists(_list(F.col("p"), "$.tileData.eyecatchers"), lambda e: F.coalesce(_get(e, "$.alt", "string") == ONLINE_ONLY, F.lit(False)))
     now, before = money_cents(at("$.tileData.price.price.current.value")), money_cents(at("$.tileData.price.price.previous.value"))
     nodes = F.filter(_list(F.col("p"), "$.tileData.trackingData.categories"), lambda v: F.schema_of_variant(v) == "STRING")
     rows = p.where(~online).select(
-        F.coalesce(at("$.dan"), at("$.tileData.dan")).alias("id"), F.coalesce(_text(F.col("p"), "$.title"), F.lit(default_name)).alias("name"), _text(F.col("p"), "$.brandName").alias("brand"), now.alias("price_cents"),
+        *keep, F.coalesce(at("$.dan"), at("$.tileData.dan")).alias("id"), F.coalesce(_text(F.col("p"), "$.title"), F.lit(default_name)).alias("name"), _text(F.col("p"), "$.brandName").alias("brand"), now.alias("price_cents"),
         F.when(before > now, before).alias("regular_cents"), base_unit_price(at("$.tileData.price.tileInfos[0]")).alias("base_unit"), at("$.tileData.images[0].tileSrc").alias("image_url"),
         F.filter(F.transform(nodes, lambda v: _get(v, "$", "string")), lambda x: F.trim(x) != "").alias("category_path"),
     )

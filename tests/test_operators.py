@@ -340,3 +340,53 @@ def test_facets_cards_and_sections_on_small_lists(spark):
     got = [(r["label"], r["n"], r["from_cents"], r["muted"], r["ext"]) for r in ranking.sections(priced.where("category = 'dairy'"), "price").orderBy("position", "rank").collect()]
     assert got == [("g", 1, 100, False, "e0"), ("More", 2, None, True, "e2"), ("More", 2, None, True, "e1")]
     assert {r["label"] for r in ranking.sections(priced.where("ext = 'e3'"), "unit").collect()} == {None}
+
+
+def test_ingest_guards_routes_and_replays(spark, tmp_path):
+    from offerloom.sources import ingest as ing
+
+    plan = ing.Plan(rules.Book({"keyword": [("dairy", ["käse"])]}), "north", "2026-01-05", {"east": "nord"})
+    homes = spark.createDataFrame([("1", "nord"), ("2", "sued")], "plz string, division string")
+    flyer = lambda name, cents: json.dumps({"contents": [{"offers": [{"content": {"id": name, "products": [{"name": name}], "deals": [{"type": "SALES_PRICE", "max": cents / 100}]}}]}]})
+    coupon = lambda price: json.dumps({"offers": [{"id": "c", "title": "Käse", "pricePerUnit": "1 kg = 2", "priceBox": {"largePartNumeric": price, "smallPartNumeric": 4}}]})
+    schema = "feed string, chain string, plz string, store_name string, market_code string, lat double, lng double, json string"
+    page = lambda feed, chain, plz, text, lat=None: (feed, chain, plz, f"{chain} {plz}", None, lat, lat, text)
+    one = [page("coupon", "north", "1", coupon(3.0), 52.0), page("coupon", "north", "2", coupon(2.0), 53.0), page("coupon", "north", "3", coupon(1.0)), *[page("flyer", "east", p, flyer("Brot", 99)) for p in "123"], *[page("flyer", "south", p, flyer("Saft", 150)) for p in "123"], page("flyer", "south", "1", "{broken")]
+    two = [page("coupon", "north", "1", coupon(2.5)), page("coupon", "north", "3", "[]", 54.0), page("flyer", "south", "3", flyer("Saft", 120))]
+    for n, rows in enumerate((one, two)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "pages"))
+        job = ing.ingest_stream(stream, str(tmp_path / "t"), homes, plan, "feeds", str(tmp_path / "c")).trigger(availableNow=True).start()
+        job.awaitTermination(300)
+    tables = ing.Versions(spark, str(tmp_path / "t"))
+    now = lambda: sorted((r["chain"], r["plz"], r["ext"], r["category"], r["price_cents"], r["discount_pct"], r["version"]) for r in tables.read("offers").collect())
+    true = [("east", "1", "flyer:Brot", "other", 99, None, 1), ("north", "1", "coupon:c", "dairy", 250, 37.5, 2), ("north", "2", "coupon:c", "dairy", 200, 50.0, 1), ("north", "3", "coupon:c", "dairy", 100, 75.0, 1), ("south", "1", "flyer:Saft", "other", 150, None, 1), ("south", "2", "flyer:Saft", "other", 150, None, 1), ("south", "3", "flyer:Saft", "other", 120, None, 2)]
+    assert now() == true and tables.current() == 2
+    assert {(r["chain"], r["plz"]): r["lat"] for r in tables.read("stores").where("chain = 'north'").collect()} == {("north", "1"): 52.0, ("north", "2"): 53.0, ("north", "3"): 54.0}
+    pages = spark.createDataFrame(two, schema)
+    assert ing.ingest(tables, pages, homes, plan, "feeds-1") == 2 and now() == true and tables.current() == 2  # a batch that comes again changes nothing
+    tables.write(tables.read("offers").limit(1), "offers", 3)  # a run that died before its commit
+    assert now() == true and ing.ingest(tables, pages, homes, plan, "late") == 3 and [r[:6] for r in now()] == [r[:6] for r in true]
+    counts = {(r["section"], r["chain"]): (r["offers"], r["with_unit"]) for r in tables.commits().where("version = 3").selectExpr("inline(counts)").collect()}
+    assert counts == {("grocery", "north"): (3, 3), ("grocery", "east"): (1, 0), ("grocery", "south"): (3, 0)}
+
+
+def test_gates_by_section(spark):
+    from offerloom.operators.gates import Profile, judged
+
+    profiles = {"food": Profile(500, 100, 3, 20, 50.0), "care": Profile(250, 80, 2, 50, None)}
+
+    def failing(after_reset, units=1.0, **n):
+        section = {"a": "food", "b": "food", "c": "food", "x": "care", "y": "care"}
+        counts = spark.createDataFrame([(section[c], c, k, int(k * units)) for c, k in n.items()], "section string, chain string, offers long, with_unit long")
+        return {(r["section"], r["gate"], r["chain"]) for r in judged(counts, profiles, after_reset).where("not passes").collect()}
+
+    healthy = {"a": 300, "b": 200, "c": 25, "x": 130, "y": 130}
+    assert failing(True, **healthy) == set() and failing(False, **healthy) == set()
+    assert failing(True, **{**healthy, "x": 2, "y": 300}) == {("care", "chain_offers", "x")} and failing(False, **{**healthy, "x": 2, "y": 300}) == set()  # a thin chain is only told after the reset
+    assert failing(True, **{**healthy, "x": 0, "y": 300}) == {("care", "chains", None)}  # an absent one only by the number of chains
+    assert failing(True, **{**healthy, "x": 110, "y": 110}) == {("care", "offers", None)} and failing(False, **{**healthy, "x": 110, "y": 110}) == set()
+    assert failing(False, **{**healthy, "x": 5, "y": 60}) == {("care", "offers", None)}
+    assert failing(True, 0.4, **healthy) == {("food", "unit_pct", None)}
+    assert failing(True, **{**healthy, "a": 1775}) == {("food", "truncated", None)}
+    assert failing(True, a=300, b=200, c=25) == {("care", "offers", None), ("care", "chains", None)}
