@@ -70,8 +70,9 @@ def holds_any(text: Column, tokens: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in tokens), F.lit(False))
 
 
-HIT = "array<struct<kind:string,rule:int,slug:string,token:string,place:string>>"
-_HIT = pa.list_(pa.struct([("kind", pa.string()), ("rule", pa.int32()), ("slug", pa.string()), ("token", pa.string()), ("place", pa.string())]))
+TABLES = (*IN_NAME, *IN_CAPTION, *AT_NODE, "brand", "preserved")
+HITS = "struct<" + ",".join(f"{t}:struct<rule:int,slug:string,token:string,place:string>" for t in TABLES) + ">"
+_HITS = pa.struct([(t, pa.struct([("rule", pa.int32()), ("slug", pa.string()), ("token", pa.string()), ("place", pa.string())])) for t in TABLES])
 
 
 class _Hits:
@@ -83,7 +84,7 @@ class _Hits:
         self.name, self.caption, self.bare, self.brand = of(IN_NAME + ("brand",)), of(IN_CAPTION), of(("preserved",)), of(("brand",))
         self.nodes = {kind: {r[3]: i for i, r in reversed(list(enumerate(rows))) if r[0] == kind} for kind in AT_NODE}
 
-    def __call__(self, hay: str, brand: str, caption: str | None, path: list[str | None] | None) -> list[dict]:
+    def __call__(self, hay: str, brand: str, caption: str | None, path: list[str | None] | None) -> dict[str, dict]:
         first: dict[str, tuple[int, str, str]] = {}
 
         def see(found: list[int], place: str) -> None:  # rows stand in the order of their tables, so the smallest number is a table's first
@@ -102,23 +103,23 @@ class _Hits:
                 if node is not None and (i := known.get(node.strip().lower())) is not None:
                     first[kind] = (i, "path", node)
                     break
-        return [{"kind": kind, "rule": None if kind in AT_NODE else self.rows[i][1], "slug": self.rows[i][4], "token": token, "place": place} for kind, (i, place, token) in first.items()]
+        return {kind: {"rule": None if kind in AT_NODE else self.rows[i][1], "slug": self.rows[i][4], "token": token, "place": place} for kind, (i, place, token) in first.items()}
 
 
 _BUILT: dict[str, _Hits] = {}
 
 
 def first_hits(spark: SparkSession, book: Book) -> Column:
-    """HIT: the first hit of each table, of columns _hay, _brand, _caption and path."""
+    """HITS: the first hit of each table, of columns _hay, _brand, _caption and path; null where a table has none."""
     rows = shared(spark, book.rows())
 
-    @F.arrow_udf(_parse_datatype_string(HIT))
+    @F.arrow_udf(_parse_datatype_string(HITS))
     def run(hay: pa.Array, brand: pa.Array, caption: pa.Array, path: pa.Array) -> pa.Array:
         if rows.name not in _BUILT:
             _BUILT.clear()
             _BUILT[rows.name] = _Hits(rows.value)
         find = _BUILT[rows.name]
-        return pa.array([find(*own) for own in zip(hay.to_pylist(), brand.to_pylist(), caption.to_pylist(), path.to_pylist())], _HIT)
+        return pa.array([find(*own) for own in zip(hay.to_pylist(), brand.to_pylist(), caption.to_pylist(), path.to_pylist())], _HITS)
 
     return run("_hay", "_brand", "_caption", "path")
 
@@ -135,7 +136,7 @@ def _layer(number: str, status: str, **fields: Column | str) -> Column:
 
 
 def _hit(kind: str) -> Column:
-    return F.get(F.filter("_hits", lambda h: h["kind"] == kind), F.lit(0))
+    return F.col(f"_hits.{kind}")
 
 
 def _by(number: str, kind: str, **more: Column | str) -> Column:
