@@ -28,8 +28,10 @@ def nfkc(text: Column | str) -> Column:
 
 #: Apostrophes, grade words, and what search and addresses take letters for.
 APOSTROPHES = "’‘`´'"
-GRADE = r"(?U)\b(?:klasse|kl)\.?\s*(?:iii|ii|i|[1-3])\b"
+GRADE_WORDS, GRADES = ("kl", "klasse"), ("i", "ii", "iii", "1", "2", "3")
 FOLDED, BASE = "äöüéèê", "aoueee"
+#: A grade word, a full stop or none, and a grade, as words of their own.
+GRADE = rf"(?U)\b({'|'.join(GRADE_WORDS)})\.?\s*({'|'.join(GRADES)})\b"
 
 
 def name_key(name: Column | str, unicode_form: bool = True) -> Column:

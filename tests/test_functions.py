@@ -1,4 +1,7 @@
-"""Golden values of the scalar functions."""
+"""Scalar functions: texts built from a grammar, whose parts say what must come out, and single values."""
+
+import itertools
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,53 +17,93 @@ def one(spark, column, **values):
     return row.select(column.alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize(
-    "text,cents",
-    [("1 kg = 14.25", 1425), (" 1 KG = 3,5 ", 350), ("1 L = 1.15", 115), ("21.49 €/kg", 2149), ("7,2 / l", 720), ("1 kg = 8.17/9.03/9.51", 817), ("0.38 €/Stk.", None), ("1 WL = 0.25", None), ("1 kg = 0", None), ("1 kg = -3", None), ("100 g = 2.00", None), (None, None)],
-)
-def test_unit_price(spark, text, cents):
-    assert one(spark, pr.unit_price_cents(F.lit(text).cast("string"))) == cents
+def agree(spark, column, cases, schema):
+    """column gives the last field of every case from the others."""
+    wrong = spark.createDataFrame([(*c,) for c in cases], schema + ", want string").withColumn("got", column.cast("string")).where(~F.col("got").eqNullSafe(F.col("want"))).collect()
+    assert not wrong, wrong[:5]
+
+
+#: Numbers as written, and their value.
+NUMBERS = [(f"{whole}{sep}{part}" if part else str(whole), Decimal(f"{whole}.{part or 0}")) for whole in (0, 4, 31, 720) for sep in ".," for part in ("", "6", "09")]
+AXES = [(word, axis) for axis, words in {"kg": ("kg", "KG", "Kg"), "l": ("l", "L")}.items() for word in words]
+GAPS = ["", " ", "  "]
+
+
+def cents(value):
+    return str(int((value * 100).quantize(Decimal(1)))) if value > 0 else None
+
+
+def test_unit_price_of_every_statement(spark):
+    cases = [(f"{a}1{a}{word}{a}={a}{text}{b}", cents(value)) for (text, value), (word, _), a, b in itertools.product(NUMBERS, AXES, GAPS, ("", "/9", " ?"))]
+    cases += [(f"{text}{a}{sign}{a}/{a}{word}", cents(value)) for (text, value), (word, _), a, sign in itertools.product(NUMBERS, AXES, GAPS, ("", "€"))]
+    cases += [(f"{n} {word} = {text}", None) for (text, _), n, word in itertools.product(NUMBERS, (1, 10), ("m", "Tab", "kgm"))] + [(f"1 {word} = -{text}", None) for (text, _), (word, _) in itertools.product(NUMBERS, AXES)] + [(None, None), ("", None)]
+    agree(spark, pr.unit_price_cents("text"), cases, "text string")
+
+
+def wrapped(text, layers, gap):
+    for _ in range(layers):
+        text = f"({gap}{text}{gap})"
+    return gap + text
 
 
-@pytest.mark.parametrize(
-    "text,price,out",
-    [
-        ("(1 kg = 7.15)", 1, "1 kg = 7.15"), ("kg-Preis", 157, "1 kg = 1.57"), ("100-g-Preis", 31, "1 kg = 3.10"), ("100g preis", 31, "1 kg = 3.10"), ("kg-Preis", 0, None), ("kg-Preis = 5.12", 1, "1 kg = 5.12"), ("100-g-Preis=1,2", 1, "100 g = 1,2"),
-        ("1 kg = -.80", 1, "1 kg = 0.80"), ("1 l = -,65", 1, "1 l = 0,65"), ("1kg=12,48", 1, "1 kg = 12,48"), ("1L = 0,53", 1, "1 L = 0,53"), ("kg = 6.07", 1, "1 kg = 6.07"), ("(Liter = 0.89)", 1, "1 l = 0.89"), ("Liter = 1:65", 1, "1 l = 1.65"),
-        ("(kg = 8.48 ATG)", 1, "1 kg = 8.48"), ("((((1 kg = 3))))", 1, "1 kg = 3"), ("( (x) ", 1, "(x"), ("1kg = 18,40, 100g", 1, "1 kg = 18,40"), ("1 kg = 3.-", 1, "1 kg = 3.-"), ("1 WL = 0.21", 1, "1 WL = 0.21"), ("()", 1, None), ("", 1, None), (None, 1, None),
-    ],
-)
-def test_normal_per_unit(spark, text, price, out):
-    got = one(spark, pr.normal_per_unit(F.lit(text).cast("string"), F.lit(price).cast("long")))
-    assert got == out
-    if got:
-        assert one(spark, pr.normal_per_unit(F.lit(got), F.lit(price).cast("long"))) == got
+def test_stated_prices_take_one_form_and_keep_it(spark):
+    """A statement is an optional 1, a unit, a number and what follows it; labels stand for the price itself."""
+    cases = []
+    for (text, _), (word, one_), layers, tail in itertools.product(NUMBERS, [("kg", ""), ("KG", "1"), ("l", "1 "), ("Liter", ""), ("liter", "1 ")], (0, 1, 3), ("", " netto", " / 2")):
+        unit = "l" if word.lower() == "liter" else word
+        cases.append((wrapped(f"{one_}{word} = {text}{tail}", layers, " " * (layers % 2)), 7, f"1 {unit} = {text}"))
+    cases += [(wrapped(f"kg = {form}", layers, ""), 7, f"1 kg = {out}") for layers in (0, 2) for form, out in (("-.37", "0.37"), ("-,4", "0,4"), ("8:15", "8.15"), ("6.-", "6.-"), ("12,-", "12,-"))]
+    for label, price, layers in itertools.product(("kg-Preis", "KG Preis", "kgpreis", "100-g-Preis", "100 g Preis"), (0, 9, 45, 1234), (0, 1)):
+        value = price * (1 if label.lower().startswith("kg") else 10)
+        cases.append((wrapped(label, layers, " "), price, f"1 kg = {value // 100}.{value % 100:02}" if price else None))
+        cases.append((f"{label} = 3,1", price, f"{'1 kg' if label.lower().startswith('kg') else '100 g'} = 3,1"))
+    cases += [(t, 5, out) for t, out in (("()", None), ("( )", None), ("", None), (None, None), ("((x)", "(x"), ("1 m = 2", "1 m = 2"), ("kg = teuer", "kg = teuer"))]
+    agree(spark, pr.normal_per_unit("text", "price"), cases, "text string, price long")
+    again = [(out, price, out) for _, price, out in cases if out]
+    agree(spark, pr.normal_per_unit("text", "price"), again, "text string, price long")
 
 
-@pytest.mark.parametrize(
-    "unit,price,out",
-    [
-        ("400-g-Dose", 299, "1 kg = 7.48"), ("Je 2,5 l", 1499, "1 l = 6.00"), ("50 cl", 99, "1 l = 1.98"), ("1 Liter", 115, "1 l = 1.15"), ("zart, 1 kg = 5.17 200 g", 99, "1 kg = 5.17"), ("3x400 ml", 99, None), ("Ca. 2 kg", 99, None), ("circa 3 kg", 99, None), ("300-450 g", 99, None),
-        ("1,3/1,2 kg", 499, None), ("200 g oder 300 g", 99, None), ("700 g 25 Stück", 99, None), ("4 Stück", 99, None), ("500 g", 0, None), ("99999 kg", 1, None), (None, 99, None),
-    ],
-)
-def test_derived_per_unit(spark, unit, price, out):
-    assert one(spark, pr.derived_per_unit(F.lit(unit).cast("string"), F.lit(price).cast("long"))) == out
+#: Words for measures, and how many thousandths of a kilogram or litre they are.
+MEASURES = {"g": (1, "kg"), "kg": (1000, "kg"), "ml": (1, "l"), "cl": (10, "l"), "l": (1000, "l"), "Liter": (1000, "l"), "KG": (1000, "kg")}
 
 
-@pytest.mark.parametrize("text,out", [("0,2 l (2,45 € je 1 l)", "1 l = 2.45"), ("80 ml ( 0,03 € je 1 ml )", "1 l = 30.00"), ("9 g (1.000,10 € je 1 g)", "1 kg = 1000100.00"), ("12 St (0,20 € je 1 St)", "1 St = 0.20"), ("2,45 € je 1 l", None), (None, None)])
-def test_base_unit_price(spark, text, out):
-    assert one(spark, pr.base_unit_price(F.lit(text).cast("string"))) == out
+def test_prices_are_derived_from_one_quantity_only(spark):
+    cases = []
+    for (text, value), measure, (before, joint, behind), price in itertools.product(NUMBERS, MEASURES, (("", "", ""), ("Glas ", " ", ""), ("", "-", "-Eimer"), ("Sorte A ", " ", " im Karton")), (3, 499)):
+        thousandths, axis = MEASURES[measure]
+        out = None
+        if value > 0:
+            per = (Decimal(price) * 1000 / (value * thousandths)).quantize(Decimal(1), ROUND_HALF_EVEN)
+            out = f"1 {axis} = {per // 100}.{per % 100:02}" if per > 0 else None
+        cases.append((f"{before}{text}{joint}{measure}{behind}", price, out))
+        for trap in ("2 x @", "6×@", "ca. @", "Circa @", "5-@", "5 – @", "1/@", "@ + @", "@, 9 Stück", "9 St @"):
+            if joint != "-":
+                cases.append((trap.replace("@", f"{text}{joint}{measure}"), price, None))
+    cases += [(f"{k} {word}", 99, None) for k in (1, 8) for word in ("Stück", "Stk.", "St")] + [("lose", 99, None), ("", 99, None), (None, 99, None), ("2 kg", 0, None)]
+    cases += [(f"{a} 1 {word}={text} 3 g", 99, f"1 {word.lower()} = {text}") for (text, _), (word, _), a in itertools.product(NUMBERS, AXES, ("", "reif,"))]
+    agree(spark, pr.derived_per_unit("text", "price"), cases, "text string, price long")
 
 
-@pytest.mark.parametrize("text,cents", [("6,85 €", 685), ("1.234,56 €", 123456), ("frei", None), (None, None)])
-def test_money(spark, text, cents):
-    assert one(spark, pr.money_cents(F.lit(text).cast("string"))) == cents
+def test_base_prices_and_money(spark):
+    amounts = [(f"{n:,}".replace(",", ".") if dots else str(n), c, n * 100 + c) for n in (0, 7, 64, 3210) for dots in (True, False) for c in (0, 5, 60)]
+    money = [(f"{a}{n},{c:02}{b}", str(v)) for (n, c, v), a, b in itertools.product(amounts, ("", "nur "), ("", " €"))] + [("gratis", None), ("5", None), ("5.10", None), (None, None)]
+    agree(spark, pr.money_cents("text"), money, "text string")
+    units = {"g": ("kg", 1000), "ml": ("l", 1000), "l": ("l", 1), "kg": ("kg", 1), "St": ("St", 1), "Wl": ("Wl", 1)}
+    base = []
+    for (n, c, v), unit, gap in itertools.product(amounts, units, GAPS):
+        axis, times = units[unit]
+        base.append((f"3 {unit} ({gap}{n},{c:02} € je 1 {unit}{gap})", f"1 {axis} = {v * times // 100}.{v * times % 100:02}"))
+    agree(spark, pr.base_unit_price("text"), [*base, ("2,10 € je 1 l", None), ("(2,10 € je 2 l)", None), (None, None)], "text string")
 
 
-@pytest.mark.parametrize("price,regular,pct", [(150, 250, 40.0), (151, 260, 41.9), (100, 100, None), (100, None, None), (5, 0, None), (1999, 2000, 0.0), (98, 147, 33.3)])
-def test_discount(spark, price, regular, pct):
-    assert one(spark, pr.discount_pct(F.lit(price).cast("long"), F.lit(regular).cast("long"))) == pct
+def test_discount_is_half_even_on_the_exact_ratio(spark):
+    cases = []
+    for price, regular in itertools.product((0, 5, 98, 151, 999, 1999), (None, 0, 5, 147, 260, 1000, 2000, 1600)):
+        out = None
+        if regular and price < regular:
+            out = (Decimal(1000) * (regular - price) / regular).quantize(Decimal(1), ROUND_HALF_EVEN) / 10
+        cases.append((price, regular, None if out is None else str(float(out))))
+    agree(spark, pr.discount_pct(F.col("price"), F.col("regular")), cases, "price long, regular long")
 
 
 @pytest.mark.parametrize("text,out", [("MÖHRE", "mohre"), ("Weißbier", "weissbier"), ("Café Crème", "cafe creme"), (None, "")])
@@ -82,9 +125,11 @@ def test_json_strings_drops_what_is_not_text(spark):
 
 
 def test_scale_quantity(spark):
-    got = [one(spark, tx.scale_quantity(F.lit(t), F.lit(3))) for t in ("1/2 cup", "½ cup", "⅓ cup", "⅔cup", "2,5 l", "200g", " 7", "some")]
-    assert got == ["1.5 cup", "1.5 cup", "1 cup", "2 cup", "7.5 l", "600 g", "21", "some"]
-    assert one(spark, tx.scale_quantity(F.lit("½  l"), F.lit(1))) == "½  l"
+    forms = {"¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "3/8": 0.375, "6": 6, "1,25": 1.25, "0.4": 0.4}
+    shown = lambda v: f"{v + 1e-9:.2f}".rstrip("0").rstrip(".")
+    cases = [(f"{a}{form}{gap}{rest}", times, f"{shown(value * times)} {rest}".strip()) for (form, value), times, a, gap, rest in itertools.product(forms.items(), (2, 5), ("", "  "), ("", " "), ("", "EL Mehl"))]
+    cases += [(f"{form}  EL", 1, f"{form}  EL") for form in forms] + [("etwas", 4, "etwas"), (None, 4, None)]
+    agree(spark, tx.scale_quantity("text", F.col("times")), cases, "text string, times int")
 
 
 def test_validity(spark):
