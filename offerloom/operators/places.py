@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions.geo import haversine
+from offerloom.functions.geo import EARTH_METRES, haversine
 from offerloom.operators.ranking import first_of
 
 #: Name beginnings of chains, in order: the first that fits names the chain.
@@ -25,6 +25,26 @@ def chain_of(brand: Column, name: Column) -> Column:
     return out
 
 
+def from_mirrors(spark: SparkSession, mirrors: list[str]) -> DataFrame:
+    """(area, mirror, json) of folders that hold a response for each area, in order of preference; the file's name is the area. A mirror that isn't there has no rows."""
+    rows = spark.createDataFrame([], "area string, mirror int, json string")
+    for n, folder in enumerate(mirrors):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            files = spark.read.text(folder, wholetext=True)
+            name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+            rows = rows.unionByName(files.select(name.alias("area"), F.lit(n).alias("mirror"), F.col("value").alias("json")))
+    return rows
+
+
+def first_good(responses: DataFrame) -> DataFrame:
+    """(area, mirror, json): of each area the response of the first mirror that didn't fail. A response that isn't an object with a list of elements has failed, and so has one with a remark, even if it holds elements."""
+    parsed = responses.withColumn("_v", F.try_parse_json("json"))
+    shape = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", path, "variant")), F.lit(""))
+    good = parsed.where(shape("$.elements").startswith("ARRAY") & shape("$.remark").isin("", "VOID"))
+    return first_of(good, ["area"], [F.col("mirror").asc(), F.col("json").asc()]).select("area", "mirror", "json")
+
+
 def elements(raw: DataFrame) -> DataFrame:
     """(id, chain, name, lat, lng, address) of a response's elements (column json); a response with a remark has failed and yields none."""
     schema = "remark string, elements array<struct<type:string,id:long,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
@@ -39,6 +59,53 @@ def elements(raw: DataFrame) -> DataFrame:
     ).where("chain is not null and lat is not null and lng is not null")
 
 
+#: The finest cells of the index in degrees, and metres of a degree on the globe.
+CELL, DEGREE = 0.01, EARTH_METRES * 3.141592653589793 / 180
+
+
+def nearest_many(points: DataFrame, stores: DataFrame, k: int = 1, by: str | None = None, cell: float | None = None) -> DataFrame:
+    """(lat, lng, by, store_id, metres, rank): the k nearest stores of every distinct point, of each value of `by` if one is named; ties by store_id. Rows without coordinates are left out.
+
+    Points meet the stores of their cell and the eight around it, in an equi-join. Whatever lies outside is farther than a cell's width, so a point that found k stores within it is done; the others
+    try cells of four times the size, until all the world is one cell. The first cells hold k stores on an average, if no size is given. Near a pole or the date line the width ends there. What is left is written to the checkpoint folder every round.
+    """
+    spark = points.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        from offerloom.sources.ingest import shared_folder
+
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    key = [by] if by else []
+    places = stores.where("lat is not null and lng is not null").select("store_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), *key)
+    left = points.where("lat is not null and lng is not null").select("lat", "lng").distinct()
+    left = left.crossJoin(F.broadcast(places.select(by).distinct())) if by else left  # a row for each chain
+    if cell is None:
+        n, *ends = places.agg(F.count("*"), F.min("_lat"), F.max("_lat"), F.min("_lng"), F.max("_lng")).first()
+        cell = max(CELL, ((ends[1] - ends[0]) * (ends[3] - ends[2]) * k / n) ** 0.5) if n else 360.0
+    left, done, size = left.checkpoint(), None, cell
+    while True:
+        last = size >= 360
+        at = lambda c, w: F.floor(F.col(c) / w).cast("long")  # noqa: E731, B023
+        around = F.explode(F.array(*[F.struct((at("lat", size) + i).alias("_x"), (at("lng", size) + j).alias("_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        cells = left.withColumn("_c", F.struct(F.lit(0).alias("_x"), F.lit(0).alias("_y")) if last else around).select("lat", "lng", *key, "_c.*")
+        own = places.withColumns({"_x": F.lit(0).cast("long") if last else at("_lat", size), "_y": F.lit(0).cast("long") if last else at("_lng", size)})
+        met = cells.join(own, ["_x", "_y", *key]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
+        best = first_of(met, ["lat", "lng", *key], [F.col("metres").asc(), F.col("store_id").asc()], k, "rank").select("lat", "lng", *key, "store_id", "metres", "rank")
+        if last:
+            return best if done is None else done.unionByName(best)
+        # within this many degrees nothing lies outside the nine cells; a degree of longitude is shortest at the end nearer to the pole
+        room = F.least(F.lit(size), 90 - F.abs("lat"))
+        side = F.least(F.lit(size), 180 - F.abs("lng")) * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0))))
+        sure = F.least(room, side) * (DEGREE * 0.999)
+        full = best.groupBy("lat", "lng", *key).agg(F.count("*").alias("_n"), F.max("metres").alias("_far")).where((F.col("_n") >= k) & (F.col("_far") < sure)).select("lat", "lng", *key)
+        best = best.checkpoint()
+        found = best.join(full, ["lat", "lng", *key], "left_semi")
+        done = found if done is None else done.unionByName(found)
+        left = left.join(full, ["lat", "lng", *key], "left_anti").checkpoint()
+        if left.isEmpty():
+            return done
+        size *= 4
+
+
 def nearest_per_chain(df: DataFrame, lat: float, lng: float) -> DataFrame:
     return first_of(with_distance(df, lat, lng), ["chain"], [F.col("metres").asc(), F.col("store_id").asc()])
 

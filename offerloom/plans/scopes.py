@@ -143,3 +143,38 @@ def batches(spark, sf_dir):
     return batch(spark, sf_dir).select("source", "id", "name", "brand", "price_cents", F.col("regular_cents").isNotNull().alias("reduced"), F.col("per_unit").isNotNull().alias("has_unit"), F.col("image_url").isNotNull().alias("pictured"))
 
 
+
+
+@query("q06_customers", """, c AS (SELECT plz, avg(lat) AS lat, avg(lng) AS lng FROM stores GROUP BY plz), u AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN CAST(10115 + c_nationkey AS VARCHAR) ELSE 'x' END AS plz, CASE WHEN c_custkey % 3 = 0 THEN 52.0::DOUBLE + (c_custkey * 17 % 1500) / 1000.0::DOUBLE END AS lat, CASE WHEN c_custkey % 6 < 4 THEN 13.0::DOUBLE + (c_custkey * 29 % 1700) / 1000.0::DOUBLE END AS lng FROM customer),
+l AS (SELECT c_custkey, CASE WHEN u.lat IS NOT NULL AND u.lng IS NOT NULL THEN u.lat ELSE c.lat END AS x, CASE WHEN u.lat IS NOT NULL AND u.lng IS NOT NULL THEN u.lng ELSE c.lng END AS y FROM u LEFT JOIN c USING (plz)),
+d AS (SELECT c_custkey, chain, store_id, 2 * 6371000 * asin(sqrt(pow(sin((radians(lat) - radians(x)) / 2), 2) + cos(radians(x)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(y)) / 2), 2))) AS m FROM l, stores WHERE x IS NOT NULL)
+SELECT c_custkey, chain, store_id, CAST(round(m) AS BIGINT) AS metres, row_number() OVER (PARTITION BY c_custkey, chain ORDER BY m, store_id) AS rank FROM d QUALIFY rank <= 2""")
+def customers_nearest(spark, sf_dir):
+    """The two nearest stores of each chain for every customer: by own coordinates, else the middle of the postal code; those with neither have none."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(key % 5 > 0, (F.lit(10115) + F.col("c_nationkey")).cast("string")).otherwise("x").alias("plz"),
+        F.when(key % 3 == 0, F.lit(52.0) + (key * 17 % 1500) / 1000.0).alias("lat"), F.when(key % 6 < 4, F.lit(13.0) + (key * 29 % 1700) / 1000.0).alias("lng"))
+    own = stores(spark, sf_dir)
+    at = pl.located(rows, pl.centroids(own))
+    near = pl.nearest_many(at, own, 2, "chain")
+    return at.join(near, ["lat", "lng"]).select("c_custkey", "chain", "store_id", F.round("metres").cast("long").alias("metres"), "rank")
+
+
+@query("s09_places", """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'north_plus' WHEN 1 THEN 'north' ELSE 'south' END AS chain, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN 'North ' || s_name ELSE 'South X' END AS name, 52.0::DOUBLE + s_suppkey AS lat, 13.0::DOUBLE AS lng,
+  CASE s_suppkey % 3 WHEN 0 THEN 'Weg ' || s_suppkey || ', 10115 B' WHEN 1 THEN 'B' END AS address, CASE WHEN s_suppkey % 5 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS mirror FROM supplier WHERE s_suppkey % 4 <> 3 AND s_suppkey % 7 > 0""", views=False)
+def mirrored_places(spark, sf_dir):
+    """Places by area from three mirrors: the first fails with a remark or breaks off, the second isn't valid, some areas fail everywhere."""
+    key, name = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    tags = F.concat(
+        F.lit('{"brand":"'), F.when(key % 4 == 0, "North PLUS City").when(key % 4 == 1, "").when(key % 4 == 2, "South X").otherwise("Elsewhere"), F.lit('"'), F.when(key % 4 < 2, F.concat(F.lit(',"name":"'), F.when(key % 4 == 1, "North ").otherwise(""), F.col("s_name"), F.lit('"'))).otherwise(""),
+        F.when(key % 3 == 0, F.concat(F.lit(',"addr:street":"Weg","addr:housenumber":"'), name, F.lit('","addr:postcode":"10115","addr:city":"B"'))).when(key % 3 == 1, F.lit(',"addr:city":"B"')).otherwise(""), F.lit("}"))
+    where = F.when(key % 2 == 0, F.concat(F.lit('"lat":'), (key + 52).cast("string"), F.lit(',"lon":13'))).otherwise(F.concat(F.lit('"center":{"lat":'), (key + 52).cast("string"), F.lit(',"lon":13}')))
+    body = F.concat(F.lit('{"elements":[{"type":"node","id":'), name, F.lit(","), where, F.lit(',"tags":'), tags, F.lit("}]"))
+    remark = F.concat(body, F.lit(',"remark":"timed out"}'))
+    good = F.concat(body, F.lit("}"))
+    texts = [F.when(key % 7 == 0, remark).when(key % 3 == 0, remark).when(key % 5 == 0, body).otherwise(good), F.when((key % 7 == 0) | (key % 5 == 0), "<html>").otherwise(good), F.when(key % 7 == 0, '{"elements":{}}').otherwise(good)]
+    rows = table(spark, sf_dir, "supplier").select(name.alias("area"), F.posexplode(F.array(*texts)).alias("mirror", "json"))
+    chosen = pl.first_good(rows)
+    mirror = chosen.select(F.col("area").cast("long").alias("id"), "mirror")
+    return pl.elements(chosen).join(mirror, "id").select("id", "chain", "name", "lat", "lng", "address", "mirror")

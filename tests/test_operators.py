@@ -390,3 +390,33 @@ def test_gates_by_section(spark):
     assert failing(True, 0.4, **healthy) == {("food", "unit_pct", None)}
     assert failing(True, **{**healthy, "a": 1775}) == {("food", "truncated", None)}
     assert failing(True, a=300, b=200, c=25) == {("care", "offers", None), ("care", "chains", None)}
+
+
+def test_nearest_of_many_equals_a_full_comparison(spark):
+    from offerloom.functions.geo import haversine
+
+    dice = random.Random(9)
+    spot = lambda: (dice.choice([dice.uniform(-90, 90), 52 + dice.random() / 50, 89.999]), dice.choice([dice.uniform(-180, 180), 13 + dice.random() / 50, 179.999]))
+    stores = spark.createDataFrame([(i, *spot(), dice.choice("abb")) for i in range(80)] + [(90, None, 1.0, "a"), (91, 52.0, 13.0, "b"), (92, 52.0, 13.0, "b")], "store_id long, lat double, lng double, chain string")
+    points = spark.createDataFrame([spot() for _ in range(40)] + [(52.0, 13.0), (52.0, 13.0), (None, 3.0), (-89.999, -179.999)], "lat double, lng double")
+    for k, by in ((1, None), (3, "chain")):
+        got = {tuple(r[c] for c in ("lat", "lng", "store_id", "rank")) for r in places.nearest_many(points, stores, k, by, 0.3 if by else None).collect()}
+        s = stores.select("store_id", F.col("lat").alias("x"), F.col("lng").alias("y"), "chain").where("x is not null")
+        every = points.where("lat is not null").distinct().crossJoin(s).withColumn("m", haversine(F.col("lat"), F.col("lng"), F.col("x"), F.col("y")))
+        true = ranking.first_of(every, ["lat", "lng", *([by] if by else [])], [F.col("m"), F.col("store_id")], k, "rank")
+        assert got == {tuple(r[c] for c in ("lat", "lng", "store_id", "rank")) for r in true.collect()}
+    assert places.nearest_many(points.limit(0), stores).count() == 0 and places.nearest_many(points, stores.limit(0)).count() == 0
+
+
+def test_a_broken_mirror_changes_nothing(spark, tmp_path):
+    body = lambda i: json.dumps({"elements": [{"type": "node", "id": i, "lat": 52.0, "lon": 13.0, "tags": {"name": "North"}}]})
+    for mirror in ("a", "b"):
+        (tmp_path / mirror).mkdir()
+        for area in (1, 2, 3):
+            (tmp_path / mirror / f"area{area}.json").write_text(body(area))
+    read = lambda *mirrors: sorted(map(tuple, places.elements(places.first_good(places.from_mirrors(spark, [str(tmp_path / m) for m in mirrors]))).collect()))
+    true = read("a", "b")
+    (tmp_path / "a" / "area1.json").write_text('{"remark": "runtime error", "elements": []}')
+    (tmp_path / "a" / "area2.json").write_text("<html>busy</html>")
+    (tmp_path / "a" / "area3.json").unlink()
+    assert len(true) == 3 and read("a", "b") == read("gone", "a", "b") == true and read("a") == read("gone") == []
