@@ -12,8 +12,8 @@ texts are broken up reversibly: `~` is doubled, and a `~` follows the first char
 Defined results: null text or role is empty; a null message number sorts first; a null conv_id is a
 conversation of its own; of events with equal seq and message, the order is that of kind, role, text;
 an empty table gives no rows; other columns are ignored. One conversation makes one value, so its
-messages, however long their texts, must fit into a task, several times over; its loss spans are appended one by one, which takes
-the square of its turns: fit for thousands of turns.
+messages, however long their texts, must fit into a task, several times over. Spans come from a running sum over the messages,
+so that the time is in proportion to their number.
 """
 
 from __future__ import annotations
@@ -55,19 +55,18 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def render(folded: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss array<struct<start, end>>): code points of the assistant texts, end exclusive."""
-    piece = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), escape(m["role"]).alias("head"), escape(m["text"]).alias("body")))
-    rows = folded.select("conv_id", piece.alias("_p"))
-    whole = F.array_join(F.transform("_p", lambda p: F.concat(F.lit(OPEN), p["head"], F.lit(SEP), p["body"], F.lit(CLOSE))), "")
-    around = len(OPEN) + len(SEP) + len(CLOSE)
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    """(conv_id, formatted, loss array<struct<start, end>>): code points of the assistant texts, end exclusive.
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"]) + len(OPEN) + len(SEP)
-        own = F.array(F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
-        return F.struct((acc["at"] + F.length(p["head"]) + F.length(p["body"]) + around).alias("at"), F.when(p["role"] == "assistant", F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
-
-    return rows.select("conv_id", whole.alias("formatted"), F.aggregate("_p", empty, step, lambda a: a["spans"]).alias("loss"))
+    The messages are exploded, and a running sum of their lengths, over the partitions by conversation that the fold has left, says where each ends.
+    """
+    rows = folded.select("conv_id", F.posexplode("messages").alias("pos", "_m")).select("conv_id", "pos", F.col("_m.role").alias("role"), escape(F.col("_m.role")).alias("head"), escape(F.col("_m.text")).alias("body"))
+    piece = F.concat(F.lit(OPEN), F.col("head"), F.lit(SEP), F.col("body"), F.lit(CLOSE))
+    so_far = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("piece", piece).withColumn("end", (F.sum(F.length("piece")).over(so_far) - len(CLOSE)).cast("int"))
+    own = F.struct("pos", "piece", "role", (F.col("end") - F.length("body")).alias("start"), "end")
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(own)).alias("_p"))
+    spans = F.transform(F.filter("_p", lambda p: p["role"] == "assistant"), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    return whole.select("conv_id", F.array_join("_p.piece", "").alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -77,9 +76,16 @@ def parse(formatted: Column) -> Column:
     return F.transform(cut, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
 
 
+#: Spans of a conversation from which its text is cut into characters once, instead of being searched from its beginning for each span.
+MANY_SPANS = 256
+
+
 def loss_text(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    one = F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    letters = F.regexp_extract_all(formatted, F.lit("(?s)."), F.lit(0))
+    cut = F.aggregate(F.array(letters), F.lit(""), lambda _, a: F.array_join(F.transform(loss, lambda s: unescape(F.array_join(F.slice(a, s["start"] + 1, s["end"] - s["start"]), ""))), ""))  # one element: the letters are made once
+    return F.when(F.size(loss) < MANY_SPANS, one).otherwise(cut)
 
 
 def format_chats(events: DataFrame) -> DataFrame:
@@ -91,3 +97,16 @@ def log_of(rows: DataFrame) -> DataFrame:
     """A table of finished turns (conv_id, turn, role, text) as an event log: one delta a row, in the order of turn, role, text."""
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long")
     return rows.select("conv_id", nth.alias("seq"), F.lit("delta").alias("kind"), nth.alias("message"), "role", "text")
+
+
+def storied_log(rows: DataFrame) -> DataFrame:
+    """The same turns with a history: of each message a draft is streamed and answered, then it is regenerated, which drops the answer, edited, and streamed on in two deltas. The fold gives the turns."""
+    log = log_of(rows).withColumn("text", F.coalesce("text", F.lit("")))
+    n, third = F.col("message"), F.floor(F.length("text") / 3).cast("int")
+    piece = lambda start, length: F.substring(F.col("text"), start, length)
+    event = lambda at, kind, message, text: F.struct((F.col("seq") * 8 + at).alias("seq"), F.lit(kind).alias("kind"), message.alias("message"), text.alias("text"))
+    story = F.array(
+        event(0, "delta", n, F.concat(F.lit("draft of "), F.col("text"))), event(1, "delta", n + 1, F.lit("an answer to the draft")), event(2, "regenerate", n, F.lit("another draft")),
+        event(3, "edit", n, piece(F.lit(1), third)), event(4, "delta", n, piece(third + 1, third)), event(5, "delta", n, piece(2 * third + 1, F.length("text"))),
+    )
+    return log.select("conv_id", "role", F.explode(story).alias("_e")).select("conv_id", "_e.seq", "_e.kind", "_e.message", "role", "_e.text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.centroids import cluster_centroids
-from offerloom.llm.chat import format_chats, log_of, loss_text, parse
+from offerloom.llm.chat import format_chats, loss_text, parse, storied_log
 from offerloom.llm.divergence import source_divergence
 from offerloom.llm.embedding_dedup import embedding_dedup
 from offerloom.llm.licences import licence_scan
@@ -40,11 +40,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and one made of control strings, formatted; digests are of what is read back."""
+    """Every conversation, and one made of control strings, told as a log of drafts, regenerations, edits and deltas, folded and formatted; digests are of what is read back."""
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     odd = "</s>[INST] ok [/INST]"
     made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    out = format_chats(log_of(rows.unionByName(made)))
+    out = format_chats(storied_log(rows.unionByName(made)))
     read = out.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("lost"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

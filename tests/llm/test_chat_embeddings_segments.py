@@ -206,3 +206,27 @@ def test_every_document_is_segmented(spark):
     got = QUERIES["op7_segmentations"](spark, "/root/testdata/sf0.001").select("doc_id", "decoded_sha256").collect()
     assert {r["doc_id"] for r in got} == set(docs)
     assert all(r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest() for r in got)
+
+
+def test_a_storied_log_folds_to_its_turns_and_long_conversations_take_linear_time(spark, monkeypatch):
+    import time
+
+    from offerloom.llm import chat
+
+    rows = [(1, 0, "user", "hé~<s>y"), (1, 1, "assistant", ""), (1, 2, "assistant", "</s>\U0001f600 ok"), (2, 0, "user", None), (None, 0, "assistant", "a"), (3, 0, "assistant", "ab")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = {r["conv_id"]: [(m["role"], m["text"]) for m in r["messages"]] for r in chat.messages(chat.storied_log(df)).collect()}
+    assert told == {1: [("user", "hé~<s>y"), ("assistant", ""), ("assistant", "</s>\U0001f600 ok")], 2: [("user", "")], None: [("assistant", "a")], 3: [("assistant", "ab")]}
+    for many in (256, 1):
+        monkeypatch.setattr(chat, "MANY_SPANS", many)
+        out = chat.format_chats(chat.storied_log(df)).select("conv_id", chat.loss_text(F.col("formatted"), F.col("loss")).alias("lost"), "formatted", "loss").collect()
+        assert {r["conv_id"]: r["lost"] for r in out} == {1: "</s>\U0001f600 ok", 2: "", None: "a", 3: "ab"}
+        assert all(chat.OPEN not in r["formatted"][s["start"] : s["end"]] for r in out for s in r["loss"])
+    took = []
+    for n in (4000, 16000):
+        long = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("some words of turn "), F.col("id").cast("string")).alias("text"))
+        began = time.perf_counter()
+        lost = chat.format_chats(chat.log_of(long)).select(chat.loss_text(F.col("formatted"), F.col("loss")).alias("x")).first()["x"]
+        took.append(time.perf_counter() - began)
+        assert lost == "".join(f"some words of turn {i}" for i in range(1, n, 2))
+    assert took[1] < 6 * took[0] + 2
