@@ -18,6 +18,10 @@ _KEY = "trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g'))"
 _SERVE = "per_unit IS NOT NULL DESC, coalesce(discount_pct, -1) DESC, source = 'flyer' DESC, image_url IS NOT NULL DESC, ext"
 
 
+def _eu(cents: str) -> str:
+    return f"(({cents}) // 100 || '.' || lpad(CAST(({cents}) % 100 AS VARCHAR), 2, '0'))"
+
+
 def _dedup(src: str, keys: str = "store_id, k, price_cents") -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {_SERVE}) AS rn FROM (SELECT *, {_KEY} AS k FROM {src})) WHERE rn = 1)"
 
@@ -79,16 +83,30 @@ def validity_windows(spark, sf_dir):
     return live.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("valid_to").isNull()).alias("endless"), F.count_if(day_limited(F.col("valid_from"), F.col("valid_to"))).alias("limited"))
 
 
-@query("p01_served_columns", f""", s AS (SELECT ext, valid_from, valid_to, chain FROM offers WHERE {_VALID}),
-n AS (SELECT *, valid_to >= valid_from AND valid_to - valid_from + 1 < 6 AS lim FROM s)
-SELECT ext, coalesce(lim, false) AS limited, CASE WHEN lim THEN
-  CASE WHEN valid_from = valid_to THEN (['Mo','Di','Mi','Do','Fr','Sa','So'])[isodow(valid_from)]
-  ELSE (['Mo','Di','Mi','Do','Fr','Sa','So'])[isodow(valid_from)] || '–' || (['Mo','Di','Mi','Do','Fr','Sa','So'])[isodow(valid_to)] END END AS days,
-  CASE chain WHEN 'north' THEN 'Nord' WHEN 'south' THEN 'Süd' ELSE 'Other' END AS chain_label FROM n""")
+_WEEKDAYS = "(['Mo','Di','Mi','Do','Fr','Sa','So'])"
+_SHOWN_SQL = f"""s AS (SELECT *, valid_to >= valid_from AND valid_to - valid_from + 1 < 6 AS lim, {_eu('price_cents')} AS euro, {_eu('price_cents * 10')} AS ten, CAST(split_part(unit, ' ', 1) AS VARCHAR) AS first FROM offers WHERE {_VALID}),
+n AS (SELECT *, CASE WHEN per_unit = 'kg-Preis' THEN '1 kg = ' || euro WHEN per_unit = '100-g-Preis' THEN '1 kg = ' || ten WHEN per_unit LIKE '(%' THEN substr(per_unit, 2, length(per_unit) - 2) WHEN per_unit LIKE '1kg%' THEN '1 kg' || substr(per_unit, 4) ELSE per_unit END AS stated,
+  CASE WHEN unit LIKE '%0 g' THEN CAST(first AS BIGINT) WHEN unit LIKE 'Je %' THEN CAST(split_part(split_part(unit, ' ', 2), ',', 1) AS BIGINT) * 1000 + 500 END AS amount FROM s),
+a AS (SELECT *, price_cents * 1000 // amount + CASE WHEN 2 * (price_cents * 1000 % amount) > amount OR (2 * (price_cents * 1000 % amount) = amount AND (price_cents * 1000 // amount) % 2 = 1) THEN 1 ELSE 0 END AS per FROM n),
+q AS (SELECT *, coalesce(stated, CASE WHEN per > 0 THEN CASE WHEN unit LIKE 'Je %' THEN '1 l = ' ELSE '1 kg = ' END || {_eu('per')} END) AS shown FROM a)"""
+
+
+@query("p01_served_columns", f""", {_SHOWN_SQL}
+SELECT ext, coalesce(lim, false) AS limited, CASE WHEN lim THEN {_WEEKDAYS}[isodow(valid_from)] || CASE WHEN valid_from = valid_to THEN '' ELSE '–' || {_WEEKDAYS}[isodow(valid_to)] END END AS days, CASE chain WHEN 'north' THEN 'Nord' WHEN 'south' THEN 'Süd' ELSE 'Other' END AS chain_label,
+  CASE category WHEN 'dairy' THEN 'Milch' WHEN 'bakery' THEN 'Brot' ELSE 'Other' END AS category_label, CASE WHEN category = 'dairy' AND contains(name, 'ring') THEN 'rings' WHEN category = 'dairy' AND contains(name, 'r') THEN 'rs' END AS "group",
+  CASE WHEN category = 'dairy' AND contains(name, 'ring') THEN 'Ringe' WHEN category = 'dairy' AND contains(name, 'r') THEN 'Mit R' END AS group_label, shown AS shown_per_unit,
+  CAST(round(CAST(replace(regexp_extract(shown, '[0-9]+[.,][0-9]+'), ',', '.') AS DECIMAL(18,2)) * 100) AS BIGINT) AS unit_cents, name LIKE 'red%' AS organic FROM q""")
 def served_columns(spark, sf_dir):
-    names = F.create_map(F.lit("north"), F.lit("Nord"), F.lit("south"), F.lit("Süd"))
+    """Everything that a served offer is told with, beside what is stored."""
+    from offerloom.functions.display import label_of
+    from offerloom.operators.rules import organic, sub_group
+
     live = _shown(offers(spark, sf_dir).where(valid_on(F.col("valid_to"), TODAY)))
-    return live.select("ext", "limited", "days", F.coalesce(F.try_element_at(names, F.col("chain")), F.lit("Other")).alias("chain_label"))
+    group = sub_group(F.col("name"), F.col("category"), {"dairy": [("rings", "Ringe", ["ring"]), ("rs", "Mit R", ["r"])]})
+    return live.withColumn("_g", group).select(
+        "ext", "limited", "days", label_of(F.col("chain"), {"north": "Nord", "south": "Süd"}, "Other").alias("chain_label"), label_of(F.col("category"), {"dairy": "Milch", "bakery": "Brot"}, "Other").alias("category_label"),
+        F.col("_g.slug").alias("group"), F.col("_g.label").alias("group_label"), "shown_per_unit", "unit_cents", organic(F.col("name"), F.col("brand"), ("red",)).alias("organic"),
+    )
 
 
 _HIDDEN = [("north:red bolt", "1998-06-15"), ("north:old plate", "1998-06-07"), ("east:hot gear", "1998-06-10"), ("west:new rod", "1998-06-21")]

@@ -7,8 +7,12 @@ from pyspark.sql.window import Window
 
 from offerloom.functions import display as dp
 from offerloom.operators import lookups as lk
-from offerloom.operators.filters import equal_to
+from offerloom.functions.text import name_key
+from offerloom.operators import upsert as up
+from offerloom.operators.filters import equal_to, served
+from offerloom.operators.ranking import serve_dedup
 from offerloom.plans.exports import candidates_json, manifest
+from offerloom.plans.listings import _GROCERY, _VALID, _dedup
 from offerloom.plans.registry import query, values
 from offerloom.sources.tables import TODAY, offers, stores, table
 
@@ -155,15 +159,44 @@ def seed_json(spark, sf_dir):
     return out.select("chain", F.size(F.split("json", '"ext":')).cast("long").alias("n")).withColumn("n", F.col("n") - 1)
 
 
-@query("x25_formats", """ SELECT ext, price_cents // 100 || ',' || lpad(CAST(price_cents % 100 AS VARCHAR), 2, '0') || ' €' AS price, CASE WHEN discount_pct > 0 THEN '-' || CAST(floor(discount_pct + 0.5) AS BIGINT) || ' %' END AS off,
-  CASE WHEN unit LIKE 'Je %' THEN substr(unit, 4) ELSE unit END AS unit, brand FROM offers""")
-def formats(spark, sf_dir):
-    return offers(spark, sf_dir).select("ext", dp.euro(F.col("price_cents")).alias("price"), dp.percent(F.col("discount_pct")).alias("off"), dp.clean_unit(F.col("unit")).alias("unit"), dp.brand_title(F.col("brand")).alias("brand"))
+_TEXTS = """t AS (SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'Je ' || p_size || ' g (Max. 3)' WHEN 1 THEN '(lose)' WHEN 2 THEN p_size || ' l (a) (b)' WHEN 3 THEN 'JE  Stück' WHEN 4 THEN '' WHEN 5 THEN 'jede Packung' END AS unit,
+  CASE p_partkey % 8 WHEN 0 THEN '1 kg = ' || p_size || '.5' WHEN 1 THEN '100 g = ' || p_size || ',25/9.9' WHEN 2 THEN p_size || '.46 €/Stk.' WHEN 3 THEN p_size || ' / l' WHEN 4 THEN 'kg-Preis' WHEN 5 THEN '1 l =' WHEN 6 THEN '= 3' END AS per,
+  CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name WHEN 2 THEN 'MÖWE-' || upper(p_name) WHEN 3 THEN '' WHEN 4 THEN 'Q&A 3' END AS brand, CASE WHEN p_size % 5 > 0 THEN p_size + CASE WHEN p_size % 2 = 0 THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END END AS pct, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part)"""
+_TITLE = "upper({w}[1]) || substr({w}, 2)"
 
 
-@query("x26_staleness", f"SELECT o_orderkey, DATE '{TODAY}' > CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS stale FROM orders", views=False)
+@query("x25_formats", f"""WITH {_TEXTS} SELECT k, c // 100 || ',' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || ' €' AS price, coalesce('-' || CAST(floor(pct + 0.5) AS BIGINT) || '%', '') AS off,
+  CASE k % 7 WHEN 0 THEN regexp_extract(unit, '[0-9]+ g') WHEN 2 THEN regexp_extract(unit, '[0-9]+ l') WHEN 3 THEN 'Stück' WHEN 5 THEN 'jede Packung' END AS unit,
+  CASE k % 8 WHEN 0 THEN regexp_extract(per, '= ([0-9]+)', 1) || ',5 €/kg' WHEN 1 THEN regexp_extract(per, '= ([0-9]+)', 1) || ',25 €/100 g' WHEN 2 THEN regexp_extract(per, '^[0-9]+') || ',46 €/Stk' WHEN 3 THEN regexp_extract(per, '^[0-9]+') || ' €/l' END AS per_unit,
+  CASE k % 6 WHEN 0 THEN array_to_string([{_TITLE.format(w='w')} FOR w IN string_split(lower(brand), ' ')], ' ') WHEN 2 THEN 'Möwe-' || array_to_string([{_TITLE.format(w='w')} FOR w IN string_split(lower(substr(brand, 6)), ' ')], ' ') ELSE nullif(brand, '') END AS brand FROM t""", views=False)
+def formats(spark, sf_dir):
+    key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size").cast("string")
+    case = lambda n, *texts: F.element_at(F.array(*texts), (key % n + 1).cast("int"))
+    none, say = F.lit(None).cast("string"), F.concat
+    unit = case(7, say(F.lit("Je "), size, F.lit(" g (Max. 3)")), F.lit("(lose)"), say(size, F.lit(" l (a) (b)")), F.lit("JE  Stück"), F.lit(""), F.lit("jede Packung"), none)
+    per = case(8, say(F.lit("1 kg = "), size, F.lit(".5")), say(F.lit("100 g = "), size, F.lit(",25/9.9")), say(size, F.lit(".46 €/Stk.")), say(size, F.lit(" / l")), F.lit("kg-Preis"), F.lit("1 l ="), F.lit("= 3"), none)
+    brand = case(6, F.upper(name), name, say(F.lit("MÖWE-"), F.upper(name)), F.lit(""), F.lit("Q&A 3"), none)
+    pct = F.when(F.col("p_size") % 5 > 0, F.col("p_size") + F.when(F.col("p_size") % 2 == 0, 0.5).otherwise(0.4))
+    rows = table(spark, sf_dir, "part").select(key.alias("k"), F.round(F.col("p_retailprice") * 100).cast("long").alias("c"), unit.alias("unit"), per.alias("per"), brand.alias("brand"), pct.alias("pct"))
+    return rows.select("k", dp.euro(F.col("c")).alias("price"), dp.percent(F.col("pct")).alias("off"), dp.clean_unit(F.col("unit")).alias("unit"), dp.per_unit_shown(F.col("per")).alias("per_unit"), dp.brand_title(F.col("brand")).alias("brand"))
+
+
+@query("x25_as_of", """WITH e AS (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN TIMESTAMP '2024-01-30 12:00:00' - to_microseconds(CAST(power(10, event_id % 8) * 1000000 AS BIGINT)) - to_seconds(user_id % 60) END AS t FROM events), a AS (SELECT *, epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(t) AS s FROM e)
+SELECT event_id, CASE WHEN t IS NULL THEN '' WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN CAST(t AS DATE) = DATE '2024-01-30' THEN strftime(t, '%-H:%M') WHEN s < 604800 THEN strftime(t, '%a %-H:%M') ELSE strftime(t, '%-d %b') END AS label FROM a""", views=False)
+def ages(spark, sf_dir):
+    """Labels of times from a second to months before now."""
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    before = (F.unix_micros(now) - (F.pow(F.lit(10), F.col("event_id") % 8) * 1_000_000).cast("long") - (F.col("user_id") % 60) * 1_000_000).cast("long")
+    at = F.when(F.col("event_id") % 11 > 0, F.timestamp_micros(before))
+    return table(spark, sf_dir, "events").select("event_id", dp.as_of(at, now).alias("label"))
+
+
+@query("x26_staleness", f"SELECT o_orderkey, DATE '{TODAY}' > CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS stale, o_orderkey % 3 = 0 OR o_orderkey % 4 = 0 OR o_orderkey % 5 = 1 OR DATE '{TODAY}' > CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS again FROM orders", views=False)
 def staleness(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", dp.deals_stale(F.to_date("o_orderdate"), F.lit(TODAY).cast("date")).alias("stale"))
+    """Whether the week is over, and whether a copy kept then, some by another version, some not at all, must be fetched again."""
+    key, day, now = F.col("o_orderkey"), F.to_date("o_orderdate"), F.lit(TODAY).cast("date")
+    version = F.when(key % 3 == 0, 6).when(key % 4 > 0, 7)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dp.deals_stale(day, now).alias("stale"), dp.cache_stale(F.when(key % 5 != 1, day), version, now, 7).alias("again"))
 
 
 @query("x27_delta", "SELECT p_partkey, CASE WHEN p_size > 25 THEN (p_size - 25) || ' new' WHEN p_size < 25 THEN (25 - p_size) || ' removed' END AS message FROM part", views=False)
@@ -176,13 +209,27 @@ def hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", dp.first_containing(F.col("url"), [("shop", "shop"), ("blog", "blog")], "other").alias("source"))
 
 
-@query("s15_payload_map", """ SELECT ext AS key, '{"name":"' || name || '","brand":"' || brand || '","price_cents":' || price_cents || '}' AS payload FROM offers WHERE plz = '10130'""")
+@query("s15_payload_map", f""", b AS (SELECT * FROM offers WHERE plz = '10130' AND {_GROCERY} AND {_VALID}), d AS {_dedup('b')} SELECT ext AS key, '{{"name":"' || name || '","brand":"' || brand || '","price_cents":' || price_cents || '}}' AS payload FROM d""")
 def payloads(spark, sf_dir):
-    """The map from key to payload that a place is served, as rows."""
-    rows = equal_to(offers(spark, sf_dir), plz="10130")
+    """The map from key to payload of exactly what a place is served, as rows."""
+    rows = serve_dedup(served(offers(spark, sf_dir), TODAY, plz="10130"), name_key("name"))
     return rows.select(F.col("ext").alias("key"), F.to_json(F.struct("name", "brand", "price_cents")).alias("payload"))
 
 
+@query("k07_toggles", """, p AS (SELECT DISTINCT chain FROM offers WHERE store_id % 6 < 3), o AS (SELECT chain FROM p ORDER BY chain DESC OFFSET 1), l AS (SELECT max(chain) AS c FROM p)
+SELECT 'hide' AS what, key AS value FROM (VALUES ('c'), ('d')) v(key) UNION ALL SELECT 'unhide', 'a' UNION ALL SELECT 'last', chain FROM o UNION ALL SELECT 'other', chain FROM o UNION ALL SELECT 'other', 'nowhere' UNION ALL SELECT 'first', chain FROM o WHERE chain <> (SELECT min(chain) FROM o)""")
+def toggles(spark, sf_dir):
+    """Hides toggled with those run out gone; of the chains present all but one hidden: the last stays, one that isn't there may go, a hidden one comes back."""
+    hides = values(spark, [("a", "1998-06-15"), ("b", "1998-06-07"), ("c", "1998-06-16")], "key string, since string").select("key", F.to_date("since").alias("since"))
+    since = F.lit(TODAY)
+    out = [up.toggled_hide(up.toggled_hide(hides, "d", since, TODAY), "a", since, TODAY).select(F.lit("hide").alias("what"), F.col("key").alias("value")), up.toggled_hide(hides, "c", since, TODAY).select(F.lit("unhide").alias("what"), F.col("key").alias("value"))]
+    present = offers(spark, sf_dir).where("store_id % 6 < 3").select("chain").distinct()
+    names = sorted(r["chain"] for r in present.collect())  # a few chains
+    hidden = values(spark, [(c,) for c in names[:-1]], "value string")
+    out += [up.toggled_store(hidden, c, present).select(F.lit(what).alias("what"), "value") for what, c in (("last", names[-1]), ("other", "nowhere"), ("first", names[0]))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
 @query("s14_point_lookup", " SELECT store_id, chain, store_name, plz FROM stores WHERE store_id = 3")
 def point(spark, sf_dir):
     return equal_to(stores(spark, sf_dir), store_id=3).select("store_id", "chain", "store_name", "plz")
