@@ -117,10 +117,10 @@ def base_unit_price(text: Column | str) -> Column:
     return F.concat(F.lit("1 "), axis, F.lit(" = "), euros(cents * times))
 
 
-def app_deal(price: Column, regular: Column, app: Column) -> Column:
-    """struct<has_deal, headline_cents, strike_cents, headline_pct>: the app price heads if it is lower than the price."""
-    has = app.isNotNull() & (app < price)
+def app_deal(price: Column, regular: Column, app: Column, stated: Column) -> Column:
+    """struct<has_deal, headline_cents, strike_cents, headline_pct>: the app price heads if it is lower than the price, and its discount is the one from the regular price, else from the price; without an app deal the stated discount holds."""
+    has = F.coalesce(app < price, F.lit(False))
     head = F.when(has, app).otherwise(price)
-    strike = F.when(has, F.greatest(price, F.coalesce(regular, price))).otherwise(regular)
-    pct = F.when(strike > head, F.floor((strike - head) * 100 / strike + 0.5).cast("long"))
+    strike = F.when(has, F.coalesce(regular, price)).otherwise(regular)
+    pct = F.when(has, F.when(strike > head, F.floor((strike - head) * 100 / strike + 0.5).cast("double"))).otherwise(stated)
     return F.struct(has.alias("has_deal"), head.alias("headline_cents"), strike.alias("strike_cents"), pct.alias("headline_pct"))

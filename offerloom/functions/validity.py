@@ -36,6 +36,13 @@ def week_end(at: Column) -> Column:
     return F.date_add(F.date_trunc("week", at).cast("date"), 6)
 
 
+def instant(text: Column) -> Column:
+    """The moment that an ISO text with an offset names, `+0000`, `+02:00` or `Z`; one without an offset is UTC; null for other texts."""
+    zoned = F.regexp_replace(text, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
+    has = zoned.rlike(r"([+-]\d{2}:\d{2}|Z)$")
+    return F.try_to_timestamp(F.when(has, zoned).otherwise(F.concat(zoned, F.lit("Z"))))
+
+
 def local_day(at: Column, zone: str = "Europe/Berlin") -> Column:
     return F.to_date(F.from_utc_timestamp(at, zone))
 

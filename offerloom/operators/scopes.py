@@ -40,7 +40,7 @@ def comparison_scope(df: DataFrame, selected: list[str]) -> DataFrame:
 
 def comparable_categories(df: DataFrame, scope: DataFrame, group: Column) -> DataFrame:
     """(category): those with a group that two chains of the scope or more sell."""
-    cells = df.join(F.broadcast(scope), "chain", "left_semi").where(group.isNotNull()).groupBy("category", group.alias("group")).agg(F.count_distinct("chain").alias("n"))
+    cells = df.join(scope, "chain", "left_semi").where(group.isNotNull()).groupBy("category", group.alias("group")).agg(F.count_distinct("chain").alias("n"))
     return cells.where("n >= 2").select("category").distinct()
 
 

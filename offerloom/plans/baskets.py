@@ -124,11 +124,12 @@ def tiers(spark, sf_dir):
     return mt.history_tiers(history, offers(spark, sf_dir))
 
 
-@query("j09_on_sale_count", f""", h AS (SELECT DISTINCT 'new ' || lower(c_mktsegment) AS k FROM customer UNION SELECT DISTINCT p_name FROM part WHERE p_size < 3)
+@query("j09_on_sale_count", f""", h AS (SELECT DISTINCT 'new ' || lower(c_mktsegment) AS k FROM customer UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT 'gone ' || p_name FROM part)
 SELECT count(*) AS recorded, count(*) FILTER (WHERE k IN (SELECT {_KEY} FROM offers WHERE valid_to IS NULL OR valid_to >= DATE '{TODAY}')) AS on_sale FROM h""")
 def on_sale(spark, sf_dir):
     recorded = table(spark, sf_dir, "customer").select(F.concat(F.lit("new "), F.lower("c_mktsegment")).alias("k"))
-    recorded = recorded.union(table(spark, sf_dir, "part").where("p_size < 3").select("p_name")).distinct()
+    names = table(spark, sf_dir, "part").select("p_name")
+    recorded = recorded.union(names).union(names.select(F.concat(F.lit("gone "), "p_name"))).distinct()
     live = offers(spark, sf_dir).where(F.col("valid_to").isNull() | (F.col("valid_to") >= F.lit(TODAY).cast("date")))
     keys = live.select(norm_name("name").alias("k")).distinct().withColumn("on", F.lit(True))
     return recorded.join(keys, "k", "left").agg(F.count("*").alias("recorded"), F.count_if("on").alias("on_sale"))

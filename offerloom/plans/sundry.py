@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import pricing as pr
 from offerloom.functions import text as tx
-from offerloom.functions.validity import offer_window
+from offerloom.functions.validity import instant, local_day, offer_window
 from offerloom.operators import gates as gt
 from offerloom.operators import places as pl
 from offerloom.operators import upsert as up
@@ -94,21 +94,34 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.slug("text").alias("slug"))
 
 
-@query("x24_app_price", """, a AS (SELECT ext, price_cents AS p, regular_cents AS r, CASE WHEN store_id % 3 = 0 THEN price_cents - 50 WHEN store_id % 3 = 1 THEN price_cents + 50 END AS app FROM offers),
-b AS (SELECT *, coalesce(app < p, false) AS has FROM a), c AS (SELECT *, CASE WHEN has THEN app ELSE p END AS head, CASE WHEN has THEN greatest(p, coalesce(r, p)) ELSE r END AS strike FROM b)
-SELECT ext, has AS has_deal, head AS headline_cents, strike AS strike_cents, CASE WHEN strike > head THEN CAST(floor((strike - head) * 100 / strike + 0.5) AS BIGINT) END AS headline_pct FROM c""")
+@query("x24_app_price", """, a AS (SELECT ext, price_cents AS p, regular_cents AS r, discount_pct AS d, CASE WHEN store_id % 3 = 0 THEN price_cents - 50 WHEN store_id % 3 = 1 THEN price_cents + 50 END AS app FROM offers),
+b AS (SELECT *, coalesce(app < p, false) AS has FROM a), c AS (SELECT *, CASE WHEN has THEN app ELSE p END AS head, CASE WHEN has THEN coalesce(r, p) ELSE r END AS strike FROM b)
+SELECT ext, has AS has_deal, head AS headline_cents, strike AS strike_cents, CASE WHEN NOT has THEN d WHEN strike > head THEN floor((strike - head) * 100 / strike + 0.5) END AS headline_pct FROM c""")
 def app_prices(spark, sf_dir):
     app = F.when(F.col("store_id") % 3 == 0, F.col("price_cents") - 50).when(F.col("store_id") % 3 == 1, F.col("price_cents") + 50)
-    return offers(spark, sf_dir).select("ext", pr.app_deal(F.col("price_cents"), F.col("regular_cents"), app).alias("a")).select("ext", "a.*")
+    return offers(spark, sf_dir).select("ext", pr.app_deal(F.col("price_cents"), F.col("regular_cents"), app, F.col("discount_pct")).alias("a")).select("ext", "a.*")
 
 
-@query("x31_json_paths", "SELECT event_id, [event_type] AS strings, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", views=False)
+@query("x31_json_paths", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN [event_type] WHEN 1 THEN [] WHEN 5 THEN ['a "b"', 'ü', event_type] END AS strings, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""", views=False)
 def json_paths(spark, sf_dir):
-    text = F.concat(F.lit('[1, "'), F.col("event_type"), F.lit('", null, {"a": 2}]'))
+    """Arrays with and without texts; objects, numbers, broken JSON and nothing at all have none."""
+    kind = F.col("event_type")
+    text = F.element_at(F.array(
+        F.concat(F.lit('[1, "'), kind, F.lit('", null, {"a": 2}, ["x"]]')), F.lit("[]"), F.concat(F.lit('{"a": "'), kind, F.lit('"}')), F.concat(F.lit('["'), kind), F.lit("7"), F.concat(F.lit('["a \\"b\\"", true, "\\u00fc", "'), kind, F.lit('"]')), F.lit(None).cast("string"),
+    ), (F.col("event_id") % 7 + 1).cast("int"))
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     return table(spark, sf_dir, "events").select("event_id", tx.json_strings(text).alias("strings"), k.alias("k"))
 
 
+@query("x08_local_days", """SELECT event_id, CAST(CAST(ts + INTERVAL 1 HOUR AS DATE) AS VARCHAR) AS day, CASE event_id % 5 WHEN 4 THEN NULL ELSE epoch_us(date_trunc('second', ts)) END AS instant FROM events""", views=False)
+def local_days(spark, sf_dir):
+    """The date in Berlin of every event, in winter an hour ahead, and the moments of ISO texts with offsets of several forms, or with none; one form isn't a time."""
+    at, e = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    text = lambda hours, tail: F.concat(F.date_format(at + F.expr(f"interval {hours} hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(tail))
+    iso = F.when(e == 0, text(0, "Z")).when(e == 1, text(0, "+0000")).when(e == 2, text(2, "+02:00")).when(e == 3, text(0, "")).otherwise(F.concat(F.lit("am "), text(0, "")))
+    return table(spark, sf_dir, "events").select("event_id", local_day(at).cast("string").alias("day"), F.unix_micros(instant(iso)).alias("instant"))
+
+
 _DIST = "2 * 6371000 * asin(sqrt(pow(sin((radians(lat) - radians(52.3)) / 2), 2) + cos(radians(52.3)) * cos(radians(lat)) * pow(sin((radians(lng) - radians(13.4)) / 2), 2)))"
 
 
@@ -136,7 +149,7 @@ def flyer_pages(spark, sf_dir):
     sale, bonus = _deal("SALES_PRICE", price, _KILO), '{"type":"OTHER","description":"mit Karte\\njetzt 1,00 € Bonus sichern","conditions":[7]}'
     deals = (
         F.when(size % 6 == 0, _deal("OTHER", price, _KILO)).when(size % 6 == 1, F.concat_ws(",", _deal("SALES_PRICE", price, ',"conditions":[{"other":"Reise zum kg-Preis"}]'), _deal("REGULAR_PRICE", price + 1, _KILO)))
-        .when(size % 6 == 2, F.concat_ws(",", sale, _deal("RECOMMENDED_RETAIL_PRICE", price - 1), F.lit(bonus))).when(size % 6 == 3, F.concat_ws(",", sale, F.lit('{"type":"OTHER","conditions":[{"other":"x 0.50 €  bonus!"}]}')))
+        .when(size % 6 == 2, F.concat_ws(",", sale, _deal("RECOMMENDED_RETAIL_PRICE", price - 1), F.lit(bonus))).when(size % 6 == 3, F.concat_ws(",", sale, F.lit('{"type":"OTHER","conditions":[{"other":"x 0.50 €  bonus!"}]}'), _deal("SPECIAL_PRICE", price - 2, ',"conditions":[{"other":"ab 2 Stück"}]'), _deal("SPECIAL_PRICE", price - 1, ',"conditions":[3,{"other":"Preis mit APP"}]')))
         .otherwise(_deal("SALES_PRICE", price, ',"priceByBaseUnit":" 1 l = 3.33 "' + _KILO))
     )
     badge = F.when(size % 6 == 3, '{"type":"DISCOUNT_AMOUNT","value":"0,50"}').when(size % 6 == 4, '{"type":"DISCOUNT_PERCENTAGE","value":"20"}').otherwise("null")
@@ -149,9 +162,9 @@ def flyer_pages(spark, sf_dir):
 SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_name AS name, c AS price_cents, '500 g' AS unit,
   CASE p_size % 6 WHEN 1 THEN c + 100 WHEN 3 THEN c + 50 WHEN 4 THEN CAST(round(c / 0.8) AS BIGINT) END AS regular_cents,
   CASE p_size % 6 WHEN 4 THEN '1 l = 3.33' WHEN 1 THEN NULL ELSE '1 kg = ' || c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS base_unit,
-  CASE p_size % 6 WHEN 2 THEN '1,00 € Bonus' WHEN 3 THEN '0.50 €  bonus' END AS note FROM p""", views=False)
+  CASE p_size % 6 WHEN 2 THEN '1,00 € Bonus' WHEN 3 THEN '0.50 €  bonus' END AS note, CASE p_size % 6 WHEN 3 THEN c - 100 END AS app_cents FROM p""", views=False)
 def flyer(spark, sf_dir):
-    return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit", "note")
+    return fd.flyer_offers(flyer_pages(spark, sf_dir)).select("id", "name", "price_cents", "unit", "regular_cents", "base_unit", "note", "app_cents")
 
 
 _COUPONS = """c AS (SELECT p_partkey, p_partkey AS key, p_size % 12 AS m, p_name, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part),
@@ -217,18 +230,18 @@ def selected(spark, sf_dir):
     return fd.current_brochures(rows, F.lit("1998-06-15").cast("date")).select("o_orderkey")
 
 
-@query("k01_upsert", """WITH o AS (SELECT o_custkey AS k, o_orderkey AS v, 1 AS age, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_custkey, o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 5 = 1),
+@query("k01_upsert", """WITH o AS (SELECT o_custkey AS k, o_orderkey AS v, 1 AS age, o_totalprice AS p FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_custkey, o_orderkey, 0, o_totalprice FROM orders WHERE o_orderkey % 5 = 1 OR o_orderkey % 2 = 1),
 u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY age, v DESC) AS rn FROM (SELECT * FROM o UNION ALL SELECT * FROM n)) SELECT k, v, p FROM u WHERE rn = 1""", views=False)
 def upserted(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("p"))
-    return up.upsert(rows.where("v % 2 = 0"), rows.where("v % 5 = 1"), ["k"], [F.desc("v")])
+    return up.upsert(rows.where("v % 2 = 0"), rows.where("v % 5 = 1 or v % 2 = 1"), ["k"], [F.desc("v")])
 
 
 @query("k02_get_or_create", """SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, coalesce(n.bal, o.s_acctbal) AS balance
-FROM (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 END AS bal FROM supplier WHERE s_suppkey % 4 <> 1) n ON o.s_suppkey = n.s_suppkey""", views=False)
+FROM (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 END AS bal FROM supplier WHERE s_suppkey % 4 <> 1 OR s_suppkey % 3 = 0) n ON o.s_suppkey = n.s_suppkey""", views=False)
 def created(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"))
-    new = rows.where("s_suppkey % 4 <> 1").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("balance") + 1).alias("balance"))
+    new = rows.where("s_suppkey % 4 <> 1 or s_suppkey % 3 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("balance") + 1).alias("balance"))
     return up.get_or_create(rows.where("s_suppkey % 3 <> 0"), new, ["s_suppkey"], ["balance"])
 
 

@@ -21,8 +21,8 @@ _INDEX = "ix AS (SELECT lower(name) AS key, chain, min(price_cents) AS cents FRO
 
 def _index(spark, sf_dir):
     rows = offers(spark, sf_dir)
-    index = rows.where("chain <> 'east'").groupBy(F.lower("name").alias("key"), "chain").agg(F.min("price_cents").alias("cents"))
-    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("key")).union(spark.range(1).select(F.lit("gone")))
+    index = rows.where("chain <> 'east'").groupBy(name_key("name").alias("key"), "chain").agg(F.min("price_cents").alias("cents"))
+    names = table(spark, sf_dir, "part").select(name_key("p_name").alias("key")).union(spark.range(1).select(F.lit("gone")))
     items = names.distinct().withColumn("chain", F.explode(F.array(F.lit("west"), F.lit("east")))).where("key <> 'gone' or chain = 'west'")
     return items, index
 
@@ -68,7 +68,7 @@ def resolved(spark, sf_dir):
 def in_basket_items(spark, sf_dir):
     """The marker by resolved items: an offer is in the basket if its item is."""
     basket = values(spark, [("bolts",), ("grp:rod",)], "item string").withColumn("_in", F.lit(True))
-    return _resolved(spark, sf_dir).join(F.broadcast(basket), "item", "left").select("name", "brand", "item", F.coalesce("_in", F.lit(False)).alias("in_basket"))
+    return _resolved(spark, sf_dir).join(basket, "item", "left").select("name", "brand", "item", F.coalesce("_in", F.lit(False)).alias("in_basket"))
 
 
 _GROUPS = """g AS (SELECT lower(name) AS key, arg_min(name, ext) AS label, arg_min(upper(category), ext) AS category_label FROM offers WHERE name NOT LIKE 'old%' GROUP BY 1)"""
@@ -152,11 +152,11 @@ def sheets(spark, sf_dir):
     return manifest(offers(spark, sf_dir))
 
 
-@query("k05_seed_json", """, r AS (SELECT *, row_number() OVER (PARTITION BY chain, category ORDER BY price_cents, ext) AS rn FROM offers WHERE category IN ('dairy', 'fruits'))
-SELECT chain, count(*) FILTER (WHERE rn <= 3) AS n FROM r GROUP BY chain""")
+@query("k05_seed_json", """, r AS (SELECT *, row_number() OVER (PARTITION BY chain, category ORDER BY price_cents, ext) AS rn FROM offers), w AS (SELECT chain, unnest(['dairy', 'fruits', 'seeds']) AS category FROM (SELECT DISTINCT chain FROM offers)),
+j AS (SELECT w.chain, w.category, coalesce(string_agg('{"_rank":' || rn || ',"ext":"' || ext || '","name":"' || name || '","price_cents":' || price_cents || '}', ',' ORDER BY rn), '') AS own FROM w LEFT JOIN r ON r.chain = w.chain AND r.category = w.category AND rn <= 3 GROUP BY ALL)
+SELECT chain, '{' || string_agg('"' || category || '":[' || own || ']', ',' ORDER BY category) || '}' AS json FROM j GROUP BY chain""")
 def seed_json(spark, sf_dir):
-    out = candidates_json(offers(spark, sf_dir), ["dairy", "fruits", "seeds"], 3)
-    return out.select("chain", F.size(F.split("json", '"ext":')).cast("long").alias("n")).withColumn("n", F.col("n") - 1)
+    return candidates_json(offers(spark, sf_dir), ["dairy", "fruits", "seeds"], 3)
 
 
 _TEXTS = """t AS (SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'Je ' || p_size || ' g (Max. 3)' WHEN 1 THEN '(lose)' WHEN 2 THEN p_size || ' l (a) (b)' WHEN 3 THEN 'JE  Stück' WHEN 4 THEN '' WHEN 5 THEN 'jede Packung' END AS unit,

@@ -155,5 +155,15 @@ def test_haversine(spark):
 
 
 def test_app_deal(spark):
-    got = one(spark, pr.app_deal(*[F.lit(x).cast("long") for x in (200, 250, 150)]))
-    assert tuple(got) == (True, 150, 250, 40)
+    deal = lambda *v: tuple(one(spark, pr.app_deal(*[F.lit(x).cast("long") for x in v], F.lit(7.5))))
+    assert deal(200, 250, 150) == (True, 150, 250, 40.0) and deal(200, None, 150) == (True, 150, 200, 25.0) and deal(200, 250, 200) == (False, 200, 250, 7.5) and deal(200, None, None) == (False, 200, None, 7.5)
+    assert deal(200, 140, 150) == (True, 150, 140, None)
+
+
+def test_instants(spark):
+    from offerloom.functions.validity import instant
+
+    micros = lambda t: one(spark, F.unix_micros(instant(F.lit(t).cast("string"))))
+    true = micros("2026-03-01T10:00:00Z")
+    assert true and {micros(t) for t in ("2026-03-01T10:00:00+0000", "2026-03-01T12:00:00+02:00", "2026-03-01T05:00:00-0500", "2026-03-01T10:00:00")} == {true}
+    assert {micros(t) for t in ("soon", "", "2026-13-01T00:00:00Z", None)} == {None}
