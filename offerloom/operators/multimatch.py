@@ -47,8 +47,8 @@ class Automaton:
 
 
 @functools.lru_cache(maxsize=16)
-def automaton_of(name: str, patterns) -> Automaton:
-    """A worker's automaton of a broadcast list; the name tells broadcasts apart."""
+def automaton_of(patterns) -> Automaton:
+    """A worker's automaton of a broadcast list, built once."""
     return Automaton(patterns.value)
 
 
@@ -92,7 +92,7 @@ def found_in(spark: SparkSession, text: Column, patterns: Sequence[str]) -> Colu
     def one(part: _Shared) -> Column:
         @F.arrow_udf(ArrayType(IntegerType()))
         def run(texts: pa.Array) -> pa.Array:
-            tree = automaton_of(part.name, part)
+            tree = automaton_of(part)
             return pa.array([[] if t is None else tree.found(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
         return run(text)

@@ -7,6 +7,7 @@ Every layer has a verdict: decided, no_match, or skipped with a reason. `classif
 
 from __future__ import annotations
 
+import functools
 import re
 from functools import reduce
 from typing import NamedTuple
@@ -106,7 +107,10 @@ class _Hits:
         return {kind: {"rule": None if kind in AT_NODE else self.rows[i][1], "slug": self.rows[i][4], "token": token, "place": place} for kind, (i, place, token) in first.items()}
 
 
-_BUILT: dict[str, _Hits] = {}
+@functools.lru_cache(maxsize=4)
+def _hits_of(rows) -> _Hits:
+    """A worker's automata of a broadcast book, built once."""
+    return _Hits(rows.value)
 
 
 def first_hits(spark: SparkSession, book: Book) -> Column:
@@ -115,10 +119,7 @@ def first_hits(spark: SparkSession, book: Book) -> Column:
 
     @F.arrow_udf(_parse_datatype_string(HITS))
     def run(hay: pa.Array, brand: pa.Array, caption: pa.Array, path: pa.Array) -> pa.Array:
-        if rows.name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[rows.name] = _Hits(rows.value)
-        find = _BUILT[rows.name]
+        find = _hits_of(rows)
         return pa.array([find(*own) for own in zip(hay.to_pylist(), brand.to_pylist(), caption.to_pylist(), path.to_pylist())], _HITS)
 
     return run("_hay", "_brand", "_caption", "path")
