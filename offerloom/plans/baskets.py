@@ -180,7 +180,7 @@ def recipes_by_unit(spark, sf_dir):
     return rc.ranked(_book(spark), _priced(spark, sf_dir), rc.Wishes(stores=("nowhere",), cheapest_kg=True))
 
 
-@query("j13_pantry", f", {_roles("chain = 'harbor' AND name NOT LIKE '%anvil'", home="label IN ('Anvil', 'Flour')")} SELECT recipe, on_sale, to_buy, cost, unit_sum, row_number() OVER (ORDER BY on_sale DESC, pos) AS rank FROM s WHERE to_buy = 0")
+@query("j13_pantry", f", {_roles("(chain = 'harbor' OR NOT EXISTS (SELECT 1 FROM offers WHERE chain = 'harbor' AND name NOT LIKE '%anvil')) AND name NOT LIKE '%anvil'", home="label IN ('Anvil', 'Flour')")} SELECT recipe, on_sale, to_buy, cost, unit_sum, row_number() OVER (ORDER BY on_sale DESC, pos) AS rank FROM s WHERE to_buy = 0")
 def with_pantry(spark, sf_dir):
     """What is at home, under a longer or a shorter name, needn't be bought, but an offer of it comes first; recipes that leave nothing to buy."""
     rows = _priced(spark, sf_dir).where("name not like '%anvil'")
