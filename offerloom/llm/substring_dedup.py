@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of `window` words, counted over the corpus by Spark.
 
 Documents are dealt to buckets of consecutive ids and about equal bytes, so that of two buckets the smaller number holds
-the smaller ids. Then
+the smaller ids: running sums of bytes along ranges of ids begin them. Then
 1. each bucket hashes all its windows and sends each distinct hash once, in arrays for the parts of the hash space;
 2. Spark explodes the arrays where they arrive and counts the buckets of each hash: all but the first are told of it;
 3. each bucket removes the words of windows so named and of windows that repeat inside the bucket
@@ -18,6 +18,8 @@ read whole; a very long one is one step, held a few times over in its task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.llm.common import hashes, mix, plain, small_batches, steps, words
+from offerloom.llm.common import cut, hashes, mix, plain, small_batches, steps, words
 
-#: Text of a bucket. The driver holds two numbers for each of CELLS parts of a bucket: raise it on large executors.
-BUCKET_BYTES, CELLS = 12 << 20, 8
+#: Text of a bucket.
+BUCKET_BYTES = 12 << 20
+#: Buckets for each that the driver knows: it holds 16 bytes for 768 MB of text, 2 MB for 100 TB.
+COARSE = 64
+#: Buckets, of 24 bytes each, that are broadcast at most; more are joined by their coarse bucket.
+BROADCAST_BUCKETS = 400_000
 #: Parts of the hash space for each shuffle partition.
 PARTS = 8
 #: The bases of the two polynomials, odd so that they have inverses modulo 2^64.
@@ -112,7 +118,7 @@ def _send(window: int, parts: int):
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
         cuts = pa.array(np.concatenate([starts, [len(part)]]), pa.int32())
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h, more)]
-        return pa.table({"part": part[starts], "bucket": np.full(len(starts), table["bucket"][0].as_py(), np.int32), "h": lists[0], "more": lists[1]})
+        return pa.table({"part": part[starts], "bucket": np.full(len(starts), table["bucket"][0].as_py(), np.int64), "h": lists[0], "more": lists[1]})
 
     return run
 
@@ -155,51 +161,74 @@ def _remove(window: int):
 RESULT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def deal(cells: list[tuple[int, bool]], bucket_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first bucket, number of buckets) of each cell; cells: (bytes, whether all its rows share one doc_id), in the order of ids."""
-    first, number, at, room = [], [], 0, bucket_bytes
-    for size, single in cells:
-        if size > room and room < bucket_bytes:
-            at, room = at + 1, bucket_bytes
-        n = -(-size // bucket_bytes) if single and size > bucket_bytes else 1
-        first.append(at)
-        number.append(n)
-        at, room = (at + n - 1, 0) if n > 1 else (at, room - size)
-    return np.array(first, np.int32), np.array(number, np.int64)
+class Dealer:
+    """Numbers buckets along ids that come in order, by the bytes of their texts."""
+
+    def __init__(self, bucket_bytes: int):
+        self.bytes, self.next, self.room = bucket_bytes, 0, -1
+
+    def begin(self, size: int) -> tuple[int, int] | None:
+        """(bucket, number of buckets) if the id begins a bucket; one with more text than a bucket has several of its own."""
+        n = max(1, -(-size // self.bytes))
+        if n == 1 and size <= self.room:
+            self.room -= size
+            return None
+        at, self.next = self.next, self.next + n
+        self.room = self.bytes - size if n == 1 else -1
+        return at, n
+
+
+BOUNDS = pa.schema([("coarse", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("number", pa.int64())])
+
 
+def _bounds(bucket_bytes: int, apart: int):
+    """The buckets of a range of ids, each with its first id and the coarse bucket it belongs to; null is a coarse bucket of its own."""
 
-def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer, seen, coarse = Dealer(bucket_bytes), 0, 0
+        for batch in batches:
+            out = []
+            for i, size, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "range"))):
+                if i is None:
+                    dealer.room = -1
+                begun = dealer.begin(size)
+                if begun:
+                    bucket = (number << 32) + begun[0]
+                    coarse = bucket if seen % apart == 0 or i is None else coarse
+                    out.append((coarse, bucket, i, begun[1]))
+                    seen += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] or [pa.array([], pa.int64())] * 4, schema=BOUNDS)
+
+    return run
+
+
+def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, broadcast_most: int = BROADCAST_BUCKETS) -> DataFrame:
     """(doc_id, text, bucket): ranges of doc_id of about `bucket_bytes` of text each, null ids last.
 
-    Approximate quantiles make cells, a few for a bucket; Spark sums their bytes, and cells side by side are joined. A doc_id that
-    two quantiles name is a cell of its own, which may be split.
+    Ids with their bytes are dealt to ranges and summed along each; the buckets so begun are written. The driver
+    holds the first id of every COARSE buckets; a bucket among them is found by a join.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = CELLS * max(1, -(-size // bucket_bytes))
-    asked = [i / n for i in range(1, n)]
-    found = np.array(docs.agg(F.percentile_approx("doc_id", asked, 20 * n)).first()[0] or [], np.int64)
-    often = np.unique(found[1:][found[1:] == found[:-1]])
-    bounds = np.unique(np.concatenate([found, often[often > np.iinfo(np.int64).min] - 1]))
-
-    def cell_of(ids: pd.Series) -> np.ndarray:
-        known = ids.notna()
-        at = np.searchsorted(bounds, ids.where(known, 0).to_numpy(np.int64), side="left")
-        return np.where(known, at, len(bounds) + 1)
+    order = F.col("doc_id").asc_nulls_last()
+    sizes = docs.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
+    ranged = sizes.repartitionByRange(order).sortWithinPartitions(order).select("doc_id", "size", F.spark_partition_id().cast("long").alias("range"))
+    bounds = cut(ranged.mapInArrow(_bounds(bucket_bytes, COARSE), "coarse long, bucket long, first long, number long"))
+    starts = bounds.where("coarse = bucket").orderBy("coarse").select("first", "coarse").collect()  # 16 bytes for COARSE buckets of text
+    of_null = next((r["coarse"] for r in starts if r["first"] is None), -1)
+    firsts, names = (np.array([r[c] for r in starts if r["first"] is not None], np.int64) for c in ("first", "coarse"))
 
     @F.pandas_udf("long")
-    def cell(ids: pd.Series) -> pd.Series:
-        return pd.Series(cell_of(ids))
-
-    sums = {r["cell"]: r["size"] for r in docs.groupBy(cell("doc_id").alias("cell")).agg(F.sum(F.octet_length("text")).alias("size")).collect()}  # at most CELLS + 1 for a bucket
-    alone = {*np.searchsorted(bounds, often).tolist(), len(bounds) + 1}
-    first, number = deal([(sums.get(i) or 0, i in alone) for i in range(len(bounds) + 2)], bucket_bytes)
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series, marks: pd.Series) -> pd.Series:
-        at = cell_of(ids)
-        return pd.Series((first[at] + marks.to_numpy(np.int64) % number[at]).astype(np.int32))
+    def coarse(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.full(len(ids), of_null, np.int64)
+        out[known] = names[np.searchsorted(firsts, ids[known].to_numpy(np.int64), side="right") - 1]
+        return pd.Series(out)
 
-    return docs.select("doc_id", "text", bucket("doc_id", F.xxhash64("text")).alias("bucket"))
+    inside = bounds.groupBy("coarse").agg(F.sort_array(F.collect_list(F.struct("bucket", "first", "number"))).alias("buckets"))
+    if bounds.count() <= broadcast_most:
+        inside = F.broadcast(inside)
+    own = F.element_at(F.filter("buckets", lambda b: b["first"].isNull() | (b["first"] <= F.col("doc_id"))), -1)
+    dealt = docs.select("doc_id", "text", coarse("doc_id").alias("coarse")).join(inside, "coarse").withColumn("own", own)
+    return dealt.select("doc_id", "text", (F.col("own.bucket") + F.pmod(F.xxhash64("text"), F.col("own.number"))).alias("bucket"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -207,7 +236,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKE
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = id_buckets(docs, bucket_bytes)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.groupBy("bucket").applyInArrow(_send(window, PARTS * tasks), "part int, bucket int, h array<long>, more array<short>")
+    sent = docs.groupBy("bucket").applyInArrow(_send(window, PARTS * tasks), "part int, bucket long, h array<long>, more array<short>")
     # dealt by part, which all that follows groups by: the hashes are exploded after the exchange, and counted without another
     each = sent.repartition(tasks, "part").select("part", "bucket", F.explode(F.arrays_zip("h", "more")).alias("w")).select("part", "bucket", "w.h", "w.more")
     nth = F.row_number().over(Window.partitionBy("part", "h", "more").orderBy("bucket"))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import brute_components, brute_lines, lower, texts, words
+from pyspark.sql import functions as F
 
 from offerloom.llm import common, licences, line_dedup, minhash_dedup, packing, quality, secrets, substring_dedup
 from offerloom.llm.queries import QUERIES, SQL
@@ -134,8 +135,27 @@ def test_substrings_of_shared_and_null_ids(spark):
 
 
 def test_buckets_hold_like_bytes():
-    first, number = substring_dedup.deal([(40, False), (50, False), (30, False), (0, False), (250, True), (10, False), (250, False), (5, True)], 100)
-    assert first.tolist() == [0, 0, 1, 1, 2, 5, 6, 7] and number.tolist() == [1, 1, 1, 1, 3, 1, 1, 1]
+    dealer = substring_dedup.Dealer(100)
+    begun = [dealer.begin(size) for size in (40, 50, 30, 0, 70, 250, 10, 90, 0, 1, 100, 101)]
+    assert begun == [(0, 1), None, (1, 1), None, None, (2, 3), (5, 1), None, None, (6, 1), (7, 1), (8, 2)]
+
+
+def test_buckets_are_one_deal_by_broadcast_and_by_join(spark, monkeypatch):
+    """Many buckets, with coarse ones of three: ids rise with buckets, no bucket of several ids holds more than its bytes, and a join finds what the broadcast finds."""
+    monkeypatch.setattr(substring_dedup, "COARSE", 3)
+    rows = [(k * 7 - 900, "w" * (k % 50)) for k in range(2000)] + [(3000 + k // 9, "shared " * (k % 11)) for k in range(500)] + [(None, f"null {k}") for k in range(40)] + [(-5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [Counter(tuple(r) for r in substring_dedup.id_buckets(df, 400, most).select("doc_id", "text").collect()) for most in (10**6, 0)]
+    assert got[0] == got[1] == Counter(rows)
+    for most in (10**6, 0):
+        dealt = substring_dedup.id_buckets(df, 400, most)
+        spans = [tuple(r) for r in dealt.groupBy("bucket").agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))), F.count("doc_id")).orderBy("bucket").collect()]
+        known = [s for s in spans if s[1] is not None]
+        assert len(known) > 100 and all(a[2] < b[1] or a[2] == b[1] == a[1] for a, b in zip(known, known[1:]))
+        assert all(size <= 400 or low == high for _, low, high, size, _ in known)
+        assert all(s[4] == 0 for s in spans[len(known) :]) and spans[: len(known)] == known
+    plans = [substring_dedup.id_buckets(df, 400, most)._jdf.queryExecution().optimizedPlan().toString() for most in (10**6, 0)]
+    assert "strategy=broadcast" in plans[0] and "strategy=broadcast" not in plans[1]
 
 
 def test_windows_that_share_half_a_hash():
