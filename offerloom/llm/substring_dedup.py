@@ -74,13 +74,16 @@ class Firsts:
     """Windows grouped by equal hashes."""
 
     def __init__(self, h: np.ndarray, more: np.ndarray):
-        order = np.argsort(h)
-        same = h[order[1:]] == h[order[:-1]]
+        order = np.argsort(h).astype(np.int32)  # a bucket's windows are fewer than 2^31
+        sorted_h = h[order]
+        same = sorted_h[1:] == sorted_h[:-1]
         if (same & (more[order[1:]] != more[order[:-1]])).any():  # a chance match of 64 bits
-            order = np.lexsort((more, h))
-            same = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
-        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), ~same]))
-        self.order, self.sizes = order, np.diff(np.concatenate([starts, [len(h)]]))
+            order = np.lexsort((more, h)).astype(np.int32)
+            sorted_h = h[order]
+            same = (sorted_h[1:] == sorted_h[:-1]) & (more[order[1:]] == more[order[:-1]])
+        del sorted_h
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), ~same])).astype(np.int32)
+        self.order, self.sizes = order, np.diff(starts, append=np.int32(len(h)))
         #: The first window of each group, and the hashes of the groups, rising.
         self.first = np.minimum.reduceat(order, starts) if len(h) else order
         self.h, self.more = h[self.first], more[self.first]
@@ -112,9 +115,10 @@ def _grouped(found: list[tuple[np.ndarray, np.ndarray]]) -> Firsts:
 def _send(window: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         own = _grouped([_windows(b.column("text"), window)[4:] for b in steps(iter([_ordered(table)]), "text")])
-        part = (((own.h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        part, h, more = part[order], own.h[order], own.more[order]
+        turn = np.searchsorted(own.h, 0)  # groups rise as signed numbers, parts as unsigned ones
+        h, more = (np.concatenate([x[turn:], x[:turn]]) for x in (own.h, own.more))
+        del own
+        part = (((h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
         cuts = pa.array(np.concatenate([starts, [len(part)]]), pa.int32())
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h, more)]
@@ -130,9 +134,10 @@ def _remove(window: int):
         batches = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(docs)]), "text")]
         gone = _grouped([x[5:] for x in batches]).gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
         out, done = [], 0
-        for b, codes, ends, distinct, start, hashed, _ in batches:
-            hit = start[gone[done : done + len(hashed)]]
-            done += len(hashed)
+        batches = [x[:5] for x in batches]  # what follows needs no hashes
+        for b, codes, ends, distinct, start in batches:
+            hit = start[gone[done : done + len(start)]]
+            done += len(start)
             change = np.zeros(len(codes) + 1, np.int64)
             np.add.at(change, hit, 1)
             np.add.at(change, hit + window, -1)
