@@ -36,8 +36,8 @@ BUCKET_BYTES = 12 << 20
 COARSE = 64
 #: Buckets, of 24 bytes each, that are broadcast at most; more are joined by their coarse bucket.
 BROADCAST_BUCKETS = 400_000
-#: Parts of the hash space for each shuffle partition.
-PARTS = 8
+#: Tasks that count hashes for each shuffle partition, which bounds what one of them sorts, and parts of the hash space for each such task.
+COUNTERS, PARTS = 2, 8
 #: The bases of the two polynomials, odd so that they have inverses modulo 2^64.
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03)
 
@@ -240,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, bucket_bytes: int = BUCKE
     """(doc_id, text of the words that stay, n_words, n_removed, intervals removed, in words)."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = id_buckets(docs, bucket_bytes)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = COUNTERS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.groupBy("bucket").applyInArrow(_send(window, PARTS * tasks), "part int, bucket long, h array<long>, more array<short>")
     # dealt by part, which all that follows groups by: the hashes are exploded after the exchange, and counted without another
     each = sent.repartition(tasks, "part").select("part", "bucket", F.explode(F.arrays_zip("h", "more")).alias("w")).select("part", "bucket", "w.h", "w.more")
