@@ -34,6 +34,8 @@ from offerloom.llm.common import cut, hashes, mix, plain, small_batches, steps,
 BUCKET_BYTES = 12 << 20
 #: Buckets for each that the driver knows: it holds 16 bytes for 768 MB of text, 2 MB for 100 TB.
 COARSE = 64
+#: Buckets that a range of ids holds at least: the last one of a range is seldom full.
+RANGE = 16
 #: Buckets, of 24 bytes each, that are broadcast at most; more are joined by their coarse bucket.
 BROADCAST_BUCKETS = 400_000
 #: Tasks that count hashes for each shuffle partition, which bounds what one of them sorts, and parts of the hash space for each such task.
@@ -215,7 +217,9 @@ def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, broadcast_most
     """
     order = F.col("doc_id").asc_nulls_last()
     sizes = docs.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
-    ranged = sizes.repartitionByRange(order).sortWithinPartitions(order).select("doc_id", "size", F.spark_partition_id().cast("long").alias("range"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (RANGE * bucket_bytes) + 1)
+    ranged = sizes.repartitionByRange(ranges, order).sortWithinPartitions(order).select("doc_id", "size", F.spark_partition_id().cast("long").alias("range"))
     bounds = cut(ranged.mapInArrow(_bounds(bucket_bytes, COARSE), "coarse long, bucket long, first long, number long"))
     starts = bounds.where("coarse = bucket").orderBy("coarse").select("first", "coarse").collect()  # 16 bytes for COARSE buckets of text
     of_null = next((r["coarse"] for r in starts if r["first"] is None), -1)
