@@ -185,14 +185,30 @@ class Dealer:
         return at, n
 
 
-BOUNDS = pa.schema([("coarse", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("number", pa.int64())])
+BOUNDS = pa.schema([("coarse", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("number", pa.int64()), ("size", pa.int64())])
+
+
+def joined(ranges: list[tuple[int, int, bool]], bucket_bytes: int) -> list[int]:
+    """Of (bucket, bytes, whether it may be joined) of each range's first bucket, in order: the buckets that the one before takes in."""
+    gone, room = [], -1
+    for bucket, size, may in ranges:
+        if may and size <= room:
+            gone.append(bucket)
+            room -= size
+        else:
+            room = bucket_bytes - size if may else -1
+    return gone
+
+
+def _table(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(BOUNDS), BOUNDS)], schema=BOUNDS)
 
 
 def _bounds(bucket_bytes: int, apart: int):
-    """The buckets of a range of ids, each with its first id and the coarse bucket it belongs to; null is a coarse bucket of its own."""
+    """The buckets of a range of ids, each with its first id, its bytes and the coarse bucket it belongs to; null is a coarse bucket of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, seen, coarse = Dealer(bucket_bytes), 0, 0
+        dealer, seen, coarse, held = Dealer(bucket_bytes), 0, 0, []
         for batch in batches:
             out = []
             for i, size, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "range"))):
@@ -200,11 +216,14 @@ def _bounds(bucket_bytes: int, apart: int):
                     dealer.room = -1
                 begun = dealer.begin(size)
                 if begun:
+                    out += held
                     bucket = (number << 32) + begun[0]
                     coarse = bucket if seen % apart == 0 or i is None else coarse
-                    out.append((coarse, bucket, i, begun[1]))
+                    held = [[coarse, bucket, i, begun[1], 0]]
                     seen += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] or [pa.array([], pa.int64())] * 4, schema=BOUNDS)
+                held[0][4] += size
+            yield _table(out)
+        yield _table(held)
 
     return run
 
@@ -220,7 +239,11 @@ def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, broadcast_most
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (RANGE * bucket_bytes) + 1)
     ranged = sizes.repartitionByRange(ranges, order).sortWithinPartitions(order).select("doc_id", "size", F.spark_partition_id().cast("long").alias("range"))
-    bounds = cut(ranged.mapInArrow(_bounds(bucket_bytes, COARSE), "coarse long, bucket long, first long, number long"))
+    bounds = cut(ranged.mapInArrow(_bounds(bucket_bytes, COARSE), "coarse long, bucket long, first long, number long, size long"))
+    # one row a range: those of less than a bucket are joined with their neighbours
+    whole = bounds.groupBy(F.shiftright("bucket", 32).alias("range")).agg(F.min("bucket").alias("bucket"), F.sum("size").alias("size"), ((F.count("first") == 1) & (F.count("*") == 1) & (F.max("number") == 1)).alias("may"))
+    gone = joined([(r["bucket"], r["size"], r["may"]) for r in whole.orderBy("range").collect()], bucket_bytes)
+    bounds = bounds.where(~F.col("bucket").isin(gone)) if gone else bounds
     starts = bounds.where("coarse = bucket").orderBy("coarse").select("first", "coarse").collect()  # 16 bytes for COARSE buckets of text
     of_null = next((r["coarse"] for r in starts if r["first"] is None), -1)
     firsts, names = (np.array([r[c] for r in starts if r["first"] is not None], np.int64) for c in ("first", "coarse"))

@@ -140,6 +140,15 @@ def test_buckets_hold_like_bytes():
     assert begun == [(0, 1), None, (1, 1), None, None, (2, 3), (5, 1), None, None, (6, 1), (7, 1), (8, 2)]
 
 
+def test_small_ranges_are_joined(spark, monkeypatch):
+    ranges = [(0, 30, True), (10, 30, True), (20, 50, True), (30, 60, True), (40, 400, False), (50, 5, True), (60, 95, True), (70, 0, True), (80, 1, True)]
+    assert substring_dedup.joined(ranges, 100) == [10, 60, 70]
+    monkeypatch.setattr(substring_dedup, "RANGE", 0.05)  # as many ranges as there are tasks
+    df = spark.createDataFrame([(k, "x" * 10) for k in range(400)], "doc_id long, text string")
+    sizes = [r["n"] for r in substring_dedup.id_buckets(df, 2000).groupBy("bucket").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 200 and len(sizes) <= 4
+
+
 def test_buckets_are_one_deal_by_broadcast_and_by_join(spark, monkeypatch):
     """Many buckets, with coarse ones of three: ids rise with buckets, no bucket of several ids holds more than its bytes, and a join finds what the broadcast finds."""
     monkeypatch.setattr(substring_dedup, "COARSE", 3)
