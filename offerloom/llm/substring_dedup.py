@@ -64,12 +64,15 @@ def _windows(texts: pa.Array, window: int) -> tuple:
     """(codes, ends, distinct words, first word of each window, its hash, 16 bits more)."""
     codes, ends, distinct = words(plain(texts))
     sizes = np.diff(ends)
-    stop = np.repeat(ends[1:], sizes)  # of the document of each word
+    codes = codes.astype(np.int32)
     own = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
     every = rolling(own, window)
-    start = np.flatnonzero(np.arange(len(every)) + window <= stop[: len(every)])
+    stop = np.repeat(ends[1:].astype(np.int32), sizes)[: len(every)]  # of the document of each word
+    start = np.flatnonzero(np.arange(window, window + len(every), dtype=np.int32) <= stop).astype(np.int32)
+    del stop
+    every = every[start].view(np.int64)
     more = (rolling(mix(own, 7), window, BASES[1])[start] >> np.uint64(48)).astype(np.uint16).view(np.int16)
-    return codes.astype(np.int32), ends, distinct, start.astype(np.int32), every[start].view(np.int64), more
+    return codes, ends, pa.array(distinct, pa.binary()), start, every, more
 
 
 class Firsts:
@@ -111,7 +114,10 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
 
 
 def _grouped(found: list[tuple[np.ndarray, np.ndarray]]) -> Firsts:
-    return Firsts(*(np.concatenate(x) for x in zip(*found)))
+    """All windows found, which are given up: the list is emptied."""
+    h, more = (np.concatenate(x) for x in zip(*found))
+    found.clear()
+    return Firsts(h, more)
 
 
 def _send(window: int, parts: int):
@@ -134,9 +140,9 @@ def _remove(window: int):
         if not docs.num_rows:
             return pa.Table.from_pylist([], RESULT)
         batches = [(b, *_windows(b.column("text"), window)) for b in steps(iter([_ordered(docs)]), "text")]
-        gone = _grouped([x[5:] for x in batches]).gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
+        found, batches = [x[5:] for x in batches], [x[:5] for x in batches]
+        gone = _grouped(found).gone(*(pc.list_flatten(told[c].combine_chunks()).to_numpy(zero_copy_only=False) for c in ("h", "more")))
         out, done = [], 0
-        batches = [x[:5] for x in batches]  # what follows needs no hashes
         for b, codes, ends, distinct, start in batches:
             hit = start[gone[done : done + len(start)]]
             done += len(start)
@@ -156,7 +162,7 @@ def _remove(window: int):
                     while ends[d + 1] == i:
                         d += 1
                 spans[d].append({"start": i - int(ends[d]), "end": j - int(ends[d])})
-            kept = pa.array(distinct, pa.binary()).take(pa.array(codes[~covered]))
+            kept = distinct.take(pa.array(codes[~covered]))
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(stays, pa.int32()), kept), b" ").cast(pa.string())
             n = np.diff(ends)
             out.append(pa.table({"doc_id": b.column("doc_id"), "text": texts, "n_words": n, "n_removed": n - np.diff(stays), "intervals": pa.array(spans, RESULT.field("intervals").type)}).cast(RESULT))
