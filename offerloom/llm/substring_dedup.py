@@ -36,7 +36,7 @@ BUCKET_BYTES = 12 << 20
 COARSE = 64
 #: Buckets that a range of ids holds at least: the last one of a range is seldom full.
 RANGE = 16
-#: Buckets, of 24 bytes each, that are broadcast at most; more are joined by their coarse bucket.
+#: Buckets, of 24 bytes each, that tasks are sent at most; more are joined by their coarse bucket.
 BROADCAST_BUCKETS = 400_000
 #: Tasks that count hashes for each shuffle partition, which bounds what one of them sorts, and parts of the hash space for each such task.
 COUNTERS, PARTS = 2, 8
@@ -238,7 +238,7 @@ def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, broadcast_most
     """(doc_id, text, bucket): ranges of doc_id of about `bucket_bytes` of text each, null ids last.
 
     Ids with their bytes are dealt to ranges and summed along each; the buckets so begun are written. The driver
-    holds the first id of every COARSE buckets; a bucket among them is found by a join.
+    holds those of BROADCAST_BUCKETS at most; of more the first of every COARSE, and a bucket among them is found by a join.
     """
     order = F.col("doc_id").asc_nulls_last()
     sizes = docs.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"))
@@ -250,20 +250,31 @@ def id_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, broadcast_most
     whole = bounds.groupBy(F.shiftright("bucket", 32).alias("range")).agg(F.min("bucket").alias("bucket"), F.sum("size").alias("size"), ((F.count("first") == 1) & (F.count("*") == 1) & (F.max("number") == 1)).alias("may"))
     gone = joined([(r["bucket"], r["size"], r["may"]) for r in whole.orderBy("range").collect()], bucket_bytes)
     bounds = bounds.where(~F.col("bucket").isin(gone)) if gone else bounds
-    starts = bounds.where("coarse = bucket").orderBy("coarse").select("first", "coarse").collect()  # 16 bytes for COARSE buckets of text
-    of_null = next((r["coarse"] for r in starts if r["first"] is None), -1)
-    firsts, names = (np.array([r[c] for r in starts if r["first"] is not None], np.int64) for c in ("first", "coarse"))
+    few = bounds.count() <= broadcast_most
+    # 24 bytes a bucket, or 24 bytes for COARSE buckets of text
+    starts = (bounds if few else bounds.where("coarse = bucket")).orderBy("bucket").select("first", "bucket", "number").collect()
+    absent = [(r["bucket"], r["number"]) for r in starts if r["first"] is None] or [(-1, 1)]
+    firsts, names, numbers = (np.array([r[c] for r in starts if r["first"] is not None], np.int64) for c in ("first", "bucket", "number"))
+
+    def found(ids: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        known = ids.notna().to_numpy()
+        at = np.searchsorted(firsts, ids[known].to_numpy(np.int64), side="right") - 1
+        name, number = np.full(len(ids), absent[0][0], np.int64), np.full(len(ids), absent[0][1], np.int64)
+        name[known], number[known] = names[at], numbers[at]
+        return name, number
 
     @F.pandas_udf("long")
     def coarse(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), of_null, np.int64)
-        out[known] = names[np.searchsorted(firsts, ids[known].to_numpy(np.int64), side="right") - 1]
-        return pd.Series(out)
+        return pd.Series(found(ids)[0])
+
+    @F.pandas_udf("long")
+    def bucket(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        name, number = found(ids)
+        return pd.Series(name + marks.to_numpy(np.int64) % number)
 
+    if few:
+        return docs.select("doc_id", "text", bucket("doc_id", F.xxhash64("text")).alias("bucket"))
     inside = bounds.groupBy("coarse").agg(F.sort_array(F.collect_list(F.struct("bucket", "first", "number"))).alias("buckets"))
-    if bounds.count() <= broadcast_most:
-        inside = F.broadcast(inside)
     own = F.element_at(F.filter("buckets", lambda b: b["first"].isNull() | (b["first"] <= F.col("doc_id"))), -1)
     dealt = docs.select("doc_id", "text", coarse("doc_id").alias("coarse")).join(inside, "coarse").withColumn("own", own)
     return dealt.select("doc_id", "text", (F.col("own.bucket") + F.pmod(F.xxhash64("text"), F.col("own.number"))).alias("bucket"))
