@@ -12,6 +12,11 @@ is queued in parts, each valued below the whole: the other ways through a word,
 segmentations are a sample of k distinct ones. Only the best k + 1 sets can matter, so the queue stays that short. A segmentation's
 inclusion score is 1 - exp(-exp(log p - t)), t being the (k + 1)th value; draws are seeded by the row's key.
 
+Where even the most probable segmentation surely has a small share of the text's probability, as in nearly all texts, what is left is queued whole, as the one
+set of all but those found: its value needs only its mass, and a draw from it is a draw from all ways that is repeated if it has been found. Values and
+draws have the same joint distribution either way; which way a text goes depends on its lattice alone, not on draws. These texts are drawn together, in numpy:
+the lattices of distinct words (cut further at characters that no piece crosses) are rows of one table, and a step moves every word of every sample by a piece.
+
 Defined results: null or empty text has one segmentation, without pieces; a text with fewer than k segmentations
 yields all, with score 1; repeated rows yield equal results; null keys are keys like others; an empty table gives no rows;
 other columns are ignored. Texts go through whole; time and memory are linear in their length.
@@ -28,12 +33,13 @@ from itertools import accumulate
 from random import Random
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import small_batches
+from offerloom.llm.common import small_batches, steps
 
 SPACE = "▁"
 #: Characters of the words whose lattices a worker keeps.
@@ -43,6 +49,13 @@ FAR_BELOW = 37.0
 #: Characters that are not for text; one that a text lacks stands for a literal SPACE in it.
 _SPARE = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Text whose words are looked up at a time, text that is drawn at a time (bytes), and edges that a worker's table holds.
+STEP_BYTES, DRAWN_CHARS, MOST_EDGES = 1 << 20, 100_000, 6_000_000
+#: Ids of an Arrow batch.
+ROWS_IDS = 1 << 20
+#: Times k + 1 that a bound of the probability of a text's best segmentation must fit into 1 for draws to be repeated.
+ROOM = 2
+_GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class Lattice(NamedTuple):
@@ -188,6 +201,48 @@ class Pieces:
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.known: dict[str, Lattice] = {}
         self.held = 0
+        self._make_trie()
+        #: Characters that stand in no piece but their own, if any: no piece crosses them.
+        inside = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(re.escape(c) for c in (*map(chr, range(128)), _SPARE[0]) if c not in inside)
+        self.cut = re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+").findall if self.apart else lambda whole: [whole]
+        self.table = Table(self)
+
+    def _make_trie(self) -> None:
+        """Beginnings of pieces as numbered nodes: slots by (node, character) with the node it leads to, and the piece that ends at a node or -1."""
+        number = {"": 0} | {p: i for i, p in enumerate(self.entries, 1)}
+        keys = np.array([(number[p[:-1]] << 21) | ord(p[-1]) for p in self.entries], np.int64)
+        slots = self._slot(keys)
+        first = np.full(1 << 18, -1)
+        first[slots[::-1]] = np.arange(len(keys))[::-1]
+        rest = np.flatnonzero(first[slots] != np.arange(len(keys)))  # the slot holds another
+        rest = rest[np.argsort(keys[rest])]
+        self.held_key, self.held_node = np.where(first < 0, -1, keys[first]), (first + 1).astype(np.int32)
+        self.shared = np.zeros(1 << 18, bool)
+        self.shared[slots[rest]] = True
+        self.rest_key, self.rest_node = np.append(keys[rest], 1 << 62), np.append(rest + 1, 0).astype(np.int32)
+        self.ends = np.full(len(number), -1, np.int32)
+        for p, i in self.ids.items():
+            self.ends[number[p]] = i
+        self.byte_ids = np.array([self.byte[b] for b in range(256)])
+        n = len(self.text)
+        self.log_weight = np.array([self.weight.get(i, 0.0) for i in range(n)])
+        said = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.said, self.said_at = np.frombuffer(b"".join(said), np.uint8), np.cumsum([0, *map(len, said)])
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _GOLDEN) >> np.uint64(46)).astype(np.int64)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """The node that (node, character) leads to, 0 for none."""
+        slots = self._slot(keys)
+        same = self.held_key[slots] == keys
+        out = np.where(same, self.held_node[slots], np.int32(0))
+        look = np.flatnonzero(~same & self.shared[slots])
+        at = np.searchsorted(self.rest_key, keys[look])
+        out[look] = np.where(self.rest_key[at] == keys[look], self.rest_node[at], 0)
+        return out
 
     def lattice(self, word: str, spare: str) -> Lattice:
         if word in self.known:
@@ -253,6 +308,11 @@ class Pieces:
 
     def sample(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float]]:
         """k distinct segmentations: (ids, log probability, inclusion score), in the order they are found."""
+        rows, ids, at, logp, inclusion = self.sample_all([text], k, [seed])
+        return [(ids[a:b].tolist(), p, q) for a, b, p, q in zip(at, at[1:], logp.tolist(), inclusion.tolist())]
+
+    def searched(self, text: str, k: int, seed: int) -> list[tuple[list[int], float, float]]:
+        """sample() by a queue of parts."""
         search = Search(self.words(text), k + 1, Random(seed).random)
         found = [(way, logp) for way, logp in search.ways(k)]
         bound = search.next_value()
@@ -262,6 +322,46 @@ class Pieces:
             out.append(([p for word in way for edge in word for p in edge[2]], logp, score))
         return out
 
+    def sample_all(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """sample() of several texts: (row of each segmentation, all ids, where each one's begin, log probabilities, inclusion scores)."""
+        table, words, numbers = self.table, [], []
+        for text in texts:
+            own = self.cut(SPACE + text.replace(SPACE, _SPARE[0]).replace(" ", SPACE)) if text else []
+            words.append(np.fromiter(map(table.number.__getitem__, own), np.int64, len(own)))
+        table.grow()
+        best = [table.best[w].sum() for w in words]
+        wide = [b < -math.log(ROOM * (k + 1)) and _SPARE[0] not in t for b, t in zip(best, texts)]
+        found: list = [None] * len(texts)
+        a, size, group = 0, 0, []
+        for i, text in enumerate(texts):
+            if not wide[i]:
+                own = self.searched(text, k, seeds[i])
+                flat = np.array([p for ids, _, _ in own for p in ids], np.int32)
+                found[i] = flat, np.array([len(ids) for ids, _, _ in own]), np.array([p for _, p, _ in own]), np.array([q for _, _, q in own])
+            else:
+                group.append(i)
+                size += len(text)
+            if group and (size > DRAWN_CHARS or i + 1 == len(texts)):
+                for j, one in zip(group, table.draw([words[j] for j in group], k, np.array([seeds[j] for j in group], np.uint64))):
+                    found[j] = one
+                size, group = 0, []
+        if table.full():
+            self.table = Table(self)
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
+        flat, lengths, logp, inclusion = (np.concatenate(x) for x in zip(*found))
+        rows = np.repeat(np.arange(len(texts)), [len(f[1]) for f in found])
+        return rows, flat.astype(np.int32), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), logp, inclusion
+
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """decode() of several lists."""
+        data, ends = _ragged(self.said, self.said_at, ids)
+        places = np.concatenate(([0], ends))[at]
+        keep = np.ones(len(data), bool)
+        keep[places[:-1][at[1:] > at[:-1]]] = False  # the space put before each text
+        offsets = places - np.concatenate(([0], np.cumsum(at[1:] > at[:-1])))
+        return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep])])
+
     def decode(self, ids: list[int]) -> str:
         """The text that any segmentation stands for."""
         if not ids:
@@ -270,6 +370,207 @@ class Pieces:
         return data.decode("utf-8", "surrogatepass")[1:]  # without the space put before the text
 
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbered lists one after another, and where each ends."""
+    first, size = starts[which], starts[which + 1] - starts[which]
+    ends = np.cumsum(size)
+    kind = np.int32 if len(ends) and ends[-1] < 1 << 31 and starts[-1] < 1 << 31 else np.int64
+    place = np.repeat((first - ends + size).astype(kind), size)
+    place += np.arange(len(place), dtype=kind)
+    return flat[place], ends
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) of counters."""
+    return (_mixed(x) >> np.uint64(11)) * 2.0**-53
+
+
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Table:
+    """The lattices of many words, their places and edges numbered throughout; a place's edges lie together, the longest first."""
+
+    def __init__(self, model: Pieces):
+        self.model, self.number, self.done = model, _Numbers(), 0
+        self.start = np.zeros(0, np.int32)  # of each word: its first place
+        self.best = np.zeros(0)  # log of the largest share at its first place: no way through the word has more
+        self.first = np.zeros(1, np.int32)  # of each place: its first edge; then the number of edges
+        self.to = np.zeros(0, np.int32)  # of each edge: the place it leads to, -1 at the word's end
+        self.share = np.zeros(0)  # its share of the ways from its place
+        self.piece = np.zeros(0, np.int32)  # its piece, or -1 - the character written as several bytes
+
+    def full(self) -> bool:
+        return len(self.to) > MOST_EDGES
+
+    def grow(self) -> None:
+        """Enter the words that were numbered since."""
+        words = list(self.number)[self.done :] if len(self.number) > self.done else []
+        if not words:
+            return
+        self.done = len(self.number)
+        model = self.model
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n, start = len(chars), np.cumsum(size) - size
+        end = np.repeat(start + size, size)  # of each place: where its word ends
+        back = end - np.arange(n)
+        at, node, length = np.arange(n), np.zeros(n, np.int64), 0
+        froms, tos, logs, own = [], [], [], []
+        single, count = np.zeros(n, bool), np.zeros(n, np.int64)
+        while len(at):  # along the beginnings of pieces, from all places at once
+            node = model.follow((node << 21) | chars[at + length])
+            good = np.flatnonzero(node)
+            at, node, length = at[good], node[good].astype(np.int64), length + 1
+            left, piece = back[at], model.ends[node]
+            whole = np.flatnonzero(piece >= 0)
+            source, piece = at[whole], piece[whole]
+            froms.append(source)
+            tos.append(np.where(left[whole] > length, source + length, n).astype(np.int32))
+            own.append(piece)
+            logs.append(model.log_weight[piece])
+            count[source] += 1
+            if length == 1:
+                single[source] = True
+            more = np.flatnonzero(left > length)
+            at, node = at[more], node[more]
+        bare = np.flatnonzero(~single)
+        code = np.where(chars[bare] == ord(_SPARE[0]), ord(SPACE), chars[bare])
+        froms.append(bare)
+        tos.append(np.where(back[bare] > 1, bare + 1, n).astype(np.int32))
+        own.append(np.where(code < 0x80, model.byte_ids[np.minimum(code, 0x7F)], -1 - code).astype(np.int32))
+        logs.append((1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * -math.log(len(model.text) + 10))
+        count[bare] += 1
+        # places are numbered by how far they are from their word's end; a place's edges stand behind one another, the longest first
+        order = np.argsort(back.astype(np.uint16) if back.max() < 1 << 16 else back, kind="stable")
+        heads = np.concatenate(([0], np.cumsum(count[order])))
+        number = np.empty(n + 1, np.int32)
+        number[order], number[n] = np.arange(n, dtype=np.int32), n
+        free = heads[1:][number[:n]]
+        edges = int(heads[-1])
+        target, log, piece = np.empty(edges, np.int32), np.empty(edges), np.empty(edges, np.int32)
+        for source, to, w, ids in zip(froms, tos, logs, own):
+            spot = free[source] - 1
+            free[source] = spot
+            target[spot], log[spot], piece[spot] = number[to], w, ids
+        del froms, tos, logs, own, free
+        all_, best = np.zeros(n + 1), np.empty(n)  # log sum over the ways from each place, 0 at the end; log of the largest share there
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(back)[1:])))
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            if a == b:
+                continue
+            x, y = heads[a], heads[b]
+            here, many = heads[a:b] - x, np.diff(heads[a : b + 1])
+            v = log[x:y] + all_[target[x:y]]
+            top = np.maximum.reduceat(v, here)
+            total = np.where(many == 1, top, top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), here)))
+            all_[a:b] = total
+            best[a:b] = top - total
+            log[x:y] = np.exp(v - np.repeat(total, many))
+        places, before = len(self.first) - 1, len(self.to)
+        begin = number[start]
+        self.start = np.concatenate((self.start, begin + np.int32(places)))
+        self.best = np.concatenate((self.best, np.minimum(best[begin], 0.0)))
+        self.first = np.concatenate((self.first[:-1], (heads + before).astype(np.int32)))
+        self.to = np.concatenate((self.to, np.where(target == n, np.int32(-1), target + np.int32(places))))
+        self.share, self.piece = np.concatenate((self.share, log)), np.concatenate((self.piece, piece))
+
+    def walk(self, words: list[np.ndarray], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A way drawn for each seed, seeds[n, j], through the nth list of words: (all edges, where each way's begin, log probabilities), ways in the order of the seeds."""
+        flat, k = np.concatenate(words), seeds.shape[1]
+        many = np.array([len(w) for w in words])
+        ends = np.cumsum(many)
+        among = np.arange(len(flat)) - np.repeat(ends - many, many)
+        place = np.repeat(self.start[flat], k)  # the draws of a word stand together, as they look at the same edges
+        who = (np.repeat(k * (ends - many), many) + among)[:, None] + np.repeat(many, many)[:, None] * np.arange(k)
+        who = who.ravel()  # the word's place among those of all ways
+        key = _mixed((np.repeat(seeds, many, axis=0) + among.astype(np.uint64)[:, None] * _GOLDEN).ravel())
+        lists = np.concatenate(([0], np.cumsum(np.repeat(many, k))))
+        taken, pieces = [], np.zeros(len(who), np.int64)
+        while len(who):
+            key = key + _GOLDEN
+            u, edge, last = _uniform(key), self.first[place], self.first[place + 1] - 1
+            beyond = np.flatnonzero((u >= self.share[edge]) & (edge < last))
+            while len(beyond):
+                u[beyond] -= self.share[edge[beyond]]
+                edge[beyond] += 1
+                own = edge[beyond]
+                beyond = beyond[(u[beyond] >= self.share[own]) & (own < last[beyond])]
+            taken.append((who, edge))
+            to = self.to[edge]
+            on = to >= 0
+            pieces[who[~on]] = len(taken)
+            who, place, key = who[on], to[on], key[on]
+        ends = np.cumsum(pieces)
+        begins, out = ends - pieces, np.empty(ends[-1], np.int32)
+        for n, (who, edge) in enumerate(taken):
+            out[begins[who] + n] = edge
+        at = np.concatenate(([0], ends))[lists]
+        return out, at, np.minimum(np.add.reduceat(np.log(self.share[out]), at[:-1]), 0.0)
+
+    def draw(self, words: list[np.ndarray], k: int, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """k distinct ways through each list of words: (ids, how many of each way, log probabilities, inclusion scores)."""
+        n = len(words)
+        seeded = lambda own, number: _mixed(own + np.uint64(number * int(_GOLDEN) % (1 << 64)))
+        edges, at, logp = self.walk(words, np.stack([seeded(seeds, j + 1) for j in range(k)], 1))
+        logp, again = logp.reshape(n, k).T, {}
+        for j in range(1, k):
+            for i in np.flatnonzero((logp[j] == logp[:j]).any(0)).tolist():
+                own = again.setdefault(i, [edges[at[i * k + h] : at[i * k + h + 1]] for h in range(k)])
+                tries = 0
+                while any(np.array_equal(own[j], own[h]) for h in range(j)):
+                    tries += 1
+                    own[j], _, p = self.walk([words[i]], seeded(seeds[i : i + 1], (tries << 32) + j + 1)[:, None])
+                    logp[j, i] = p[0]
+        fall = lambda j: -np.log1p(-_uniform(seeded(seeds, (1 << 62) + j)))
+        with np.errstate(over="ignore"):
+            value = -np.log(np.maximum(fall(0), 1e-300))
+            for j in range(1, k + 1):  # the value of the set of all ways but the j found
+                mass = np.log1p(-np.exp(logp[:j]).sum(0))
+                value = np.minimum(value, mass - np.log(np.maximum(np.exp(np.minimum(mass - value, 700.0)) + fall(j), 1e-300)))
+            inclusion = -np.expm1(-np.exp(np.minimum(logp - value, 700.0)))
+        for i in range(n):
+            own = again.get(i)
+            flat = edges[at[i * k] : at[i * k + k]] if own is None else np.concatenate(own)
+            lengths = np.diff(at[i * k : i * k + k + 1]) if own is None else np.array([len(x) for x in own])
+            ids = self.piece[flat]
+            if (ids < 0).any():
+                ids, lengths = self.as_bytes(ids, lengths)
+            yield ids, lengths, logp[:, i], inclusion[:, i]
+
+    def as_bytes(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with the bytes of characters that have no piece."""
+        codes, which = np.unique(ids[ids < 0], return_inverse=True)
+        said = [[self.model.byte[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in codes.tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[ids < 0] = np.array([len(x) for x in said])[which]
+        ends = np.cumsum(size)
+        out = np.repeat(ids, size)
+        bytes_, _ = _ragged(np.array([b for x in said for b in x], np.int32), np.cumsum([0, *map(len, said)]), which)
+        out[out < 0] = bytes_
+        ways = np.cumsum(lengths)
+        return out, np.diff(np.concatenate(([0], np.concatenate(([0], ends))[ways])))
+
+
+def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lists that hold about ROWS_IDS ids together."""
+    part = at[:-1] // ROWS_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    yield from ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 @functools.lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     """One for each Python worker."""
@@ -281,21 +582,16 @@ def sample_segmentations(df: DataFrame, keys: list[str], path: str, k: int = 3,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                row, number, ids, logp, inclusion, decoded = [], [], [], [], [], []
-                for i, (key, own) in enumerate(zip(part.column("_key").to_pylist(), part.column("_text").to_pylist())):
-                    for n, (found, p, q) in enumerate(model.sample(own or "", k, xxhash.xxh3_64_intdigest(key, seed))):
-                        row.append(i)
-                        number.append(n)
-                        ids.append(found)
-                        logp.append(p)
-                        inclusion.append(q)
-                        decoded.append(model.decode(found))
-                named = [part.column(f"_k{n}").take(pa.array(row, pa.int64())) for n in range(len(keys))]
+        for part in steps(batches, "_text", STEP_BYTES):
+            texts = [t or "" for t in part.column("_text").to_pylist()]
+            row, ids, at, logp, inclusion = model.sample_all(texts, k, [xxhash.xxh3_64_intdigest(key, seed) for key in part.column("_key").to_pylist()])
+            number = np.arange(len(row)) - np.searchsorted(row, row)
+            for a, b in _runs(at):
+                own, places = ids[at[a] : at[b]], at[a : b + 1] - at[a]
+                named = [part.column(f"_k{n}").take(pa.array(row[a:b])) for n in range(len(keys))]
+                lists = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(own))
                 yield pa.RecordBatch.from_arrays(
-                    [*named, pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(logp, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(decoded, pa.string())],
+                    [*named, pa.array(number[a:b], pa.int32()), lists, pa.array(logp[a:b]), pa.array(inclusion[a:b]), model.decode_all(own, places).cast(pa.string())],
                     [*keys, "sample", "ids", "log_probability", "inclusion", "decoded"],
                 )
 

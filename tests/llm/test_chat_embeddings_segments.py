@@ -230,3 +230,33 @@ def test_a_storied_log_folds_to_its_turns_and_long_conversations_take_linear_tim
         took.append(time.perf_counter() - began)
         assert lost == "".join(f"some words of turn {i}" for i in range(1, n, 2))
     assert took[1] < 6 * took[0] + 2
+
+
+def test_texts_drawn_together_follow_the_probabilities_and_take_little_time(model, monkeypatch):
+    import random
+    import time
+
+    text = "abc de\nfgh \U0001f600"
+    every = {tuple(i): math.exp(p) for i, p, _ in model.searched(text, 5000, 0)}
+    assert abs(sum(every.values()) - 1) < 1e-9 and max(every.values()) > 1 / 6
+    n = 20_000
+    with monkeypatch.context() as m:
+        m.setattr(segment, "ROOM", 0.25)  # all but the surest texts are drawn together
+        rows, ids, at, logp, inclusion = model.sample_all([text] * n, 2, list(range(n)))
+    assert rows.tolist() == [i for i in range(n) for _ in range(2)]
+    ways = [tuple(ids[a:b].tolist()) for a, b in zip(at, at[1:])]
+    assert all(abs(math.exp(p) - every[w]) < 1e-9 for w, p in zip(ways, logp)) and all(a != b for a, b in zip(ways[::2], ways[1::2]))
+    assert abs((math.e ** logp / inclusion).sum() / n - 1) < 0.02
+    first, second = Counter(ways[::2]), Counter(ways[1::2])
+    for way, p in every.items():
+        then = sum(q * p / (1 - q) for other, q in every.items() if other != way)
+        for got, want in ((first[way] / n, p), (second[way] / n, then)):
+            assert abs(got - want) < 5 * math.sqrt(want * (1 - want) / n) + 1e-3
+    draw = random.Random(1)
+    texts = [" ".join("".join(draw.choices("etaoinshrd", k=draw.randint(2, 12))) for _ in range(1000)) for _ in range(200)]
+    began = time.process_time()
+    rows, ids, at, _, _ = model.sample_all(texts, 3, list(range(200)))
+    assert time.process_time() - began < 8  # 26 word by word
+    assert model.decode_all(ids, at).to_pylist() == [t for t in texts for _ in range(3)]
+    alone = model.sample(texts[7], 3, 7)
+    assert [i for i, _, _ in alone] == [ids[at[j] : at[j + 1]].tolist() for j in range(21, 24)]
