@@ -29,15 +29,16 @@ def two_chains(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def keyword_matches(df: DataFrame, items: DataFrame) -> DataFrame:
+def keyword_matches(df: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("item",)) -> DataFrame:
     """Offers that hold any keyword of an item and none of its excluded words, in name and brand.
 
-    items: item, keywords array<string>, exclude array<string>. Distinct (name, brand) pairs are matched, not offers, by one automaton of all words.
+    items: item, keywords array<string>, exclude array<string>. Distinct (name, brand) pairs are matched, not offers, by one automaton of all words. keep: columns of items that go with
+    each match, so that no join by item, of which there are few, has to bring them.
     """
     hay = fold(F.concat_ws(" ", "name", "brand"))
     pairs = df.select("name", "brand").distinct().withColumn("_hay", hay)
-    wanted = items.select("item", F.transform("keywords", fold).alias("_want"), F.transform("exclude", fold).alias("_not"))
-    found = matching_pairs(pairs, "_hay", wanted, ["item"]).select("item", F.col("name").alias("_n"), F.col("brand").alias("_b"))
+    wanted = items.select(*keep, F.transform("keywords", fold).alias("_want"), F.transform("exclude", fold).alias("_not"))
+    found = matching_pairs(pairs, "_hay", wanted, list(keep)).select(*keep, F.col("name").alias("_n"), F.col("brand").alias("_b"))
     return df.join(found, df.name.eqNullSafe(found._n) & df.brand.eqNullSafe(found._b)).drop("_n", "_b")
 
 

@@ -78,8 +78,8 @@ def basket_plan(df: DataFrame, items: DataFrame) -> DataFrame:
     matching offers; leg orders the chains by subtotal, the dearest first. savings is null unless the single chain covers as many items as the plan.
     All comes from the cells of chain and item.
     """
-    picks = items.select("item", F.col("pick").alias("_pick") if "pick" in items.columns else F.lit(None).cast("string").alias("_pick"))
-    found = keyword_matches(df, items).join(picks, "item")
+    items = items.withColumn("_pick", F.col("pick") if "pick" in items.columns else F.lit(None).cast("string"))
+    found = keyword_matches(df, items, ("item", "_pick"))
     offer = F.struct("price_cents", "ext", "chain")
     cells = found.groupBy("chain", "item").agg(F.min(offer).alias("_b"), F.min(F.when(F.col("ext") == F.col("_pick"), offer)).alias("_p"), F.count("*").alias("_n"))
     chosen = cells.groupBy("item").agg(F.coalesce(F.min("_p"), F.min("_b")).alias("_b"), F.sum("_n").alias("matches")).select("item", "_b.*", "matches")
@@ -89,4 +89,4 @@ def basket_plan(df: DataFrame, items: DataFrame) -> DataFrame:
     single = _single(cells.select("chain", "item", "_b.price_cents"), "chain", "single_items", "single_total").withColumnRenamed("chain", "single_chain")
     saved = F.when(F.col("single_items") == F.col("matched"), F.col("single_total") - F.col("total"))
     rows = legs.crossJoin(F.broadcast(single)).withColumn("savings", saved)  # one row
-    return picks.select("item").join(rows, "item", "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    return items.select("item").join(rows, "item", "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))

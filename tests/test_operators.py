@@ -420,3 +420,10 @@ def test_a_broken_mirror_changes_nothing(spark, tmp_path):
     (tmp_path / "a" / "area2.json").write_text("<html>busy</html>")
     (tmp_path / "a" / "area3.json").unlink()
     assert len(true) == 3 and read("a", "b") == read("gone", "a", "b") == true and read("a") == read("gone") == []
+
+
+def test_no_join_by_item_brings_a_basket_its_picks(spark):
+    items = spark.createDataFrame([("a", ["th"], [], "e1"), ("b", ["zzz"], None, "e0")], "item string, keywords array<string>, exclude array<string>, pick string")
+    got = optimise.basket_plan(offers(spark, {}, {"price_cents": 200}), items)
+    assert "Join Inner, (item" not in got._jdf.queryExecution().optimizedPlan().toString()  # all matches of an item would be one task
+    assert {(r["item"], r["ext"], r["matches"]) for r in got.collect()} == {("a", "e1", 2), ("b", None, 0)}
