@@ -427,3 +427,20 @@ def test_no_join_by_item_brings_a_basket_its_picks(spark):
     got = optimise.basket_plan(offers(spark, {}, {"price_cents": 200}), items)
     assert "Join Inner, (item" not in got._jdf.queryExecution().optimizedPlan().toString()  # all matches of an item would be one task
     assert {(r["item"], r["ext"], r["matches"]) for r in got.collect()} == {("a", "e1", 2), ("b", None, 0)}
+
+
+def test_a_group_is_numbered_by_several_tasks(spark):
+    rows = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 10 > 0, "big").alias("g"), (F.col("id") * 7919 % 97).alias("v"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("ext"))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = ranking.numbered(rows, ["g"], [F.col("v").desc(), F.col("ext").asc()])
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        got = {(r["g"], r["ext"]): r["rank"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    for g in ("big", None):
+        own = sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (-r["v"], r["ext"]))
+        assert all(got[g, r["ext"]] == i for i, r in enumerate(own, 1))
+    assert len(got) == 40_000 and max(sizes) < 36_000
+    assert ranking.numbered(rows.limit(0), ["g"], [F.col("v")]).count() == 0
