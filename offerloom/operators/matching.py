@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from offerloom.functions.text import fold, norm_name
 from offerloom.operators.multimatch import matching_pairs
-from offerloom.operators.ranking import first_of
+from offerloom.operators.ranking import first_of, numbered
 
 
 def cheapest_per_name(df: DataFrame, chain: str) -> DataFrame:
@@ -44,8 +43,7 @@ def keyword_matches(df: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("i
 
 def ranked_matches(df: DataFrame, items: DataFrame) -> DataFrame:
     """keyword_matches() with `rank`, the place among all matches of the item: the cheapest first, then by ext."""
-    order = Window.partitionBy("item").orderBy(F.col("price_cents").asc(), F.col("ext").asc())
-    return keyword_matches(df, items).withColumn("rank", F.row_number().over(order))
+    return numbered(keyword_matches(df, items), ["item"], [F.col("price_cents").asc(), F.col("ext").asc()])
 
 
 def best_matches(matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,7 +86,8 @@ def keywords(spark, sf_dir):
 
 @query("j05_all_matches", f""", {_MATCHES} SELECT item, ext, row_number() OVER (PARTITION BY item ORDER BY price_cents, ext) AS rank FROM m""")
 def all_matches(spark, sf_dir):
-    return mt.ranked_matches(offers(spark, sf_dir), _items(spark)).select("item", "ext", "rank")
+    rows = offers(spark, sf_dir).select("ext", "name", "brand", "price_cents")
+    return mt.ranked_matches(rows, _items(spark)).select("item", "ext", "rank")
 
 
 @query("q10_basket_plan", f""", {_MATCHES}, h AS (SELECT max(ext) AS by_hand FROM o WHERE contains(h, 'ring')), picks AS (SELECT item, ext, chain, price_cents, count(*) OVER (PARTITION BY item) AS matches FROM m, h

@@ -444,3 +444,10 @@ def test_a_group_is_numbered_by_several_tasks(spark):
         assert all(got[g, r["ext"]] == i for i, r in enumerate(own, 1))
     assert len(got) == 40_000 and max(sizes) < 36_000
     assert ranking.numbered(rows.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_matches_are_ranked_by_ranges(spark):
+    items = spark.createDataFrame([("a", ["th"], []), ("b", ["zzz"], None)], "item string, keywords array<string>, exclude array<string>")
+    got = matching.ranked_matches(offers(spark, {}, {"price_cents": 50}, {"name": "other thing"}), items)
+    assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["item"], r["ext"], r["rank"]) for r in got.collect()} == {("a", "e1", 1), ("a", "e0", 2), ("a", "e2", 3)}
