@@ -77,19 +77,20 @@ def name_tokens(text: Column | str) -> Column:
 
 
 def brand_matches(items: DataFrame, now: DataFrame) -> DataFrame:
-    """items (key, brand) with the offers (ext, name, brand) of their brand, as (key, ext).
+    """items (key, brand, any others) with the offers of their brand: the items' columns but the brand, and the offers'.
 
     The offer's brand is the same, or holds all words of the item's; only an offer without a brand is searched by name. The item's words meet
     the offers' words in an equi-join: distinct (brand, name) pairs are split into words, and an item looks for its longest word.
     """
     want = name_tokens("brand")
-    wanted = items.select("key", want.alias("_want")).where(F.size("_want") > 0)
+    own_columns = [c for c in items.columns if c != "brand"]
+    wanted = items.select(*own_columns, want.alias("_want")).where(F.size("_want") > 0)
     wanted = wanted.withColumn("_word", F.array_max(F.transform("_want", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
     own = name_tokens("brand")
     pairs = now.select("brand", "name").distinct().withColumn("_have", F.when(F.size(own) > 0, own).otherwise(name_tokens("name")))
     words = pairs.withColumn("_word", F.explode(F.array_distinct("_have")))
-    found = words.join(wanted, "_word").where(F.size(F.array_except("_want", "_have")) == 0).select("key", F.col("brand").alias("_b"), F.col("name").alias("_n"))
-    return now.join(found, now.brand.eqNullSafe(found._b) & now.name.eqNullSafe(found._n)).select("key", "ext")
+    found = words.join(wanted, "_word").where(F.size(F.array_except("_want", "_have")) == 0).select(*own_columns, F.col("brand").alias("_b"), F.col("name").alias("_n"))
+    return now.join(found, now.brand.eqNullSafe(found._b) & now.name.eqNullSafe(found._n)).drop("_b", "_n")
 
 
 def history_tiers(history: DataFrame, df: DataFrame, related: int = 8) -> DataFrame:
@@ -99,14 +100,16 @@ def history_tiers(history: DataFrame, df: DataFrame, related: int = 8) -> DataFr
     More shared name words come first, then the cheaper.
     """
     now = df.select("ext", "name", "brand", "price_cents", norm_name("name").alias("_name"), F.col("category").alias("_group"))
-    exact = history.join(now, history.key == now._name).select("key", "ext", F.lit(1).alias("tier"))
-    rest = history.join(exact.select("key").distinct(), "key", "left_anti")
-    branded = F.coalesce(F.col("brand"), F.lit("")) != ""
-    brand = brand_matches(rest.where(branded).select("key", "brand"), now).withColumn("tier", F.lit(2))
-    alone = rest.where(~branded).select("key", "group")
-    group = alone.join(now, alone.group == now._group).select("key", "ext", F.lit(3).alias("tier"))
-    found = exact.unionByName(brand).unionByName(group).join(now.select("ext", "price_cents", "name"), "ext").join(history.select("key", "tokens"), "key")
-    shared = F.when(F.col("tier") == 1, 0).otherwise(F.size(F.filter(name_tokens("name"), lambda t: F.array_contains("tokens", t))))
-    order = [shared.desc(), F.col("price_cents").asc(), F.col("ext").asc()]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
-    return ranked.where((F.col("tier") == 1) | (F.col("rank") <= related)).select("key", "tier", "ext", "rank")
+    items = history.select("key", F.col("brand").alias("_brand"), "group", "tokens")
+    kept = ["key", "tokens", "ext", "name", "price_cents"]  # what a match is ranked by goes with it: no join by key, of which there are few, brings it
+    exact = items.join(now, items.key == now._name).select(*kept)
+    rest = items.join(exact.select("key").distinct(), "key", "left_anti")
+    branded = F.coalesce(F.col("_brand"), F.lit("")) != ""
+    brand = brand_matches(rest.where(branded).select("key", F.col("_brand").alias("brand"), "tokens"), now).select(*kept, F.lit(2).alias("tier"))
+    alone = rest.where(~branded)
+    group = alone.join(now, alone.group == now._group).select(*kept, F.lit(3).alias("tier"))
+    shared = F.size(F.filter(name_tokens("name"), lambda t: F.array_contains("tokens", t)))
+    best = first_of(brand.unionByName(group), ["key"], [shared.desc(), F.col("price_cents").asc(), F.col("ext").asc()], related, "rank")
+    every = numbered(exact.select("key", "ext", "price_cents", F.lit(1).alias("tier")), ["key"], [F.col("price_cents").asc(), F.col("ext").asc()])
+    names = ["key", "tier", "ext", "rank"]
+    return every.select(*names).unionByName(best.select(*names))

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import date
 
 import pytest
@@ -451,3 +452,11 @@ def test_matches_are_ranked_by_ranges(spark):
     got = matching.ranked_matches(offers(spark, {}, {"price_cents": 50}, {"name": "other thing"}), items)
     assert "_range" in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["item"], r["ext"], r["rank"]) for r in got.collect()} == {("a", "e1", 1), ("a", "e0", 2), ("a", "e2", 3)}
+
+
+def test_no_join_by_key_brings_a_history_its_tokens(spark):
+    history = spark.createDataFrame([("thing", None, "dairy", ["x"]), ("milk", "Alp", "dairy", ["old"]), ("tea", None, "dairy", ["thing"])], "key string, brand string, group string, tokens array<string>")
+    df = offers(spark, {}, {"price_cents": 50}, {"name": "old x", "brand": "alp"}, {"name": "new", "brand": "Alp", "price_cents": 1})
+    got = matching.history_tiers(history, df, 2)
+    assert not re.search(r"Join Inner, \(key#\d+ = key#", got._jdf.queryExecution().optimizedPlan().toString())  # all matches of a key would be one task
+    assert {tuple(r) for r in got.collect()} == {("thing", 1, "e1", 1), ("thing", 1, "e0", 2), ("milk", 2, "e2", 1), ("milk", 2, "e3", 2), ("tea", 3, "e1", 1), ("tea", 3, "e0", 2)}
