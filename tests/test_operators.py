@@ -460,3 +460,11 @@ def test_no_join_by_key_brings_a_history_its_tokens(spark):
     got = matching.history_tiers(history, df, 2)
     assert not re.search(r"Join Inner, \(key#\d+ = key#", got._jdf.queryExecution().optimizedPlan().toString())  # all matches of a key would be one task
     assert {tuple(r) for r in got.collect()} == {("thing", 1, "e1", 1), ("thing", 1, "e0", 2), ("milk", 2, "e2", 1), ("milk", 2, "e3", 2), ("tea", 3, "e1", 1), ("tea", 3, "e0", 2)}
+
+
+def test_a_cards_filter_computes_its_discount_once(spark):
+    """The formula copied into a filter before the joins is beyond what the JVM compiles."""
+    from offerloom.plans.all_queries import QUERIES
+
+    plan = QUERIES["w06_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "round(" in line]
