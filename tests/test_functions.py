@@ -84,6 +84,12 @@ def test_prices_are_derived_from_one_quantity_only(spark):
     agree(spark, pr.derived_per_unit("text", "price"), cases, "text string, price long")
 
 
+def test_a_shown_price_is_a_short_formula(spark):
+    """Parts that are named several times are computed once: written out, the formula has hundreds of patterns and isn't compiled."""
+    shown = spark.createDataFrame([], "a string, b string, c long").select(pr.unit_price_cents(pr.served_per_unit("a", "b", "c")))
+    assert shown._jdf.queryExecution().analyzed().toString().count("regexp_") < 100
+
+
 def test_base_prices_and_money(spark):
     amounts = [(f"{n:,}".replace(",", ".") if dots else str(n), c, n * 100 + c) for n in (0, 7, 64, 3210) for dots in (True, False) for c in (0, 5, 60)]
     money = [(f"{a}{n},{c:02}{b}", str(v)) for (n, c, v), a, b in itertools.product(amounts, ("", "nur "), ("", " €"))] + [("gratis", None), ("5", None), ("5.10", None), (None, None)]
