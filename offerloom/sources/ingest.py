@@ -79,6 +79,10 @@ class Versions:
     def write(self, df: DataFrame, name: str, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/{version}")
 
+    def drop(self, name: str, version: int) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{version}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def commit(self, version: int, batch: str, counts: list[tuple]) -> None:
         """Last of all: the version becomes the current one."""
         self.spark.createDataFrame([(version, batch, counts)], COMMIT).coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/{version}")
@@ -104,13 +108,18 @@ def admitted(pages: DataFrame, stores: DataFrame, divisions: DataFrame, plan: Pl
     return rows.where((F.col("feed") != "flyer") | (F.col("_located") & (wanted.isNull() | (wanted == F.col("_division"))))).drop("_located", "_division")
 
 
-def parsed_offers(pages: DataFrame, plan: Plan, version: int) -> DataFrame:
-    """OFFERS of the pages: read by feed, of duplicates in a store's feed the fullest, classified, with discounts. Of one external id the cheapest counts."""
+def read_offers(pages: DataFrame) -> DataFrame:
+    """The offers of the pages, read by feed; of duplicates in a store's feed the fullest. Pages are dealt to as many tasks as a shuffle has, for a small file of them is long work."""
+    pages = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "json")
     of = lambda feed: pages.where(F.col("feed") == feed)
     keep = ("chain", "plz")
     rows = feeds.batch(feeds.flyer_offers(of("flyer"), keep), feeds.coupon_offers(of("coupon"), keep=keep), feeds.clearance_offers(of("clearance"), keep=keep))
     rows = rows.withColumns({"ext": F.concat_ws(":", "source", "id"), "_key": name_key("name")})
-    rows = first_of(rows, ["chain", "plz", "source", "_key", "price_cents"], scrape_order()).drop("_key", "id")
+    return first_of(rows, ["chain", "plz", "source", "_key", "price_cents"], scrape_order()).drop("_key", "id")
+
+
+def classified_offers(rows: DataFrame, plan: Plan, version: int) -> DataFrame:
+    """OFFERS of read_offers(), classified, with discounts. The rows are read twice, for their distinct products and to be joined with what these are."""
     products = rows.select("name", "brand", F.col("category_path").alias("path"), F.col("unit").alias("caption"))
     known = classify(products, plan.book).select(F.col("name").alias("_n"), F.col("brand").alias("_b"), F.col("path").alias("_p"), F.col("caption").alias("_c"), F.col("slug").alias("category"))
     same = rows.name.eqNullSafe(known._n) & rows.brand.eqNullSafe(known._b) & rows.category_path.eqNullSafe(known._p) & rows.unit.eqNullSafe(known._c)
@@ -137,7 +146,8 @@ def ingest(tables: Versions, pages: DataFrame, divisions: DataFrame, plan: Plan,
     version = now + 1
     tables.write(merged_stores(tables.read("stores", now), pages), "stores", version)
     stores = tables.read("stores", version)
-    new = parsed_offers(admitted(pages, stores, divisions, plan), plan, version)
+    tables.write(read_offers(admitted(pages, stores, divisions, plan)), "read", version)  # a page is parsed once, not for each reader of its offers
+    new = classified_offers(tables.read("read", version), plan, version)
     rows = upsert(tables.read("offers", now), new, ["chain", "plz", "ext"], [F.col("price_cents").asc(), F.col("name").asc()])
     chains = sorted({c for spec in VERTICALS.values() for c in spec["chains"]})
     seen, counted = Observation(), _counted(chains, plan.today)
@@ -145,6 +155,7 @@ def ingest(tables: Versions, pages: DataFrame, divisions: DataFrame, plan: Plan,
     counts = seen.get
     told = [(s, c, counts[f"{s}|{c}|offers"], counts[f"{s}|{c}|with_unit"]) for s in VERTICALS for c in chains if counts[f"{s}|{c}|offers"]]
     tables.commit(version, batch, told)
+    tables.drop("read", version)
     return version
 
 

@@ -468,3 +468,17 @@ def test_a_cards_filter_computes_its_discount_once(spark):
 
     plan = QUERIES["w06_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "round(" in line]
+
+
+def test_an_ingest_parses_its_pages_once(spark, tmp_path, monkeypatch):
+    from offerloom.sources import ingest as ing
+
+    plans = {}
+    write = ing.Versions.write
+    monkeypatch.setattr(ing.Versions, "write", lambda self, df, name, version: (plans.update({(name, version): df._jdf.queryExecution().analyzed().toString()}), write(self, df, name, version))[1])
+    tables = ing.Versions(spark, str(tmp_path / "t"))
+    coupon = json.dumps({"offers": [{"id": "c", "title": "Tee", "priceBox": {"largePartNumeric": 2.0}}]})
+    pages = spark.createDataFrame([("coupon", "north", "1", "n", None, 52.0, 13.0, coupon)], "feed string, chain string, plz string, store_name string, market_code string, lat double, lng double, json string")
+    assert ing.ingest(tables, pages, spark.createDataFrame([("1", "nord")], "plz string, division string"), ing.Plan(rules.Book({}), "north", "2026-01-05"), "one") == 1
+    assert "parse_json" not in plans["offers", 1] and [r["ext"] for r in tables.read("offers").collect()] == ["coupon:c"]
+    assert not (tmp_path / "t" / "read" / "1").exists()
