@@ -4,6 +4,7 @@ The streams that keep maps and lists of state (`scrape_throttle_stream`, `recent
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -107,35 +108,82 @@ def _with_rows(key: str) -> Column:
     return F.coalesce(F.col("has_rows"), F.lit(False)) & (F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
 
 
+def _gated(calls: Iterator[tuple[Any, int, bool]], gate: Gate, last: dict) -> Iterator[bool]:
+    """Gate over calls (key, at, has rows) in order; `last` holds the keys accepted of late, and both go on to whatever comes next."""
+    for n, (k, t, has) in enumerate(calls, 1):
+        ok = gate.passes(t, last.get(k), has)
+        if ok and k == k and k is not None:  # a key that is null, NaN in pandas' numbers, never waits
+            last[k] = t
+        if n % 10_000 == 0:
+            _forget(gate, last, t)
+        yield ok
+
+
+def _forget(gate: Gate, last: dict, now: int) -> None:
+    """What no later call waits for goes."""
+    for k in [k for k, s in last.items() if now - s >= gate.cooldown]:
+        del last[k]
+    if gate.last_any is not None and now - gate.last_any >= gate.gap:
+        gate.last_any = None
+
+
 def scrape_throttle(calls: DataFrame, key: str, cooldown: float = 600, gap: float = 15, order: str = "event_id") -> DataFrame:
     """(key, order, allowed) of calls (key, ts, order, has_rows): Gate over all calls in order of time, then of `order`.
 
-    The gap joins all keys, so the decision is one recursion over the calls. It is cut where nothing is remembered: time is dealt to slots as long as the longer of both waits, and calls on either side of
-    an empty slot don't see each other. Each run of slots is a task of its own; its calls stream past a map of the keys accepted of late.
+    The gap joins all keys, so the decision is one recursion over the calls. They are sorted into ranges of time, written to the shared checkpoint folder so that every reader sees the same ranges.
+    What a range leaves behind, the keys accepted within a cooldown of its end, is first computed as if nothing stood before it; a range whose start turns out otherwise is run again, until none does.
+    What is remembered is soon forgotten, so that two or three rounds are usual; as many as there are ranges always suffice. No task holds more than a range, and the driver what stands at their ends.
     """
-    width = max(1, round(max(cooldown, gap) * MICROS))
+    from offerloom.sources.ingest import shared_folder
+
+    sc = calls.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(calls.sparkSession))
     kinds = dict(calls.dtypes)
-    rows = calls.select(key, order, _with_rows(key).alias("_has"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at")).withColumn("_slot", F.floor(F.col("_at") / width))
-    slots = rows.select("_slot").distinct()
-    runs = slots.withColumn("_run", F.col("_slot") - F.row_number().over(Window.orderBy("_slot")))  # a row for each slot of time
-    dealt = rows.join(runs, "_slot").repartition("_run").sortWithinPartitions("_run", "_at", order)
+    rows = calls.select(key, order, _with_rows(key).alias("_has"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at")).where("_at is not null")
+    ranges = rows.repartitionByRange("_at", order).sortWithinPartitions("_at", order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+
+    def gated(pdf: pd.DataFrame, gate: Gate, last: dict) -> list[bool]:
+        return list(_gated(zip(pdf[key].tolist(), pdf["_at"].tolist(), pdf["_has"].tolist()), gate, last))
+
+    def begun(starts: dict, number: int) -> tuple[Gate, dict]:
+        last_any, last = starts.get(number, (None, ()))
+        return Gate(cooldown, gap, last_any), dict(last)
+
+    def ends(starts: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, gate, last, now = None, None, {}, None
+            for pdf in batches:
+                if len(pdf):
+                    if gate is None:
+                        at = int(pdf["_range"].iloc[0])
+                        gate, last = begun(starts, at)
+                    gated(pdf, gate, last)
+                    now = int(pdf["_at"].iloc[-1])
+            if gate is not None:
+                _forget(gate, last, now)
+                yield pd.DataFrame({"range": [at], "state": [pickle.dumps((gate.last_any, sorted(last.items(), key=repr)))]})
+
+        return run
+
+    starts, ended, todo = {}, {}, None
+    while todo is None or todo:
+        own = ranges if todo is None else ranges.where(F.col("_range").isin(todo))
+        ended |= {r["range"]: pickle.loads(r["state"]) for r in own.mapInPandas(ends(starts), "range int, state binary").collect()}
+        numbers = sorted(ended)
+        now = {n: ended[before] for before, n in zip(numbers, numbers[1:])}
+        todo = [n for n in numbers if now.get(n, (None, [])) != starts.get(n, (None, []))]
+        starts = now
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, gate, last = object(), Gate(cooldown, gap), {}
+        gate, last = None, {}
         for pdf in batches:
-            out = []
-            for r, k, t, has in zip(pdf["_run"].tolist(), pdf[key].tolist(), pdf["_at"].tolist(), pdf["_has"].tolist()):
-                if r != at:
-                    at, gate, last = r, Gate(cooldown, gap), {}
-                ok = gate.passes(t, last.get(k), has)
-                if ok:
-                    last[k] = t
-                    if len(last) > 10_000:
-                        last = {x: s for x, s in last.items() if t - s < gate.cooldown}
-                out.append(ok)
-            yield pdf[[key, order]].assign(allowed=out)
+            if len(pdf):
+                if gate is None:
+                    gate, last = begun(starts, int(pdf["_range"].iloc[0]))
+                yield pdf[[key, order]].assign(allowed=gated(pdf, gate, last))
 
-    return dealt.select("_run", key, order, "_has", "_at").mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+    return ranges.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
 
 
 def with_state_store(spark: SparkSession) -> None:

@@ -482,3 +482,19 @@ def test_an_ingest_parses_its_pages_once(spark, tmp_path, monkeypatch):
     assert ing.ingest(tables, pages, spark.createDataFrame([("1", "nord")], "plz string, division string"), ing.Plan(rules.Book({}), "north", "2026-01-05"), "one") == 1
     assert "parse_json" not in plans["offers", 1] and [r["ext"] for r in tables.read("offers").collect()] == ["coupon:c"]
     assert not (tmp_path / "t" / "read" / "1").exists()
+
+
+def test_calls_without_a_pause_are_judged_by_several_tasks(spark):
+    dice = random.Random(9)
+    rows = [(i, i * 2.0, dice.choice("abcdefgh"), dice.random() < 0.9) for i in range(3_000)]
+    calls = spark.createDataFrame(rows, CALLS).withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for cooldown, gap in ((60, 7), (5_000, 0), (0, 5_000)):  # the last two are remembered beyond a whole range
+            out = throttle.scrape_throttle(calls, "key", cooldown, gap)
+            assert {r["event_id"]: r["allowed"] for r in out.collect()} == brute_throttle(rows, cooldown, gap)
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(sizes) == 3_000 and max(sizes) < 1_500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
