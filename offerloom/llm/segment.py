@@ -15,7 +15,8 @@ inclusion score is 1 - exp(-exp(log p - t)), t being the (k + 1)th value; draws
 Where even the most probable segmentation surely has a small share of the text's probability, as in nearly all texts, what is left is queued whole, as the one
 set of all but those found: its value needs only its mass, and a draw from it is a draw from all ways that is repeated if it has been found. Values and
 draws have the same joint distribution either way; which way a text goes depends on its lattice alone, not on draws. These texts are drawn together, in numpy:
-the lattices of distinct words (cut further at characters that no piece crosses) are rows of one table, and a step moves every word of every sample by a piece.
+the lattices of distinct words (cut further at characters that no piece crosses) lie in one table, where words with the same end share its part, and a step moves
+every word of every sample by a piece.
 
 Defined results: null or empty text has one segmentation, without pieces; a text with fewer than k segmentations
 yields all, with score 1; repeated rows yield equal results; null keys are keys like others; an empty table gives no rows;
@@ -55,7 +56,10 @@ STEP_BYTES, DRAWN_CHARS, MOST_EDGES = 1 << 20, 100_000, 6_000_000
 ROWS_IDS = 1 << 20
 #: Times k + 1 that a bound of the probability of a text's best segmentation must fit into 1 for draws to be repeated.
 ROOM = 2
+#: Places of a table's index, at how many of them an end is looked for, and characters of the longest end in it.
+INDEX_BITS, PROBES, INDEXED = 22, 4, 64
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_PROBES = [_GOLDEN, *_MIX, np.uint64(0xD6E8FEB86659FD93)]
 
 
 class Lattice(NamedTuple):
@@ -202,10 +206,11 @@ class Pieces:
         self.known: dict[str, Lattice] = {}
         self.held = 0
         self._make_trie()
-        #: Characters that stand in no piece but their own, if any: no piece crosses them.
+        #: Kinds of a text's bytes: 1 a space, 2 a character that stands in no piece but its own, so that no piece crosses it.
         inside = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in (*map(chr, range(128)), _SPARE[0]) if c not in inside)
-        self.cut = re.compile(f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+").findall if self.apart else lambda whole: [whole]
+        self.kind = np.array([2 * (i < 128 and chr(i) not in inside) for i in range(256)], np.uint8)
+        self.kind[ord(" ")] = 1
+        self.spare_apart = _SPARE[0] not in inside
         self.table = Table(self)
 
     def _make_trie(self) -> None:
@@ -226,9 +231,10 @@ class Pieces:
             self.ends[number[p]] = i
         self.byte_ids = np.array([self.byte[b] for b in range(256)])
         n = len(self.text)
-        self.log_weight = np.array([self.weight.get(i, 0.0) for i in range(n)])
+        self.log_weight, self.byte_weight = np.array([self.weight.get(i, 0.0) for i in range(n)]), -math.log(n + 10)
         said = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.said, self.said_at = np.frombuffer(b"".join(said), np.uint8), np.cumsum([0, *map(len, said)])
+        #: What pieces say, then what they say without the space put before each text.
+        self.said = pa.array([*said, *(x[1:] for x in said)], pa.large_binary())
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -322,45 +328,70 @@ class Pieces:
             out.append(([p for word in way for edge in word for p in edge[2]], logp, score))
         return out
 
+    def cuts(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words, cut further where no piece crosses, of several texts, their SPACEs written as spaces and literal ones as _SPARE[0]; how many each text has."""
+        parts = [f" {t.replace(SPACE, _SPARE[0])}".encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = b"".join(parts)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(size)
+        begin = np.zeros(len(data), bool)
+        if self.apart:
+            kind = self.kind[np.frombuffer(data, np.uint8)]
+            space, alone = kind == 1, kind == 2
+            begin[1:] = alone[1:] | alone[:-1] | (space[1:] & ~space[:-1])
+            if self.spare_apart and any(SPACE in t or _SPARE[0] in t for t in texts):
+                for found in re.finditer(re.escape(_SPARE[0].encode()), data):
+                    begin[found.start()] = True
+                    begin[found.end() : found.end() + 1] = True
+        begin[(ends - size)[size > 0]] = True
+        places = np.append(np.flatnonzero(begin), len(data)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)])
+        return words.dictionary_encode(), np.diff(np.searchsorted(places[:-1], ends), prepend=0)
+
     def sample_all(self, texts: list[str], k: int, seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """sample() of several texts: (row of each segmentation, all ids, where each one's begin, log probabilities, inclusion scores)."""
-        table, words, numbers = self.table, [], []
-        for text in texts:
-            own = self.cut(SPACE + text.replace(SPACE, _SPARE[0]).replace(" ", SPACE)) if text else []
-            words.append(np.fromiter(map(table.number.__getitem__, own), np.int64, len(own)))
-        table.grow()
-        best = [table.best[w].sum() for w in words]
-        wide = [b < -math.log(ROOM * (k + 1)) and _SPARE[0] not in t for b, t in zip(best, texts)]
-        found: list = [None] * len(texts)
-        a, size, group = 0, 0, []
-        for i, text in enumerate(texts):
-            if not wide[i]:
-                own = self.searched(text, k, seeds[i])
-                flat = np.array([p for ids, _, _ in own for p in ids], np.int32)
-                found[i] = flat, np.array([len(ids) for ids, _, _ in own]), np.array([p for _, p, _ in own]), np.array([q for _, _, q in own])
-            else:
-                group.append(i)
-                size += len(text)
-            if group and (size > DRAWN_CHARS or i + 1 == len(texts)):
-                for j, one in zip(group, table.draw([words[j] for j in group], k, np.array([seeds[j] for j in group], np.uint64))):
-                    found[j] = one
-                size, group = 0, []
+        """sample() of several texts: (row of each segmentation, all ids, where each one's begin, log probabilities, inclusion scores).
+
+        A text's segmentations stand together; texts that are drawn together come first.
+        """
+        table = self.table
+        words, many = self.cuts(texts)
+        nodes = table.enter(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+        begins = np.cumsum(many) - many
+        best, some = np.zeros(len(texts)), np.flatnonzero(many)
+        if len(some):
+            best[some] = np.add.reduceat(table.best[nodes] - table.total[nodes], begins[some])
+        wide = [b < -math.log(ROOM * (k + 1)) and _SPARE[0] not in t for b, t in zip(best.tolist(), texts)]
+        found, which, group, size = [], [], [], 0
+        together = [i for i, w in enumerate(wide) if w]
+        for i in together:
+            group.append(i)
+            size += len(texts[i])
+            if size > DRAWN_CHARS or i == together[-1]:
+                own = np.array(group)
+                among = _ragged_places(begins[own], many[own]) if group[-1] - group[0] >= len(group) else slice(begins[group[0]], begins[i] + many[i])
+                found.append(table.draw(nodes[among], many[own], k, np.array([seeds[j] for j in group], np.uint64)))
+                which.append(np.repeat(own, k))
+                group, size = [], 0
+        for i in (i for i, w in enumerate(wide) if not w):
+            own = self.searched(texts[i], k, seeds[i])
+            flat = np.array([p for ids, _, _ in own for p in ids], np.int32)
+            found.append((flat, np.array([len(ids) for ids, _, _ in own]), np.array([p for _, p, _ in own]), np.array([q for _, _, q in own])))
+            which.append(np.full(len(own), i))
         if table.full():
             self.table = Table(self)
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
         flat, lengths, logp, inclusion = (np.concatenate(x) for x in zip(*found))
-        rows = np.repeat(np.arange(len(texts)), [len(f[1]) for f in found])
-        return rows, flat.astype(np.int32), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), logp, inclusion
+        return np.concatenate(which), flat.astype(np.int32, copy=False), np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), logp, inclusion
 
     def decode_all(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """decode() of several lists."""
-        data, ends = _ragged(self.said, self.said_at, ids)
-        places = np.concatenate(([0], ends))[at]
-        keep = np.ones(len(data), bool)
-        keep[places[:-1][at[1:] > at[:-1]]] = False  # the space put before each text
-        offsets = places - np.concatenate(([0], np.cumsum(at[1:] > at[:-1])))
-        return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[keep])])
+        own = ids.copy()
+        own[at[:-1][at[1:] > at[:-1]]] += len(self.text)
+        said = self.said.take(pa.array(own))
+        _, ends, data = said.buffers()
+        offsets = np.frombuffer(ends, np.int64, len(own) + 1, 8 * said.offset)[at]
+        return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(offsets), data])
 
     def decode(self, ids: list[int]) -> str:
         """The text that any segmentation stands for."""
@@ -370,21 +401,25 @@ class Pieces:
         return data.decode("utf-8", "surrogatepass")[1:]  # without the space put before the text
 
 
-def _ragged(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbered lists one after another, and where each ends."""
-    first, size = starts[which], starts[which + 1] - starts[which]
+def _ragged_places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one after another."""
     ends = np.cumsum(size)
-    kind = np.int32 if len(ends) and ends[-1] < 1 << 31 and starts[-1] < 1 << 31 else np.int64
-    place = np.repeat((first - ends + size).astype(kind), size)
-    place += np.arange(len(place), dtype=kind)
-    return flat[place], ends
+    out = np.repeat(first - ends + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The last steps of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= _MIX[0]
+    half = out >> np.uint64(27)
+    out ^= half
+    out *= _MIX[1]
+    np.right_shift(out, np.uint64(31), out=half)
+    out ^= half
+    return out
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -392,147 +427,230 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (_mixed(x) >> np.uint64(11)) * 2.0**-53
 
 
-class _Numbers(dict):
-    """Words numbered as they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    """x, or a copy with more room."""
+    if size <= len(x):
+        return x
+    out = np.empty(max(size, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
 
 
 class Table:
-    """The lattices of many words, their places and edges numbered throughout; a place's edges lie together, the longest first."""
+    """The lattices of many words. The ways from a place in a word depend on what follows alone, so words with the same end share its places:
+    a node is an end of words, found by the node of the end that is one character shorter and that character. Node 0 is the empty end.
+
+    A node's edges lie together, the longest piece first. Ends of more than INDEXED characters, and those beyond PROBES places of the index, are nodes of
+    their own each time.
+    """
 
     def __init__(self, model: Pieces):
-        self.model, self.number, self.done = model, _Numbers(), 0
-        self.start = np.zeros(0, np.int32)  # of each word: its first place
-        self.best = np.zeros(0)  # log of the largest share at its first place: no way through the word has more
-        self.first = np.zeros(1, np.int32)  # of each place: its first edge; then the number of edges
-        self.to = np.zeros(0, np.int32)  # of each edge: the place it leads to, -1 at the word's end
-        self.share = np.zeros(0)  # its share of the ways from its place
-        self.piece = np.zeros(0, np.int32)  # its piece, or -1 - the character written as several bytes
+        self.model, self.nodes, self.edges = model, 1, 0
+        self.key, self.node = np.full(1 << INDEX_BITS, -1), np.empty(1 << INDEX_BITS, np.int32)  # the index
+        self.first = np.zeros(1 << 16, np.int32)  # of each node: its first edge
+        self.total = np.zeros(1 << 16)  # log sum over the ways to the word's end
+        self.best = np.zeros(1 << 16)  # log weight of the best of them
+        self.most = np.zeros(1 << 18, np.uint64)  # of each edge: the largest 64-bit draw that doesn't go on to the next
+        self.step = np.zeros(1 << 18, np.int64)  # its piece, or -1 - the character written as several bytes; the first edge of the node it leads to, -1 at the end
 
     def full(self) -> bool:
-        return len(self.to) > MOST_EDGES
+        return self.edges > MOST_EDGES
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of keys, and a place among them of each node that is new, in their order."""
+        out, new = np.empty(len(keys), np.int32), []
+        left, own = np.arange(len(keys)), keys
+        for probe in range(PROBES):
+            slots = ((own.astype(np.uint64) * _PROBES[probe]) >> np.uint64(64 - INDEX_BITS)).astype(np.int64)
+            held = self.key[slots]
+            free = np.flatnonzero(held < 0)
+            if len(free):
+                at = slots[free]
+                self.key[at] = own[free]
+                won = np.flatnonzero(self.key[at] == own[free])
+                at, free = at[won], free[won]
+                self.node[at] = free
+                one = free[self.node[at] == free]
+                self.node[slots[one]] = np.arange(self.nodes, self.nodes + len(one), dtype=np.int32)
+                self.nodes += len(one)
+                new.append(left[one])
+                held = self.key[slots]
+            same = held == own
+            if same.all():
+                out[left] = self.node[slots]
+                left = left[:0]
+                break
+            hit, miss = np.flatnonzero(same), np.flatnonzero(~same)
+            out[left[hit]] = self.node[slots[hit]]
+            left, own = left[miss], own[miss]
+        if len(left):
+            out[left] = np.arange(self.nodes, self.nodes + len(left), dtype=np.int32)
+            self.nodes += len(left)
+            new.append(left)
+        return out, np.concatenate(new) if new else left
+
+    def enter(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """The node of each word, entered if it is new."""
+        model, count = self.model, len(words)
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int64, count + 1, 8 * words.offset)
+        body = np.frombuffer(data, np.uint8)[: ends[-1]] if count else np.zeros(0, np.uint8)
+        chars = np.frombuffer(body.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[chars == ord(" ")] = ord(SPACE)
+        if len(chars) != len(body):
+            ends = np.concatenate(([0], np.cumsum((body & 0xC0) != 0x80)))[ends]
+        size = np.diff(ends)
+        order = np.argsort(-size, kind="stable")
+        last, size = ends[1:][order], size[order]
+        deep = np.searchsorted(-size, -np.arange(1, size[0] + 1 if count else 1), side="right").tolist()  # words of so many characters or more
+        node_at, node = np.zeros(len(chars) + 1, np.int32), np.zeros(count, np.int32)
+        old, at, back, levels = self.nodes, [], [], [self.nodes]
+        for length, many in enumerate(deep[:INDEXED], 1):  # all words, from their ends
+            place = last[:many] - length
+            node[:many], new = self.find((node[:many].astype(np.int64) << 21) | chars[place])
+            node_at[place] = node[:many]
+            if len(new):
+                at.append(place[new])
+                back.append(np.full(len(new), length))
+                levels.append(self.nodes)
+        if len(deep) > INDEXED:
+            many = deep[INDEXED]
+            place = _ragged_places(last[:many] - size[:many], size[:many] - INDEXED)
+            length = np.repeat(last[:many], size[:many] - INDEXED) - place
+            by_length = np.argsort(length, kind="stable")
+            at.append(place[by_length])
+            back.append(length[by_length])
+            node_at[at[-1]] = np.arange(self.nodes, self.nodes + len(place))
+            node[:many] = node_at[last[:many] - size[:many]]
+            levels += (self.nodes + np.cumsum(np.bincount(length)[INDEXED + 1 :])).tolist()
+            self.nodes = levels[-1]
+        if self.nodes > old:
+            self.first, self.total, self.best = (_room(x, self.nodes) for x in (self.first, self.total, self.best))
+            self.connect(chars, node_at, np.concatenate(at), np.concatenate(back), levels)
+        out = np.empty(count, np.int32)
+        out[order] = node
+        return out
 
-    def grow(self) -> None:
-        """Enter the words that were numbered since."""
-        words = list(self.number)[self.done :] if len(self.number) > self.done else []
-        if not words:
-            return
-        self.done = len(self.number)
-        model = self.model
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        n, start = len(chars), np.cumsum(size) - size
-        end = np.repeat(start + size, size)  # of each place: where its word ends
-        back = end - np.arange(n)
-        at, node, length = np.arange(n), np.zeros(n, np.int64), 0
+    def connect(self, chars: np.ndarray, node_at: np.ndarray, place: np.ndarray, back: np.ndarray, levels: list[int]) -> None:
+        """The edges of new nodes, each standing at a place in the words, so many characters before the word's end."""
+        model, n, old = self.model, len(place), levels[0]
+        which, at, node, length = np.arange(n), place, np.zeros(n, np.int64), 0
         froms, tos, logs, own = [], [], [], []
         single, count = np.zeros(n, bool), np.zeros(n, np.int64)
         while len(at):  # along the beginnings of pieces, from all places at once
-            node = model.follow((node << 21) | chars[at + length])
+            node = model.follow((node << 21) | chars[at])
             good = np.flatnonzero(node)
-            at, node, length = at[good], node[good].astype(np.int64), length + 1
-            left, piece = back[at], model.ends[node]
+            which, at, node, length = which[good], at[good] + 1, node[good].astype(np.int64), length + 1
+            left, piece = back[which] - length, model.ends[node]
             whole = np.flatnonzero(piece >= 0)
-            source, piece = at[whole], piece[whole]
+            source, piece = which[whole], piece[whole]
             froms.append(source)
-            tos.append(np.where(left[whole] > length, source + length, n).astype(np.int32))
+            tos.append(np.where(left[whole] > 0, node_at[at[whole]], 0))
             own.append(piece)
             logs.append(model.log_weight[piece])
             count[source] += 1
             if length == 1:
                 single[source] = True
-            more = np.flatnonzero(left > length)
-            at, node = at[more], node[more]
+            more = np.flatnonzero(left > 0)
+            which, at, node = which[more], at[more], node[more]
         bare = np.flatnonzero(~single)
-        code = np.where(chars[bare] == ord(_SPARE[0]), ord(SPACE), chars[bare])
+        code = chars[place[bare]]
+        code = np.where(code == ord(_SPARE[0]), ord(SPACE), code)
         froms.append(bare)
-        tos.append(np.where(back[bare] > 1, bare + 1, n).astype(np.int32))
+        tos.append(np.where(back[bare] > 1, node_at[place[bare] + 1], 0))
         own.append(np.where(code < 0x80, model.byte_ids[np.minimum(code, 0x7F)], -1 - code).astype(np.int32))
-        logs.append((1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)) * -math.log(len(model.text) + 10))
+        logs.append(_said_in(code) * model.byte_weight)
         count[bare] += 1
-        # places are numbered by how far they are from their word's end; a place's edges stand behind one another, the longest first
-        order = np.argsort(back.astype(np.uint16) if back.max() < 1 << 16 else back, kind="stable")
-        heads = np.concatenate(([0], np.cumsum(count[order])))
-        number = np.empty(n + 1, np.int32)
-        number[order], number[n] = np.arange(n, dtype=np.int32), n
-        free = heads[1:][number[:n]]
-        edges = int(heads[-1])
+        heads = np.concatenate(([0], np.cumsum(count)))
+        free, edges = heads[1:].copy(), int(heads[-1])
         target, log, piece = np.empty(edges, np.int32), np.empty(edges), np.empty(edges, np.int32)
-        for source, to, w, ids in zip(froms, tos, logs, own):
-            spot = free[source] - 1
-            free[source] = spot
-            target[spot], log[spot], piece[spot] = number[to], w, ids
+        for source, to, weight, ids in zip(froms, tos, logs, own):  # the longest in front
+            free[source] -= 1
+            spot = free[source]
+            target[spot], log[spot], piece[spot] = to, weight, ids
         del froms, tos, logs, own, free
-        all_, best = np.zeros(n + 1), np.empty(n)  # log sum over the ways from each place, 0 at the end; log of the largest share there
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(back)[1:])))
-        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
-            if a == b:
-                continue
-            x, y = heads[a], heads[b]
-            here, many = heads[a:b] - x, np.diff(heads[a : b + 1])
-            v = log[x:y] + all_[target[x:y]]
+        total, best = self.total, self.best
+        for a, b in zip(levels, levels[1:]):  # from the words' ends
+            x, y = heads[a - old], heads[b - old]
+            here, to = heads[a - old : b - old] - x, target[x:y]
+            weight, v = log[x:y], total[to]
+            best[a:b] = np.maximum.reduceat(weight + best[to], here)
+            v += weight
             top = np.maximum.reduceat(v, here)
-            total = np.where(many == 1, top, top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, many)), here)))
-            all_[a:b] = total
-            best[a:b] = top - total
-            log[x:y] = np.exp(v - np.repeat(total, many))
-        places, before = len(self.first) - 1, len(self.to)
-        begin = number[start]
-        self.start = np.concatenate((self.start, begin + np.int32(places)))
-        self.best = np.concatenate((self.best, np.minimum(best[begin], 0.0)))
-        self.first = np.concatenate((self.first[:-1], (heads + before).astype(np.int32)))
-        self.to = np.concatenate((self.to, np.where(target == n, np.int32(-1), target + np.int32(places))))
-        self.share, self.piece = np.concatenate((self.share, log)), np.concatenate((self.piece, piece))
-
-    def walk(self, words: list[np.ndarray], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A way drawn for each seed, seeds[n, j], through the nth list of words: (all edges, where each way's begin, log probabilities), ways in the order of the seeds."""
-        flat, k = np.concatenate(words), seeds.shape[1]
-        many = np.array([len(w) for w in words])
-        ends = np.cumsum(many)
-        among = np.arange(len(flat)) - np.repeat(ends - many, many)
-        place = np.repeat(self.start[flat], k)  # the draws of a word stand together, as they look at the same edges
-        who = (np.repeat(k * (ends - many), many) + among)[:, None] + np.repeat(many, many)[:, None] * np.arange(k)
+            log[x:y] = v
+            v -= np.repeat(top, count[a - old : b - old])
+            top += np.log(np.add.reduceat(np.exp(v), here))
+            total[a:b] = top
+        share = np.exp(log - np.repeat(total[old : self.nodes], count))
+        cut = share  # running sums of a node's shares
+        some, j = np.flatnonzero(count > 1), 1
+        while len(some):
+            spot = heads[some] + j
+            cut[spot] += cut[spot - 1]
+            j += 1
+            some = some[count[some] > j]
+        most = (np.minimum(cut, 1 - 2.0**-53) * 2.0**64).astype(np.uint64)
+        most[heads[1:] - 1] = np.uint64((1 << 64) - 1)
+        before, self.edges = self.edges, self.edges + edges
+        self.most, self.step = _room(self.most, self.edges), _room(self.step, self.edges)
+        self.most[before : self.edges] = most
+        self.first[old : self.nodes] = heads[:-1] + before
+        step = self.step[before : self.edges].view(np.int32)
+        step[::2], step[1::2] = piece, np.where(target == 0, np.int32(-1), self.first[target])
+
+    def walk(self, nodes: np.ndarray, many: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A way drawn for each seed, seeds[n, j], through the nth of texts with so many words: (all pieces, where each way's begin, log probabilities), ways in the order of the seeds."""
+        k, among = seeds.shape[1], np.arange(len(nodes))
+        begins = np.cumsum(many) - many
+        kind = np.int32 if k * len(nodes) < 1 << 31 else np.int64
+        who = (among + np.repeat((k - 1) * begins, many)).astype(kind)[:, None] + np.repeat(many, many).astype(kind)[:, None] * np.arange(k, dtype=kind)
         who = who.ravel()  # the word's place among those of all ways
-        key = _mixed((np.repeat(seeds, many, axis=0) + among.astype(np.uint64)[:, None] * _GOLDEN).ravel())
-        lists = np.concatenate(([0], np.cumsum(np.repeat(many, k))))
-        taken, pieces = [], np.zeros(len(who), np.int64)
+        among -= np.repeat(begins, many)
+        key = _mixed((np.repeat(seeds, many, axis=0) + (among.astype(np.uint64) * _GOLDEN)[:, None]).ravel())
+        edge = np.repeat(self.first[nodes], k)  # the draws of a word stand together, as they look at the same edges
+        taken, pieces = [], np.empty(len(who), np.int32)
         while len(who):
-            key = key + _GOLDEN
-            u, edge, last = _uniform(key), self.first[place], self.first[place + 1] - 1
-            beyond = np.flatnonzero((u >= self.share[edge]) & (edge < last))
-            while len(beyond):
-                u[beyond] -= self.share[edge[beyond]]
-                edge[beyond] += 1
-                own = edge[beyond]
-                beyond = beyond[(u[beyond] >= self.share[own]) & (own < last[beyond])]
-            taken.append((who, edge))
-            to = self.to[edge]
+            key += _GOLDEN
+            u = _mixed(key)
+            beyond = np.flatnonzero(u > self.most[edge])
+            if len(beyond):
+                own, at = u[beyond], edge[beyond]
+                rest = np.arange(len(beyond))
+                while len(rest):
+                    at[rest] += 1
+                    rest = rest[own[rest] > self.most[at[rest]]]
+                edge[beyond] = at
+            step = self.step[edge].view(np.int32)
+            to = step[1::2]
+            taken.append((who, step[::2]))
             on = to >= 0
             pieces[who[~on]] = len(taken)
-            who, place, key = who[on], to[on], key[on]
-        ends = np.cumsum(pieces)
-        begins, out = ends - pieces, np.empty(ends[-1], np.int32)
-        for n, (who, edge) in enumerate(taken):
-            out[begins[who] + n] = edge
-        at = np.concatenate(([0], ends))[lists]
-        return out, at, np.minimum(np.add.reduceat(np.log(self.share[out]), at[:-1]), 0.0)
-
-    def draw(self, words: list[np.ndarray], k: int, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """k distinct ways through each list of words: (ids, how many of each way, log probabilities, inclusion scores)."""
-        n = len(words)
+            on = np.flatnonzero(on)
+            who, edge, key = who[on], to[on], key[on]
+        ends = np.cumsum(pieces, dtype=np.int64)
+        begin, out = ends - pieces, np.empty(ends[-1], np.int32)
+        for n, (who, piece) in enumerate(taken):
+            out[begin[who] + n] = piece
+        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.repeat(many, k))))]
+        weight = self.model.log_weight[out]
+        wide = np.flatnonzero(out < 0)
+        weight[wide] = _said_in(-1 - out[wide]) * self.model.byte_weight
+        logp = np.add.reduceat(weight, at[:-1]) - np.repeat(np.add.reduceat(self.total[nodes], begins), k)
+        return out, at, np.minimum(logp, 0.0)
+
+    def draw(self, nodes: np.ndarray, many: np.ndarray, k: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """k distinct ways through each of texts with so many words: (ids, how many of each way, log probabilities, inclusion scores)."""
+        n = len(many)
         seeded = lambda own, number: _mixed(own + np.uint64(number * int(_GOLDEN) % (1 << 64)))
-        edges, at, logp = self.walk(words, np.stack([seeded(seeds, j + 1) for j in range(k)], 1))
+        ids, at, logp = self.walk(nodes, many, np.stack([seeded(seeds, j + 1) for j in range(k)], 1))
         logp, again = logp.reshape(n, k).T, {}
         for j in range(1, k):
             for i in np.flatnonzero((logp[j] == logp[:j]).any(0)).tolist():
-                own = again.setdefault(i, [edges[at[i * k + h] : at[i * k + h + 1]] for h in range(k)])
-                tries = 0
+                own = again.setdefault(i, [ids[at[i * k + h] : at[i * k + h + 1]] for h in range(k)])
+                begin, tries = many[:i].sum(), 0
                 while any(np.array_equal(own[j], own[h]) for h in range(j)):
                     tries += 1
-                    own[j], _, p = self.walk([words[i]], seeded(seeds[i : i + 1], (tries << 32) + j + 1)[:, None])
+                    own[j], _, p = self.walk(nodes[begin : begin + many[i]], many[i : i + 1], seeded(seeds[i : i + 1], (tries << 32) + j + 1)[:, None])
                     logp[j, i] = p[0]
         fall = lambda j: -np.log1p(-_uniform(seeded(seeds, (1 << 62) + j)))
         with np.errstate(over="ignore"):
@@ -541,14 +659,17 @@ class Table:
                 mass = np.log1p(-np.exp(logp[:j]).sum(0))
                 value = np.minimum(value, mass - np.log(np.maximum(np.exp(np.minimum(mass - value, 700.0)) + fall(j), 1e-300)))
             inclusion = -np.expm1(-np.exp(np.minimum(logp - value, 700.0)))
-        for i in range(n):
-            own = again.get(i)
-            flat = edges[at[i * k] : at[i * k + k]] if own is None else np.concatenate(own)
-            lengths = np.diff(at[i * k : i * k + k + 1]) if own is None else np.array([len(x) for x in own])
-            ids = self.piece[flat]
-            if (ids < 0).any():
-                ids, lengths = self.as_bytes(ids, lengths)
-            yield ids, lengths, logp[:, i], inclusion[:, i]
+        lengths = np.diff(at)
+        if again:
+            parts, done = [], 0
+            for i, own in sorted(again.items()):
+                parts += [ids[at[done] : at[i * k]], *own]
+                lengths[i * k : i * k + k] = [len(x) for x in own]
+                done = i * k + k
+            ids = np.concatenate([*parts, ids[at[done] :]])
+        if (ids < 0).any():
+            ids, lengths = self.as_bytes(ids, lengths)
+        return ids, lengths, logp.T.ravel(), inclusion.T.ravel()
 
     def as_bytes(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids with the bytes of characters that have no piece."""
@@ -558,12 +679,17 @@ class Table:
         size[ids < 0] = np.array([len(x) for x in said])[which]
         ends = np.cumsum(size)
         out = np.repeat(ids, size)
-        bytes_, _ = _ragged(np.array([b for x in said for b in x], np.int32), np.cumsum([0, *map(len, said)]), which)
-        out[out < 0] = bytes_
+        held = np.cumsum([0, *map(len, said)])
+        out[out < 0] = np.array([b for x in said for b in x], np.int32)[_ragged_places(held[which], held[which + 1] - held[which])]
         ways = np.cumsum(lengths)
         return out, np.diff(np.concatenate(([0], np.concatenate(([0], ends))[ways])))
 
 
+def _said_in(codes: np.ndarray) -> np.ndarray:
+    """Bytes of characters."""
+    return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
 def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of lists that hold about ROWS_IDS ids together."""
     part = at[:-1] // ROWS_IDS
@@ -585,7 +711,8 @@ def sample_segmentations(df: DataFrame, keys: list[str], path: str, k: int = 3,
         for part in steps(batches, "_text", STEP_BYTES):
             texts = [t or "" for t in part.column("_text").to_pylist()]
             row, ids, at, logp, inclusion = model.sample_all(texts, k, [xxhash.xxh3_64_intdigest(key, seed) for key in part.column("_key").to_pylist()])
-            number = np.arange(len(row)) - np.searchsorted(row, row)
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            number = np.arange(len(row)) - np.repeat(begin, np.diff(begin, append=len(row)))
             for a, b in _runs(at):
                 own, places = ids[at[a] : at[b]], at[a : b + 1] - at[a]
                 named = [part.column(f"_k{n}").take(pa.array(row[a:b])) for n in range(len(keys))]

@@ -260,3 +260,33 @@ def test_texts_drawn_together_follow_the_probabilities_and_take_little_time(mode
     assert model.decode_all(ids, at).to_pylist() == [t for t in texts for _ in range(3)]
     alone = model.sample(texts[7], 3, 7)
     assert [i for i, _, _ in alone] == [ids[at[j] : at[j + 1]].tolist() for j in range(21, 24)]
+
+
+def test_words_with_the_same_end_share_its_lattice(model, monkeypatch):
+    asked, follow = [], model.follow
+    model.table = segment.Table(model)
+    with monkeypatch.context() as m:
+        m.setattr(model, "follow", lambda keys: asked.append(len(keys)) or follow(keys))
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        text = " ".join(f"{x}{y}ationally" for x in letters for y in letters)
+        (ids, _, _), *_ = model.sample(text, 1, 1)
+        assert model.decode(ids) == text and asked[0] == 9 + 26 + 2 * 26 * 26  # 12 * 26 * 26 places, word by word
+        model.sample_all([f"{text} {text}", text], 2, [1, 2])
+        assert asked[0] >= sum(asked) / 5 and len(asked) < 20  # what has been entered is found
+
+
+def test_a_small_index_gives_the_same_segmentations(model, monkeypatch):
+    texts = ["日本語 \U0001f600 é ▁x▁ 12 3\n\n  a  " * 9, "﷐▁ab cd" * 9, "x\r\ny " * 30, "▁▁" * 20 + " q", "a" * 300, "", "nationally rationally " * 20, " lead and trail ", "\n", "undenominationally " * 9]
+    got = []
+    for bits, indexed in ((segment.INDEX_BITS, segment.INDEXED), (3, 5), (segment.INDEX_BITS, 1)):
+        with monkeypatch.context() as m:
+            m.setattr(segment, "INDEX_BITS", bits)
+            m.setattr(segment, "INDEXED", indexed)
+            model.table = segment.Table(model)
+            got.append(model.sample_all(texts, 3, list(range(10))))
+    model.table = segment.Table(model)
+    rows, ids, at, logp, _ = got[0]
+    assert all(np.array_equal(x, y) for other in got[1:] for x, y in zip(got[0][:3], other[:3])) and all(np.allclose(logp, other[3], rtol=0, atol=1e-9) for other in got[1:])
+    assert model.decode_all(ids, at).to_pylist() == [texts[i] for i in rows] and set(rows.tolist()) == set(range(10))
+    weight = lambda way: sum(model.weight[i] for i in way)
+    assert all(abs(weight(ids[a:b].tolist()) - sum(w.beta[0] for w in model.words(texts[i])) - p) < 1e-9 for i, a, b, p in zip(rows.tolist(), at, at[1:], logp))
