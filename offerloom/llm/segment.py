@@ -51,13 +51,13 @@ FAR_BELOW = 37.0
 _SPARE = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Text whose words are looked up at a time, text that is drawn at a time (bytes), and edges that a worker's table holds.
-STEP_BYTES, DRAWN_CHARS, MOST_EDGES = 1 << 20, 100_000, 6_000_000
+STEP_BYTES, DRAWN_CHARS, MOST_EDGES = 1 << 19, 100_000, 3_000_000
 #: Ids of an Arrow batch.
 ROWS_IDS = 1 << 20
 #: Times k + 1 that a bound of the probability of a text's best segmentation must fit into 1 for draws to be repeated.
 ROOM = 2
 #: Places of a table's index, at how many of them an end is looked for, and characters of the longest end in it.
-INDEX_BITS, PROBES, INDEXED = 22, 4, 64
+INDEX_BITS, PROBES, INDEXED = 21, 4, 64
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PROBES = [_GOLDEN, *_MIX, np.uint64(0xD6E8FEB86659FD93)]
 
