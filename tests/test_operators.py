@@ -498,3 +498,11 @@ def test_calls_without_a_pause_are_judged_by_several_tasks(spark):
             assert sum(sizes) == 3_000 and max(sizes) < 1_500
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_chains_are_compared_where_two_sell_a_group(spark):
+    cells = [("x", "south", 120), ("x", "north", 100), ("x", "south", 100), ("y", "north", 300), ("y", "west", 100), ("z", "north", 5), ("", "north", 1), ("", "south", 2), (None, "north", 1), (None, "south", 2), ("x", "east", 1)]
+    df = offers(spark, *({"brand": g, "chain": c, "price_cents": p} for g, c, p in cells), {"brand": "z", "chain": "south", "category": "seeds"})
+    got = matching.compare_chains(df.withColumn("group_label", F.when(F.col("brand") == "y", "Ypsilon")), F.col("brand"), ["south", "north", "west"], "dairy")
+    want = {("y", "Ypsilon", "north", "e3", 300, 200, False, 1), ("y", "Ypsilon", "west", "e4", 100, 200, True, 1), ("x", "x", "south", "e2", 100, 0, True, 2), ("x", "x", "north", "e1", 100, 0, False, 2)}
+    assert {tuple(r[c] for c in ("group", "label", "chain", "ext", "price_cents", "spread", "cheapest", "position")) for r in got.collect()} == want
