@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.functions.geo import EARTH_METRES, haversine
-from offerloom.operators.ranking import first_of
+from offerloom.operators.ranking import first_of, numbered
 
 #: Name beginnings of chains, in order: the first that fits names the chain.
 PREFIXES = (("north plus", "north_plus"), ("north", "north"), ("south", "south"), ("east", "east"))
@@ -59,51 +60,77 @@ def elements(raw: DataFrame) -> DataFrame:
     ).where("chain is not null and lat is not null and lng is not null")
 
 
-#: The finest cells of the index in degrees, and metres of a degree on the globe.
-CELL, DEGREE = 0.01, EARTH_METRES * 3.141592653589793 / 180
+#: The finest cells in degrees of the order in which places are packed, places or blocks in a block of the index, and rows up to which a level of it is broadcast.
+CELL, BLOCK, SMALL = 1e-5, 8, 50_000
+#: Metres to the other side of the globe, and by how much a distance computed there may be off.
+HALF, SLACK = EARTH_METRES * 3.141592653589793, 1.0
 
 
-def nearest_many(points: DataFrame, stores: DataFrame, k: int = 1, by: str | None = None, cell: float | None = None) -> DataFrame:
-    """(lat, lng, by, store_id, metres, rank): the k nearest stores of every distinct point, of each value of `by` if one is named; ties by store_id. Rows without coordinates are left out.
-
-    Points meet the stores of their cell and the eight around it, in an equi-join. Whatever lies outside is farther than a cell's width, so a point that found k stores within it is done; the others
-    try cells of four times the size, until all the world is one cell. The first cells hold k stores on an average, if no size is given. Near a pole or the date line the width ends there. What is left is written to the checkpoint folder every round.
-    """
-    spark = points.sparkSession
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that every reader sees the same rows."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         from offerloom.sources.ingest import shared_folder
 
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    key = [by] if by else []
-    places = stores.where("lat is not null and lng is not null").select("store_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), *key)
-    left = points.where("lat is not null and lng is not null").select("lat", "lng").distinct()
-    left = left.crossJoin(F.broadcast(places.select(by).distinct())) if by else left  # a row for each chain
-    if cell is None:
-        n, *ends = places.agg(F.count("*"), F.min("_lat"), F.max("_lat"), F.min("_lng"), F.max("_lng")).first()
-        cell = max(CELL, ((ends[1] - ends[0]) * (ends[3] - ends[2]) * k / n) ** 0.5) if n else 360.0
-    left, done, size = left.checkpoint(), None, cell
-    while True:
-        last = size >= 360
-        at = lambda c, w: F.floor(F.col(c) / w).cast("long")  # noqa: E731, B023
-        around = F.explode(F.array(*[F.struct((at("lat", size) + i).alias("_x"), (at("lng", size) + j).alias("_y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        cells = left.withColumn("_c", F.struct(F.lit(0).alias("_x"), F.lit(0).alias("_y")) if last else around).select("lat", "lng", *key, "_c.*")
-        own = places.withColumns({"_x": F.lit(0).cast("long") if last else at("_lat", size), "_y": F.lit(0).cast("long") if last else at("_lng", size)})
-        met = cells.join(own, ["_x", "_y", *key]).withColumn("metres", haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")))
-        best = first_of(met, ["lat", "lng", *key], [F.col("metres").asc(), F.col("store_id").asc()], k, "rank").select("lat", "lng", *key, "store_id", "metres", "rank")
-        if last:
-            return best if done is None else done.unionByName(best)
-        # within this many degrees nothing lies outside the nine cells; a degree of longitude is shortest at the end nearer to the pole
-        room = F.least(F.lit(size), 90 - F.abs("lat"))
-        side = F.least(F.lit(size), 180 - F.abs("lng")) * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(90.0))))
-        sure = F.least(room, side) * (DEGREE * 0.999)
-        full = best.groupBy("lat", "lng", *key).agg(F.count("*").alias("_n"), F.max("metres").alias("_far")).where((F.col("_n") >= k) & (F.col("_far") < sure)).select("lat", "lng", *key)
-        best = best.checkpoint()
-        found = best.join(full, ["lat", "lng", *key], "left_semi")
-        done = found if done is None else done.unionByName(found)
-        left = left.join(full, ["lat", "lng", *key], "left_anti").checkpoint()
-        if left.isEmpty():
-            return done
-        size *= 4
+    return df.checkpoint()
+
+
+def z_order(lat: Column, lng: Column, cell: float) -> Column:
+    """The bits of a cell's row and column in turn: cells near each other mostly stand near each other in this order."""
+    out = []
+    for v in (lat, lng):
+        n = (F.floor(v / cell).cast("long") + (1 << 25)).bitwiseAND(F.lit((1 << 31) - 1))
+        for by, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            n = n.bitwiseOR(F.shiftleft(n, by)).bitwiseAND(F.lit(mask))
+        out.append(n)
+    return F.shiftleft(out[0], 1).bitwiseOR(out[1])
+
+
+def balls(spots: DataFrame, key: list[str], size: int) -> DataFrame:
+    """(by, _up, _block, _lat, _lng, _wide, _n): blocks of `size` spots that follow each other, the block of the next level each is in, and a middle from which no spot of it is farther than _wide metres."""
+    block = lambda n: F.expr(f"(_rank - 1) div {n}")
+    ends = spots.groupBy(*key, block(size).alias("_block"), block(size * BLOCK).alias("_up")).agg(F.min("_lat").alias("_s"), F.max("_lat").alias("_t"), F.min("_lng").alias("_w"), F.max("_lng").alias("_e"), F.count("*").alias("_n"))
+    # a degree of longitude is longest at the block's end nearer to the equator
+    stretch = F.when((F.col("_s") > 0) & (F.col("_t") <= 90), F.cos(F.radians("_s"))).when((F.col("_t") < 0) & (F.col("_s") >= -90), F.cos(F.radians("_t"))).otherwise(1.0)
+    half = lambda a, b: F.sin(F.least(F.radians(F.col(b) - F.col(a)) / 4, F.lit(1.5707963267948966)))
+    wide = 2 * EARTH_METRES * F.asin(F.least(F.sqrt(F.pow(half("_s", "_t"), F.lit(2)) + F.pow(stretch * half("_w", "_e"), F.lit(2))), F.lit(1.0)))
+    return ends.select(*key, "_up", "_block", ((F.col("_s") + F.col("_t")) / 2).alias("_lat"), ((F.col("_w") + F.col("_e")) / 2).alias("_lng"), F.nanvl(wide, F.lit(HALF)).alias("_wide"), "_n")
+
+
+def nearest_many(points: DataFrame, stores: DataFrame, k: int = 1, by: str | None = None, cell: float | None = None) -> DataFrame:
+    """(lat, lng, by, store_id, metres, rank): the k nearest stores of every distinct point, of each value of `by` if one is named; ties by store_id. Rows without coordinates are left out.
+
+    Of stores at the same spot only the k first can be among the nearest, so spots are searched. They are packed by z_order (cell: its finest width) into blocks of eight, those into blocks of eight, and so on. A point
+    goes down from the eight largest blocks and leaves out each that is farther away than k spots surely are, so it meets few spots however many there are, and far from all of them too. A point stays with one task.
+    """
+    spark, key = points.sparkSession, [by] if by else []
+    place = ["_lat", "_lng", *key]
+    own = stores.where("lat is not null and lng is not null").select("store_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), *key)
+    first = first_of(own, place, [F.col("store_id").asc()], k, "_i")
+    spots = first.groupBy(*place).agg(F.collect_list(F.struct("_i", "store_id")).alias("_own")).withColumn("_z", z_order(F.col("_lat"), F.col("_lng"), cell or CELL))
+    spots = kept(numbered(spots, key, [F.col("_z").asc(), F.col("_lat").asc(), F.col("_lng").asc()], "_rank").drop("_z"))
+    n, longest = spots.agg(F.count("*"), F.coalesce(F.max("_rank"), F.lit(1))).first()
+    left = kept(points.where("lat is not null and lng is not null").select("lat", "lng").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    left = left.crossJoin(F.broadcast(spots.select(by).distinct())) if by else left  # a row for each chain
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = left.withColumn("_at", F.lit(0).cast("long")).repartition(tasks, "_id", *key)  # few bytes, but much work: not for one task
+    mine = Window.partitionBy("_id", *key)
+    sizes = [1]
+    while sizes[-1] * BLOCK < longest:
+        sizes.append(sizes[-1] * BLOCK)
+    for size in reversed(sizes):
+        level = balls(spots, key, size) if size > 1 else spots.select(*place, F.expr(f"(_rank - 1) div {BLOCK}").alias("_up"), F.lit(0.0).alias("_wide"), F.lit(1).alias("_n"), "_own")
+        level = level.withColumnRenamed(by, "_by") if by else level
+        same = F.col("_at") == F.col("_up")
+        met = left.join(F.broadcast(level) if n * k <= SMALL * size else level, same & F.col(by).eqNullSafe(F.col("_by")) if by else same)
+        metres = haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
+        met = met.withColumn("metres", metres).withColumn("_far", F.nanvl("metres", F.lit(HALF)) + F.col("_wide"))
+        met = met.withColumn("_within", F.sum("_n").over(mine.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)))
+        met = met.withColumn("_sure", F.min(F.when(F.col("_within") >= k, F.col("_far"))).over(mine))
+        left = met.where(F.col("_sure").isNull() | (F.col("_far") - 2 * F.col("_wide") <= F.col("_sure") + SLACK))
+        left = left.select("_id", "lat", "lng", *key, F.col("_block").alias("_at")) if size > 1 else left.select("_id", "lat", "lng", *key, "metres", F.inline("_own"))
+    return first_of(left, ["_id", *key], [F.col("metres").asc(), F.col("store_id").asc()], k, "rank").select("lat", "lng", *key, "store_id", "metres", "rank")
 
 
 def nearest_per_chain(df: DataFrame, lat: float, lng: float) -> DataFrame:

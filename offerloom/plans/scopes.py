@@ -156,7 +156,7 @@ def customers_nearest(spark, sf_dir):
         "c_custkey", F.when(key % 5 > 0, (F.lit(10115) + F.col("c_nationkey")).cast("string")).otherwise("x").alias("plz"),
         F.when(key % 3 == 0, F.lit(52.0) + (key * 17 % 1500) / 1000.0).alias("lat"), F.when(key % 6 < 4, F.lit(13.0) + (key * 29 % 1700) / 1000.0).alias("lng"))
     own = stores(spark, sf_dir)
-    at = pl.located(rows, pl.centroids(own))
+    at = pl.located(rows, pl.kept(pl.centroids(own)))  # an average of other digits would meet no point
     near = pl.nearest_many(at, own, 2, "chain")
     return at.join(near, ["lat", "lng"]).select("c_custkey", "chain", "store_id", F.round("metres").cast("long").alias("metres"), "rank")
 

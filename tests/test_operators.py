@@ -506,3 +506,26 @@ def test_chains_are_compared_where_two_sell_a_group(spark):
     got = matching.compare_chains(df.withColumn("group_label", F.when(F.col("brand") == "y", "Ypsilon")), F.col("brand"), ["south", "north", "west"], "dairy")
     want = {("y", "Ypsilon", "north", "e3", 300, 200, False, 1), ("y", "Ypsilon", "west", "e4", 100, 200, True, 1), ("x", "x", "south", "e2", 100, 0, True, 2), ("x", "x", "north", "e1", 100, 0, False, 2)}
     assert {tuple(r[c] for c in ("group", "label", "chain", "ext", "price_cents", "spread", "cheapest", "position")) for r in got.collect()} == want
+
+
+def test_a_far_point_meets_few_stores(spark, monkeypatch):
+    from offerloom.functions.geo import haversine
+
+    met = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda lat: met.add(1) or 0.0, "double").asNondeterministic()
+    monkeypatch.setattr(places, "haversine", lambda lat, *rest: haversine(lat, *rest) + counted(lat))
+    dice = random.Random(9)
+    spots = [(52 + dice.random(), 13 + dice.random()) for _ in range(1_000)]
+    stores = spark.createDataFrame([(i, *spots[i % 1_000]) for i in range(3_000)], "store_id long, lat double, lng double")
+    far = [(51.0 + dice.random() / 9, 12 + 3 * dice.random()) for _ in range(30)]
+    rows = places.nearest_many(spark.createDataFrame(far, "lat double, lng double"), stores, 2).collect()
+    assert met.value < 30 * 600  # all with all are 90,000 pairs
+    ids = {p: [r["store_id"] for r in sorted(rows, key=lambda r: r["rank"]) if (r["lat"], r["lng"]) == p] for p in far}
+    assert all(len(i) == 2 and i[0] + 1_000 == i[1] and i[0] < 1_000 for i in ids.values())  # of three at the nearest spot the first two
+
+
+def test_customers_meet_the_middles_they_were_searched_by(spark):
+    """An average that is computed again may have other last digits, and meets no point then."""
+    from offerloom.plans.all_queries import QUERIES
+
+    assert "avg(" not in QUERIES["q06_customers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
